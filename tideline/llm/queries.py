@@ -6,9 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate
+from . import decontaminate, sharding, simhash
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op6_simhash": simhash.op6_simhash,
+    "op8_feistel_shards": sharding.op8_feistel_shards,
     "op9_decontaminate": decontaminate.op9_decontaminate,
 }
 ORACLES: dict[str, str] = {
