@@ -6,9 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, sharding, simhash
+from . import decontaminate, pii, sharding, simhash, url_filter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op3_pii": pii.op3_pii,
+    "op4_url_rules": url_filter.op4_url_rules,
     "op6_simhash": simhash.op6_simhash,
     "op8_feistel_shards": sharding.op8_feistel_shards,
     "op9_decontaminate": decontaminate.op9_decontaminate,
