@@ -6,9 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, pii, sharding, simhash, url_filter
+from . import decontaminate, pii, sharding, simhash, toxicity, url_filter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_toxicity": toxicity.op1_toxicity,
     "op3_pii": pii.op3_pii,
     "op4_url_rules": url_filter.op4_url_rules,
     "op6_simhash": simhash.op6_simhash,
