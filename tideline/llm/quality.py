@@ -51,7 +51,7 @@ class Hasher:
 
 
 class Ftrl:
-    def __init__(self, buckets: int = 1 << 18, alpha: float = 0.3, beta: float = 1.0, l1: float = 0.02, l2: float = 0.1):
+    def __init__(self, buckets: int = 1 << 18, alpha: float = 1.0, beta: float = 1.0, l1: float = 0.005, l2: float = 0.1):
         self.buckets, self.alpha, self.beta, self.l1, self.l2 = buckets, alpha, beta, l1, l2
         self.z, self.n = np.zeros(buckets), np.zeros(buckets)
         self.bias_z = self.bias_n = 0.0
@@ -81,7 +81,7 @@ def sigmoid(x: float) -> float:
     return 1.0 / (1.0 + math.exp(-max(-50.0, min(50.0, x))))
 
 
-def train(texts: list[str | None], labels: list[int], *, epochs: int = 5, balance: float = 0.5, seed: int = 5, **options) -> tuple[np.ndarray, float]:
+def train(texts: list[str | None], labels: list[int], *, epochs: int = 8, balance: float = 0.5, seed: int = 5, **options) -> tuple[np.ndarray, float]:
     """(weights, bias). ``balance`` between 0 (rows weigh alike) and 1 (classes weigh alike)."""
     model = Ftrl(**options)
     if not labels or min(labels) == max(labels):

@@ -6,12 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, pii, sharding, simhash, toxicity, url_filter
+from . import decontaminate, pii, quality, sharding, simhash, toxicity, url_filter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": toxicity.op1_toxicity,
     "op3_pii": pii.op3_pii,
     "op4_url_rules": url_filter.op4_url_rules,
+    "op5_quality": quality.op5_quality,
     "op6_simhash": simhash.op6_simhash,
     "op8_feistel_shards": sharding.op8_feistel_shards,
     "op9_decontaminate": decontaminate.op9_decontaminate,
