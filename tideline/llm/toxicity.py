@@ -126,11 +126,13 @@ def train(texts: list[str | None], labels: list[int], *, epochs: int = 12, min_s
     if not len(y) or y.min() == y.max():
         return model
     model.trained = True
-    docs = [words(t) for t in texts]
-    vocab = {w: i for i, w in enumerate(sorted({w for d in docs for w in d}))}
-    bag_flat, bag_size = grams(list(vocab), model.buckets) if vocab else (np.empty(0, np.int64), np.empty(0, np.int64))
-    bag_at = np.r_[0, np.cumsum(bag_size)]
-    ids = [np.fromiter((vocab[w] for w in d), np.int64, len(d)) for d in docs]
+    vocab: dict[str, int] = {}
+    ids = [np.array([vocab.setdefault(w, len(vocab)) for w in words(t)], np.int32) for t in texts]  # one document's words at a time
+    names = list(vocab)
+    parts = [grams(names[lo : lo + 20_000], model.buckets) for lo in range(0, len(names), 20_000)]
+    bag_flat = np.concatenate([flat.astype(np.int32) for flat, _ in parts]) if parts else np.empty(0, np.int32)
+    bag_at = np.r_[0, np.cumsum(np.concatenate([size for _, size in parts]))] if parts else np.zeros(1, np.int64)
+    del vocab, names, parts
     once = [fresh(w, model.window) for w in ids]
     rng = np.random.default_rng(seed)
     class_weight = (len(y) / 2 / np.bincount(y, minlength=2)).astype(np.float32)
@@ -138,7 +140,7 @@ def train(texts: list[str | None], labels: list[int], *, epochs: int = 12, min_s
     for epoch in range(epochs):
         # The windows to learn from: of each document the worst ones, and in the first epoch all of a random sample.
         slope = model.vectors @ (model.weights[1] - model.weights[0])
-        word_score = np.add.reduceat(slope[bag_flat], bag_at[:-1]) / np.diff(bag_at) if len(bag_flat) else np.empty(0)
+        word_score = np.add.reduceat(slope[bag_flat], bag_at[:-1]) / np.diff(bag_at) if len(bag_flat) else np.empty(0, np.float32)
         chosen: list[tuple[int, int, int]] = []
         for d, w in enumerate(ids):
             at = model.windows(len(w))
