@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, packing, pii, quality, sharding, simhash, toxicity, url_filter
+from . import ann, decontaminate, packing, pii, quality, sharding, simhash, toxicity, url_filter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": toxicity.op1_toxicity,
@@ -14,6 +14,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_url_rules": url_filter.op4_url_rules,
     "op5_quality": quality.op5_quality,
     "op6_simhash": simhash.op6_simhash,
+    "op7_multiprobe": ann.op7_multiprobe,
     "op8_feistel_shards": sharding.op8_feistel_shards,
     "op9_decontaminate": decontaminate.op9_decontaminate,
     "op10_best_fit": packing.op10_best_fit,
