@@ -161,7 +161,7 @@ def usable(vectors: DataFrame, id_col: str, vector: str) -> DataFrame:
     return df.where(F.size("x") == (sizes.dim if sizes else 0))
 
 
-def search(vectors: DataFrame, queries: DataFrame, *, id_col: str = "vec_id", vector: str = "embedding", k: int = 20, tables: int = 12, functions: int = 8, width: float = 2.0, probes: int = 60, block_scale: int = 500) -> DataFrame:
+def search(vectors: DataFrame, queries: DataFrame, *, id_col: str = "vec_id", vector: str = "embedding", k: int = 20, tables: int = 16, functions: int = 8, width: float = 2.0, probes: int = 70, block_scale: int = 500) -> DataFrame:
     """(query_id, rank, vec_id, score): for each query the k rows of ``vectors`` of largest inner product that were found."""
     spark = vectors.sparkSession
     rows = written(usable(vectors, id_col, vector), "ann-rows")
@@ -172,7 +172,7 @@ def search(vectors: DataFrame, queries: DataFrame, *, id_col: str = "vec_id", ve
     blocks = max(1, math.ceil(math.sqrt(n / block_scale)))
     asked = usable(queries, id_col, vector).where(F.size("x") == dim).dropDuplicates(["vec_id"])
     dealt = rows.select(F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).alias("block"), F.lit(0).alias("kind"), "vec_id", "x")
-    dealt = dealt.unionByName(asked.select(F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).cast("bigint").alias("block"), F.lit(1).alias("kind"), "vec_id", "x"))
+    dealt = dealt.unionByName(asked.select(F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(blocks - 1).cast("bigint"))).alias("block"), F.lit(1).alias("kind"), "vec_id", "x"))
     hashes = Hashes(dim, tables, functions, width, probes)
     found = dealt.repartition(blocks, "block").sortWithinPartitions("block", "kind").mapInArrow(_searcher(hashes, top, dim, k), "query_id bigint, vec_id bigint, score double")
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
