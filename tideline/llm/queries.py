@@ -6,10 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ann, decontaminate, packing, pii, quality, sharding, simhash, toxicity, url_filter
+from . import ann, decontaminate, packing, pii, quality, sharding, simhash, substring_dedup, toxicity, url_filter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": toxicity.op1_toxicity,
+    "op2_suffix_dedup": substring_dedup.op2_suffix_dedup,
     "op3_pii": pii.op3_pii,
     "op4_url_rules": url_filter.op4_url_rules,
     "op5_quality": quality.op5_quality,
