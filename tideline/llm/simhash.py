@@ -12,6 +12,11 @@ null; an empty table gives an empty result; extra columns pass through whatever
 
 Scale: equal fingerprints are merged before any search, so copies never meet as pairs; a cell emits a forest of at most one edge a
 member, never all pairs; links, components and fingerprints stay in Spark.
+
+``similar_groups`` is the form for a similarity of word shingles: fingerprints of 48 bits over the distinct words in several independent
+tables, the same grid join in each, and an exact check of the shingle sets of each candidate pair. Cells of up to ``PAIRS_UP_TO``
+members give all pairs; larger ones give each member the cell's first three and the next one in order, so that a group of n near
+copies costs a multiple of n checks; each table and cell draws these anew.
 """
 
 from __future__ import annotations
@@ -27,7 +32,7 @@ from .common import map_texts, table, written
 from .components import components
 
 SEGMENT_BITS = 4
-SEGMENTS = 64 // SEGMENT_BITS
+PAIRS_UP_TO = 6
 #: Bits of the packed cell for each coordinate; popcounts are 0..SEGMENT_BITS.
 PLACE = 3
 
@@ -57,15 +62,16 @@ def fingerprints(docs: DataFrame, *, text: str = "text", shingle: int = 3, keep:
     return map_texts(docs, [docs[text].cast("string")], keep, fields, lambda: lambda texts: [[fingerprint(t, shingle) for t in texts]])
 
 
-def cells(fp: F.Column, radius: int) -> F.Column:
-    """The packed grid points at Manhattan distance ``radius`` (0 or 1) or less from the point of ``fp``."""
-    counts = [F.bit_count(F.shiftrightunsigned(fp, SEGMENT_BITS * i).bitwiseAND(F.lit((1 << SEGMENT_BITS) - 1))).cast("bigint") for i in range(SEGMENTS)]
+def cells(fp: F.Column, radius: int, bits: int = 64) -> F.Column:
+    """The packed grid points at Manhattan distance ``radius`` (0 or 1) or less from the point of the first ``bits`` of ``fp``."""
+    segments = bits // SEGMENT_BITS
+    counts = [F.bit_count(F.shiftrightunsigned(fp, SEGMENT_BITS * i).bitwiseAND(F.lit((1 << SEGMENT_BITS) - 1))).cast("bigint") for i in range(segments)]
     own = counts[0]
-    for i in range(1, SEGMENTS):
+    for i in range(1, segments):
         own = own + F.shiftleft(counts[i], PLACE * i)
     if radius == 0:
         return F.array(own)
-    step = [F.lit(1 << (PLACE * i)) for i in range(SEGMENTS)]
+    step = [F.lit(1 << (PLACE * i)) for i in range(segments)]
     near = [F.when(c < SEGMENT_BITS, own + s) for c, s in zip(counts, step)] + [F.when(c > 0, own - s) for c, s in zip(counts, step)]
     return F.array_compact(F.array(own, *near))
 
@@ -90,7 +96,10 @@ def forest(fps: np.ndarray, distance: int) -> tuple[np.ndarray, np.ndarray]:
     return (np.concatenate(nodes), np.concatenate(roots)) if nodes else (empty, empty)
 
 
-def _linker(distance: int):
+def _linker(distance: int, join=None):
+    """batches (cell, fp), by cell -> edges; ``join`` makes the edges of one cell of three members or more."""
+    join = join or (lambda fps: forest(fps, distance))
+
     def run(batches):
         kept_cell, kept_fp = np.empty(0, np.int64), np.empty(0, np.int64)
 
@@ -101,7 +110,7 @@ def _linker(distance: int):
             a, b = fp[two], fp[two + 1]
             ok = np.bitwise_count(a ^ b) <= distance
             out = [(a[ok], b[ok])]
-            out += [forest(fp[s : s + n], distance) for s, n in zip(starts[sizes > 2], sizes[sizes > 2])]
+            out += [join(fp[s : s + n]) for s, n in zip(starts[sizes > 2], sizes[sizes > 2])]
             a, b = (np.concatenate(x) for x in zip(*out))
             return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
@@ -136,6 +145,115 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text: str = "tex
     return held.join(ids, "fp").select("row._row", "fp", "component_id").withColumnRenamed("_row", "row")
 
 
+def word_fingerprints(text: str | None, tables: int, bits: int, cache: dict) -> list[int]:
+    """One fingerprint a table of the distinct lower-cased words; zeros for a text without words."""
+    words = list(set((text or "").lower().split()))
+    if not words:
+        return [0] * tables
+    if len(cache) > 400_000:
+        cache.clear()
+    for w in words:
+        if w not in cache:
+            cache[w] = xxhash.xxh64_intdigest(w, 42)
+    h = np.fromiter(map(cache.__getitem__, words), np.uint64, len(words))
+    total = np.zeros(tables * bits, np.int64)
+    keys = np.arange(1, tables + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    for at in range(0, len(h), 4096):
+        x = h[at : at + 4096, None] + keys
+        x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+        x ^= x >> np.uint64(31)
+        ones = np.unpackbits(np.ascontiguousarray(x).view(np.uint8).reshape(len(x), tables, 8)[:, :, : bits // 8], axis=2, bitorder="little")
+        total += ones.reshape(len(x), -1).sum(axis=0, dtype=np.int64)
+    out = np.zeros((tables, 8), np.uint8)
+    out[:, : bits // 8] = np.packbits((total * 2 > len(h)).reshape(tables, bits), axis=1, bitorder="little")
+    return out.view(np.int64).ravel().tolist()
+
+
+def shingles(text: str | None, size: int) -> np.ndarray:
+    """Sorted distinct hashes of the word shingles; a shorter text is one shingle."""
+    words = (text or "").lower().split()
+    k = min(size, len(words))
+    return np.unique(np.array([xxhash.xxh64_intdigest(" ".join(words[i : i + k]), 7) for i in range(len(words) - k + 1)] if words else [0], np.uint64).view(np.int64))
+
+
+def _pairs(distance: int):
+    """batches (cell, fp, uid), by cell -> pairs of uids whose fingerprints are close."""
+
+    def of_cell(fp: np.ndarray, uid: np.ndarray) -> list[tuple[int, int]]:
+        order = np.lexsort((uid, fp))
+        fp, uid = fp[order], uid[order]
+        n = len(fp)
+        if n <= PAIRS_UP_TO:
+            a, b = np.triu_indices(n, 1)
+        else:
+            a, b = zip(*[(i, j) for j in range(1, n) for i in {0, 1, 2, j - 1} if i < j])
+            a, b = np.array(a), np.array(b)
+        ok = np.bitwise_count(fp[a] ^ fp[b]) <= distance
+        return list(zip(np.minimum(uid[a], uid[b])[ok].tolist(), np.maximum(uid[a], uid[b])[ok].tolist()))
+
+    def run(batches):
+        kept = [np.empty(0, np.int64)] * 3
+
+        def found(cell, fp, uid):
+            starts = np.flatnonzero(np.r_[True, cell[1:] != cell[:-1]]) if len(cell) else np.empty(0, np.int64)
+            sizes = np.diff(np.r_[starts, len(cell)])
+            out = {pair for s, n in zip(starts[sizes > 1].tolist(), sizes[sizes > 1].tolist()) for pair in of_cell(fp[s : s + n], uid[s : s + n])}
+            return pa.RecordBatch.from_arrays([pa.array([p[i] for p in out], pa.int64()) for i in (0, 1)], names=["a", "b"])
+
+        for batch in batches:
+            cell, fp, uid = (np.concatenate([k, batch.column(i).to_numpy(zero_copy_only=False)]) for i, k in enumerate(kept))
+            last = np.searchsorted(cell, cell[-1]) if len(cell) else 0  # the last cell may go on in the next batch
+            yield found(cell[:last], fp[:last], uid[:last])
+            kept = [cell[last:], fp[last:], uid[last:]]
+        yield found(*kept)
+
+    return run
+
+
+def similar_groups(docs: DataFrame, *, text: str = "text", shingle: int = 5, similarity: float = 0.8, tables: int = 8, bits: int = 48, distance: int = 2, keep: list[str] | None = None) -> DataFrame:
+    """Per document: ``row`` (the kept columns) and ``group``: a number that it shares with all texts it is linked to.
+
+    Texts are linked whose sets of word shingles have a Jaccard similarity of ``similarity`` or more; equal texts always are.
+    """
+    keep = docs.columns if keep is None else keep
+    raw = F.coalesce(docs[text].cast("string"), F.lit(""))
+    base = docs.select(F.struct(*[docs[c] for c in keep]).alias("row"), raw.alias("raw"), F.unhex(F.sha2(raw.cast("binary"), 256)).alias("k"))
+
+    def fingerprinter():
+        cache: dict = {}
+        return lambda texts: [[word_fingerprints(t, tables, bits, cache) for t in texts]]
+
+    fields = T.StructType([T.StructField("fps", T.ArrayType(T.LongType()))])
+    made = map_texts(base, [F.col("raw")], ["k"], fields, fingerprinter)
+    texts = written(made.groupBy("row.k").agg(F.first("fps").alias("fps")).withColumn("uid", F.monotonically_increasing_id()), "similar-texts")
+    dealt = texts.select("uid", F.posexplode("fps").alias("t", "fp")).select("uid", "t", "fp", F.explode(cells(F.col("fp"), (distance + 1) // 2, bits)).alias("cell"))
+    dealt = dealt.select((F.col("cell") + F.shiftleft(F.col("t").cast("bigint"), bits // SEGMENT_BITS * PLACE)).alias("cell"), "fp", "uid")
+    pairs = written(dealt.repartition("cell").sortWithinPartitions("cell").mapInArrow(_pairs(distance), "a long, b long").distinct(), "similar-pairs")
+    ends = pairs.select(F.col("a").alias("uid")).unionByName(pairs.select(F.col("b").alias("uid"))).distinct()
+    asked = texts.select("k", "uid").join(ends, "uid")
+    one = base.select("k", "raw").join(asked, "k").groupBy("uid").agg(F.first("raw").alias("raw"))
+    sets = map_texts(one, [F.col("raw")], ["uid"], T.StructType([T.StructField("set", T.ArrayType(T.LongType()))]), lambda: lambda texts: [[shingles(t, shingle).tolist() for t in texts]])
+    sets = written(sets.select("row.uid", "set"), "similar-sets")
+    both = pairs.join(sets.select(F.col("uid").alias("a"), F.col("set").alias("x")), "a").join(sets.select(F.col("uid").alias("b"), F.col("set").alias("y")), "b")
+    common = F.size(F.array_intersect("x", "y"))
+    edges = both.where(common >= similarity * (F.size("x") + F.size("y") - common)).select("a", "b")
+    roots = components(edges, "similar-links").withColumnRenamed("node", "uid")
+    groups = texts.select("k", "uid").join(roots, "uid", "left").select("k", F.coalesce("root", "uid").alias("group"))
+    return base.select("row", "k").join(groups, "k").select("row", "group")
+
+
+def one_of_each(docs: DataFrame, *, id_col: str = "doc_id", text: str = "text", **options) -> DataFrame:
+    """``docs`` with one document of each group of similar texts: the one of least id (a null id last), then of least text."""
+    name = F.coalesce(docs[id_col].cast("string"), F.lit(""))
+    key = F.unhex(F.sha2(F.coalesce(docs[text].cast("string"), F.lit("")).cast("binary"), 256))
+    marked = docs.select(F.struct(*docs.columns).alias("_row"), docs[id_col].alias("_id"), name.alias("_name"), key.alias("_key"), docs[text].alias("_text"))
+    grouped = similar_groups(marked, text="_text", keep=["_id", "_name", "_key"], **options)
+    first = grouped.groupBy("group").agg(F.min(F.struct(F.col("row._id").isNull().alias("none"), F.col("row._id").alias("id"), F.col("row._key").alias("key"), F.col("row._name").alias("name"))).alias("x"))
+    chosen = first.select(F.col("x.name").alias("_name"), F.col("x.key").alias("_key"))
+    return marked.join(chosen, ["_name", "_key"], "left_semi").dropDuplicates(["_name", "_key"]).select("_row.*")
+
+
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = near_duplicates(table(spark, sf_dir, "documents"), keep=["doc_id"])
     return out.select("row.*", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
