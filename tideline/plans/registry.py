@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from . import graph_queries, market_queries
+
 FLAGSHIP = "region_shock_customers"
-QUERIES: dict = {}
-ORACLES: dict = {}
+QUERIES = graph_queries.QUERIES | market_queries.QUERIES
+ORACLES = graph_queries.ORACLES | market_queries.ORACLES
