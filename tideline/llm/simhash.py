@@ -88,7 +88,7 @@ def forest(fps: np.ndarray, distance: int) -> tuple[np.ndarray, np.ndarray]:
                 rest = np.flatnonzero(~near)
                 for lo in range(0, len(rest), 4096):
                     part = rest[lo : lo + 4096]
-                    near[part] = (np.bitwise_count(left[part][:, None] ^ block[None, :]) <= distance).any(axis=1)
+                    near[part] = (np.bitwise_count((left[part][:, None] ^ block[None, :]).view(np.uint64)) <= distance).any(axis=1)
             frontier, left = left[near], left[~near]
             nodes.append(frontier)
             roots.append(np.full(len(frontier), root))
@@ -108,7 +108,7 @@ def _linker(distance: int, join=None):
             sizes = np.diff(np.r_[starts, len(cell)])
             two = starts[sizes == 2]
             a, b = fp[two], fp[two + 1]
-            ok = np.bitwise_count(a ^ b) <= distance
+            ok = np.bitwise_count((a ^ b).view(np.uint64)) <= distance  # of signed numbers it would count the bits of the absolute value
             out = [(a[ok], b[ok])]
             out += [join(fp[s : s + n]) for s, n in zip(starts[sizes > 2], sizes[sizes > 2])]
             a, b = (np.concatenate(x) for x in zip(*out))
