@@ -7,7 +7,7 @@ toxic as its worst window, so that a few words in a long text are not averaged a
 choosing the worst window of each document under the present model and gradient steps on those windows. A word that is
 repeated within a window counts once there.
 
-Defined cases: null, empty and blank texts have no words and get the score of the bias alone; very long texts are scored whole, window
+Defined cases: null, empty and blank texts have no words and get the (calibrated) score of the bias alone; very long texts are scored whole, window
 by window; repeated rows get equal scores; without labelled rows of both classes every score is 0; extra columns pass
 through whatever their names; labels of unknown documents and null labels are left out.
 
@@ -74,6 +74,7 @@ class Model:
         self.weights = rng.normal(0, 0.5, (2, dim)).astype(np.float32)
         self.bias = np.zeros(2, np.float32)
         self.trained = False
+        self.scale, self.shift = 1.0, 0.0  # from logits to calibrated logits
         self.cache: dict[str, float] = {}
 
     def __getstate__(self):
@@ -93,6 +94,10 @@ class Model:
     def scores(self, texts: list[str | None]) -> list[float]:
         if not self.trained:
             return [0.0] * len(texts)
+        return [sigmoid(self.scale * z + self.shift) for z in self.logits(texts)]
+
+    def logits(self, texts: list[str | None]) -> list[float]:
+        """The logit of each text's worst window."""
         docs = [words(t) for t in texts]
         cache = self.cache
         if len(cache) > 400_000:
@@ -111,20 +116,46 @@ class Model:
                 total = np.r_[0.0, np.cumsum(s * fresh(s, self.window))]
                 at = self.windows(len(ws))
                 z += float((total[np.minimum(at + self.window, len(ws))] - total[at]).max()) / self.window
-            out.append(1.0 / (1.0 + math.exp(-max(-50.0, min(50.0, z)))))
+            out.append(z)
         return out
 
 
+def sigmoid(x: float) -> float:
+    return 1.0 / (1.0 + math.exp(-max(-50.0, min(50.0, x))))
+
+
+def calibration(z: np.ndarray, y: np.ndarray) -> tuple[float, float]:
+    """(scale, shift) of a logistic fit of labels on logits, with smoothed targets, so that separable rows give finite numbers."""
+    ones = y.sum()
+    target = np.where(y == 1, (ones + 1) / (ones + 2), 1 / (len(y) - ones + 2))
+    unit = max(1e-9, float(z.std()))
+    x = np.stack([z / unit, np.ones(len(z))], axis=1)
+    w = np.zeros(2)
+    for _ in range(100):
+        p = 1 / (1 + np.exp(-np.clip(x @ w, -50, 50)))
+        step = np.linalg.solve((x.T * (p * (1 - p))) @ x + 1e-6 * np.eye(2), x.T @ (target - p))
+        w += np.clip(step, -2, 2)
+        if np.abs(step).max() < 1e-8:
+            break
+    return float(w[0] / unit), float(w[1])
+
+
 def train(texts: list[str | None], labels: list[int], *, epochs: int = 12, min_steps: int = 1000, rate: float = 0.5, batch: int = 256, hard: int = 3, seed: int = 7, **shape) -> Model:
     """Joint AdaGrad steps on vectors, weights and bias; the loss weighs both classes equally.
 
-    Few rows are gone through more often (60 epochs at most), until about ``min_steps`` steps are done.
+    A fifth of the rows is kept back to calibrate the scores, if it holds both classes. Few rows are gone through more often (60 epochs at most), until about ``min_steps`` steps are done.
     """
     epochs = max(epochs, min(60, min_steps * batch // max(1, 2 * len(texts))))
     model = Model(seed=seed, **shape)
     y = np.asarray(labels, np.int64)
     if not len(y) or y.min() == y.max():
         return model
+    back = np.random.default_rng(seed + 1).permutation(len(y)) % 5 == 0
+    if np.bincount(y[back], minlength=2).min() >= 5 and y[~back].min() < y[~back].max():
+        held_texts, held = [t for t, b in zip(texts, back) if b], y[back]
+        texts, y = [t for t, b in zip(texts, back) if not b], y[~back]
+    else:
+        held_texts, held = [], y[:0]
     model.trained = True
     vocab: dict[str, int] = {}
     ids = [np.array([vocab.setdefault(w, len(vocab)) for w in words(t)], np.int32) for t in texts]  # one document's words at a time
@@ -181,6 +212,10 @@ def train(texts: list[str | None], labels: list[int], *, epochs: int = 12, min_s
             model.vectors[rows] -= rate * gv / np.sqrt(squares[0][rows])
             model.weights -= 0.2 * rate * gw / np.sqrt(squares[1])
             model.bias -= 0.2 * rate * gb / np.sqrt(squares[2])
+    if held_texts:
+        model.scale, model.shift = calibration(np.array(model.logits(held_texts)), held)
+        if model.scale <= 0:  # nothing was learnt
+            model.scale, model.shift = 1.0, 0.0
     return model
 
 
