@@ -15,8 +15,8 @@ member, never all pairs; links, components and fingerprints stay in Spark.
 
 ``similar_groups`` is the form for a similarity of word shingles: fingerprints of 48 bits over the distinct words in several independent
 tables, the same grid join in each, and an exact check of the shingle sets of each candidate pair. Cells of up to ``PAIRS_UP_TO``
-members give all pairs; larger ones give each member the cell's first three and the next one in order, so that a group of n near
-copies costs a multiple of n checks; each table and cell draws these anew.
+members give all pairs; larger ones give each member its nearest one and a hub, the member that is close to most others, so
+that a group of n near copies costs a multiple of n checks; hubs are the same in most cells and tables, other pairs differ.
 """
 
 from __future__ import annotations
@@ -180,18 +180,37 @@ def shingles(text: str | None, size: int) -> np.ndarray:
 def _pairs(distance: int):
     """batches (cell, fp, uid), by cell -> pairs of uids whose fingerprints are close."""
 
-    def of_cell(fp: np.ndarray, uid: np.ndarray) -> list[tuple[int, int]]:
-        order = np.lexsort((uid, fp))
-        fp, uid = fp[order], uid[order]
-        n = len(fp)
-        if n <= PAIRS_UP_TO:
-            a, b = np.triu_indices(n, 1)
-        else:
-            a, b = zip(*[(i, j) for j in range(1, n) for i in {0, 1, 2, j - 1} if i < j])
-            a, b = np.array(a), np.array(b)
+    def few(fp: np.ndarray, uid: np.ndarray) -> list[tuple[int, int]]:
+        """All pairs of a small cell."""
+        a, b = np.triu_indices(len(fp), 1)
         ok = np.bitwise_count(fp[a] ^ fp[b]) <= distance
         return list(zip(np.minimum(uid[a], uid[b])[ok].tolist(), np.maximum(uid[a], uid[b])[ok].tolist()))
 
+    def many(fp: np.ndarray, uid: np.ndarray) -> list[tuple[int, int]]:
+        """Each member with its nearest one and with a hub: the member that is close to most, then to most of the rest."""
+        n, order = len(fp), np.argsort(uid)
+        fp, uid = fp[order], uid[order]
+        degree, nearest = np.zeros(n, np.int64), np.zeros(n, np.int64)
+        for at in range(0, n, 512):
+            d = np.bitwise_count(fp[at : at + 512, None] ^ fp[None, :]).astype(np.int16)
+            degree[at : at + 512] = (d <= distance).sum(axis=1)
+            d[np.arange(len(d)), np.arange(at, at + len(d))] = 99
+            nearest[at : at + 512] = d.argmin(axis=1)
+        close = np.bitwise_count(fp ^ fp[nearest]) <= distance
+        pairs = [np.stack([np.flatnonzero(close), nearest[close]])]
+        left = np.ones(n, bool)
+        while left.any():
+            hub = int(np.argmax(np.where(left, degree, -1)))
+            mine = left & (np.bitwise_count(fp ^ fp[hub]) <= distance)
+            others = np.flatnonzero(mine & (np.arange(n) != hub))
+            pairs.append(np.stack([others, np.full(len(others), hub)]))
+            left &= ~mine
+        a, b = np.concatenate(pairs, axis=1)
+        return list(zip(np.minimum(uid[a], uid[b]).tolist(), np.maximum(uid[a], uid[b]).tolist()))
+
+    def of_cell(fp: np.ndarray, uid: np.ndarray) -> list[tuple[int, int]]:
+        return few(fp, uid) if len(fp) <= PAIRS_UP_TO else many(fp, uid)
+
     def run(batches):
         kept = [np.empty(0, np.int64)] * 3
 
@@ -216,6 +235,8 @@ def similar_groups(docs: DataFrame, *, text: str = "text", shingle: int = 5, sim
 
     Texts are linked whose sets of word shingles have a Jaccard similarity of ``similarity`` or more; equal texts always are.
     """
+    if bits % 8 or bits > 56:
+        raise ValueError("fingerprints have 8 to 56 bits: they are compared as signed numbers and share a cell's key with the table")
     keep = docs.columns if keep is None else keep
     raw = F.coalesce(docs[text].cast("string"), F.lit(""))
     base = docs.select(F.struct(*[docs[c] for c in keep]).alias("row"), raw.alias("raw"), F.unhex(F.sha2(raw.cast("binary"), 256)).alias("k"))
