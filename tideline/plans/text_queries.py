@@ -10,7 +10,6 @@ from ..sources import html, tables
 from ..functions.dates import extract_date
 from . import market as m
 
-UTC = F.lit("2024-02-01 00:00:00").cast("timestamp")
 
 
 def _events(spark, d):
@@ -103,7 +102,7 @@ RULES = [(r"\b(ththe?|orre)\b", "N:1"), (r"\bder\b", "N:2"), (r"\b(la|les?)\b",
 def _routed(spark, d):
     docs = m.table(spark, d, "documents")
     node = F.concat(F.lit("N:"), F.regexp_extract("source", "[0-9]+$", 0))
-    e = ev.make_events(docs, source=F.lit("MOCK"), event_type=F.col("lang"), published_date=F.date_add(F.to_date(F.lit("2024-01-01")), (F.col("doc_id") % 28).cast("int")), title=F.concat(F.lit("Document "), F.col("doc_id").cast("string")), url=F.concat(F.lit("mock://"), F.col("doc_id").cast("string")), text=F.regexp_replace(F.col("text"), r"[^\x00-\x7F]", "x"), metadata=F.create_map(F.lit("candidate_node"), node, F.lit("company_name"), F.concat(F.lit("Company "), (F.col("doc_id") % 5).cast("string"))), fetched_at=UTC, keep=("doc_id",))
+    e = ev.make_events(docs, source=F.lit("MOCK"), event_type=F.col("lang"), published_date=F.date_add(F.to_date(F.lit("2024-01-01")), (F.col("doc_id") % 28).cast("int")), title=F.concat(F.lit("Document "), F.col("doc_id").cast("string")), url=F.concat(F.lit("mock://"), F.col("doc_id").cast("string")), text=F.regexp_replace(F.col("text"), r"[^\x00-\x7F]", "x"), metadata=F.create_map(F.lit("candidate_node"), node, F.lit("company_name"), F.concat(F.lit("Company "), (F.col("doc_id") % 5).cast("string"))), fetched_at=F.lit("2024-02-01 00:00:00").cast("timestamp"), keep=("doc_id",))
     return routing.route(e, m.nodes(spark, d), RULES)
 
 
