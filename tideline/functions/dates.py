@@ -14,7 +14,7 @@ MONTHS = ["january", "february", "march", "april", "may", "june", "july", "augus
 
 def _date(year: Column, month: Column, day: Column) -> Column:
     """A date, or NULL if there is no such day; the parts are strings."""
-    return F.concat_ws("-", year, F.lpad(month, 2, "0"), F.lpad(day, 2, "0")).try_cast("date")
+    return F.concat(year, F.lit("-"), F.lpad(month, 2, "0"), F.lit("-"), F.lpad(day, 2, "0")).try_cast("date")
 
 
 def _number(s: Column) -> Column:

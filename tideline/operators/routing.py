@@ -53,7 +53,7 @@ def chunk() -> Column:
 def documents(routed: DataFrame, *, by: list[str] | None = None, max_chars: int = 24_000) -> DataFrame:
     """(by..., node_id, n_events, source_text, company_aliases): chunks by (date, id), joined, then cut to ``max_chars``.
 
-    Chunks that start behind the cut are dropped before they are gathered, so a hot node's list is bounded by the cut. Issuers are
+    Chunks whose break starts behind the cut are dropped before they are gathered, so a hot node's list is bounded by the cut. Issuers are
     numbered by the place of their event among all of the node's; a later event of a company overwrites its number.
     """
     by = [*(by or []), "node_id"]
@@ -61,7 +61,7 @@ def documents(routed: DataFrame, *, by: list[str] | None = None, max_chars: int
     df = routed.withColumn("_chunk", chunk()).withColumn("_n", F.row_number().over(order))
     before = F.sum(F.length("_chunk") + len(BREAK)).over(order.rowsBetween(Window.unboundedPreceding, -1))
     df = df.withColumn("_start", F.coalesce(before, F.lit(0)))
-    kept = F.when(F.col("_start") < max_chars, F.struct("_n", "_chunk"))
+    kept = F.when(F.col("_start") - len(BREAK) < max_chars, F.struct("_n", "_chunk"))
     text = F.array_join(F.transform(F.sort_array(F.collect_list(kept)), lambda x: x["_chunk"]), BREAK)
     docs = df.groupBy(*by).agg(F.count("*").alias("n_events"), F.substring(text, 1, max_chars).alias("source_text"))
     company = F.trim(F.element_at("metadata", "company_name"))
