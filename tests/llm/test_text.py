@@ -250,3 +250,17 @@ def test_probe_template():
     t = ann.template(4, 30)
     assert not t[0].any() and t[1].tolist() == [1, 0, 0, 0, 0, 0, 0, 0] and len({tuple(r) for r in t.tolist()}) == 30
     assert all(not (r[j] and r[7 - j]) for r in t for j in range(4))
+
+
+def test_personal_data_sql(spark, tmp_path):
+    """The SQL form on texts with terms that reveal an entity."""
+    import duckdb
+
+    docs = [(i, f"today {prose(i, 30)} the Zorblax office; ZORBLAX writes to zor@blax.com about {prose(50 + i, 8)} +1 (668) 555-1911") for i in range(5)]
+    docs += [(20 + i, f"{prose(200 + i, 40)} the office today about writes 1.2.3.4 Zorblaxes") for i in range(30)] + [(90, None), (91, "")]
+    d = write_tables(spark, tmp_path / "t", docs)
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{d}/documents.parquet/*.parquet'")
+    want = sorted(map(str, con.execute(pii.ORACLE_SQL).fetchall()))
+    got = pii.op3_pii(spark, d).collect()
+    assert sorted(map(str, (tuple(r) for r in got))) == want and sum(r.spans.count("term:") == 2 for r in got) == 5

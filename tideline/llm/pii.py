@@ -185,3 +185,35 @@ def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = find(table(spark, sf_dir, "documents"), keep=["doc_id"])
     count = lambda k: F.size(F.filter("base", lambda x: x["kind"] == k)).cast("bigint")
     return out.select("row.*", *[count(k).alias(f"n_{kind}") for k, kind in enumerate(PATTERNS)], F.sha2(spans_text(F.col("base")), 256).alias("base_sha256"), spans_text(merged_spans(F.col("base"), F.col("extra"))).alias("spans"))
+
+
+_KIND_SQL = " UNION ALL ".join(
+    f"SELECT rid, {k} AS kind, '{kind}' AS name, unnest(range(1, len(hits) + 1)) AS j, unnest(hits) AS hit, unnest(list_slice(gaps, 1, len(hits))) AS gap FROM (SELECT rid, regexp_extract_all(t, '{rx}') AS hits, string_split_regex(t, '{rx}') AS gaps FROM d)"
+    for k, (kind, rx) in enumerate({"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}.items())
+)
+ORACLE_SQL = rf"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS t FROM documents),
+raw AS ({_KIND_SQL}),
+placed AS (SELECT *, regexp_replace(hit, '[^0-9]', '', 'g') AS digits, (sum(length(gap) + length(hit)) OVER (PARTITION BY rid, kind ORDER BY j))::BIGINT AS e FROM raw),
+base AS (
+  SELECT rid, kind, name, hit, e - length(hit) AS s, e FROM placed WHERE CASE kind
+    WHEN 0 THEN true
+    WHEN 1 THEN list_bool_and(list_transform(string_split(hit, '.'), lambda x: length(ltrim(x, '0')) <= 3 AND coalesce(try_cast(nullif(ltrim(x, '0'), '') AS INT), 0) <= 255))
+    WHEN 2 THEN length(digits) BETWEEN 14 AND 19 AND list_sum(list_transform(range(1, length(digits) + 1), lambda i: CASE WHEN i % 2 = 1 THEN substr(digits, length(digits) - i + 1, 1)::INT
+      ELSE CASE WHEN 2 * substr(digits, length(digits) - i + 1, 1)::INT > 9 THEN 2 * substr(digits, length(digits) - i + 1, 1)::INT - 9 ELSE 2 * substr(digits, length(digits) - i + 1, 1)::INT END END)) % 10 = 0
+    ELSE length(digits) BETWEEN 10 AND 15 END),
+near AS (SELECT rid, t, name || ':' || hit AS entity, list_distinct(list_concat(w1[greatest(len(w1) - 4, 1):], w2[1:5])) AS terms FROM (
+  SELECT rid, t, name, hit, regexp_extract_all(lower(substr(t, greatest(s - 120, 0) + 1, least(s, 120))), '\p{{L}}{{3,}}') AS w1, regexp_extract_all(lower(substr(t, e + 1, 120)), '\p{{L}}{{3,}}') AS w2 FROM base JOIN d USING (rid))),
+n_e AS (SELECT entity, count(DISTINCT rid) AS n_e FROM near GROUP BY entity),
+n_te AS (SELECT entity, term, sum(n) AS n_te FROM (SELECT entity, term, t, count(DISTINCT rid) AS n FROM (SELECT rid, t, entity, unnest(terms) AS term FROM near) GROUP BY ALL) GROUP BY ALL HAVING count(*) >= 3),
+n_t AS (SELECT term, count(*) AS n_t FROM (SELECT rid, unnest(list_distinct(regexp_extract_all(lower(t), '\p{{L}}{{3,}}'))) AS term FROM d) GROUP BY term),
+reveal AS (SELECT entity, term FROM n_te JOIN n_e USING (entity) JOIN n_t USING (term), (SELECT count(*)::DOUBLE AS n FROM documents) WHERE n_e < n AND log2(n_te * n / (n_t * n_e)) / log2(n / n_e) >= 0.8),
+marked AS (SELECT DISTINCT rid, term FROM near JOIN reveal USING (entity)),
+words AS (SELECT rid, unnest(range(1, len(hits) + 1)) AS j, unnest(hits) AS hit, unnest(list_slice(gaps, 1, len(hits))) AS gap FROM (SELECT rid, regexp_extract_all(t, '\p{{L}}+') AS hits, string_split_regex(t, '\p{{L}}+') AS gaps FROM d WHERE rid IN (SELECT rid FROM marked))),
+located AS (SELECT rid, lower(hit) AS term, length(hit) AS n, (sum(length(gap) + length(hit)) OVER (PARTITION BY rid ORDER BY j))::BIGINT AS e FROM words),
+extra AS (SELECT rid, 4 AS kind, 'term' AS name, located.e - n AS s, located.e FROM located JOIN marked USING (rid, term) WHERE NOT EXISTS (SELECT 1 FROM base b WHERE b.rid = located.rid AND located.e - n < b.e AND b.s < located.e)),
+every AS (SELECT rid, kind, name, s, e FROM base UNION ALL SELECT * FROM extra),
+lines AS (SELECT rid, count(*) FILTER (kind = 0) AS n0, count(*) FILTER (kind = 1) AS n1, count(*) FILTER (kind = 2) AS n2, count(*) FILTER (kind = 3) AS n3,
+  string_agg(name || ':' || s || ':' || e, ',' ORDER BY s, kind) FILTER (kind < 4) AS b, string_agg(name || ':' || s || ':' || e, ',' ORDER BY s, kind) AS a FROM every GROUP BY rid)
+SELECT doc_id, coalesce(n0, 0)::BIGINT AS n_email, coalesce(n1, 0)::BIGINT AS n_ip, coalesce(n2, 0)::BIGINT AS n_card, coalesce(n3, 0)::BIGINT AS n_phone, sha256(coalesce(b, '')) AS base_sha256, coalesce(a, '') AS spans FROM d LEFT JOIN lines USING (rid)
+"""

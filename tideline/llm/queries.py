@@ -21,5 +21,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_best_fit": packing.op10_best_fit,
 }
 ORACLES: dict[str, str] = {
+    "op3_pii": pii.ORACLE_SQL,
+    "op2_suffix_dedup": substring_dedup.ORACLE_SQL,
     "op9_decontaminate": decontaminate.ORACLE_SQL,
 }

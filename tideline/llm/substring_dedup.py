@@ -282,3 +282,16 @@ def without_repeats(docs: DataFrame, *, text: str = "text", length: int = 400) -
 def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = repeated_spans(table(spark, sf_dir, "documents"), keep=["doc_id"])
     return out.select("row.*", "n_bytes", "n_removed", F.size("spans").cast("bigint").alias("n_spans"), "kept_sha256")
+
+
+ORACLE_SQL = """
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+starts AS (SELECT rid, i, md5(substr(h, 2 * i + 1, 800)) AS w FROM (SELECT rid, h, unnest(range(0, length(h) // 2 - 399)) AS i FROM d WHERE length(h) >= 800)),
+twice AS (SELECT w FROM starts GROUP BY w HAVING count(*) > 1),
+hit AS (SELECT rid, i, i - lag(i) OVER (PARTITION BY rid ORDER BY i) AS gap FROM starts WHERE w IN (SELECT w FROM twice)),
+runs AS (SELECT rid, i, sum(CASE WHEN gap <= 400 THEN 0 ELSE 1 END) OVER (PARTITION BY rid ORDER BY i) AS run FROM hit),
+spans AS (SELECT rid, run, min(i) AS a, max(i) + 400 AS b FROM runs GROUP BY rid, run),
+cuts AS (SELECT rid, a, b, coalesce(lag(b) OVER (PARTITION BY rid ORDER BY a), 0) AS before FROM spans),
+kept AS (SELECT rid, count(*) AS n, sum(b - a) AS removed, string_agg(substr(h, 2 * before + 1, 2 * (a - before)), '' ORDER BY a) || substr(any_value(h), 2 * max(b) + 1) AS k FROM cuts JOIN d USING (rid) GROUP BY rid)
+SELECT doc_id, (length(h) // 2)::BIGINT AS n_bytes, coalesce(removed, 0)::BIGINT AS n_removed, coalesce(n, 0)::BIGINT AS n_spans, sha256(unhex(coalesce(k, h))) AS kept_sha256 FROM d LEFT JOIN kept USING (rid)
+"""
