@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+from datetime import datetime
+
 from pyspark.sql import functions as F
 
+from ..functions.dates import extract_date
+from ..functions.lineage import written
 from ..operators import events as ev
 from ..operators import features, masking, routing
 from ..sources import html, tables
-from ..functions.dates import extract_date
 from . import market as m
+from . import weekly
 
 
 
@@ -225,7 +229,18 @@ def universe_list(spark, d):
     return tables.universe(lines, order="line", min_rows=1)
 
 
-QUERIES = {f.__name__: f for f in (event_ids, events_merged, events_window, event_keywords, dates_in_text, quality_orders, announcements, routed_events, node_documents, years_masked, documents_masked, mask_leaks, feature_records, stand_in_scores, unsafe_aliases, prompts, page_texts, page_links, page_notices, prices_long, universe_list)}
+def weekly_alpha(spark, d):
+    """The weekly run over the documents as events, the star-schema graph and the customers of the last full year."""
+    docs = m.table(spark, d, "documents")
+    e = ev.make_events(docs, source=F.lit("MOCK"), event_type=F.col("lang"), published_date=F.date_add(F.to_date(F.lit("2024-01-01")), (F.col("doc_id") % 28).cast("int")), title=F.concat(F.lit("Document "), F.col("doc_id").cast("string")), url=F.concat(F.lit("mock://"), F.col("doc_id").cast("string")), text=F.col("text"), fetched_at=F.lit("2024-02-01 00:00:00").cast("timestamp"))
+    panel = written(m.cross_section(spark, d), "weekly-panel")
+    factors = panel.where("year(as_of_date) = 2000").drop("as_of_date", "raw_score")
+    edges = written(m.edges(spark, d), "weekly-edges")
+    config = weekly.WeeklyConfig(lookback_days=31)
+    return weekly.run(e, m.nodes(spark, d), edges, factors, now=datetime(2024, 1, 31, 6, 0), config=config, rules=RULES).alpha
+
+
+QUERIES = {f.__name__: f for f in (weekly_alpha, event_ids, events_merged, events_window, event_keywords, dates_in_text, quality_orders, announcements, routed_events, node_documents, years_masked, documents_masked, mask_leaks, feature_records, stand_in_scores, unsafe_aliases, prompts, page_texts, page_links, page_notices, prices_long, universe_list)}
 _TEXT = """t AS (SELECT o_orderkey, c_name, c_mktsegment, year(o_orderdate)::VARCHAR AS y FROM orders JOIN customer ON o_custkey = c_custkey),
 n AS (SELECT *, 'T_' || len(list_filter(list_distinct([y, '2001', '2002']), lambda x: x < y)) AS ty, 'T_' || len(list_filter(list_distinct([y, '2001', '2002']), lambda x: x < '2001')) AS ta, 'T_' || len(list_filter(list_distinct([y, '2001', '2002']), lambda x: x < '2002')) AS tb FROM t)"""
 _FOUND = "('Order of ' || CASE form WHEN 0 THEN strftime(day, '%d/%m/%Y') WHEN 1 THEN strftime(day, '%m-%d-%Y') WHEN 2 THEN strftime(day, '%-d %b %Y') WHEN 3 THEN strftime(day, '%Y-%m-%d') END)"
@@ -249,6 +264,9 @@ ORACLES = {
         iss AS (SELECT node_id, string_agg(company || '=' || printf('Issuer_%03d', k), ';' ORDER BY company) AS issuers FROM (SELECT node_id, company, max(k) AS k FROM o GROUP BY ALL) GROUP BY node_id)
         SELECT node_id, printf('Candidate_%03d', row_number() OVER (ORDER BY node_id)) AS candidate_id, n_events, length(doc)::INT AS n_chars, md5(doc) AS digest, issuers FROM docs JOIN iss USING (node_id)""",
     "years_masked": f"WITH {_TEXT} SELECT o_orderkey, 'In ' || ty || ', ' || c_name || ' of ' || c_mktsegment || ' placed ' || lpad(o_orderkey::VARCHAR, 9, '0') || ' after x12020 and ' || ta || '-' || tb || ', not ' || y || '9.' AS masked FROM n",
+    "documents_masked": f"""WITH {_TEXT} SELECT o_orderkey, 'In ' || ty || ', Supplier_X of Event_Y placed ' || lpad(o_orderkey::VARCHAR, 9, '0') || ' after x12020 and ' || ta || '-' || tb || ', not ' || y || '9.' AS masked,
+        'company:' || c_name || ':Supplier_X;historical_event:' || c_mktsegment || ':Event_Y;' || array_to_string(list_transform(list_sort(list_distinct([y, '2001', '2002'])), lambda x, i: 'year:' || x || ':T_' || (i - 1)), ';') AS log,
+        (2 + len(list_distinct([y, '2001', '2002'])))::INT AS n_redactions FROM n""",
     "mask_leaks": "SELECT o_orderkey, c_mktsegment AS leak_literal FROM orders JOIN customer ON o_custkey = c_custkey WHERE o_orderkey % 3 = 0",
     "feature_records": """SELECT CASE k WHEN 1 THEN 'out_of_range:e_sub' WHEN 2 THEN 'extra_field' WHEN 3 THEN 'evidence_item' WHEN 4 THEN 'wrong_candidate' WHEN 5 THEN 'out_of_range:t_policy' WHEN 7 THEN 'invalid_json' END AS reason, count(*) AS n,
         round(sum(CASE WHEN k IN (0, 6, 8, 9) THEN (tax + q * -disc)::DECIMAL(18,6) END)::DOUBLE, 4) AS total FROM (SELECT l_orderkey % 10 AS k, l_discount::DECIMAL(18,2) AS disc, l_tax::DECIMAL(18,2) AS tax, (l_quantity / 100)::DECIMAL(18,2) AS q FROM lineitem) GROUP BY 1""",
