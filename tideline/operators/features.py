@@ -25,36 +25,46 @@ def assess(responses: DataFrame, raw: str = "raw_json", alias: str = "candidate_
     candidate that was asked about. ``s_raw = t_policy + p_pricing * e_sub`` is only computed here; a supplied one is an extra field.
     """
     text = unfenced(F.col(raw))
-    df = responses.withColumn("_m", F.when(F.trim(text).startswith("{"), F.from_json(text, RESPONSE)))
-    keys = F.map_keys("_m")
-    item = F.from_json(F.get_json_object(text, "$.evidence"), "array<map<string,string>>")
-    df = df.withColumn("_e", F.transform(item, lambda m: m))
-    named = {f: F.coalesce(F.col("_m")[j], F.col("_m")[f]).try_cast("double") for j, (f, _, _) in NUMBERS.items()}
-    who = F.trim(F.col("_m")["candidate_node_alias"])
-    out_of_range = None
-    for f, lo, hi in NUMBERS.values():
-        bad = ~F.coalesce(named[f].between(lo, hi) & ~F.isnan(named[f]), F.lit(False))
-        out_of_range = F.when(bad, F.lit(f)) if out_of_range is None else out_of_range.when(bad, F.lit(f))
+    parsed = F.struct(
+        F.when(F.trim(text).startswith("{"), F.from_json(text, RESPONSE)).alias("m"),
+        F.from_json(F.get_json_object(text, "$.evidence"), "array<map<string,string>>").alias("e"),
+        F.col(alias).alias("asked"),
+    )
+    # A one-element transform binds what was parsed to a variable: all checks below read it, none parses again.
+    df = responses.withColumn("_r", F.get(F.transform(F.array(parsed), _judged), 0))
+    fields = ["candidate_alias", *(f for f, _, _ in NUMBERS.values()), "evidence", "reason"]
+    df = df.select("*", *[F.col(f"_r.{f}").alias(f) for f in fields]).drop("_r")
+    return df.withColumn("s_raw", F.when(F.col("reason").isNull(), F.col("t_policy") + F.col("p_pricing") * F.col("e_sub")))
+
+
+def _judged(r: Column) -> Column:
+    """struct(candidate_alias, numbers, evidence, reason) of struct(m, e, asked)."""
+    m, e = r["m"], r["e"]
+    numbers = {f: F.coalesce(m[j], m[f]).try_cast("double") for j, (f, _, _) in NUMBERS.items()}
+    who = F.trim(m["candidate_node_alias"])
+    out_of_range = F.lit(None).cast("string")
+    for f, lo, hi in reversed(list(NUMBERS.values())):
+        bad = ~F.coalesce(numbers[f].between(lo, hi) & ~F.isnan(numbers[f]), F.lit(False))
+        out_of_range = F.when(bad, F.lit(f)).otherwise(out_of_range)
     fine = F.forall(
-        "_e",
-        lambda m: (F.size(F.array_except(F.map_keys(m), F.array(F.lit("observation"), F.lit("effect")))) == 0)
-        & F.coalesce(F.length(F.trim(m["observation"])).between(1, 500), F.lit(False))
-        & F.coalesce(F.trim(m["effect"]).isin(*EFFECTS), F.lit(False)),
+        e,
+        lambda x: (F.size(F.array_except(F.map_keys(x), F.array(F.lit("observation"), F.lit("effect")))) == 0)
+        & F.coalesce(F.length(F.trim(x["observation"])).between(1, 500), F.lit(False))
+        & F.coalesce(F.trim(x["effect"]).isin(*EFFECTS), F.lit(False)),
     )
     reason = (
-        F.when(F.col("_m").isNull(), "invalid_json")
-        .when(F.size(F.array_except(keys, F.array(*[F.lit(k) for k in ALLOWED]))) > 0, "extra_field")
+        F.when(m.isNull(), "invalid_json")
+        .when(F.size(F.array_except(F.map_keys(m), F.array(*[F.lit(k) for k in ALLOWED]))) > 0, "extra_field")
         .when(~F.coalesce(F.length(who).between(1, 128), F.lit(False)), "alias_length")
-        .when(out_of_range.isNotNull(), F.concat(F.lit("out_of_range:"), out_of_range))
-        .when(~F.coalesce(F.size("_e").between(1, 6), F.lit(False)), "evidence_count")
-        .when(~F.coalesce(fine, F.lit(False)), "evidence_item")
-        .when(who != F.col(alias), "wrong_candidate")
+        .otherwise(
+            F.coalesce(
+                F.concat(F.lit("out_of_range:"), out_of_range),
+                F.when(~F.coalesce(F.size(e).between(1, 6), F.lit(False)), "evidence_count").when(~F.coalesce(fine, F.lit(False)), "evidence_item").when(who != r["asked"], "wrong_candidate"),
+            )
+        )
     )
-    evidence = F.transform("_e", lambda m: F.struct(F.trim(m["observation"]).alias("observation"), F.trim(m["effect"]).alias("effect")))
-    df = df.withColumns({"candidate_alias": who, **named, "evidence": evidence, "reason": reason})
-    good = F.col("reason").isNull()
-    df = df.withColumn("s_raw", F.when(good, F.col("t_policy") + F.col("p_pricing") * F.col("e_sub")))
-    return df.drop("_m", "_e")
+    evidence = F.transform(e, lambda x: F.struct(F.trim(x["observation"]).alias("observation"), F.trim(x["effect"]).alias("effect")))
+    return F.struct(who.alias("candidate_alias"), *[c.alias(f) for f, c in numbers.items()], evidence.alias("evidence"), reason.alias("reason"))
 
 
 def alias_reason(alias: Column) -> Column:

@@ -7,7 +7,7 @@ they don't depend on the order of rows.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -63,20 +63,19 @@ def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("l_suppkey"), "s_nationkey")
     n = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("s_nationkey"), "n_regionkey")
     sums = [F.sum("amount").alias("revenue"), F.sum("discount").alias("discounts"), F.sum("lead").alias("leads"), F.count("*").alias("n")]
-    # One pass over the line items at the grain of (supplier, part, customer); all four kinds of edges are sums of it.
-    fine = t.groupBy("l_suppkey", "l_partkey", "o_custkey").agg(*sums)
     up = [F.sum(c).alias(c) for c in ("revenue", "discounts", "leads", "n")]
-    by_supplier = fine.groupBy("l_suppkey").agg(*up).join(s, "l_suppkey").join(n, "s_nationkey")
+    by_supplier = t.groupBy("l_suppkey").agg(*sums).join(s, "l_suppkey").join(n, "s_nationkey")
     kinds = [
         by_supplier.groupBy(tag("R", "n_regionkey").alias("source"), tag("N", "s_nationkey").alias("target")).agg(*up),
         by_supplier.groupBy(tag("N", "s_nationkey").alias("source"), tag("S", "l_suppkey").alias("target")).agg(*up),
-        fine.groupBy(tag("S", "l_suppkey").alias("source"), tag("P", "l_partkey").alias("target")).agg(*up),
-        fine.groupBy(tag("P", "l_partkey").alias("source"), tag("C", "o_custkey").alias("target")).agg(*up),
+        t.groupBy("l_suppkey", "l_partkey").agg(*sums).select(tag("S", "l_suppkey").alias("source"), tag("P", "l_partkey").alias("target"), "revenue", "discounts", "leads", "n"),
+        t.groupBy("l_partkey", "o_custkey").agg(*sums).select(tag("P", "l_partkey").alias("source"), tag("C", "o_custkey").alias("target"), "revenue", "discounts", "leads", "n"),
     ]
     flows = kinds[0].unionByName(kinds[1]).unionByName(kinds[2]).unionByName(kinds[3])
-    into = flows.groupBy("target").agg(F.sum("revenue").alias("total"))
+    # The total into a target as a window: one shuffle of the edges, where a join would compute them twice.
+    flows = flows.withColumn("total", F.sum("revenue").over(Window.partitionBy("target")))
     d = lambda c: F.col(c).cast("double")
-    return flows.join(into, "target").select("source", "target", (d("discounts") / d("n")).alias("substitutability"), (d("revenue") / d("total")).alias("cost_share"), (d("leads") / d("n") / 30).alias("lead_time_months"))
+    return flows.select("source", "target", (d("discounts") / d("n")).alias("substitutability"), (d("revenue") / d("total")).alias("cost_share"), (d("leads") / d("n") / 30).alias("lead_time_months"))
 
 
 EDGES_SQL = (
