@@ -79,6 +79,39 @@ def test_similar_groups(spark):
     assert simhash.one_of_each(df.limit(0)).count() == 0
 
 
+def grouped_as_brute_force(spark, texts):
+    """Whether the groups are those of all pairs, and how many pairs are similar by brute force."""
+    got = {r.doc_id: r.group for r in simhash.similar_groups(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), keep=["doc_id"]).select("row.doc_id", "group").collect()}
+    words = [t.split() for t in texts]
+    sets = [{tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in words]
+    near = lambda a, b: len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])
+    want = groups(list(range(len(texts))), near)
+    pairs = {}
+    for i, g in got.items():
+        pairs.setdefault(g, set()).add(want[i])
+    return all(len(v) == 1 for v in pairs.values()) and len(pairs) == len(set(want.values())), len(texts) - len(set(want.values()))
+
+
+def test_similar_groups_of_one_word_set(spark):
+    rng = random.Random(8)
+    words = list(dict.fromkeys(prose(900, 200).split()))[:100]
+    texts = []
+    for _ in range(150):
+        rng.shuffle(words)
+        swapped = list(words)
+        swapped[97:] = reversed(swapped[97:])
+        texts += [" ".join(words), " ".join(swapped)]
+    assert grouped_as_brute_force(spark, texts) == (True, 150)
+
+
+def test_similar_groups_behind_a_common_passage(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "SAMPLE_TEXTS", 50)
+    passage = prose(3000, 120)
+    texts = [passage + " " + prose(3100 + i, 8 + i % 90, 4000) for i in range(200)] + [prose(3100 + i, 60, 4000) for i in range(40)]
+    same, merged = grouped_as_brute_force(spark, texts)
+    assert same and merged > 20
+
+
 def test_empty_tables(spark, tmp_path):
     d = write_tables(spark, tmp_path / "t", [])
     assert simhash.op6_simhash(spark, d).count() == 0 and substring_dedup.op2_suffix_dedup(spark, d).count() == 0

@@ -13,14 +13,18 @@ null; an empty table gives an empty result; extra columns pass through whatever
 Scale: equal fingerprints are merged before any search, so copies never meet as pairs; a cell emits a forest of at most one edge a
 member, never all pairs; links, components and fingerprints stay in Spark.
 
-``similar_groups`` is the form for a similarity of word shingles: fingerprints of 48 bits over the distinct words in several independent
-tables, the same grid join in each, and an exact check of the shingle sets of each candidate pair. Cells of up to ``PAIRS_UP_TO``
-members give all pairs; larger ones give each member its nearest one and a hub, the member that is close to most others, so
-that a group of n near copies costs a multiple of n checks; hubs are the same in most cells and tables, other pairs differ.
+``similar_groups`` is the form for a similarity of word shingles, complete for texts whose shingle sets have that Jaccard similarity:
+least hashes of the sets link most near copies in stars of one hub each, so that a group of n copies costs a multiple of n checks;
+then a prefix filter finds each pair that is left. In one order of all shingles, two sets of similarity s share a shingle among
+the first ``n - ceil(s n) + 1`` of each. Pairs that meet there are kept unless they are joined already or their sizes or the places of
+the shared shingle rule them out, and every pair is checked on the whole sets. Any order is right; the one used puts shingles that are
+frequent in a sample last, so that common lines and passages don't bring unrelated texts together.
 """
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -32,9 +36,10 @@ from .common import map_texts, table, written
 from .components import components
 
 SEGMENT_BITS = 4
-PAIRS_UP_TO = 6
 #: Bits of the packed cell for each coordinate; popcounts are 0..SEGMENT_BITS.
 PLACE = 3
+#: Texts that are asked for frequent shingles, the count there from which a shingle is frequent, and the most that are told to the tasks.
+SAMPLE_TEXTS, FREQUENT_FROM, FREQUENT_MOST = 10_000, 4, 100_000
 
 
 def fingerprint(text: str | None, shingle: int = 3, seed: int = 42) -> int:
@@ -145,122 +150,214 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text: str = "tex
     return held.join(ids, "fp").select("row._row", "fp", "component_id").withColumnRenamed("_row", "row")
 
 
-def word_fingerprints(text: str | None, tables: int, bits: int, cache: dict) -> list[int]:
-    """One fingerprint a table of the distinct lower-cased words; zeros for a text without words."""
-    words = list(set((text or "").lower().split()))
+def shingles(text: str | None, size: int, cache: dict | None = None) -> np.ndarray:
+    """Sorted distinct hashes of the word shingles; a shorter text is one shingle. ``cache`` keeps hashes of words."""
+    words = (text or "").lower().split()
     if not words:
-        return [0] * tables
+        return np.zeros(1, np.int64)
+    cache = {} if cache is None else cache
     if len(cache) > 400_000:
         cache.clear()
-    for w in words:
+    for w in set(words):
         if w not in cache:
-            cache[w] = xxhash.xxh64_intdigest(w, 42)
+            cache[w] = xxhash.xxh64_intdigest(w, 7)
     h = np.fromiter(map(cache.__getitem__, words), np.uint64, len(words))
-    total = np.zeros(tables * bits, np.int64)
-    keys = np.arange(1, tables + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-    for at in range(0, len(h), 4096):
-        x = h[at : at + 4096, None] + keys
-        x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-        x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-        x ^= x >> np.uint64(31)
-        ones = np.unpackbits(np.ascontiguousarray(x).view(np.uint8).reshape(len(x), tables, 8)[:, :, : bits // 8], axis=2, bitorder="little")
-        total += ones.reshape(len(x), -1).sum(axis=0, dtype=np.int64)
-    out = np.zeros((tables, 8), np.uint8)
-    out[:, : bits // 8] = np.packbits((total * 2 > len(h)).reshape(tables, bits), axis=1, bitorder="little")
-    return out.view(np.int64).ravel().tolist()
-
-
-def shingles(text: str | None, size: int) -> np.ndarray:
-    """Sorted distinct hashes of the word shingles; a shorter text is one shingle."""
-    words = (text or "").lower().split()
     k = min(size, len(words))
-    return np.unique(np.array([xxhash.xxh64_intdigest(" ".join(words[i : i + k]), 7) for i in range(len(words) - k + 1)] if words else [0], np.uint64).view(np.int64))
-
-
-def _pairs(distance: int):
-    """batches (cell, fp, uid), by cell -> pairs of uids whose fingerprints are close."""
-
-    def few(fp: np.ndarray, uid: np.ndarray) -> list[tuple[int, int]]:
-        """All pairs of a small cell."""
-        a, b = np.triu_indices(len(fp), 1)
-        ok = np.bitwise_count(fp[a] ^ fp[b]) <= distance
-        return list(zip(np.minimum(uid[a], uid[b])[ok].tolist(), np.maximum(uid[a], uid[b])[ok].tolist()))
-
-    def many(fp: np.ndarray, uid: np.ndarray) -> list[tuple[int, int]]:
-        """Each member with its nearest one and with a hub: the member that is close to most, then to most of the rest."""
-        n, order = len(fp), np.argsort(uid)
-        fp, uid = fp[order], uid[order]
-        degree, nearest = np.zeros(n, np.int64), np.zeros(n, np.int64)
-        for at in range(0, n, 512):
-            d = np.bitwise_count(fp[at : at + 512, None] ^ fp[None, :]).astype(np.int16)
-            degree[at : at + 512] = (d <= distance).sum(axis=1)
-            d[np.arange(len(d)), np.arange(at, at + len(d))] = 99
-            nearest[at : at + 512] = d.argmin(axis=1)
-        close = np.bitwise_count(fp ^ fp[nearest]) <= distance
-        pairs = [np.stack([np.flatnonzero(close), nearest[close]])]
-        left = np.ones(n, bool)
-        while left.any():
-            hub = int(np.argmax(np.where(left, degree, -1)))
-            mine = left & (np.bitwise_count(fp ^ fp[hub]) <= distance)
-            others = np.flatnonzero(mine & (np.arange(n) != hub))
-            pairs.append(np.stack([others, np.full(len(others), hub)]))
-            left &= ~mine
-        a, b = np.concatenate(pairs, axis=1)
-        return list(zip(np.minimum(uid[a], uid[b]).tolist(), np.maximum(uid[a], uid[b]).tolist()))
-
-    def of_cell(fp: np.ndarray, uid: np.ndarray) -> list[tuple[int, int]]:
-        return few(fp, uid) if len(fp) <= PAIRS_UP_TO else many(fp, uid)
+    total = np.full(len(words) - k + 1, k, np.uint64)
+    for i in range(k):
+        total = (total ^ h[i : i + len(total)]) * np.uint64(0x9E3779B97F4A7C15)
+        total ^= total >> np.uint64(29)
+    return np.unique(total.view(np.int64))
+
+
+def least_hashes(found: np.ndarray, tables: int) -> list[int]:
+    """Per table one number of the two least hashes under two orders: equal in two sets with the square of their similarity."""
+    least = np.full(2 * tables, np.iinfo(np.uint64).max, np.uint64)
+    keys = np.random.default_rng(11).integers(0, 1 << 63, 2 * tables, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+    for at in range(0, len(found), 4096):
+        x = found[at : at + 4096].view(np.uint64)[:, None] * keys
+        least = np.minimum(least, (x ^ (x >> np.uint64(32))).min(axis=0))
+    return ((least[::2] * np.uint64(0x9E3779B97F4A7C15)) ^ least[1::2]).view(np.int64).tolist()
+
+
+def parities(found: np.ndarray) -> np.ndarray:
+    """1024 bits, each the parity of the hashes that fall to it: two sets differ in as many shingles at least as these in bits."""
+    counts = np.bincount((found.view(np.uint64) >> np.uint64(54)).astype(np.int64), minlength=1024)
+    return np.packbits((counts & 1).astype(np.uint8), bitorder="little").view(np.int64)
+
+
+def prefix_length(n: int, similarity: float) -> int:
+    """How many of the first of ``n`` shingles hold one that any set of that similarity shares."""
+    return n - math.ceil(similarity * n - 1e-6) + 1
+
+
+def _prefixes(shingle: int, similarity: float, often: np.ndarray, level: np.ndarray):
+    """batches (uid, root, raw) -> a row for each shingle of the prefix; ``often`` (sorted) come last, by ``level``."""
 
     def run(batches):
-        kept = [np.empty(0, np.int64)] * 3
+        cache: dict = {}
+        for whole in batches:
+            for lo in range(0, whole.num_rows, 200):
+                batch = whole.slice(lo, 200)
+                keys = []
+                sizes = []
+                for text in batch.column(2).to_pylist():
+                    found = shingles(text, shingle, cache)
+                    sizes.append(len(found))
+                    n = prefix_length(len(found), similarity)
+                    if len(often):
+                        at = np.minimum(np.searchsorted(often, found), len(often) - 1)
+                        late = np.where(often[at] == found, level[at], 0)
+                        found = found[np.lexsort((found, late))] if late.any() else found
+                    keys.append(found[:n])
+                counts = [len(k) for k in keys]
+                uid, root = (np.repeat(batch.column(i).to_numpy(zero_copy_only=False), counts) for i in (0, 1))
+                size, place = np.repeat(np.array(sizes, np.int32), counts), np.concatenate([np.arange(n, dtype=np.int32) for n in counts])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), pa.array(uid), pa.array(root), pa.array(size), pa.array(place)], names=["key", "uid", "root", "size", "place"])
 
-        def found(cell, fp, uid):
-            starts = np.flatnonzero(np.r_[True, cell[1:] != cell[:-1]]) if len(cell) else np.empty(0, np.int64)
-            sizes = np.diff(np.r_[starts, len(cell)])
-            out = {pair for s, n in zip(starts[sizes > 1].tolist(), sizes[sizes > 1].tolist()) for pair in of_cell(fp[s : s + n], uid[s : s + n])}
-            return pa.RecordBatch.from_arrays([pa.array([p[i] for p in out], pa.int64()) for i in (0, 1)], names=["a", "b"])
+    return run
+
+
+def _meetings(similarity: float):
+    """batches (key, uid, root, size, place), by key -> pairs of different roots that can still have the similarity."""
+    share = similarity / (1 + similarity)
+
+    def possible(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
+        (root_a, size_a, place_a), (root_b, size_b, place_b) = a, b
+        most = np.minimum(size_a - place_a, size_b - place_b)
+        small = np.minimum(size_a, size_b)
+        return (root_a != root_b) & (small >= similarity * np.maximum(size_a, size_b) - 1e-6) & (np.minimum(most, small) >= share * (size_a + size_b) - 1e-6)
+
+    def of_key(uid: np.ndarray, rest: list[np.ndarray]) -> np.ndarray:
+        out = []
+        for at in range(0, len(uid), 256):
+            ok = possible([x[at : at + 256, None] for x in rest], [x[None, at:] for x in rest])
+            i, j = np.nonzero(np.triu(ok, 1))
+            out.append(np.stack([uid[at + i], uid[at + j]], axis=1))
+        return np.concatenate(out)
+
+    def run(batches):
+        kept = [np.empty(0, np.int64)] * 3 + [np.empty(0, np.int32)] * 2
+
+        def found(key, uid, *rest):
+            out = [np.empty((0, 2), np.int64)]
+            if len(key):
+                starts = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+                sizes = np.diff(np.r_[starts, len(key)])
+                mixed = np.minimum.reduceat(rest[0], starts) != np.maximum.reduceat(rest[0], starts)
+                two = starts[mixed & (sizes == 2)]
+                two = two[possible([x[two] for x in rest], [x[two + 1] for x in rest])]
+                out.append(np.stack([uid[two], uid[two + 1]], axis=1))
+                more = mixed & (sizes > 2)
+                out += [of_key(uid[s : s + n], [x[s : s + n] for x in rest]) for s, n in zip(starts[more].tolist(), sizes[more].tolist())]
+            pairs = np.unique(np.sort(np.concatenate(out), axis=1), axis=0)
+            return pa.RecordBatch.from_arrays([pa.array(pairs[:, i]) for i in (0, 1)], names=["a", "b"])
 
         for batch in batches:
-            cell, fp, uid = (np.concatenate([k, batch.column(i).to_numpy(zero_copy_only=False)]) for i, k in enumerate(kept))
-            last = np.searchsorted(cell, cell[-1]) if len(cell) else 0  # the last cell may go on in the next batch
-            yield found(cell[:last], fp[:last], uid[:last])
-            kept = [cell[last:], fp[last:], uid[last:]]
-        yield found(*kept)
+            cols = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(5)]
+            if len(cols[0]) and len(kept[0]) and cols[0][-1] == kept[0][0]:  # the key goes on
+                parts.append(cols)
+                continue
+            if len(kept[0]):
+                cols = [np.concatenate(x) for x in zip(*parts, cols)]
+            last = np.searchsorted(cols[0], cols[0][-1]) if len(cols[0]) else 0  # the last key may go on in the next batch
+            yield found(*[c[:last] for c in cols])
+            kept = [c[last:] for c in cols]
+            parts = [kept]
+        if len(kept[0]):
+            yield found(*[np.concatenate(x) for x in zip(*parts)])
 
     return run
 
 
-def similar_groups(docs: DataFrame, *, text: str = "text", shingle: int = 5, similarity: float = 0.8, tables: int = 8, bits: int = 48, distance: int = 2, keep: list[str] | None = None) -> DataFrame:
+def _alike(pairs: DataFrame, base: DataFrame, texts: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """The ``pairs(a, b)`` of uids whose whole sets have the similarity."""
+    ends = pairs.select(F.col("a").alias("uid")).unionByName(pairs.select(F.col("b").alias("uid"))).distinct()
+    asked = texts.select("k", "uid").join(ends, "uid")
+    one = base.select("k", "raw").join(asked, "k").groupBy("k", "uid").agg(F.first("raw").alias("raw"))  # by k, as the join: texts move once
+
+    def sets_of():
+        cache: dict = {}
+
+        def run(texts):
+            sets = [shingles(t, shingle, cache) for t in texts]
+            return [sets, [len(x) for x in sets], [parities(x) for x in sets]]
+
+        return run
+
+    fields = T.StructType([T.StructField("set", T.ArrayType(T.LongType())), T.StructField("n", T.LongType()), T.StructField("bits", T.ArrayType(T.LongType()))])
+    sets = written(map_texts(one, [F.col("raw")], ["uid"], fields, sets_of).select("row.uid", "set", "n", "bits"), "similar-sets")
+    side = lambda name, *cols: sets.select(F.col("uid").alias(name), *[F.col(c).alias(f"{c}_{name}") for c in cols])
+    near = pairs.join(side("a", "n", "bits"), "a").join(side("b", "n", "bits"), "b")
+    differ = F.aggregate(F.zip_with("bits_a", "bits_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda x, y: x + y)
+    near = near.where(differ <= (1 - similarity) / (1 + similarity) * (F.col("n_a") + F.col("n_b")) + 1e-6).select("a", "b")
+    both = near.join(side("a", "set"), "a").join(side("b", "set"), "b")
+    common = F.size(F.array_intersect("set_a", "set_b"))
+    return written(both.where(common >= similarity * (F.size("set_a") + F.size("set_b") - common)).select("a", "b"), "similar-edges")
+
+
+def _frequent(base: DataFrame, n: int, shingle: int) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles that are frequent in a sample of bounded size, sorted, and the power of two of their counts."""
+
+    def of_texts():
+        cache: dict = {}
+        return lambda texts: [[shingles(t, shingle, cache) for t in texts]]
+
+    wanted = base.where(F.pmod(F.xxhash64("k"), F.lit(1 << 20)) < max(1, math.ceil((1 << 20) * SAMPLE_TEXTS / max(1, n))))
+    sets = map_texts(wanted.select("k", "raw").dropDuplicates(["k"]), [F.col("raw")], ["k"], T.StructType([T.StructField("set", T.ArrayType(T.LongType()))]), of_texts)
+    counts = sets.select(F.explode("set").alias("key")).groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") >= FREQUENT_FROM)
+    rows = sorted(tuple(r) for r in counts.orderBy(F.desc("n"), "key").limit(FREQUENT_MOST).collect())
+    return np.array([k for k, _ in rows], np.int64), np.array([int(c).bit_length() for _, c in rows], np.int64)
+
+
+def _stars(base: DataFrame, shingle: int, tables: int) -> tuple[DataFrame, DataFrame]:
+    """The distinct texts (k, uid), and pairs of each with the first text of the same least hashes, table by table."""
+
+    def least():
+        cache: dict = {}
+        return lambda texts: [[least_hashes(shingles(t, shingle, cache), tables) for t in texts]]
+
+    made = map_texts(base, [F.col("raw")], ["k"], T.StructType([T.StructField("least", T.ArrayType(T.LongType()))]), least)
+    texts = written(made.groupBy("row.k").agg(F.first("least").alias("least")).withColumn("uid", F.monotonically_increasing_id()), "similar-texts")
+    dealt = texts.select("uid", F.posexplode("least").alias("t", "v"))
+    hubs = dealt.groupBy("t", "v").agg(F.min("uid").alias("a"), F.count("*").alias("n")).where("n > 1").drop("n")
+    pairs = dealt.join(hubs, ["t", "v"]).where("a <> uid").select("a", F.col("uid").alias("b")).distinct()
+    return texts.select("k", "uid"), written(pairs, "similar-stars")
+
+
+def _met(base: DataFrame, texts: DataFrame, roots: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """Pairs of texts with different roots that meet in a shingle of their prefixes."""
+    often, level = _frequent(base, texts.count(), shingle)
+    named = texts.join(roots, "uid", "left").select("k", "uid", F.coalesce("root", "uid").alias("root"))
+    one = base.select("k", "raw").dropDuplicates(["k"]).join(named, "k").select("uid", "root", "raw")
+    dealt = one.mapInArrow(_prefixes(shingle, similarity, often, level), "key long, uid long, root long, size int, place int")
+    return written(dealt.repartition("key").sortWithinPartitions("key").mapInArrow(_meetings(similarity), "a long, b long").distinct(), "similar-pairs")
+
+
+def _let_go(spark: SparkSession) -> None:
+    """Shuffle files of finished steps are deleted once the driver's collector finds them unused; a small heap's young ones may wait."""
+    spark.sparkContext._jvm.System.gc()
+
+
+def similar_groups(docs: DataFrame, *, text: str = "text", shingle: int = 5, similarity: float = 0.8, tables: int = 8, keep: list[str] | None = None) -> DataFrame:
     """Per document: ``row`` (the kept columns) and ``group``: a number that it shares with all texts it is linked to.
 
-    Texts are linked whose sets of word shingles have a Jaccard similarity of ``similarity`` or more; equal texts always are.
+    Texts are linked whose sets of word shingles have a Jaccard similarity of ``similarity`` or more, all of them; equal texts always are.
     """
-    if bits % 8 or bits > 56:
-        raise ValueError("fingerprints have 8 to 56 bits: they are compared as signed numbers and share a cell's key with the table")
+    if not 0 < similarity <= 1:
+        raise ValueError("the similarity is above 0 and 1 at most")
     keep = docs.columns if keep is None else keep
     raw = F.coalesce(docs[text].cast("string"), F.lit(""))
     base = docs.select(F.struct(*[docs[c] for c in keep]).alias("row"), raw.alias("raw"), F.unhex(F.sha2(raw.cast("binary"), 256)).alias("k"))
-
-    def fingerprinter():
-        cache: dict = {}
-        return lambda texts: [[word_fingerprints(t, tables, bits, cache) for t in texts]]
-
-    fields = T.StructType([T.StructField("fps", T.ArrayType(T.LongType()))])
-    made = map_texts(base, [F.col("raw")], ["k"], fields, fingerprinter)
-    texts = written(made.groupBy("row.k").agg(F.first("fps").alias("fps")).withColumn("uid", F.monotonically_increasing_id()), "similar-texts")
-    dealt = texts.select("uid", F.posexplode("fps").alias("t", "fp")).select("uid", "t", "fp", F.explode(cells(F.col("fp"), (distance + 1) // 2, bits)).alias("cell"))
-    dealt = dealt.select((F.col("cell") + F.shiftleft(F.col("t").cast("bigint"), bits // SEGMENT_BITS * PLACE)).alias("cell"), "fp", "uid")
-    pairs = written(dealt.repartition("cell").sortWithinPartitions("cell").mapInArrow(_pairs(distance), "a long, b long").distinct(), "similar-pairs")
-    ends = pairs.select(F.col("a").alias("uid")).unionByName(pairs.select(F.col("b").alias("uid"))).distinct()
-    asked = texts.select("k", "uid").join(ends, "uid")
-    one = base.select("k", "raw").join(asked, "k").groupBy("uid").agg(F.first("raw").alias("raw"))
-    sets = map_texts(one, [F.col("raw")], ["uid"], T.StructType([T.StructField("set", T.ArrayType(T.LongType()))]), lambda: lambda texts: [[shingles(t, shingle).tolist() for t in texts]])
-    sets = written(sets.select("row.uid", "set"), "similar-sets")
-    both = pairs.join(sets.select(F.col("uid").alias("a"), F.col("set").alias("x")), "a").join(sets.select(F.col("uid").alias("b"), F.col("set").alias("y")), "b")
-    common = F.size(F.array_intersect("x", "y"))
-    edges = both.where(common >= similarity * (F.size("x") + F.size("y") - common)).select("a", "b")
+    texts, stars = _stars(base, shingle, tables)
+    edges = _alike(stars, base, texts, shingle, similarity)
+    _let_go(docs.sparkSession)
     roots = components(edges, "similar-links").withColumnRenamed("node", "uid")
-    groups = texts.select("k", "uid").join(roots, "uid", "left").select("k", F.coalesce("root", "uid").alias("group"))
+    met = _met(base, texts, roots, shingle, similarity)
+    _let_go(docs.sparkSession)
+    more = _alike(met, base, texts, shingle, similarity)
+    roots = components(edges.unionByName(more), "similar-links").withColumnRenamed("node", "uid")
+    groups = texts.join(roots, "uid", "left").select("k", F.coalesce("root", "uid").alias("group"))
     return base.select("row", "k").join(groups, "k").select("row", "group")
 
 
