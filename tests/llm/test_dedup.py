@@ -104,6 +104,15 @@ def test_similar_groups_of_one_word_set(spark):
     assert grouped_as_brute_force(spark, texts) == (True, 150)
 
 
+def test_similar_groups_of_cut_and_longer_copies(spark):
+    texts = []
+    for i in range(60):
+        words = prose(1000 + i, 60 + 7 * i, 4000).split()
+        share = (0.81, 0.85, 0.9, 0.95)[i % 4]
+        texts += [" ".join(words), " ".join(words[: int(len(words) * share) + 2]) if i % 8 < 4 else " ".join(words + prose(2000 + i, int(len(words) * (1 / share - 1)) - 1, 4000).split())]
+    assert grouped_as_brute_force(spark, texts) == (True, 60)
+
+
 def test_similar_groups_behind_a_common_passage(spark, monkeypatch):
     monkeypatch.setattr(simhash, "SAMPLE_TEXTS", 50)
     passage = prose(3000, 120)
