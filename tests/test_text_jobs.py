@@ -6,7 +6,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from tideline.functions.dates import extract_date
+from tideline.functions.dates import extract_date, field_date
 from tideline.functions.quality import Invalid
 from tideline.operators import events, features, masking, routing
 from tideline.plans import seed
@@ -37,6 +37,28 @@ def test_dates(spark, text, found, iso):
     assert tuple(df.select(extract_date(F.col("t")), extract_date(F.col("t"), iso_dayfirst=False)).first()) == (found, iso)
 
 
+FIELDS = [
+    ("2024-03-04T10:11:12", D(2024, 4, 3)), ("2024-03-04 10:11:12.123", D(2024, 4, 3)), ("2024-03-04T10:11:12Z", D(2024, 4, 3)), ("2024-03-04T10:11:12+05:30", D(2024, 4, 3)),
+    ("04/03/2024T10:11", D(2024, 3, 4)), ("04/03/2024, 10:11", D(2024, 3, 4)), ("04/03/2024 10:11:12 PM", D(2024, 3, 4)), ("04.03.2024", D(2024, 3, 4)), ("04 03 2024", D(2024, 3, 4)),
+    ("2024/03/04", D(2024, 4, 3)), ("2024.03.04", D(2024, 4, 3)), ("2024-13-01", D(2024, 1, 13)), ("12/31/2024", D(2024, 12, 31)), ("13/25/2024", None), ("31/04/2024", None), ("99/99/2024", None),
+    ("March 4, 2024", D(2024, 3, 4)), ("Mar 4 2024", D(2024, 3, 4)), ("Mar-04-2024", D(2024, 3, 4)), ("4th March 2024", D(2024, 3, 4)), ("04-Mar-2024", D(2024, 3, 4)), ("4Mar2024", D(2024, 3, 4)), ("4-Mar-24", D(2024, 3, 4)),
+    ("4 Sept 2024", D(2024, 9, 4)), ("2024 March 4", D(2024, 3, 4)), ("2024-Mar-04", D(2024, 3, 4)), ("Monday, 4 March 2024", D(2024, 3, 4)), ("20240304", D(2024, 3, 4)), ("20240304T101112", D(2024, 3, 4)),
+    ("04/03/24", D(2024, 3, 4)), (" 04/03/2024\n", D(2024, 3, 4)), ("4/3/1850", D(1850, 3, 4)), ("March 2024", D(2024, 3, 1)), ("2024-03", D(2024, 3, 1)), ("", None), ("nan", None), ("Order of 04/03/2024.", None), (None, None),
+]
+
+
+def test_date_fields_as_pandas_reads_them(spark):
+    import pandas as pd
+
+    got = {r.t: r.d for r in spark.createDataFrame([(t,) for t, _ in FIELDS], "t string").select("t", field_date(F.col("t")).alias("d")).collect()}
+    assert got == dict(FIELDS)
+    for text, day in FIELDS:
+        found = pd.to_datetime(text, dayfirst=True, errors="coerce")
+        assert (None if pd.isna(found) else found.date()) == day, text
+    true_iso = spark.createDataFrame([("2024-03-04T10:11",)], "t string").select(field_date(F.col("t"), iso_dayfirst=False)).first()[0]
+    assert true_iso == D(2024, 3, 4)
+
+
 def raw_event(spark, rows):
     df = spark.createDataFrame(rows, "source string, day date, title string, url string, text string, node string, at timestamp")
     meta = F.when(F.col("node").isNotNull(), F.create_map(F.lit("candidate_node"), F.col("node")))
@@ -77,7 +99,7 @@ def test_quality_orders(spark):
 
 
 def test_announcements(spark):
-    rows = [{"NEWSSUB": "", "HEADLINE": " Head ", "DissemDT": "2024-01-13", "ATTACHMENTNAME": "f.pdf", "SLONGNAME": "Firm", "SCRIP_CD": 5}, {"NEWS_SUB": "Sub", "NEWS_DT": "01/01/2024", "ATTACHMENTNAME": "http://h/x"}, {"NEWSSUB": "No date"}, {"NEWS_DT": "01/01/2024"}, "odd", {"NEWSSUB": " ", "HEADLINE": "hidden", "NEWS_DT": "01/01/2024"}]
+    rows = [{"NEWSSUB": "", "HEADLINE": " Head ", "DissemDT": "2024-01-13T09:08:07.65", "ATTACHMENTNAME": "f.pdf", "SLONGNAME": "Firm", "SCRIP_CD": 5}, {"NEWS_SUB": "Sub", "NEWS_DT": "01/01/2024", "ATTACHMENTNAME": "http://h/x"}, {"NEWSSUB": "No date"}, {"NEWS_DT": "01/01/2024"}, "odd", {"NEWSSUB": " ", "HEADLINE": "hidden", "NEWS_DT": "01/01/2024"}]
     df = tables.announcement_rows(spark.createDataFrame([(json.dumps({"Table": rows}),), ("{}",), ("broken",)], "value string"))
     docs = spark.createDataFrame([("base/f.pdf", "body")], "url string, text string")
     out = {r.title: r for r in events.announcements(df, F.to_date(F.lit("2024-01-01")), F.to_date(F.lit("2024-01-31")), attachment_base="base/", default_url="d", documents=docs).collect()}
@@ -118,9 +140,11 @@ def test_masking(spark):
     masked = masking.mask(spark.createDataFrame([(1, "SRF near SRFX"), (2, "SRF")], "id int, text string"))
     assert {(r.id, r.leak_literal) for r in masking.leaks(masked, "id").collect()} == {(1, "SRF")}
     assert masking.redaction_log(masked, "id").count() == 2
-    assert masking.executive_alias(25) == "Executive_Z" and masking.executive_alias(26) == "Executive_27"
-    with pytest.raises(ValueError):
-        masking.build_rules({" ": "x"}, {}, {}, [])
+    places = spark.createDataFrame([(25,), (26,)], "i int").select(masking.executive_alias(F.col("i")).alias("a"))
+    assert [r.a for r in places.collect()] == ["Executive_Z", "Executive_27"]
+    odd = spark.createDataFrame([(1, "x", {" ": "y"}), (2, "a.b $1 (c) \\E a\u00dfb", {"a.b": "$0\\", "(c)": "C", "\\E": "Q", "$1": "D"})], "id int, text string, own map<string,string>")
+    got = {r.id: r["mask"] for r in masking.mask(odd, companies="own", defaults=False).collect()}
+    assert got[1].reason == "blank_rule" and got[1].masked_text is None and got[2].masked_text == "$0\\ D C Q a\u00dfb"
     years = spark.createDataFrame([("2021, 1999 and 2021; 20210",)], "t string").select(masking.masked_years(F.col("t"))).first()[0]
     assert years == "T_1, T_0 and T_1; 20210"
 
@@ -152,7 +176,7 @@ GOOD = {"candidate_node_alias": "C1", "E_sub": -0.8, "P_pricing": 0.5, "T_policy
 )
 def test_feature_records(spark, change, reason):
     raw = json.dumps(GOOD | change)
-    for text in (raw, f"```json\n{raw}\n```"):
+    for text in (raw, f"```json\n{raw}\n```", f"\n\t{raw}\n", f"\n```\n{raw}\n```\n", f"```JSON {raw}```", f"```json\n{raw}", f"{raw}"):
         r = features.assess(spark.createDataFrame([("C1", text)], "candidate_node_alias string, raw_json string")).first()
         assert r.reason == reason
         assert r.s_raw == (None if reason else pytest.approx(0.0, abs=1e-12))
@@ -167,6 +191,13 @@ def test_more_feature_checks(spark):
     assert [round(r.s_raw, 6) for r in features.scored(roles).collect()] == [0.92, 0.71, 0.5, 0.235]
 
 
+def test_prompt_record(spark):
+    role, text = 'made "so"\\', "line one\nline two é"
+    row = spark.createDataFrame([("C1", 2, role, text)], "a string, l int, r string, t string").select(features.prompt(*[F.col(c) for c in "alrt"])).first()[0]
+    record = {"candidate": {"anonymized_id": "C1", "layer": 2, "physical_role": role}, "anonymized_source_text": text, "instruction": features.INSTRUCTION}
+    assert row == json.dumps(record, ensure_ascii=False, sort_keys=True)
+
+
 PAGE = '<html><head><title>T</title><script>var a="<p>";</script></head><body><nav><a href="/n">N</a></nav><p>3 Jan 2024 <a href="a/b?x=1">A <b>link</b></a> circular<br>more</p><a>no</a><a href="z"></a><footer>f</footer></body>'
 
 

@@ -1,4 +1,4 @@
-"""Cutting lineage with tables in the folder that the cluster shares."""
+"""Cutting lineage with tables in the folder that the cluster shares, and spreading narrow inputs over the cores."""
 
 from __future__ import annotations
 
@@ -9,19 +9,33 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir of the session, else the context's; a folder of our own only where neither is set (tests)."""
+    """spark.checkpoint.dir of the session, else the context's; a folder of our own only in local mode (tests)."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
         held = spark.sparkContext._jsc.sc().getCheckpointDir()
         path = held.get() if held.isDefined() else None
     if not path:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
         path = tempfile.mkdtemp(prefix="spark-checkpoint-")
         spark.sparkContext.setCheckpointDir(path)
     return path
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
-    """``df`` as a Parquet table that survives lost executors and is scanned, not recomputed, by what follows."""
-    path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    """``df`` as a Parquet table that survives lost executors and is scanned, not recomputed, by what follows.
+
+    The table goes when the driver ends.
+    """
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(place)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` over all cores, if it comes in fewer partitions: a small file of one row group is one task otherwise."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df

@@ -11,8 +11,9 @@ from collections.abc import Callable, Mapping
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.dates import extract_date
+from ..functions.dates import extract_date, field_date
 from ..functions.quality import together
+from ..functions.strings import collapse, strip
 
 EVENT_COLUMNS = ["event_id", "source", "event_type", "published_date", "title", "url", "text", "fetched_at_utc", "metadata"]
 
@@ -27,14 +28,6 @@ def keyword_match(text: Column, pattern: str) -> Column:
     return text.rlike("(?iU)" + pattern)
 
 
-def collapse(text: Column) -> Column:
-    return F.trim(F.regexp_replace(text, r"(?U)\s+", " "))
-
-
-def strip(text: Column) -> Column:
-    return F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
-
-
 def empty_map() -> Column:
     return F.create_map().cast("map<string,string>")
 
@@ -75,7 +68,7 @@ def in_window(events: DataFrame, start: Column, end: Column) -> DataFrame:
 def quality_orders(table: DataFrame, start: Column, end: Column, url: str, *, source: str = "BIS", ahead_days: int = 180) -> DataFrame:
     """Orders that take effect from ``start`` to ``ahead_days`` after ``end``; columns are found by what their names contain.
 
-    The event's date is the enforcement date, or ``end`` for later ones. A table without product or date column gives no events.
+    The event's date is the enforcement date, or ``end`` for later ones; the whole date field is read, not a text with a date in it. A table without product or date column gives no events.
     """
     names = {c.strip().lower(): c for c in table.columns}
 
@@ -86,7 +79,7 @@ def quality_orders(table: DataFrame, start: Column, end: Column, url: str, *, so
     if product is None or day is None:
         table, product, day = table.sparkSession.createDataFrame([], "product string, enforcement string"), "product", "enforcement"
     either = lambda c: F.col(f"`{c}`").cast("string") if c else F.lit("")
-    df = table.select(strip(either(product)).alias("product"), extract_date(either(day)).alias("enforcement"), F.coalesce(either(ministry), F.lit("nan")).alias("ministry"), F.coalesce(either(standard), F.lit("nan")).alias("standard"))
+    df = table.select(strip(either(product)).alias("product"), field_date(either(day)).alias("enforcement"), F.coalesce(either(ministry), F.lit("nan")).alias("ministry"), F.coalesce(either(standard), F.lit("nan")).alias("standard"))
     df = df.where((F.col("product") != "") & (F.lower("product") != "nan") & F.col("enforcement").between(start, F.date_add(end, ahead_days)))
     iso = F.date_format("enforcement", "yyyy-MM-dd")
     text = F.concat(F.lit("Product: "), "product", F.lit(". Enforcement date: "), iso, F.lit(". Ministry/Department: "), "ministry", F.lit(". Indian Standard: "), "standard", F.lit("."))
@@ -102,7 +95,7 @@ def announcements(rows: DataFrame, start: Column, end: Column, *, attachment_bas
     first = lambda *fs: F.coalesce(*[F.nullif(F.col(f), F.lit("")) for f in fs], F.lit(""))
     attachment = strip(first("ATTACHMENTNAME"))
     url = F.when(attachment == "", F.lit(default_url)).when(attachment.startswith("http"), attachment).otherwise(F.concat(F.lit(attachment_base), attachment))
-    df = rows.select(strip(first("NEWSSUB", "HEADLINE", "NEWS_SUB")).alias("title"), extract_date(first("NEWS_DT", "DissemDT", "DT_TM")).alias("day"), url.alias("url"), (attachment != "").alias("attached"), strip(first("SLONGNAME", "LONG_NAME")).alias("company"), strip(first("SCRIP_CD")).alias("code"), strip(first("CATEGORYNAME")).alias("category"))
+    df = rows.select(strip(first("NEWSSUB", "HEADLINE", "NEWS_SUB")).alias("title"), field_date(first("NEWS_DT", "DissemDT", "DT_TM")).alias("day"), url.alias("url"), (attachment != "").alias("attached"), strip(first("SLONGNAME", "LONG_NAME")).alias("company"), strip(first("SCRIP_CD")).alias("code"), strip(first("CATEGORYNAME")).alias("category"))
     df = df.where((F.col("title") != "") & F.col("day").between(start, end))
     if documents is not None:
         df = df.join(documents.select("url", F.col("text").alias("body")), "url", "left")

@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.strings import strip
 from .masking import YEAR, leak
 
+# The effects and the numeric fields of a record.
 EFFECTS = ["supports_risk", "offsets_risk", "supports_pricing_power", "weakens_pricing_power", "supports_protection", "no_policy_support", "uncertain"]
 #: JSON name -> (field name, least, most); both names are accepted.
 NUMBERS = {"E_sub": ("e_sub", -1, 1), "P_pricing": ("p_pricing", -1, 1), "T_policy": ("t_policy", 0, 1), "confidence": ("confidence", 0, 1)}
@@ -14,8 +16,15 @@ ALLOWED = ["candidate_node_alias", "evidence", *NUMBERS, *[f for f, _, _ in NUMB
 RESPONSE = "map<string,string>"
 
 
+#: The fixed last part of a prompt record.
+INSTRUCTION = "Return the three required numerical features, confidence, and concise structured evidence."
+
+
 def unfenced(raw: Column) -> Column:
-    return F.regexp_replace(F.trim(raw), r"(?s)^```(?:json)?\s*(.*?)\s*```$", "$1")
+    """The response without white space at its ends and without a code fence; either end of the fence may be missing."""
+    text = strip(raw)
+    inside = F.regexp_replace(F.regexp_replace(text, r"(?iU)^```(?:json)?\s*", ""), r"(?U)\s*```\z", "")
+    return F.when(text.startswith("```"), strip(inside)).otherwise(text)
 
 
 def assess(responses: DataFrame, raw: str = "raw_json", alias: str = "candidate_node_alias") -> DataFrame:
@@ -24,14 +33,10 @@ def assess(responses: DataFrame, raw: str = "raw_json", alias: str = "candidate_
     Values are read as strings first: numeric strings count as numbers, extra fields are seen. ``alias`` names the column with the
     candidate that was asked about. ``s_raw = t_policy + p_pricing * e_sub`` is only computed here; a supplied one is an extra field.
     """
-    text = unfenced(F.col(raw))
-    parsed = F.struct(
-        F.when(F.trim(text).startswith("{"), F.from_json(text, RESPONSE)).alias("m"),
-        F.from_json(F.get_json_object(text, "$.evidence"), "array<map<string,string>>").alias("e"),
-        F.col(alias).alias("asked"),
-    )
-    # A one-element transform binds what was parsed to a variable: all checks below read it, none parses again.
-    df = responses.withColumn("_r", F.get(F.transform(F.array(parsed), _judged), 0))
+    # A one-element transform binds what was parsed to a variable: all checks read it, none parses again.
+    text = F.transform(F.array(unfenced(F.col(raw))), lambda t: F.when(t.startswith("{"), F.from_json(t, RESPONSE)))
+    parsed = F.transform(text, lambda m: F.struct(m.alias("m"), F.from_json(m["evidence"], "array<map<string,string>>").alias("e"), F.col(alias).alias("asked")))
+    df = responses.withColumn("_r", F.get(F.transform(parsed, _judged), 0))
     fields = ["candidate_alias", *(f for f, _, _ in NUMBERS.values()), "evidence", "reason"]
     df = df.select("*", *[F.col(f"_r.{f}").alias(f) for f in fields]).drop("_r")
     return df.withColumn("s_raw", F.when(F.col("reason").isNull(), F.col("t_policy") + F.col("p_pricing") * F.col("e_sub")))
@@ -41,7 +46,7 @@ def _judged(r: Column) -> Column:
     """struct(candidate_alias, numbers, evidence, reason) of struct(m, e, asked)."""
     m, e = r["m"], r["e"]
     numbers = {f: F.coalesce(m[j], m[f]).try_cast("double") for j, (f, _, _) in NUMBERS.items()}
-    who = F.trim(m["candidate_node_alias"])
+    who = strip(m["candidate_node_alias"])
     out_of_range = F.lit(None).cast("string")
     for f, lo, hi in reversed(list(NUMBERS.values())):
         bad = ~F.coalesce(numbers[f].between(lo, hi) & ~F.isnan(numbers[f]), F.lit(False))
@@ -49,8 +54,8 @@ def _judged(r: Column) -> Column:
     fine = F.forall(
         e,
         lambda x: (F.size(F.array_except(F.map_keys(x), F.array(F.lit("observation"), F.lit("effect")))) == 0)
-        & F.coalesce(F.length(F.trim(x["observation"])).between(1, 500), F.lit(False))
-        & F.coalesce(F.trim(x["effect"]).isin(*EFFECTS), F.lit(False)),
+        & F.coalesce(F.length(strip(x["observation"])).between(1, 500), F.lit(False))
+        & F.coalesce(strip(x["effect"]).isin(*EFFECTS), F.lit(False)),
     )
     reason = (
         F.when(m.isNull(), "invalid_json")
@@ -63,7 +68,7 @@ def _judged(r: Column) -> Column:
             )
         )
     )
-    evidence = F.transform(e, lambda x: F.struct(F.trim(x["observation"]).alias("observation"), F.trim(x["effect"]).alias("effect")))
+    evidence = F.transform(e, lambda x: F.struct(strip(x["observation"]).alias("observation"), strip(x["effect"]).alias("effect")))
     return F.struct(who.alias("candidate_alias"), *[c.alias(f) for f, c in numbers.items()], evidence.alias("evidence"), reason.alias("reason"))
 
 
@@ -72,10 +77,15 @@ def alias_reason(alias: Column) -> Column:
     return F.when(alias.rlike(r"(?i)\.(NS|BO)\b"), "ticker_in_alias").when(alias.rlike(YEAR), "year_in_alias")
 
 
-def prompt(alias: Column, layer: Column, role: Column, masked_text: Column, instruction: str) -> Column:
-    """The prompt record as JSON with sorted keys."""
-    candidate = F.struct(alias.alias("anonymized_id"), layer.alias("layer"), role.alias("physical_role"))
-    return F.to_json(F.struct(candidate.alias("candidate"), F.lit(instruction).alias("instruction"), masked_text.alias("masked_text")))
+def _json(value: Column) -> Column:
+    """One value as JSON text; null is ``null``."""
+    return F.when(value.isNull(), F.lit("null")).otherwise(F.regexp_extract(F.to_json(F.struct(value.alias("v"))), r'(?s)^\{"v":(.*)\}$', 1))
+
+
+def prompt(alias: Column, layer: Column, role: Column, masked_text: Column, instruction: str = INSTRUCTION) -> Column:
+    """The prompt record as JSON with sorted keys and a space after each colon and comma."""
+    candidate = F.concat(F.lit('{"anonymized_id": '), _json(alias), F.lit(', "layer": '), _json(layer), F.lit(', "physical_role": '), _json(role), F.lit("}"))
+    return F.concat(F.lit('{"anonymized_source_text": '), _json(masked_text), F.lit(', "candidate": '), candidate, F.lit(', "instruction": '), _json(F.lit(instruction)), F.lit("}"))
 
 
 def output_leak(raw: Column, originals: Column) -> Column:

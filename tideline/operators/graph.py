@@ -2,7 +2,8 @@
 
 ``nodes(node_id, label, layer, kind, ticker)``, ``edges(source, target, substitutability, cost_share, lead_time_months)``.
 Edges go from one layer to the next, so shocks need four rounds at most, and each round is one join on the edge source and one
-aggregate: state never exceeds shocks x nodes of a layer, whatever the number of paths. Small edge tables are broadcast by the
+aggregate: state never exceeds shocks x nodes of a layer, whatever the number of paths. Each round is written to the shared folder, so
+that the next one reads it instead of computing all rounds before it again. Small edge tables are broadcast by the
 optimizer, large ones are joined by key with adaptive skew handling for hubs.
 """
 
@@ -11,7 +12,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.lineage import written
 from ..functions.quality import finite, together, violation
+from ..functions.strings import blank
 
 LAYERS = 5
 TERMINAL = LAYERS - 1
@@ -24,7 +27,6 @@ def weighted(edges: DataFrame) -> DataFrame:
 
 
 def node_violations(nodes: DataFrame) -> DataFrame:
-    blank = lambda c: F.col(c).isNull() | (F.trim(c) == "")
     expected = F.element_at(F.array(*[F.lit(k) for k in KINDS]), F.col("layer") + 1)
     in_range = F.col("layer").between(0, TERMINAL)
     twice = nodes.groupBy("node_id").count().where("count > 1")
@@ -82,11 +84,11 @@ def propagate(nodes: DataFrame, edges: DataFrame, shocks: DataFrame) -> DataFram
     layers = nodes.select("node_id", "layer").dropDuplicates(["node_id"])
     steps = weighted(edges).select(F.col("source").alias("node_id"), "target", "transmission_factor")
     good = shocks.where(F.coalesce(finite(F.col("shock")), F.lit(False))).join(layers, "node_id").groupBy("shock_id", "node_id", "layer").agg(F.sum("shock").alias("shock"))
-    frontier, out = good, good
+    rounds = [written(good, "shocks")]
     for _ in range(TERMINAL):
-        frontier = frontier.join(steps, "node_id").groupBy("shock_id", F.col("target").alias("node_id"), (F.col("layer") + 1).alias("layer")).agg(F.sum(F.col("shock") * F.col("transmission_factor")).alias("shock"))
-        out = out.unionByName(frontier)
-    return out.select("shock_id", "node_id", "layer", "shock")
+        step = rounds[-1].join(steps, "node_id").groupBy("shock_id", F.col("target").alias("node_id"), (F.col("layer") + 1).alias("layer"))
+        rounds.append(written(step.agg(F.sum(F.col("shock") * F.col("transmission_factor")).alias("shock")), "shocks"))
+    return together(rounds).select("shock_id", "node_id", "layer", "shock")
 
 
 def terminal_shocks(propagated: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -122,11 +124,11 @@ def ancestors(edges: DataFrame, targets: DataFrame) -> DataFrame:
     """``targets(target)`` -> (target, node_id) of all nodes from which a target can be reached, itself included."""
     back = edges.select(F.col("target").alias("node_id"), F.col("source"))
     frontier = targets.select("target").distinct().withColumn("node_id", F.col("target"))
-    out = frontier
+    rounds = [frontier]
     for _ in range(TERMINAL):
-        frontier = frontier.join(back, "node_id").select("target", F.col("source").alias("node_id")).distinct()
-        out = out.unionByName(frontier)
-    return out.distinct()
+        step = rounds[-1].join(back, "node_id").select("target", F.col("source").alias("node_id")).distinct()
+        rounds.append(written(step, "ancestors"))
+    return together(rounds).distinct()
 
 
 def paths(edges: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -134,15 +136,13 @@ def paths(edges: DataFrame, pairs: DataFrame) -> DataFrame:
 
     Each step keeps only nodes from which the asked target can still be reached.
     """
-    reach = ancestors(edges, pairs)
+    reach = written(ancestors(edges, pairs), "ancestors")
     steps = weighted(edges).select(F.col("source").alias("node_id"), F.col("target").alias("next"), "transmission_factor")
     df = pairs.select("source", "target").distinct().where("source <> target")
     df = df.select("source", "target", F.col("source").alias("node_id"), F.array("source").alias("path"), F.lit(1.0).alias("transmission_weight"))
     found = []
     for _ in range(TERMINAL):
         df = df.join(steps, "node_id").select("source", "target", F.col("next").alias("node_id"), F.concat("path", F.array("next")).alias("path"), (F.col("transmission_weight") * F.col("transmission_factor")).alias("transmission_weight"))
-        df = df.join(reach, ["target", "node_id"], "left_semi")
+        df = written(df.join(reach, ["target", "node_id"], "left_semi"), "paths")
         found.append(df.where("node_id = target").select("source", "target", "path", "transmission_weight"))
     return together(found)
-
-

@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from ..functions.lineage import written
 from ..functions.quality import finite, missing
+from ..functions.strings import strip
 from .factors import FACTORS
 
 RESULTS = ["raw_residual", "winsorized_residual", "reprojected_residual", "alpha_z", "fitted"]
@@ -55,7 +56,7 @@ def check(panel: DataFrame, config: NeutralizeConfig, score: str = "raw_score",
     numeric = [score, *factors]
     if wrong := [c for c, kind in panel.dtypes if c in numeric and kind.split("(")[0] not in ("double", "float", "int", "bigint", "decimal", "smallint", "tinyint")]:
         raise ValueError(f"columns are not numeric: {', '.join(wrong)}")
-    sector = F.trim("sector")
+    sector = strip("sector")
     tickers = panel.groupBy("as_of_date", "ticker").agg(F.count("*").alias("k"))
     keys = tickers.groupBy("as_of_date").agg(F.max("k").alias("most"), F.max(F.col("ticker").isNull()).alias("null_key"))
     sums = panel.groupBy("as_of_date").agg(
@@ -196,7 +197,7 @@ def neutralize(panel: DataFrame, config: NeutralizeConfig = NeutralizeConfig(),
     ``no_signal`` and alpha 0.0 for all.
     """
     factors, zs = FACTORS, [f"z_{f}" for f in FACTORS]
-    panel = written(panel.select("as_of_date", "ticker", F.col(score).cast("double").alias("raw_score"), *[F.col(f).cast("double").alias(f) for f in factors], F.trim("sector").alias("sector")), "panel")
+    panel = written(panel.select("as_of_date", "ticker", F.col(score).cast("double").alias("raw_score"), *[F.col(f).cast("double").alias(f) for f in factors], strip("sector").alias("sector")), "panel")
     status = check(panel, config)
     flat = panel.groupBy("as_of_date").agg(F.stddev_pop("raw_score").alias("score_sd"))
     status = written(status.join(flat, "as_of_date").withColumn("reason", F.when(F.col("reason").isNull() & ~(F.col("score_sd") > config.eps), "no_signal").otherwise(F.col("reason"))), "status")

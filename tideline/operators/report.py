@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+# The columns of a rank-IC history.
 IC_COLUMNS = {"as_of_date", "horizon_days", "rank_ic"}
 
 

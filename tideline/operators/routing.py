@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.strings import strip
 from .events import searchable
 
 # The routing patterns and the nodes they name. The fifth has no closing word bound, so longer words match too.
@@ -64,7 +65,7 @@ def documents(routed: DataFrame, *, by: list[str] | None = None, max_chars: int
     kept = F.when(F.col("_start") - len(BREAK) < max_chars, F.struct("_n", "_chunk"))
     text = F.array_join(F.transform(F.sort_array(F.collect_list(kept)), lambda x: x["_chunk"]), BREAK)
     docs = df.groupBy(*by).agg(F.count("*").alias("n_events"), F.substring(text, 1, max_chars).alias("source_text"))
-    company = F.trim(F.element_at("metadata", "company_name"))
+    company = strip(F.element_at("metadata", "company_name"))
     named = df.withColumn("_company", company).where(F.col("_company") != "").groupBy(*by, "_company").agg(F.max("_n").alias("_n"))
     issuers = named.groupBy(*by).agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("_company", F.format_string("Issuer_%03d", F.col("_n")))))).alias("company_aliases"))
     return docs.join(issuers, by, "left").withColumn("company_aliases", F.coalesce("company_aliases", F.create_map().cast("map<string,string>")))

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.quality import require, together, violation
+from ..functions.strings import blank
 from ..operators import features, graph, masking, rank_ic, returns, scores
 
 
@@ -50,11 +51,10 @@ def snapshot_violations(snapshots: DataFrame, candidates: DataFrame, nodes: Data
     lone = snapshots.join(candidates, "snapshot_id", "left_anti")
     placed = candidates.join(nodes.select(F.col("node_id").alias("graph_node_id"), "layer"), "graph_node_id", "left")
     name = F.concat_ws(":", "snapshot_id", "anonymized_id")
-    blank = F.col("source_text").isNull() | (F.trim("source_text") == "")
     return together(
         [
             violation(snapshots, "outside_window", ~F.coalesce(F.year("as_of_date").between(config.start_year, config.end_year), F.lit(False)), F.col("snapshot_id"), F.col("as_of_date")),
-            violation(snapshots, "blank_text", blank, F.col("snapshot_id")),
+            violation(snapshots, "blank_text", blank("source_text"), F.col("snapshot_id")),
             violation(twice, "duplicate_snapshot", F.lit(True), F.col("snapshot_id")),
             violation(again, "duplicate_candidate", F.lit(True), name),
             violation(lone, "no_candidate", F.lit(True), F.col("snapshot_id")),

@@ -58,21 +58,26 @@ trades AS (
 
 
 def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(source, target, substitutability, cost_share, lead_time_months)."""
-    t = trades(spark, sf_dir)
+    """(source, target, substitutability, cost_share, lead_time_months).
+
+    One pass over the trades gives the sums by supplier, by supplier and part, and by part and customer; the few rows of suppliers
+    become edges into the supplier and into its nation.
+    """
     s = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("l_suppkey"), "s_nationkey")
     n = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("s_nationkey"), "n_regionkey")
+    t = trades(spark, sf_dir)
     sums = [F.sum("amount").alias("revenue"), F.sum("discount").alias("discounts"), F.sum("lead").alias("leads"), F.count("*").alias("n")]
-    up = [F.sum(c).alias(c) for c in ("revenue", "discounts", "leads", "n")]
-    by_supplier = t.groupBy("l_suppkey").agg(*sums).join(s, "l_suppkey").join(n, "s_nationkey")
-    kinds = [
-        by_supplier.groupBy(tag("R", "n_regionkey").alias("source"), tag("N", "s_nationkey").alias("target")).agg(*up),
-        by_supplier.groupBy(tag("N", "s_nationkey").alias("source"), tag("S", "l_suppkey").alias("target")).agg(*up),
-        t.groupBy("l_suppkey", "l_partkey").agg(*sums).select(tag("S", "l_suppkey").alias("source"), tag("P", "l_partkey").alias("target"), "revenue", "discounts", "leads", "n"),
-        t.groupBy("l_partkey", "o_custkey").agg(*sums).select(tag("P", "l_partkey").alias("source"), tag("C", "o_custkey").alias("target"), "revenue", "discounts", "leads", "n"),
-    ]
-    flows = kinds[0].unionByName(kinds[1]).unionByName(kinds[2]).unionByName(kinds[3])
-    # The total into a target as a window: one shuffle of the edges, where a join would compute them twice.
+    sets = t.groupingSets([["l_suppkey"], ["l_suppkey", "l_partkey"], ["l_partkey", "o_custkey"]], "l_suppkey", "l_partkey", "o_custkey")
+    sets = sets.agg(*sums).join(s, "l_suppkey", "left").join(n, "s_nationkey", "left")
+    edge = lambda a, b: F.struct(a.alias("source"), b.alias("target"))
+    own = (
+        F.when(F.col("o_custkey").isNotNull(), F.array(edge(tag("P", "l_partkey"), tag("C", "o_custkey"))))
+        .when(F.col("l_partkey").isNotNull(), F.array(edge(tag("S", "l_suppkey"), tag("P", "l_partkey"))))
+        .otherwise(F.array(edge(tag("R", "n_regionkey"), tag("N", "s_nationkey")), edge(tag("N", "s_nationkey"), tag("S", "l_suppkey"))))
+    )
+    flows = sets.select(F.explode(own).alias("e"), "revenue", "discounts", "leads", "n").select("e.source", "e.target", "revenue", "discounts", "leads", "n")
+    # Dealt by target once: the sums of an edge and the total into a target need no other shuffle.
+    flows = flows.where("source IS NOT NULL AND target IS NOT NULL").repartition("target").groupBy("source", "target").agg(*[F.sum(c).alias(c) for c in ("revenue", "discounts", "leads", "n")])
     flows = flows.withColumn("total", F.sum("revenue").over(Window.partitionBy("target")))
     d = lambda c: F.col(c).cast("double")
     return flows.select("source", "target", (d("discounts") / d("n")).alias("substitutability"), (d("revenue") / d("total")).alias("cost_share"), (d("leads") / d("n") / 30).alias("lead_time_months"))
@@ -113,7 +118,7 @@ prices AS (SELECT 'S:' || l_suppkey AS ticker, l_shipdate::DATE AS trade_date, s
 
 
 def snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(snapshot_id, as_of_date): the first of each month of 1996 to 2000 with orders."""
+    """(snapshot_id, as_of_date): the first of each month with orders in the backtest window, 1996 to 2000."""
     months = table(spark, sf_dir, "orders").select(F.trunc(F.to_date("o_orderdate"), "month").alias("as_of_date")).distinct()
     return months.where(F.year("as_of_date").between(1996, 2000)).select(F.date_format("as_of_date", "yyyy-MM").alias("snapshot_id"), "as_of_date")
 

@@ -16,6 +16,7 @@ from ..functions.lineage import written
 from ..functions.quality import finite, require, together, violation
 from ..operators import features, graph, masking, neutralize, routing, scores
 
+# The columns of the output, in order.
 OUTPUT = T.StructType(
     [
         T.StructField("ticker", T.StringType()),

@@ -1,4 +1,4 @@
-"""Writers that leave either the old or the new output, never half of one."""
+"""Writers that leave the old or the new output, never half of one."""
 
 from __future__ import annotations
 
@@ -9,15 +9,25 @@ from pyspark.sql import functions as F
 
 
 def _swap(df: DataFrame, staged: str, path: str) -> None:
-    """Rename through the file system of the path, so that it works on any store that Spark writes to."""
+    """Rename through the file system of the path, so that it works on any store that Spark writes to.
+
+    The old table is moved aside first and moved back if the new one can't take its place. A driver that dies between the two
+    renames leaves the old table whole under ``<path>.old-...`` and the new one under ``<path>.new-...``.
+    """
     jvm, conf = df.sparkSession._jvm, df.sparkSession._jsc.hadoopConfiguration()
     new, old = jvm.org.apache.hadoop.fs.Path(staged), jvm.org.apache.hadoop.fs.Path(path)
     fs = old.getFileSystem(conf)
     aside = jvm.org.apache.hadoop.fs.Path(f"{path}.old-{uuid.uuid4().hex}")
     had = fs.exists(old)
-    if had:
-        fs.rename(old, aside)
-    fs.rename(new, old)
+    if had and not fs.rename(old, aside):
+        raise OSError(f"{path} can't be moved aside")
+    try:
+        if not fs.rename(new, old):
+            raise OSError(f"{staged} can't be moved to {path}")
+    except Exception:
+        if had:
+            fs.rename(aside, old)
+        raise
     if had:
         fs.delete(aside, True)
 

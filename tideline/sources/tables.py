@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.quality import Invalid, nan_to_null
+from ..functions.strings import strip
 from ..operators.events import ANNOUNCEMENT_FIELDS
 
 PRICE_FIELDS = {"open", "high", "low", "close", "adj close", "volume"}
@@ -22,7 +23,7 @@ def universe(lines: DataFrame, *, suffix: str = ".NS", min_rows: int = 450, orde
     df = lines.dropna(subset=["Symbol", "Industry"])
     first = Window.partitionBy("Symbol").orderBy(F.col(order) if order else F.monotonically_increasing_id())
     df = df.withColumn("_rn", F.row_number().over(first)).where("_rn = 1")
-    df = df.select(F.concat(F.trim("Symbol"), F.lit(suffix)).alias("ticker"), F.trim("Industry").alias("sector"))
+    df = df.select(F.concat(strip("Symbol"), F.lit(suffix)).alias("ticker"), strip("Industry").alias("sector"))
     n = df.count()
     if n < min_rows:
         raise Invalid(f"universe has {n} rows, {min_rows} are needed")
@@ -65,7 +66,7 @@ def announcement_rows(payloads: DataFrame, column: str = "value") -> DataFrame:
     """The object rows of the ``Table`` array of JSON payloads, all fields as strings; rows that are no objects are skipped."""
     rows = F.from_json(F.get_json_object(column, "$.Table"), "array<string>")
     schema = T.StructType([T.StructField(f, T.StringType()) for f in ANNOUNCEMENT_FIELDS])
-    each = payloads.select(F.explode(rows).alias("r")).where(F.trim("r").startswith("{"))
+    each = payloads.select(F.explode(rows).alias("r")).where(strip("r").startswith("{"))
     return each.select(F.from_json("r", schema).alias("x")).select("x.*")
 
 
