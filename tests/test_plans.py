@@ -93,7 +93,14 @@ def test_weekly_run_without_events(spark):
         weekly.WeeklyConfig(lookback_days=0)
 
 
-def test_entry_without_the_corpus_package():
+def test_entry_without_the_corpus_package(monkeypatch):
+    import sys
+
     import __spark_entry__
 
     assert set(QUERIES) <= set(__spark_entry__.queries()) and set(ORACLES) <= set(__spark_entry__.oracle_sql()) and set(ORACLES) <= set(QUERIES)
+    for name in [n for n in sys.modules if n.startswith("tideline.llm")] + ["corpus_pipeline"]:
+        monkeypatch.delitem(sys.modules, name, raising=False)
+    for name in ("tideline.llm", "tideline.llm.queries"):
+        monkeypatch.setitem(sys.modules, name, None)  # an import of it fails
+    assert set(__spark_entry__.queries()) == set(QUERIES) and set(__spark_entry__.oracle_sql()) == set(ORACLES)

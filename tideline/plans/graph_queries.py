@@ -8,7 +8,7 @@ from ..functions.lineage import written
 from ..operators import graph, scores
 from . import market as m
 
-_HOPS = """,
+HOPS_SQL = """,
 h0 AS (SELECT shock_id, node_id, shock FROM shocks),
 h1 AS (SELECT shock_id, target AS node_id, sum(shock * w) AS shock FROM h0 JOIN edges ON node_id = source GROUP BY ALL),
 h2 AS (SELECT shock_id, target AS node_id, sum(shock * w) AS shock FROM h1 JOIN edges ON node_id = source GROUP BY ALL),
@@ -118,8 +118,8 @@ _NAME = "source || '->' || target"
 
 QUERIES = {f.__name__: f for f in (region_shock_customers, shock_layers, node_checks, edge_checks, edge_weights, layer_counts, bad_shocks, nation_part_transmission, region_supplier_paths, ticker_checks, equity_scores, contribution_maps)}
 ORACLES = {
-    "region_shock_customers": f"{_WITH}, {_REGION}{_HOPS} SELECT shock_id, ticker, round(shock, 6) AS shock FROM reached JOIN nodes USING (node_id) WHERE layer = 4",
-    "shock_layers": f"{_WITH}, {_SUPPLIER}{_HOPS} SELECT shock_id, layer, count(*) AS n_nodes, round(sum(shock), 6) AS total FROM reached JOIN nodes USING (node_id) GROUP BY ALL",
+    "region_shock_customers": f"{_WITH}, {_REGION}{HOPS_SQL} SELECT shock_id, ticker, round(shock, 6) AS shock FROM reached JOIN nodes USING (node_id) WHERE layer = 4",
+    "shock_layers": f"{_WITH}, {_SUPPLIER}{HOPS_SQL} SELECT shock_id, layer, count(*) AS n_nodes, round(sum(shock), 6) AS total FROM reached JOIN nodes USING (node_id) GROUP BY ALL",
     "node_checks": f"WITH {m.NODES_SQL} SELECT 'kind_mismatch' AS rule, node_id AS entity, 'raw' AS detail FROM nodes WHERE node_id IN ('N:3', 'S:7')",
     "edge_checks": f"""{_WITH} SELECT rule, count(*) AS n, count(DISTINCT name) AS n_edges FROM (
         SELECT 'cost_share_range' AS rule, {_NAME} AS name FROM edges WHERE source = 'S:1'
@@ -134,9 +134,10 @@ ORACLES = {
         SELECT n.node_id AS source, p.node_id AS target, round(coalesce(w, 0.0), 6) AS weight, NULL::VARCHAR AS error FROM (SELECT node_id FROM nodes WHERE layer = 1) n CROSS JOIN (SELECT node_id FROM nodes WHERE layer = 3) p LEFT JOIN t ON t.source = n.node_id AND t.target = p.node_id
         UNION ALL SELECT node_id, node_id, 1.0, NULL FROM nodes WHERE layer = 1
         UNION ALL SELECT node_id, '?' || node_id, NULL, 'unknown_node' FROM nodes WHERE layer = 0""",
-    "region_supplier_paths": f"WITH {m.EDGES_SQL} SELECT a.source, b.target, a.source || '>' || a.target || '>' || b.target AS path, round(a.w * b.w, 6) AS transmission_weight FROM edges a JOIN edges b ON a.target = b.source WHERE a.source LIKE 'R:%'",
+    "region_supplier_paths": f"""WITH {m.EDGES_SQL}, up AS MATERIALIZED (SELECT source, target, w FROM edges WHERE source LIKE 'R:%'), down AS MATERIALIZED (SELECT source, target, w FROM edges WHERE source LIKE 'N:%')
+        SELECT a.source, b.target, a.source || '>' || a.target || '>' || b.target AS path, round(a.w * b.w, 6) AS transmission_weight FROM up a JOIN down b ON a.target = b.source""",
     "ticker_checks": f"WITH {m.NODES_SQL} SELECT 'duplicate_ticker' AS rule, t AS entity, count(*)::VARCHAR AS detail FROM (SELECT regexp_replace(ticker, '[0-9]$', '') AS t FROM nodes WHERE layer = 4) GROUP BY t HAVING count(*) > 1",
-    "equity_scores": f"""{_WITH}, {_SIGNALS}, shocks AS (SELECT candidate_id AS shock_id, node_id, s AS shock FROM signals WHERE abs(s) > 0.4){_HOPS}
+    "equity_scores": f"""{_WITH}, {_SIGNALS}, shocks AS (SELECT candidate_id AS shock_id, node_id, s AS shock FROM signals WHERE abs(s) > 0.4){HOPS_SQL}
         SELECT 'all' AS snapshot_id, ticker, round(coalesce(sum(shock), 0.0), 6) AS score FROM (SELECT node_id, ticker FROM nodes WHERE layer = 4) LEFT JOIN reached USING (node_id) GROUP BY ticker""",
     "contribution_maps": f"""WITH {m.EDGES_SQL}, {_SIGNALS} SELECT 'all' AS snapshot_id, candidate_id, string_agg(s_name || '=' || printf('%.6f', s * w), ';' ORDER BY s_name) AS terminal_contributions
         FROM signals JOIN edges ON source = node_id JOIN supplier ON target = 'S:' || s_suppkey WHERE abs(s) > 0.4 GROUP BY candidate_id""",

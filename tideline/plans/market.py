@@ -162,9 +162,7 @@ def cross_section(spark: SparkSession, sf_dir: str) -> DataFrame:
     return df.select(F.make_date("year", F.lit(12), F.lit(31)).alias("as_of_date"), F.col("c_name").alias("ticker"), "raw_score", F.log("spend").alias("log_market_cap"), (F.col("late") / F.col("early") - 1).alias("momentum_12m"), F.exp(F.col("c_acctbal") / 10000).alias("price_to_book"), F.col("c_mktsegment").alias("sector"))
 
 
-CROSS_SECTION_SQL = (
-    TRADES_SQL
-    + """,
+_YEARLY = """
 yearly AS (
   SELECT year(ordered) AS y, o_custkey, sum(amount)::DOUBLE AS spend, (sum(amount) FILTER (month(ordered) > 6))::DOUBLE AS late, (sum(amount) FILTER (month(ordered) <= 6))::DOUBLE AS early,
          sum(discount)::DOUBLE / count(*) AS raw_score
@@ -172,4 +170,9 @@ yearly AS (
 panel AS (
   SELECT make_date(y::INT, 12, 31) AS as_of_date, c_name AS ticker, raw_score, ln(spend) AS log_market_cap, late / early - 1 AS momentum_12m, exp(c_acctbal / 10000) AS price_to_book, c_mktsegment AS sector
   FROM yearly JOIN customer ON o_custkey = c_custkey WHERE late IS NOT NULL AND early IS NOT NULL)"""
-)
+CROSS_SECTION_SQL = TRADES_SQL + "," + _YEARLY
+
+
+def yearly_panel_sql() -> str:
+    """The cross-sections where the trades are there already."""
+    return _YEARLY

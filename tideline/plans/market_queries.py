@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+import zlib
+
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ..functions.lineage import written
+from ..functions.lineage import shared_dir, written
 from ..operators import factors, neutralize, rank_ic, report, returns
+from ..sources import sinks, tables
+from . import backtest, weekly
 from . import market as m
 
 HORIZONS = (3, 30, 90)
@@ -122,8 +128,121 @@ def neutral_coefficients(spark, d):
 
 
 def neutral_correlations(spark, d):
-    panel = m.cross_section(spark, d)
-    return neutralize.correlations(panel, "raw_score").select("as_of_date", "exposure", F.round("correlation", 6).alias("correlation"))
+    """Each exposure's correlation with the raw score, and whether alpha is neutral to it."""
+    panel = written(m.cross_section(spark, d), "cross-section")
+    raw = neutralize.correlations(panel, "raw_score").select("as_of_date", "exposure", F.round("correlation", 6).alias("raw_correlation"))
+    alpha = neutralize.neutralize(panel).correlations.select("as_of_date", "exposure", (F.abs("correlation") < 1e-8).alias("alpha_is_neutral"))
+    return raw.join(alpha, ["as_of_date", "exposure"])
+
+
+def neutral_failures(spark, d):
+    """The cross-section with a fault planted in each year: the reason of each, and what stays in the panel."""
+    p = m.cross_section(spark, d)
+    year = F.year("as_of_date")
+    first = F.row_number().over(Window.partitionBy("as_of_date").orderBy("ticker"))
+    p = p.withColumn("rn", first).where((year != 1995) | (F.col("rn") <= 12))
+    p = p.withColumn("raw_score", F.when(year == 1996, F.lit(0.25)).when((year == 1997) & (F.col("rn") == 3), F.lit(float("inf"))).when(year == 2000, 2 * F.col("price_to_book") + 1).otherwise(F.col("raw_score")))
+    p = p.withColumn("sector", F.when((year == 1998) & (F.col("rn") == 2), F.lit(" \t")).when(year == 1999, F.lit("ALL")).otherwise(F.col("sector")))
+    p = p.withColumn("momentum_12m", F.when(year == 2001, F.lit(0.5)).otherwise(F.col("momentum_12m")))
+    out = neutralize.neutralize(p.drop("rn"))
+    kept = out.panel.groupBy("as_of_date").agg(F.count("*").alias("n_kept"), F.sum((F.col("alpha_z") != 0).cast("long")).alias("n_moved"))
+    return out.diagnostics.join(kept, "as_of_date", "left").select("as_of_date", "n", "reason", F.coalesce("n_kept", F.lit(0)).alias("n_kept"), F.coalesce("n_moved", F.lit(0)).alias("n_moved"))
+
+
+def snapshot_faults(spark, d):
+    """Monthly snapshots with planted faults: what each check finds."""
+    s = m.snapshots(spark, d).withColumn("source_text", F.when(F.month("as_of_date") == 2, F.lit(" \n")).otherwise(F.lit("news")))
+    s = s.unionByName(s.where("month(as_of_date) = 3"))
+    n = m.nodes(spark, d).where("layer <= 1")
+    cands = m.snapshots(spark, d).where("month(as_of_date) <> 4").join(n.where("layer = 1"), F.pmod(F.crc32("node_id"), F.lit(12)) + 1 == F.month("as_of_date"))
+    cands = cands.select("snapshot_id", F.concat(F.lit("Candidate_"), F.substring("node_id", 3, 9)).alias("anonymized_id"), F.col("node_id").alias("graph_node_id"))
+    five = m.snapshots(spark, d).where("month(as_of_date) = 5")
+    odd = [five.select("snapshot_id", F.lit(a).alias("anonymized_id"), F.lit(g).alias("graph_node_id")) for a, g in (("Twice", "N:1"), ("Twice", "N:2"), ("Lost", "?"), ("Listed", "C:1"), ("Old_1999", "N:3"))]
+    for x in odd:
+        cands = cands.unionByName(x)
+    nodes = m.nodes(spark, d)
+    config = backtest.BacktestConfig(start_year=1997, end_year=2000, floor_year=1990)
+    return backtest.snapshot_violations(s, cands, nodes, config).groupBy("rule").agg(F.count("*").alias("n"), F.count_distinct("entity").alias("n_entities"))
+
+
+def given_returns(spark, d):
+    """Returns read from a table that lacks a horizon in some months and tickers in others."""
+    dates, tickers = m.snapshots(spark, d), m.universe(spark, d)
+    number = F.substring("ticker", 3, 9).cast("int")
+    full = dates.crossJoin(tickers).withColumn("horizon_days", F.explode(F.array(*[F.lit(h) for h in HORIZONS])))  # the given table's size
+    table = full.where(~((F.month("as_of_date") == 6) & (F.col("horizon_days") == 30)) & (number % 7 != F.month("as_of_date") % 7)).select("as_of_date", "horizon_days", "ticker", (number / 1000 + F.col("horizon_days")).alias("ret"))
+    lacking = returns.missing_fixture_keys(table, dates, list(HORIZONS)).withColumn("is_lacking", F.lit(True))
+    other = rank_ic.missing_horizons(table, dates, list(HORIZONS)).withColumn("provider_lacks", F.lit(True))
+    out = returns.fixture_returns(table, dates, tickers, list(HORIZONS))
+    sums = out.groupBy("as_of_date", "horizon_days").agg(F.count("*").alias("n"), F.count("ret").alias("n_given"), F.round(F.sum("ret"), 6).alias("total"))
+    return sums.join(lacking, ["as_of_date", "horizon_days"], "left").join(other, ["as_of_date", "horizon_days"], "left").select(*sums.columns, F.coalesce("is_lacking", F.lit(False)).alias("is_lacking"), F.coalesce("provider_lacks", F.lit(False)).alias("provider_lacks"))
+
+
+def walk_forward(spark, d):
+    """The whole backtest: a third of the nations is a candidate each New Year, customers are the universe, with prices from their orders."""
+    nodes = m.nodes(spark, d)
+    snaps = m.table(spark, d, "orders").select(F.trunc(F.to_date("o_orderdate"), "year").alias("as_of_date")).distinct().select(F.date_format("as_of_date", "yyyy").alias("snapshot_id"), "as_of_date", F.concat(F.lit("Notes on SRF in "), F.date_format("as_of_date", "yyyy")).alias("source_text"))
+    key = F.substring("node_id", 3, 9).cast("int")
+    role = F.element_at(F.array(F.lit("solar glass"), F.lit("transformer core"), F.lit("fluor"), F.lit("other")), key % 4 + 1)
+    cands = snaps.join(nodes.where("layer = 1"), (key + F.year("as_of_date")) % 3 == 0).select("snapshot_id", F.concat(F.lit("Candidate_"), key.cast("string")).alias("anonymized_id"), F.col("node_id").alias("graph_node_id"), role.alias("physical_role"))
+    config = backtest.BacktestConfig(start_year=1990, end_year=2010, horizons=(180, 365), primary=180, threshold=0.3, floor_year=1990)
+    lookup = returns.ReturnConfig(horizons=(180, 365), max_lag=60, buffer=90)
+    out = backtest.run(snaps, cands, nodes, written(m.edges(spark, d), "edges"), _customer_prices(spark, d), config=config, return_config=lookup)
+    means = out.means.select("horizon_days", F.round("mean_ic", 6).alias("mean_ic"))
+    return out.ics.join(means, "horizon_days").select("snapshot_id", "as_of_date", "horizon_days", F.round("rank_ic", 6).alias("rank_ic"), "n_obs", "reason", "mean_ic")
+
+
+def _customer_prices(spark, d):
+    """A customer's mean order value on each day with orders."""
+    o = m.table(spark, d, "orders").join(m.table(spark, d, "customer").select(F.col("c_custkey").alias("o_custkey"), "c_name"), "o_custkey")
+    return o.groupBy(F.col("c_name").alias("ticker"), F.to_date("o_orderdate").alias("trade_date")).agg((F.sum(F.col("o_totalprice").cast(m.MONEY)).cast("double") / F.count("*")).alias("close"))
+
+
+def factor_faults(spark, d):
+    """The factor table with doubled tickers, and columns of which over a tenth is missing."""
+    df = factors.finished(factors.impute(_raw_factors(spark, d), RAW))
+    twice = df.unionByName(df.where(F.substring("ticker", 3, 9).cast("int") % 10 == 0))
+    gate = factors.missing_gate(factors.missing_shares(_raw_factors(spark, d), RAW), limit=0.1)
+    lacking = factors.frame_violations(df.drop("sector"))
+    return factors.frame_violations(twice).unionByName(gate.withColumn("detail", F.lit("")).select("rule", "entity", "detail")).unionByName(lacking)
+
+
+def _neutral_2000(spark, d):
+    return neutralize.neutralize(m.cross_section(spark, d).where("year(as_of_date) = 2000"))
+
+
+def output_faults(spark, d):
+    """The output check on an alpha table with doubled tickers and values that are no numbers."""
+    a = _neutral_2000(spark, d).panel.join(m.table(spark, d, "customer").select(F.col("c_name").alias("ticker"), "c_custkey"), "ticker")
+    k = F.col("c_custkey")
+    a = a.withColumn("alpha_z", F.when(k % 50 == 0, float("nan")).otherwise(F.col("alpha_z"))).withColumn("price_to_book", F.when(k % 40 == 0, float("-inf")).otherwise(F.col("price_to_book")))
+    a = a.unionByName(a.where(k % 60 == 0))
+    same = {f.name: F.lit(None) for f in weekly.OUTPUT if f.name not in a.columns}
+    out = weekly.output_violations(a.withColumns(same).select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in weekly.OUTPUT]))
+    return out.groupBy("rule", "entity", "detail").agg(F.count("*").alias("n"))
+
+
+def report_table(spark, d):
+    """The report's seven columns, with the pair of raw and neutral values beside them."""
+    a = _neutral_2000(spark, d).panel
+    pair = report.raw_against_neutral(a).select("ticker", F.round(F.col("alpha_z") - F.col("raw_score"), 6).alias("moved"))
+    v = report.alpha_view(a).join(pair, "ticker")
+    return v.select("ticker", "sector", *[F.round(c, 6).alias(c) for c in ("raw_score", "alpha_z", "log_market_cap", "momentum_12m", "price_to_book")], "moved")
+
+
+def report_files(spark, d):
+    """Tables and metadata written twice and read back by the report, with and without a rank-IC history."""
+    path = f"{shared_dir(spark)}/report-{uuid.uuid4().hex}"
+    c = m.table(spark, d, "customer").select(F.col("c_name").alias("ticker"), F.col("c_acctbal").alias("alpha_z"))
+    for part in (c.where("alpha_z < 0"), c):
+        sinks.write_table(part, f"{path}/alpha")
+        sinks.write_metadata(part.agg(F.count("*").alias("n"), F.lit("ok").alias("a_status")), f"{path}/meta")
+    sinks.write_table(m.snapshots(spark, d).select("as_of_date", F.lit(30).alias("horizon_days"), F.lit(0.5).alias("rank_ic")), f"{path}/ics")
+    alpha, meta, ics, _ = tables.read_report(spark, f"{path}/alpha", f"{path}/meta", f"{path}/ics")
+    lost = tables.read_report(spark, f"{path}/alpha", f"{path}/meta", f"{path}/none")[3]
+    odd = tables.read_report(spark, f"{path}/alpha", f"{path}/meta", f"{path}/alpha")[3]
+    one = meta.select("a_status", "n").crossJoin(ics.agg(F.count("*").alias("n_ics")))  # one row each
+    return alpha.crossJoin(F.broadcast(one)).select("ticker", "alpha_z", "a_status", "n", "n_ics", F.lit(lost.split(":")[0]).alias("lost"), F.lit(odd).alias("odd"))
 
 
 def _step(name: str, source: str, y: str) -> str:
@@ -145,28 +264,41 @@ def _step(name: str, source: str, y: str) -> str:
 
 
 _Z = ", ".join(f"({c} - avg({c}) OVER d) / stddev_pop({c}) OVER d AS z{i}" for i, c in enumerate(factors.FACTORS))
-_NEUTRAL = f"""WITH {m.CROSS_SECTION_SQL},
-z AS (SELECT *, {_Z} FROM panel WINDOW d AS (PARTITION BY as_of_date)),{_step("p1", "z", "raw_score")},
+
+
+
+def neutral_sql(tables: str, panel: str) -> str:
+    """``final``: the rows of ``panel`` with their residuals, bounds and alpha."""
+    return f"""WITH {tables},
+z AS (SELECT *, {_Z} FROM {panel} WINDOW d AS (PARTITION BY as_of_date)),{_step("p1", "z", "raw_score")},
 bounded AS (SELECT *, avg(p1_r) OVER d AS rm, stddev_pop(p1_r) OVER d AS rs FROM p1 WINDOW d AS (PARTITION BY as_of_date)),
 w AS (SELECT *, greatest(rm - 3 * rs, least(rm + 3 * rs, p1_r)) AS clipped FROM bounded),{_step("p2", "w", "clipped")},
 final AS (SELECT *, (p2_r - avg(p2_r) OVER d) / stddev_pop(p2_r) OVER d AS alpha FROM p2 WINDOW d AS (PARTITION BY as_of_date))"""
 
 
+_NEUTRAL = neutral_sql(m.CROSS_SECTION_SQL, "panel")
+
+
 def alpha_histogram(spark, d):
     df = neutralize.residuals(written(m.cross_section(spark, d), "cross-section"), neutralize.NeutralizeConfig(), "raw_score")
-    return report.histogram(df, F.round("raw_residual", 6), by=["as_of_date"], bins=40)
+    return report.histogram(df, F.round("alpha_z", 6), by=["as_of_date"], bins=40)
 
 
 def headline(spark, d):
-    df = m.cross_section(spark, d)
-    out = report.headline(df, F.col("raw_score"), by=["as_of_date"])
-    return out.select("as_of_date", "n_rows", F.round("mean", 6).alias("mean"), F.round("population_sd", 6).alias("population_sd"))
+    """Figures of the raw score and of alpha."""
+    df = neutralize.residuals(written(m.cross_section(spark, d), "cross-section"), neutralize.NeutralizeConfig(), "raw_score")
+    raw = report.headline(df, F.col("raw_score"), by=["as_of_date"]).select("as_of_date", "n_rows", F.round("mean", 6).alias("raw_mean"), F.round("population_sd", 6).alias("raw_sd"))
+    alpha = report.headline(df, F.col("alpha_z"), by=["as_of_date"]).select("as_of_date", (F.abs("mean") < 1e-9).alias("centred"), F.round("population_sd", 6).alias("alpha_sd"))
+    return raw.join(alpha, "as_of_date")
 
 
-QUERIES = {f.__name__: f for f in (forward_returns, rank_ics, mean_rank_ic, rank_ic_history, supplier_momentum, factor_gaps, factor_table, neutral_alpha, neutral_diagnostics, neutral_coefficients, neutral_correlations, alpha_histogram, headline)}
+QUERIES = {f.__name__: f for f in (forward_returns, rank_ics, mean_rank_ic, rank_ic_history, supplier_momentum, factor_gaps, factor_table, neutral_alpha, neutral_diagnostics, neutral_coefficients, neutral_correlations, neutral_failures, snapshot_faults, given_returns, walk_forward, factor_faults, output_faults, report_table, report_files, alpha_histogram, headline)}
 _GAPS = " UNION ALL ".join(f"SELECT as_of_date, '{c}' AS \"column\", count(*) AS n, count(*) - count({c}) AS n_missing FROM raw GROUP BY as_of_date" for c in RAW)
 _TERMS = " UNION ALL ".join(f"SELECT as_of_date, 'z_{c}' AS term, any_value(p1_b{i}) AS coefficient FROM e GROUP BY as_of_date" for i, c in enumerate(factors.FACTORS))
-_CORR = " UNION ALL ".join(f"SELECT as_of_date, '{c}' AS exposure, corr(raw_score, {c}) AS correlation FROM panel GROUP BY as_of_date" for c in factors.FACTORS)
+_CORR = " UNION ALL ".join(f"SELECT as_of_date, '{c}' AS exposure, corr(raw_score, {c}) AS r, corr(alpha, {c}) AS a FROM final GROUP BY as_of_date" for c in factors.FACTORS)
+# Months without a candidate: the fourth, and those to which no nation's checksum falls.
+_MONTH_OF = [zlib.crc32(f"N:{i}".encode()) % 12 + 1 for i in range(25)]
+_BARE = ", ".join(str(i) for i in range(1, 13) if i == 4 or (i not in _MONTH_OF and i != 5))
 ORACLES = {
     "forward_returns": f"{_RETURNS} SELECT as_of_date, horizon_days, ticker, round(ret, 6) AS ret FROM rets",
     "rank_ics": f"{_RETURNS} SELECT snapshot_id, as_of_date, horizon_days, round(CASE WHEN reason IS NULL THEN ic END, 6) AS rank_ic, n_obs, reason FROM ics",
@@ -181,9 +313,39 @@ ORACLES = {
         base AS (SELECT as_of_date, min(sector) AS sector, arg_min(effect, sector) AS base FROM e GROUP BY as_of_date)
         SELECT as_of_date, term, round(coefficient, 6) AS coefficient FROM (SELECT as_of_date, 'intercept' AS term, base AS coefficient FROM base UNION ALL {_TERMS}
         UNION ALL SELECT as_of_date, 'sector[' || e.sector || ']', effect - base FROM e JOIN base USING (as_of_date) WHERE e.sector <> base.sector)""",
-    "neutral_correlations": f"""WITH {m.CROSS_SECTION_SQL} SELECT as_of_date, exposure, round(correlation, 6) AS correlation FROM ({_CORR}
-        UNION ALL SELECT p.as_of_date, 'sector[' || s.sector || ']', corr(raw_score, (p.sector = s.sector)::INT) FROM panel p JOIN (SELECT DISTINCT as_of_date, sector FROM panel) s ON s.as_of_date = p.as_of_date GROUP BY ALL)""",
-    "alpha_histogram": f"""{_NEUTRAL}, v AS (SELECT as_of_date, round(p1_r, 6) AS x FROM final), b AS (SELECT as_of_date, min(x) AS lo, max(x) AS hi FROM v GROUP BY as_of_date)
+    "neutral_correlations": f"""{_NEUTRAL} SELECT as_of_date, exposure, round(r, 6) AS raw_correlation, abs(a) < 1e-8 AS alpha_is_neutral FROM ({_CORR}
+        UNION ALL SELECT p.as_of_date, 'sector[' || s.sector || ']', corr(raw_score, (p.sector = s.sector)::INT), corr(alpha, (p.sector = s.sector)::INT) FROM final p JOIN (SELECT DISTINCT as_of_date, sector FROM panel) s ON s.as_of_date = p.as_of_date GROUP BY ALL)""",
+    "neutral_failures": f"""WITH {m.CROSS_SECTION_SQL} SELECT as_of_date, n, reason, CASE WHEN reason IS NULL OR reason = 'no_signal' THEN n ELSE 0 END AS n_kept, CASE WHEN reason IS NULL THEN n ELSE 0 END AS n_moved FROM (
+        SELECT as_of_date, CASE WHEN year(as_of_date) = 1995 THEN least(count(*), 12) ELSE count(*) END AS n, CASE year(as_of_date) WHEN 1995 THEN 'too_few_rows' WHEN 1996 THEN 'no_signal' WHEN 1997 THEN 'non_finite_value' WHEN 1998 THEN 'blank_sector' WHEN 1999 THEN 'one_sector' WHEN 2000 THEN 'degenerate_residual' WHEN 2001 THEN 'constant_factor:momentum_12m' END AS reason FROM panel GROUP BY as_of_date)""",
+    "snapshot_faults": f"""WITH {m.SNAPSHOTS_SQL}, s AS (SELECT *, month(as_of_date) AS mo, year(as_of_date) AS y FROM snapshots), again AS (SELECT * FROM s UNION ALL SELECT * FROM s WHERE mo = 3)
+        SELECT rule, count(*) AS n, count(DISTINCT entity) AS n_entities FROM (
+        SELECT 'outside_window' AS rule, snapshot_id AS entity FROM again WHERE y < 1997 UNION ALL SELECT 'blank_text', snapshot_id FROM again WHERE mo = 2 UNION ALL SELECT 'duplicate_snapshot', snapshot_id FROM s WHERE mo = 3
+        UNION ALL SELECT r, snapshot_id || ':' || r FROM s, (SELECT unnest(['duplicate_candidate', 'unknown_node', 'terminal_node', 'unsafe_alias']) AS r) WHERE mo = 5
+        UNION ALL SELECT 'no_candidate', snapshot_id FROM again WHERE mo IN ({_BARE})) GROUP BY rule""",
+    "given_returns": f"""WITH {m.SNAPSHOTS_SQL}, g AS (SELECT as_of_date, h AS horizon_days, s_suppkey AS k, month(as_of_date) AS mo FROM snapshots, supplier, (SELECT unnest([{", ".join(map(str, HORIZONS))}]) AS h))
+        SELECT as_of_date, horizon_days, count(*) AS n, count(*) FILTER (given) AS n_given, round(sum(k / 1000 + horizon_days) FILTER (given), 6) AS total, NOT bool_or(given) AS is_lacking, NOT bool_or(given) AS provider_lacks
+        FROM (SELECT *, NOT (mo = 6 AND horizon_days = 30) AND k % 7 <> mo % 7 AS given FROM g) GROUP BY ALL""",
+    "walk_forward": f"""WITH {m.EDGES_SQL}, snaps AS (SELECT DISTINCT date_trunc('year', o_orderdate)::DATE AS as_of_date FROM orders),
+        h0 AS (SELECT as_of_date AS t, 'N:' || n_nationkey AS node_id, [0.92, 0.71, 0.5, 0.235][n_nationkey % 4 + 1]::DOUBLE AS shock FROM snaps, nation WHERE (n_nationkey + year(as_of_date)) % 3 = 0 AND n_nationkey % 4 < 3),
+        h1 AS (SELECT t, target AS node_id, sum(shock * w) AS shock FROM h0 JOIN edges ON node_id = source GROUP BY ALL), h2 AS (SELECT t, target AS node_id, sum(shock * w) AS shock FROM h1 JOIN edges ON node_id = source GROUP BY ALL),
+        h3 AS (SELECT t, target AS node_id, sum(shock * w) AS shock FROM h2 JOIN edges ON node_id = source GROUP BY ALL),
+        section AS (SELECT as_of_date, c_name AS ticker, round(coalesce(shock, 0.0), 12) AS score FROM snaps CROSS JOIN customer LEFT JOIN h3 ON h3.t = as_of_date AND h3.node_id = 'C:' || c_custkey),
+        prices AS (SELECT c_name AS ticker, o_orderdate::DATE AS trade_date, sum(o_totalprice::DECIMAL(18,2))::DOUBLE / count(*) AS close FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY ALL),
+        lookups AS (SELECT as_of_date, c_name AS ticker, o, (as_of_date + o::INT)::DATE AS t FROM snaps, customer, (SELECT unnest([0, 180, 365]) AS o)),
+        found AS (SELECT as_of_date, l.ticker, o, min(trade_date) AS d, arg_min(close, trade_date) AS p FROM lookups l JOIN prices ON prices.ticker = l.ticker AND trade_date BETWEEN t AND t + 60 GROUP BY ALL),
+        pairs AS (SELECT as_of_date, x.o AS h, score, x.p / e.p - 1 AS ret FROM found x JOIN found e USING (as_of_date, ticker) JOIN section USING (as_of_date, ticker) WHERE e.o = 0 AND x.o > 0 AND e.p > 0 AND x.p > 0 AND x.d > e.d),
+        ranked AS (SELECT *, rank() OVER (PARTITION BY as_of_date, h ORDER BY score) + (count(*) OVER (PARTITION BY as_of_date, h, score) - 1) / 2 AS rs, rank() OVER (PARTITION BY as_of_date, h ORDER BY ret) + (count(*) OVER (PARTITION BY as_of_date, h, ret) - 1) / 2 AS rr FROM pairs),
+        sums AS (SELECT as_of_date, h, count(*) AS n, min(score) = max(score) AS fs, min(ret) = max(ret) AS fr, CASE WHEN min(score) < max(score) AND min(ret) < max(ret) THEN corr(rs, rr) END AS c FROM ranked GROUP BY ALL),
+        ics AS (SELECT s.as_of_date, k.h, coalesce(n, 0)::INT AS n_obs, CASE WHEN coalesce(n, 0) < 3 THEN 'insufficient_observations' WHEN fs THEN 'constant_score_cross_section' WHEN fr THEN 'constant_return_cross_section' END AS reason, c
+          FROM snaps s CROSS JOIN (SELECT unnest([180, 365]) AS h) k LEFT JOIN sums ON sums.as_of_date = s.as_of_date AND sums.h = k.h)
+        SELECT strftime(as_of_date, '%Y') AS snapshot_id, as_of_date, h AS horizon_days, round(CASE WHEN reason IS NULL THEN c END, 6) AS rank_ic, n_obs, reason, round(avg(CASE WHEN reason IS NULL THEN c END) OVER (PARTITION BY h), 6) AS mean_ic FROM ics""",
+    "factor_faults": f"""{_RAW} SELECT 'duplicate_ticker' AS rule, '2001-12-31:' || ticker AS entity, '2' AS detail FROM raw WHERE substr(ticker, 3)::INT % 10 = 0
+        UNION ALL SELECT 'too_many_missing', '2001-12-31:' || "column", '' FROM ({_GAPS}) WHERE n_missing / n > 0.1 UNION ALL SELECT 'missing_column', 'sector', ''""",
+    "output_faults": f"""WITH {m.CROSS_SECTION_SQL}, a AS (SELECT ticker, c_custkey AS k FROM panel JOIN customer ON ticker = c_name WHERE year(as_of_date) = 2000), b AS (SELECT * FROM a UNION ALL SELECT * FROM a WHERE k % 60 = 0)
+        SELECT rule, entity, detail, count(*) AS n FROM (SELECT DISTINCT 'duplicate_ticker' AS rule, ticker AS entity, '' AS detail FROM a WHERE k % 60 = 0 UNION ALL SELECT 'non_finite', ticker, 'alpha_z' FROM b WHERE k % 50 = 0 UNION ALL SELECT 'non_finite', ticker, 'price_to_book' FROM b WHERE k % 40 = 0) GROUP BY ALL""",
+    "report_table": f"""{_NEUTRAL} SELECT ticker, sector, round(raw_score, 6) AS raw_score, round(alpha, 6) AS alpha_z, round(log_market_cap, 6) AS log_market_cap, round(momentum_12m, 6) AS momentum_12m, round(price_to_book, 6) AS price_to_book, round(alpha - raw_score, 6) AS moved FROM final WHERE year(as_of_date) = 2000""",
+    "report_files": f"""WITH {m.SNAPSHOTS_SQL} SELECT c_name AS ticker, c_acctbal AS alpha_z, 'ok' AS a_status, (SELECT count(*) FROM customer) AS n, (SELECT count(*) FROM snapshots) AS n_ics, 'no rank-IC history' AS lost, 'rank-IC history lacks as_of_date, horizon_days, rank_ic' AS odd FROM customer""",
+    "alpha_histogram": f"""{_NEUTRAL}, v AS (SELECT as_of_date, round(alpha, 6) AS x FROM final), b AS (SELECT as_of_date, min(x) AS lo, max(x) AS hi FROM v GROUP BY as_of_date)
         SELECT as_of_date, least(floor((x - lo) / (hi - lo) * 40)::INT, 39) AS bin, count(*) AS n FROM v JOIN b USING (as_of_date) GROUP BY ALL""",
-    "headline": f"WITH {m.CROSS_SECTION_SQL} SELECT as_of_date, count(*) AS n_rows, round(avg(raw_score), 6) AS mean, round(stddev_pop(raw_score), 6) AS population_sd FROM panel GROUP BY as_of_date",
+    "headline": f"{_NEUTRAL} SELECT as_of_date, count(*) AS n_rows, round(avg(raw_score), 6) AS raw_mean, round(stddev_pop(raw_score), 6) AS raw_sd, true AS centred, round(stddev_pop(alpha), 6) AS alpha_sd FROM final GROUP BY as_of_date",
 }

@@ -7,17 +7,19 @@ from datetime import datetime
 from pyspark.sql import functions as F
 
 from ..functions.dates import extract_date
-from ..functions.lineage import written
+from ..functions.lineage import spread, written
 from ..operators import events as ev
 from ..operators import features, masking, routing
 from ..sources import html, tables
 from . import market as m
 from . import weekly
+from .graph_queries import HOPS_SQL
+from .market_queries import neutral_sql
 
 
 
 def _events(spark, d):
-    """Events of the event table; ids repeat, as urls are numbered modulo 997 and titles by user modulo 10."""
+    """Events of the event table; ids repeat, as urls are numbered modulo 97 and titles by user modulo 10."""
     t = m.table(spark, d, "events")
     title = F.concat(F.lit("  The "), "event_type", F.lit(" \t of user "), (F.col("user_id") % 10).cast("string"), F.lit(" "))
     return ev.make_events(t, source=F.lit("MOCK"), event_type=F.col("event_type"), published_date=F.to_date("ts"), title=title, url=F.concat(F.lit("mock://"), (F.col("event_id") % 97).cast("string")), text=F.concat(F.lit(" Value "), F.format_string("%.2f", "value"), F.lit("\n")), metadata=F.create_map(F.lit("k"), F.get_json_object("props", "$.k")), fetched_at=F.col("ts"), keep=("value",))
@@ -74,8 +76,21 @@ def dates_in_text(spark, d):
     return t.select("o_orderkey", extract_date(F.col("text")).alias("found"), iso.alias("true_iso"))
 
 
+def _field(day):
+    """Dates as whole fields in eight notations, one of them no date."""
+    f = lambda pattern: F.date_format(day, pattern)
+    forms = [f("dd/MM/yyyy"), f("MM-dd-yyyy"), F.concat(f("d MMM yyyy"), F.lit(" ")), f("yyyy-MM-dd'T'10:11:12.50"), f("dd.MM.yyyy 10:11"), f("MMMM d, yyyy"), F.lit("someday"), f("yyyyMMdd")]
+    return F.element_at(F.array(*forms), (F.col("o_orderkey") % 8 + 1).cast("int"))
+
+
+_FIELD = """fields AS (
+  SELECT *, o_orderkey % 8 AS form, CASE WHEN o_orderkey % 8 = 6 THEN NULL WHEN o_orderkey % 8 IN (1, 3) AND day(d) <= 12 THEN make_date(year(d), day(d), month(d)) ELSE d END AS found
+  FROM (SELECT *, o_orderdate::DATE AS d FROM orders))"""
+
+
 def quality_orders(spark, d):
-    t = _dated(spark, d).select(F.when(F.col("o_orderkey") % 11 == 0, " nan ").otherwise(F.concat(F.lit(" Item "), F.col("o_orderkey").cast("string"))).alias("Product name"), F.col("text").alias("Date of Enforcement"), F.col("o_orderpriority").alias("Ministry"), F.col("o_orderstatus").alias("Indian Standard"))
+    o = m.table(spark, d, "orders")
+    t = o.select(F.when(F.col("o_orderkey") % 11 == 0, " nan ").otherwise(F.concat(F.lit(" Item "), F.col("o_orderkey").cast("string"))).alias("Product name"), _field(F.col("o_orderdate")).alias("Date of Enforcement"), F.col("o_orderpriority").alias("Ministry"), F.col("o_orderstatus").alias("Indian Standard"))
     out = ev.quality_orders(t, F.to_date(F.lit("1998-01-01")), F.to_date(F.lit("1998-03-31")), "mock://orders")
     return out.select("event_id", "published_date", "title", "text", F.col("metadata")["enforcement_date"].alias("enforcement"))
 
@@ -83,12 +98,12 @@ def quality_orders(spark, d):
 def announcements(spark, d):
     o = m.table(spark, d, "orders")
     key, k = F.col("o_orderkey").cast("string"), F.col("o_orderkey")
-    day = F.date_format("o_orderdate", "dd/MM/yyyy")
+    day = _field(F.col("o_orderdate"))
     rows = F.struct(
         F.when(k % 3 > 0, F.concat(F.lit(" Order "), key)).otherwise("").alias("NEWSSUB"),
         F.when(k % 3 == 0, F.when(k % 9 > 0, F.concat(F.lit("Headline "), key))).alias("HEADLINE"),
-        F.when(k % 2 == 0, day).alias("NEWS_DT"),
-        F.when(k % 2 == 1, day).alias("DT_TM"),
+        F.when(k % 5 > 2, day).otherwise("").alias("NEWS_DT"),
+        F.when(k % 5 <= 2, day).alias("DT_TM"),
         F.when(k % 4 == 0, F.concat(F.lit("http://x/"), key)).when(k % 4 == 1, F.concat(key, F.lit(".pdf"))).alias("ATTACHMENTNAME"),
         F.concat(F.lit("Customer "), F.col("o_custkey").cast("string")).alias("SLONGNAME"),
         F.col("o_custkey").alias("SCRIP_CD"),
@@ -100,6 +115,15 @@ def announcements(spark, d):
     return out.select("event_id", "published_date", "title", "url", "text", F.col("metadata")["company_name"].alias("company"), F.col("metadata")["scrip_code"].alias("code"))
 
 
+def source_statuses(spark, d):
+    """Each event type as a source of its own, and one source that fails: its fault is recorded, the others are merged."""
+    e = _events(spark, d)
+    kinds = ("click", "purchase", "signup", "view")
+    sources = {k: (lambda k=k: e.where(F.col("event_type") == k)) for k in kinds} | {"broken": lambda: e.select("no_such_column")}
+    kept, status = ev.collected(spark, sources, lambda df, name: written(df, f"source-{name}"))
+    return status.select("source", "n_events", F.substring_index("error", ":", 1).alias("error"), F.lit(kept.count()).alias("n_merged"))
+
+
 RULES = [(r"\b(ththe?|orre)\b", "N:1"), (r"\bder\b", "N:2"), (r"\b(la|les?)\b", "N:3"), (r"\bque", "P:1"), (r"\bthe\b", "C:1"), (r"\bfor (the|of)\b", "S:5")]
 
 
@@ -151,6 +175,27 @@ def documents_masked(spark, d):
     return out.select("o_orderkey", F.col("mask.masked_text").alias("masked"), log.alias("log"), F.size("mask.redactions").alias("n_redactions"))
 
 
+def names_masked(spark, d):
+    """Executives beside the default companies, tickers and events, with one default overridden by the document's own alias."""
+    c = m.table(spark, d, "customer")
+    k = F.col("c_custkey")
+    name = F.concat(F.lit("Director "), (k % 40).cast("string"))
+    firm = F.element_at(F.array(*[F.lit(x) for x in ("borosil renewables limited", "SRF", "Voltamp Transformers", "Aarti", "TRIL.NS")]), (k % 5 + 1).cast("int"))
+    text = F.concat(name, F.lit(" of "), firm, F.lit(" and Director X spoke after Covid-19; SRFX and Director "), (k % 40).cast("string"), F.lit("s did not."))
+    t = c.select("c_custkey", text.alias("text"), F.array(F.lit("Director X"), F.concat(F.lit(" "), name), name, F.lit(" ")).alias("people"), F.create_map(F.lit("SRF"), F.lit("Own_1")).alias("own"))
+    out = masking.mask(t, executives="people", companies="own")
+    return out.select("c_custkey", F.col("mask.masked_text").alias("masked"), F.array_join(F.transform("mask.redactions", lambda r: F.concat_ws(":", r["category"], r["original"], r["replacement"])), ";").alias("log"))
+
+
+def blank_documents(spark, d):
+    """Documents that can't be masked, by their reason."""
+    o = m.table(spark, d, "orders")
+    text = F.when(F.col("o_orderkey") % 10 == 0, " \t\n").when(F.col("o_orderkey") % 10 > 1, F.col("o_orderpriority"))
+    own = F.create_map(F.lit("HIGH"), F.when(F.col("o_orderkey") % 10 == 2, " ").otherwise("Level_1"))
+    out = masking.mask(o.select("o_orderkey", text.alias("text"), own.alias("own")), events="own", defaults=False)
+    return out.groupBy(F.col("mask.reason").alias("reason"), F.col("mask.masked_text").alias("masked")).agg(F.count("*").alias("n"), F.sum(F.size("mask.redactions")).alias("n_redactions"))
+
+
 def mask_leaks(spark, d):
     """Names cut to their stem are masked as words but stay inside longer words: each is reported."""
     t = _orders_text(spark, d).withColumn("text", F.concat(F.lit("Segment "), "c_mktsegment", F.lit(" and "), F.when(F.col("o_orderkey") % 3 == 0, F.concat(F.lower("c_mktsegment"), F.lit("s"))).otherwise("none")))
@@ -160,7 +205,7 @@ def mask_leaks(spark, d):
 
 def _responses(spark, d):
     """JSON responses from line items, with planted faults."""
-    x = m.table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_discount", "l_tax", "l_quantity")
+    x = spread(m.table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_discount", "l_tax", "l_quantity"))
     k = F.col("l_orderkey") % 10
     alias = F.concat(F.lit("Candidate_"), (F.col("l_orderkey") % 1000).cast("string"))
     num = lambda c: F.format_string("%.2f", c)
@@ -170,7 +215,9 @@ def _responses(spark, d):
     who = F.when(k == 4, "Someone").otherwise(alias)
     t = F.when(k == 5, "NaN").when(k == 6, F.concat(F.lit('"'), num(F.col("l_tax")), F.lit('"'))).otherwise(num(F.col("l_tax")))
     body = F.concat(F.lit('{"candidate_node_alias": "'), who, F.lit('", "E_sub": '), e, F.lit(', "P_pricing": '), num(F.col("l_quantity") / 100), F.lit(', "T_policy": '), t, F.lit(', "confidence": 0.82'), extra, F.lit(', "evidence": [{"observation": "seen", "effect": "'), effect, F.lit('"}]}'))
-    raw = F.when(k == 7, F.substring(body, 1, 40)).when(k == 8, F.concat(F.lit("```json\n"), body, F.lit("\n```"))).otherwise(body)
+    fences = [("```json\n", "\n```"), ("\n\t```\n", "\n```\n"), ("```JSON ", "```"), ("```json\n", ""), ("``` ", " \n```  "), (" \n", "\n")]
+    fenced = F.element_at(F.array(*[F.concat(F.lit(a), body, F.lit(b)) for a, b in fences]), (F.col("l_linenumber") % 6 + 1).cast("int"))
+    raw = F.when(k == 7, F.substring(body, 1, 40)).when(k == 8, fenced).when(k == 9, F.concat(F.lit("\n\t"), body, F.lit("\r\n"))).otherwise(body)
     return x.select("l_orderkey", "l_linenumber", alias.alias("candidate_node_alias"), raw.alias("raw_json"))
 
 
@@ -193,8 +240,16 @@ def unsafe_aliases(spark, d):
 
 def prompts(spark, d):
     p = m.table(spark, d, "part")
-    text = features.prompt(F.concat(F.lit("Candidate_"), F.col("p_partkey").cast("string")), F.lit(3), F.col("p_name"), F.col("p_type"), "score it")
-    return p.select("p_partkey", text.alias("prompt"), features.output_leak(text, F.array("p_type")).alias("leak"))
+    text = features.prompt(F.concat(F.lit("Candidate_"), F.col("p_partkey").cast("string")), F.lit(3), F.col("p_name"), F.when(F.col("p_partkey") % 7 > 0, F.concat("p_type", F.lit('xx\n"q"'))))
+    return p.select("p_partkey", text.alias("prompt"), features.output_leak(text, F.array(F.concat("p_type", F.lit("XX")))).alias("leak"))
+
+
+def response_leaks(spark, d):
+    """Serialized responses that hold a masked literal or, as part of a number, a year."""
+    x = m.table(spark, d, "lineitem")
+    raw = F.concat(F.lit('{"T_policy": 0.'), F.when(F.col("l_orderkey") % 4 == 0, "2019").when(F.col("l_orderkey") % 4 == 1, "20190").otherwise("21"), F.lit(', "observation": "'), F.when(F.col("l_linenumber") == 2, "acmeworks").otherwise("none"), F.lit('"}'))
+    found = features.output_leak(raw, F.array(F.lit("Acme")))
+    return x.groupBy(raw.alias("raw"), found.alias("leak")).agg(F.count("*").alias("n"))
 
 
 def page_texts(spark, d):
@@ -229,22 +284,52 @@ def universe_list(spark, d):
     return tables.universe(lines, order="line", min_rows=1)
 
 
-def weekly_alpha(spark, d):
-    """The weekly run over the documents as events, the star-schema graph and the customers of the last full year."""
+def _weekly(spark, d):
     docs = m.table(spark, d, "documents")
     e = ev.make_events(docs, source=F.lit("MOCK"), event_type=F.col("lang"), published_date=F.date_add(F.to_date(F.lit("2024-01-01")), (F.col("doc_id") % 28).cast("int")), title=F.concat(F.lit("Document "), F.col("doc_id").cast("string")), url=F.concat(F.lit("mock://"), F.col("doc_id").cast("string")), text=F.col("text"), fetched_at=F.lit("2024-02-01 00:00:00").cast("timestamp"))
     panel = written(m.cross_section(spark, d), "weekly-panel")
     factors = panel.where("year(as_of_date) = 2000").drop("as_of_date", "raw_score")
     edges = written(m.edges(spark, d), "weekly-edges")
-    config = weekly.WeeklyConfig(lookback_days=31)
-    return weekly.run(e, m.nodes(spark, d), edges, factors, now=datetime(2024, 1, 31, 6, 0), config=config, rules=RULES).alpha
+    status = spark.createDataFrame([("MOCK", 1, None), ("OTHER", 0, "ValueError: down")], "source string, n_events long, error string")
+    return weekly.run(e, m.nodes(spark, d), edges, factors, now=datetime(2024, 1, 31, 6, 0), config=weekly.WeeklyConfig(lookback_days=31), source_status=status, rules=RULES)
+
+
+def weekly_alpha(spark, d):
+    """The weekly run over the documents as events, the star-schema graph, and as its universe the customers of the last full year, 2000."""
+    out = _weekly(spark, d).alpha
+    return out.select(*[F.round(c, 6).alias(c) if c in weekly.NUMERIC else F.col(c) for c in out.columns])
+
+
+def weekly_metadata(spark, d):
+    out = _weekly(spark, d).metadata
+    steps = F.array_join(F.array_sort(F.map_keys("stage_seconds")), ",")
+    return out.select("n_securities", (F.abs("alpha_mean") < 1e-9).alias("centred"), F.round("alpha_population_sd", 6).alias("alpha_population_sd"), "active_candidates", "run_id", "pipeline_status", F.col("event_count").cast("long").alias("event_count"), F.col("routed_candidate_count").cast("long").alias("routed_candidate_count"), F.col("source_failure_count").cast("long").alias("source_failure_count"), steps.alias("steps"))
 
 
-QUERIES = {f.__name__: f for f in (weekly_alpha, event_ids, events_merged, events_window, event_keywords, dates_in_text, quality_orders, announcements, routed_events, node_documents, years_masked, documents_masked, mask_leaks, feature_records, stand_in_scores, unsafe_aliases, prompts, page_texts, page_links, page_notices, prices_long, universe_list)}
+QUERIES = {f.__name__: f for f in (weekly_alpha, weekly_metadata, event_ids, events_merged, events_window, event_keywords, dates_in_text, quality_orders, announcements, source_statuses, routed_events, node_documents, years_masked, documents_masked, names_masked, blank_documents, mask_leaks, feature_records, stand_in_scores, unsafe_aliases, prompts, response_leaks, page_texts, page_links, page_notices, prices_long, universe_list)}
 _TEXT = """t AS (SELECT o_orderkey, c_name, c_mktsegment, year(o_orderdate)::VARCHAR AS y FROM orders JOIN customer ON o_custkey = c_custkey),
 n AS (SELECT *, 'T_' || len(list_filter(list_distinct([y, '2001', '2002']), lambda x: x < y)) AS ty, 'T_' || len(list_filter(list_distinct([y, '2001', '2002']), lambda x: x < '2001')) AS ta, 'T_' || len(list_filter(list_distinct([y, '2001', '2002']), lambda x: x < '2002')) AS tb FROM t)"""
 _FOUND = "('Order of ' || CASE form WHEN 0 THEN strftime(day, '%d/%m/%Y') WHEN 1 THEN strftime(day, '%m-%d-%Y') WHEN 2 THEN strftime(day, '%-d %b %Y') WHEN 3 THEN strftime(day, '%Y-%m-%d') END)"
+# Entities of the pages; the links of the pages stand in lists, an anchor an item.
+_DECODED = "replace(replace(replace(replace(%s, '&quot;', '\"'), '&copy;', '©'), '&middot;', '·'), '&amp;', '&')"
+_LINKS = f"""links AS (
+  SELECT url AS page_url, regexp_extract(url, '^[^/]*//[^/?#]*') || {_DECODED % "regexp_extract(a, 'href=.([^>]*).>', 1)"} AS url, trim({_DECODED % "regexp_extract(a, '>([^<]*)</a>', 1)"}) AS title
+  FROM (SELECT url, unnest(regexp_extract_all(html, '<a href=[^>]*>[^<]*</a>')) AS a FROM pages))"""
+_WORD = lambda rx: rf"regexp_matches(t, '(?i)(^|[^\pL\pN_]){rx}($|[^\pL\pN_])')"
+_HITS = f"""picked AS (SELECT DISTINCT unnest(list_filter([CASE WHEN {_WORD("(ththe?|orre)")} THEN 'N:1' END, CASE WHEN {_WORD("der")} THEN 'N:2' END, CASE WHEN {_WORD("(la|les?)")} THEN 'N:3' END,
+  CASE WHEN regexp_matches(t, '(?i)(^|[^\pL\pN_])que') THEN 'P:1' END, CASE WHEN {_WORD("for (the|of)")} THEN 'S:5' END], lambda x: x IS NOT NULL)) AS node_id FROM (SELECT 'Document ' || doc_id || chr(10) || text AS t FROM documents))"""
+# The stand-in gives 0.235 to all nodes: no label names glass, cores or fluor.
+_WEEKLY = neutral_sql(
+    f"{m.EDGES_SQL}, {m.yearly_panel_sql()}, {_HITS}, shocks AS (SELECT 'week' AS shock_id, node_id, 0.235::DOUBLE AS shock FROM picked){HOPS_SQL}, "
+    "hit AS (SELECT c_name AS ticker, sum(shock) AS shock FROM reached JOIN customer ON node_id = 'C:' || c_custkey GROUP BY ALL), "
+    "week AS (SELECT panel.* REPLACE (round(coalesce(shock, 0.0), 12) AS raw_score) FROM panel LEFT JOIN hit USING (ticker) WHERE year(as_of_date) = 2000)",
+    "week",
+)
 ORACLES = {
+    "weekly_alpha": f"""{_WEEKLY} SELECT ticker, TIMESTAMP '2024-01-31 06:00:00' AS as_of_utc, 'supply_chain_alpha' AS module, '20240131T060000Z' AS run_id, 'ok' AS pipeline_status, round(raw_score, 6) AS raw_score, round(alpha, 6) AS alpha_z, round(log_market_cap, 6) AS log_market_cap, round(momentum_12m, 6) AS momentum_12m, round(price_to_book, 6) AS price_to_book, sector,
+        (SELECT count(*) FROM documents) AS event_count, (SELECT count(*) FROM picked) AS routed_candidate_count, 1::BIGINT AS source_failure_count FROM final""",
+    "weekly_metadata": f"""{_WEEKLY} SELECT count(*) AS n_securities, true AS centred, round(stddev_pop(alpha), 6) AS alpha_population_sd, (SELECT count(*) FROM picked) AS active_candidates, '20240131T060000Z' AS run_id, 'ok' AS pipeline_status,
+        (SELECT count(*) FROM documents) AS event_count, (SELECT count(*) FROM picked) AS routed_candidate_count, 1::BIGINT AS source_failure_count, 'features,ingestion,neutralization,output,propagation,routing' AS steps FROM final""",
     "event_ids": f"WITH {_EVENTS} SELECT e.event_id, 'MOCK' AS source, e.event_type, published_date, title, url, text, json_extract_string(props, '$.k') AS k FROM ev e JOIN events USING (ts)",
     "events_merged": f"WITH {_EVENTS} SELECT event_id, published_date, title, ts AS fetched_at_utc, text FROM ev QUALIFY row_number() OVER (PARTITION BY event_id ORDER BY (event_type <> 'view') DESC, ts DESC, text DESC) = 1",
     "events_window": f"WITH {_EVENTS} SELECT published_date, event_type, count(*) AS n FROM ev WHERE published_date BETWEEN DATE '2024-01-08' AND DATE '2024-01-14' GROUP BY ALL",
@@ -252,12 +337,14 @@ ORACLES = {
         regexp_matches(text, '(?i)\\b(notification|public notice|trade notice|policy circular|circular|import|export)\\b') AS policy
         FROM (SELECT o_orderpriority || ' ' || ['anti-dumping duty', 'trade remedy', 'Final Findings', 'safeguards', 'Public Notice', 'imports', 'EXPORT licence', 'circular'][(o_orderkey % 8 + 1)::INT] AS text FROM orders) GROUP BY text""",
     "dates_in_text": f"WITH {_DATED} SELECT o_orderkey, found, CASE WHEN form = 3 THEN day END AS true_iso FROM read",
-    "quality_orders": f"""WITH {_DATED}, k AS (SELECT *, 'Item ' || o_orderkey AS product, least(found, DATE '1998-03-31') AS pub FROM read WHERE o_orderkey % 11 <> 0 AND found BETWEEN DATE '1998-01-01' AND DATE '1998-03-31' + 180)
+    "quality_orders": f"""WITH {_FIELD}, k AS (SELECT *, 'Item ' || o_orderkey AS product, least(found, DATE '1998-03-31') AS pub FROM fields WHERE o_orderkey % 11 <> 0 AND found BETWEEN DATE '1998-01-01' AND DATE '1998-03-31' + 180)
         SELECT sha256('BIS|qco|' || strftime(pub, '%Y-%m-%d') || '|quality control order: ' || lower(product) || '|mock://orders') AS event_id, pub AS published_date, 'Quality Control Order: ' || product AS title,
         'Product: ' || product || '. Enforcement date: ' || strftime(found, '%Y-%m-%d') || '. Ministry/Department: ' || o_orderpriority || '. Indian Standard: ' || o_orderstatus || '.' AS text, strftime(found, '%Y-%m-%d') AS enforcement FROM k""",
-    "announcements": """SELECT sha256('BSE|corporate_announcement|' || strftime(day, '%Y-%m-%d') || '|' || lower(title) || '|' || url) AS event_id, day AS published_date, title, url, title AS text, 'Customer ' || o_custkey AS company, o_custkey::VARCHAR AS code FROM (
-        SELECT o_custkey, o_orderdate::DATE AS day, CASE WHEN o_orderkey % 3 > 0 THEN 'Order ' || o_orderkey WHEN o_orderkey % 9 > 0 THEN 'Headline ' || o_orderkey END AS title,
-        CASE o_orderkey % 4 WHEN 0 THEN 'http://x/' || o_orderkey WHEN 1 THEN 'mock://files/' || o_orderkey || '.pdf' ELSE 'mock://list' END AS url FROM orders) WHERE title IS NOT NULL AND day BETWEEN DATE '1997-01-01' AND DATE '1997-12-31'""",
+    "announcements": f"""WITH {_FIELD} SELECT sha256('BSE|corporate_announcement|' || strftime(day, '%Y-%m-%d') || '|' || lower(title) || '|' || url) AS event_id, day AS published_date, title, url, title AS text, 'Customer ' || o_custkey AS company, o_custkey::VARCHAR AS code FROM (
+        SELECT o_custkey, found AS day, CASE WHEN o_orderkey % 3 > 0 THEN 'Order ' || o_orderkey WHEN o_orderkey % 9 > 0 THEN 'Headline ' || o_orderkey END AS title,
+        CASE o_orderkey % 4 WHEN 0 THEN 'http://x/' || o_orderkey WHEN 1 THEN 'mock://files/' || o_orderkey || '.pdf' ELSE 'mock://list' END AS url FROM fields) WHERE title IS NOT NULL AND day BETWEEN DATE '1997-01-01' AND DATE '1997-12-31'""",
+    "source_statuses": f"""WITH {_EVENTS}, n AS (SELECT count(DISTINCT event_id) AS n_merged FROM ev WHERE event_type IN ('click', 'purchase', 'signup', 'view'))
+        SELECT source, n_events, error, n_merged FROM (SELECT k AS source, (SELECT count(*) FROM ev WHERE event_type = k) AS n_events, NULL::VARCHAR AS error FROM (SELECT unnest(['click', 'purchase', 'signup', 'view']) AS k) UNION ALL SELECT 'broken', 0, 'AnalysisException'), n""",
     "routed_events": f"WITH {m.NODES_SQL}, {_ROUTED} SELECT node_id, event_id, published_date, doc_id FROM routed",
     "node_documents": f"""WITH {m.NODES_SQL}, {_ROUTED}, o AS (SELECT *, row_number() OVER (PARTITION BY node_id ORDER BY published_date, event_id) AS k FROM routed),
         docs AS (SELECT node_id, count(*) AS n_events, left(string_agg('Source: MOCK' || chr(10) || 'Date: ' || strftime(published_date, '%Y-%m-%d') || chr(10) || 'Title: ' || title || chr(10) || 'Text: ' || text, chr(10) || chr(10) || '---' || chr(10) || chr(10) ORDER BY k), 24000) AS doc FROM o GROUP BY node_id),
@@ -272,7 +359,19 @@ ORACLES = {
         round(sum(CASE WHEN k IN (0, 6, 8, 9) THEN (tax + q * -disc)::DECIMAL(18,6) END)::DOUBLE, 4) AS total FROM (SELECT l_orderkey % 10 AS k, l_discount::DECIMAL(18,2) AS disc, l_tax::DECIMAL(18,2) AS tax, (l_quantity / 100)::DECIMAL(18,2) AS q FROM lineitem) GROUP BY 1""",
     "stand_in_scores": "SELECT p_partkey, [-0.8, -0.7, -0.75, -0.35][(p_partkey % 4 + 1)::INT]::DOUBLE AS e_sub, [-0.4, -0.3, -0.2, -0.1][(p_partkey % 4 + 1)::INT]::DOUBLE AS p_pricing, [0.6, 0.5, 0.35, 0.2][(p_partkey % 4 + 1)::INT]::DOUBLE AS t_policy, [0.92, 0.71, 0.5, 0.235][(p_partkey % 4 + 1)::INT]::DOUBLE AS s_raw FROM part",
     "unsafe_aliases": "SELECT c_custkey, CASE c_custkey % 3 WHEN 0 THEN 'ticker_in_alias' WHEN 1 THEN 'year_in_alias' END AS reason FROM customer",
-    "prompts": """SELECT p_partkey, '{"candidate":{"anonymized_id":"Candidate_' || p_partkey || '","layer":3,"physical_role":"' || p_name || '"},"instruction":"score it","masked_text":"' || p_type || '"}' AS prompt, p_type AS leak FROM part""",
+    "prompts": """SELECT p_partkey, '{"anonymized_source_text": ' || CASE WHEN p_partkey % 7 > 0 THEN '"' || p_type || 'xx\\n\\"q\\""' ELSE 'null' END || ', "candidate": {"anonymized_id": "Candidate_' || p_partkey || '", "layer": 3, "physical_role": "' || p_name || '"}, "instruction": "Return the three required numerical features, confidence, and concise structured evidence."}' AS prompt,
+        CASE WHEN p_partkey % 7 > 0 THEN p_type || 'XX' WHEN p_partkey BETWEEN 1900 AND 2099 THEN p_partkey::VARCHAR END AS leak FROM part""",
+    "response_leaks": """SELECT raw, CASE WHEN line THEN 'Acme' WHEN k = 0 THEN '2019' END AS leak, count(*) AS n FROM (SELECT l_orderkey % 4 AS k, l_linenumber = 2 AS line,
+        '{"T_policy": 0.' || CASE l_orderkey % 4 WHEN 0 THEN '2019' WHEN 1 THEN '20190' ELSE '21' END || ', "observation": "' || CASE WHEN l_linenumber = 2 THEN 'acmeworks' ELSE 'none' END || '"}' AS raw FROM lineitem) GROUP BY ALL""",
+    "names_masked": """SELECT c_custkey, 'Executive_A of ' || firm || ' and Executive_B spoke after Macro_Disruption_Alpha; SRFX and Director ' || i || 's did not.' AS masked,
+        CASE WHEN f IN (1) THEN '' ELSE first || CASE WHEN first = '' THEN '' ELSE ';' END END || CASE WHEN i < 10 THEN 'executive:Director X:Executive_B;executive:' || name || ':Executive_A' ELSE 'executive:' || name || ':Executive_A;executive:Director X:Executive_B' END || ';historical_event:COVID-19:Macro_Disruption_Alpha' || CASE f WHEN 1 THEN ';company:SRF:Own_1' WHEN 4 THEN ';ticker:TRIL.NS:Equity_A' ELSE '' END AS log
+        FROM (SELECT c_custkey, c_custkey % 40 AS i, 'Director ' || (c_custkey % 40) AS name, c_custkey % 5 AS f, ['Supplier_K', 'Own_1', 'Supplier_V', 'Aarti', 'Equity_A'][(c_custkey % 5 + 1)::INT] AS firm,
+        CASE c_custkey % 5 WHEN 0 THEN 'company:Borosil Renewables Limited:Supplier_K' WHEN 2 THEN 'company:Voltamp Transformers:Supplier_V' ELSE '' END AS first FROM customer)""",
+    "blank_documents": """SELECT CASE WHEN k IN (0, 1) THEN 'blank_text' WHEN k = 2 THEN 'blank_rule' END AS reason, CASE WHEN k > 2 THEN replace(o_orderpriority, 'HIGH', 'Level_1') END AS masked, count(*) AS n, sum((k > 2 AND o_orderpriority LIKE '%HIGH%')::INT)::BIGINT AS n_redactions
+        FROM (SELECT o_orderkey % 10 AS k, o_orderpriority FROM orders) GROUP BY ALL""",
+    "page_texts": """SELECT page_id, left(array_to_string(list_filter(list_transform(string_split(""" + _DECODED % "regexp_replace(regexp_replace(html, '(?s)<(script|style|nav|footer)[^>]*>.*?</(script|style|nav|footer)>|<!--.*?-->|<!DOCTYPE[^>]*>', chr(1), 'g'), '<[a-zA-Z/][^>]*>', chr(1), 'g')" + """, chr(1)), lambda x: trim(x)), lambda x: x <> ''), ' '), 12000) AS text FROM pages""",
+    "page_links": f"WITH {_LINKS} SELECT page_url, url, title, title AS context FROM links",
+    "page_notices": f"""WITH {_LINKS} SELECT sha256('MOCK|trade_policy|2024-01-03|' || lower(title) || '|' || url) AS event_id, title, url, '3 Jan 2024 ' || title AS text FROM links WHERE regexp_matches(title, '(?i)(^|[^\\pL\\pN_])(the|der|la|de)($|[^\\pL\\pN_])')""",
     "prices_long": "SELECT p_brand AS ticker, l_shipdate::DATE AS trade_date, sum(l_extendedprice::DECIMAL(18,2))::DOUBLE / sum(l_quantity::DECIMAL(18,2))::DOUBLE AS close FROM lineitem JOIN part ON l_partkey = p_partkey WHERE regexp_matches(p_brand, '^Brand#([1-9]|1[0-9]|2[0-5])$') GROUP BY ALL",
     "universe_list": "SELECT 'SYM' || (c_custkey % 600) || '.NS' AS ticker, arg_min(c_mktsegment, c_custkey) AS sector FROM customer WHERE c_custkey % 17 > 0 GROUP BY 1",
 }
