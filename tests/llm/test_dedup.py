@@ -113,8 +113,21 @@ def test_similar_groups_of_cut_and_longer_copies(spark):
     assert grouped_as_brute_force(spark, texts) == (True, 60)
 
 
-def test_similar_groups_behind_a_common_passage(spark, monkeypatch):
-    monkeypatch.setattr(simhash, "SAMPLE_TEXTS", 50)
+def test_similar_groups_of_many_copies_with_edits_of_their_own(spark):
+    """Groups of 50 copies at 0.7 to 0.95, of which most pairs are not similar and some are similar to few others only."""
+    rng, texts = random.Random(11), []
+    for g in range(3):
+        words = prose(4000 + g, 120 if g else 700, 4000).split()
+        for i in range(50):
+            copy = list(words)
+            for at in rng.sample(range(len(words)), len(words) // 120 * (1 + i % 4)):
+                copy[at] = f"x{g}y{i % 40}z{at}"
+            texts.append(" ".join(copy))
+    same, merged = grouped_as_brute_force(spark, texts)
+    assert same and merged > 60
+
+
+def test_similar_groups_behind_a_common_passage(spark):
     passage = prose(3000, 120)
     texts = [passage + " " + prose(3100 + i, 8 + i % 90, 4000) for i in range(200)] + [prose(3100 + i, 60, 4000) for i in range(40)]
     same, merged = grouped_as_brute_force(spark, texts)

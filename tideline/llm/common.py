@@ -21,23 +21,46 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the cluster names in spark.checkpoint.dir; where it is unset (tests), one of our own."""
+    """The folder that the cluster names in spark.checkpoint.dir; one of our own only in local mode, where it may be unset (tests)."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
         jdir = spark.sparkContext._jsc.sc().getCheckpointDir()
         path = jdir.get() if jdir.isDefined() else None
     if not path:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
         path = tempfile.mkdtemp(prefix="spark-checkpoint-")
         spark.sparkContext.setCheckpointDir(path)
     return path
 
 
+def _place(spark: SparkSession, path: str):
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return place, place.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
 def written(df: DataFrame, name: str, *partition_by: str) -> DataFrame:
-    """``df`` written as Parquet to the shared folder and read back: a short lineage that outlives executors."""
-    path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    """``df`` written as Parquet to the shared folder and read back: a short lineage that outlives executors.
+
+    The table goes with ``let_go`` or when the driver ends.
+    """
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     writer = df.write.partitionBy(*partition_by) if partition_by else df.write
     writer.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    place, fs = _place(spark, path)
+    fs.deleteOnExit(place)
+    back = spark.read.schema(df.schema).parquet(path)
+    back.written_at = path
+    return back
+
+
+def let_go(spark: SparkSession, *tables: DataFrame) -> None:
+    """Delete tables that ``written`` made and nothing reads any more, and let the driver find shuffles that nothing uses."""
+    for df in tables:
+        place, fs = _place(spark, df.written_at)
+        fs.delete(place, True)
+    spark.sparkContext._jvm.System.gc()  # shuffle files go once the collector finds them unused; a small heap's young ones may wait
 
 
 def crc32_mod(id_col: str, mod: int) -> F.Column:

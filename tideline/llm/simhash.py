@@ -18,7 +18,9 @@ least hashes of the sets link most near copies in stars of one hub each, so that
 then a prefix filter finds each pair that is left. In one order of all shingles, two sets of similarity s share a shingle among
 the first ``n - ceil(s n) + 1`` of each. Pairs that meet there are kept unless they are joined already or their sizes or the places of
 the shared shingle rule them out, and every pair is checked on the whole sets. Any order is right; the one used puts shingles that are
-frequent in a sample last, so that common lines and passages don't bring unrelated texts together.
+frequent in a share of the texts last, so that common lines and passages don't bring unrelated texts together. The first round of
+meetings pairs each text with the least changed one of its key only, which joins what is left of large groups; the second one takes
+all pairs of what is still apart. Sketches that bound the difference of two sets rule pairs out before whole sets are joined.
 """
 
 from __future__ import annotations
@@ -32,14 +34,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import map_texts, table, written
+from .common import let_go, map_texts, table, written
 from .components import components
 
 SEGMENT_BITS = 4
 #: Bits of the packed cell for each coordinate; popcounts are 0..SEGMENT_BITS.
 PLACE = 3
-#: Texts that are asked for frequent shingles, the count there from which a shingle is frequent, and the most that are told to the tasks.
-SAMPLE_TEXTS, FREQUENT_FROM, FREQUENT_MOST = 10_000, 4, 100_000
+#: The share of the texts whose shingles are counted, the count from which a shingle is frequent, and the most that are told to the tasks.
+SAMPLE_SHARE, FREQUENT_FROM, FREQUENT_MOST = 0.2, 4, 300_000
+#: Bits of the parity sketches: of all texts, and of those of ``LONG_FROM`` shingles or more.
+SKETCH_BITS, LONG_BITS, LONG_FROM = 1024, 16384, 400
 
 
 def fingerprint(text: str | None, shingle: int = 3, seed: int = 42) -> int:
@@ -180,9 +184,9 @@ def least_hashes(found: np.ndarray, tables: int) -> list[int]:
     return ((least[::2] * np.uint64(0x9E3779B97F4A7C15)) ^ least[1::2]).view(np.int64).tolist()
 
 
-def parities(found: np.ndarray) -> np.ndarray:
-    """1024 bits, each the parity of the hashes that fall to it: two sets differ in as many shingles at least as these in bits."""
-    counts = np.bincount((found.view(np.uint64) >> np.uint64(54)).astype(np.int64), minlength=1024)
+def parities(found: np.ndarray, bits: int = SKETCH_BITS) -> np.ndarray:
+    """So many bits, each the parity of the hashes that fall to it: two sets differ in as many shingles at least as these in bits."""
+    counts = np.bincount((found.view(np.uint64) >> np.uint64(64 - bits.bit_length() + 1)).astype(np.int64), minlength=bits)
     return np.packbits((counts & 1).astype(np.uint8), bitorder="little").view(np.int64)
 
 
@@ -218,8 +222,11 @@ def _prefixes(shingle: int, similarity: float, often: np.ndarray, level: np.ndar
     return run
 
 
-def _meetings(similarity: float):
-    """batches (key, uid, root, size, place), by key -> pairs of different roots that can still have the similarity."""
+def _meetings(similarity: float, all_pairs: bool):
+    """batches (key, uid, root, size, place), by key -> pairs of different roots that can still have the similarity.
+
+    All such pairs, or of each member only that with the least changed one of another root.
+    """
     share = similarity / (1 + similarity)
 
     def possible(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
@@ -230,6 +237,14 @@ def _meetings(similarity: float):
 
     def of_key(uid: np.ndarray, rest: list[np.ndarray]) -> np.ndarray:
         out = []
+        if not all_pairs:
+            root, _, place = rest
+            first = np.lexsort((uid, place))
+            hub = first[0]
+            second = first[np.argmax(root[first] != root[hub])]  # the first of another root
+            to = np.where(root == root[hub], second, hub)
+            ok = possible(rest, [x[to] for x in rest])
+            return np.stack([uid[ok], uid[to[ok]]], axis=1)
         for at in range(0, len(uid), 256):
             ok = possible([x[at : at + 256, None] for x in rest], [x[None, at:] for x in rest])
             i, j = np.nonzero(np.triu(ok, 1))
@@ -281,37 +296,50 @@ def _alike(pairs: DataFrame, base: DataFrame, texts: DataFrame, shingle: int, si
 
         def run(texts):
             sets = [shingles(t, shingle, cache) for t in texts]
-            return [sets, [len(x) for x in sets], [parities(x) for x in sets]]
+            return [sets, [len(x) for x in sets], [parities(x) for x in sets], [parities(x, LONG_BITS) if len(x) >= LONG_FROM else None for x in sets]]
 
         return run
 
-    fields = T.StructType([T.StructField("set", T.ArrayType(T.LongType())), T.StructField("n", T.LongType()), T.StructField("bits", T.ArrayType(T.LongType()))])
-    sets = written(map_texts(one, [F.col("raw")], ["uid"], fields, sets_of).select("row.uid", "set", "n", "bits"), "similar-sets")
-    side = lambda name, *cols: sets.select(F.col("uid").alias(name), *[F.col(c).alias(f"{c}_{name}") for c in cols])
-    near = pairs.join(side("a", "n", "bits"), "a").join(side("b", "n", "bits"), "b")
-    differ = F.aggregate(F.zip_with("bits_a", "bits_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda x, y: x + y)
-    near = near.where(differ <= (1 - similarity) / (1 + similarity) * (F.col("n_a") + F.col("n_b")) + 1e-6).select("a", "b")
-    both = near.join(side("a", "set"), "a").join(side("b", "set"), "b")
+    longs = T.ArrayType(T.LongType())
+    fields = T.StructType([T.StructField("set", longs), T.StructField("n", T.LongType()), T.StructField("bits", longs), T.StructField("more", longs)])
+    sets = written(map_texts(one, [F.col("raw")], ["uid"], fields, sets_of).select("row.uid", "set", "n", "bits", "more"), "similar-sets")
+    let_go(sets.sparkSession)  # the texts that were moved
+
+    def both(of: DataFrame, *cols: str) -> DataFrame:
+        side = lambda name: sets.select(F.col("uid").alias(name), *[F.col(c).alias(f"{c}_{name}") for c in cols])
+        return of.join(side("a"), "a").join(side("b"), "b")
+
+    def fits(sketch: str) -> F.Column:
+        differ = F.aggregate(F.zip_with(f"{sketch}_a", f"{sketch}_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda x, y: x + y)
+        return differ <= (1 - similarity) / (1 + similarity) * (F.col("n_a") + F.col("n_b")) + 1e-6
+
+    near = written(both(pairs, "n", "bits").where(fits("bits")).select("a", "b"), "similar-near")
+    nearer = written(both(near, "n", "more").where(F.coalesce(fits("more"), F.lit(True))).select("a", "b"), "similar-nearer")
     common = F.size(F.array_intersect("set_a", "set_b"))
-    return written(both.where(common >= similarity * (F.size("set_a") + F.size("set_b") - common)).select("a", "b"), "similar-edges")
+    alike = both(nearer, "set").where(common >= similarity * (F.size("set_a") + F.size("set_b") - common)).select("a", "b")
+    found = written(alike, "similar-edges")
+    let_go(sets.sparkSession, sets, near, nearer)
+    return found
 
 
-def _frequent(base: DataFrame, n: int, shingle: int) -> tuple[np.ndarray, np.ndarray]:
-    """Shingles that are frequent in a sample of bounded size, sorted, and the power of two of their counts."""
+def _frequent(base: DataFrame, shingle: int) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles that are frequent in a share of the texts, sorted, and the power of two of their counts; a list of bounded length."""
 
     def of_texts():
         cache: dict = {}
         return lambda texts: [[shingles(t, shingle, cache) for t in texts]]
 
-    wanted = base.where(F.pmod(F.xxhash64("k"), F.lit(1 << 20)) < max(1, math.ceil((1 << 20) * SAMPLE_TEXTS / max(1, n))))
+    wanted = base.where(F.pmod(F.xxhash64("k"), F.lit(1 << 20)) < math.ceil((1 << 20) * SAMPLE_SHARE))
     sets = map_texts(wanted.select("k", "raw").dropDuplicates(["k"]), [F.col("raw")], ["k"], T.StructType([T.StructField("set", T.ArrayType(T.LongType()))]), of_texts)
     counts = sets.select(F.explode("set").alias("key")).groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") >= FREQUENT_FROM)
-    rows = sorted(tuple(r) for r in counts.orderBy(F.desc("n"), "key").limit(FREQUENT_MOST).collect())
-    return np.array([k for k, _ in rows], np.int64), np.array([int(c).bit_length() for _, c in rows], np.int64)
+    rows = counts.orderBy(F.desc("n"), "key").limit(FREQUENT_MOST).toArrow()
+    key, n = rows.column("key").to_numpy(), rows.column("n").to_numpy()
+    order = np.argsort(key, kind="stable")
+    return key[order], np.frexp(n[order].astype(np.float64))[1].astype(np.int64)
 
 
 def _stars(base: DataFrame, shingle: int, tables: int) -> tuple[DataFrame, DataFrame]:
-    """The distinct texts (k, uid), and pairs of each with the first text of the same least hashes, table by table."""
+    """The distinct texts (k, uid), and pairs of each with the hub of the texts of the same least hashes, table by table."""
 
     def least():
         cache: dict = {}
@@ -320,23 +348,22 @@ def _stars(base: DataFrame, shingle: int, tables: int) -> tuple[DataFrame, DataF
     made = map_texts(base, [F.col("raw")], ["k"], T.StructType([T.StructField("least", T.ArrayType(T.LongType()))]), least)
     texts = written(made.groupBy("row.k").agg(F.first("least").alias("least")).withColumn("uid", F.monotonically_increasing_id()), "similar-texts")
     dealt = texts.select("uid", F.posexplode("least").alias("t", "v"))
-    hubs = dealt.groupBy("t", "v").agg(F.min("uid").alias("a"), F.count("*").alias("n")).where("n > 1").drop("n")
-    pairs = dealt.join(hubs, ["t", "v"]).where("a <> uid").select("a", F.col("uid").alias("b")).distinct()
-    return texts.select("k", "uid"), written(pairs, "similar-stars")
+    sizes = dealt.groupBy("t", "v").agg(F.count("*").alias("n")).where("n > 1")
+    sized = written(dealt.join(sizes, ["t", "v"]), "similar-buckets")
+    # The hub of a bucket is its text that shares most buckets with others: of copies with edits of their own, the one nearest to all.
+    degree = sized.groupBy("uid").agg(F.sum("n").alias("degree"))
+    hubs = sized.join(degree, "uid").groupBy("t", "v").agg(F.max_by("uid", F.struct("degree", -F.col("uid"))).alias("a"))
+    pairs = written(sized.join(hubs, ["t", "v"]).where("a <> uid").select("a", F.col("uid").alias("b")).distinct(), "similar-stars")
+    let_go(base.sparkSession, sized)
+    return texts.select("k", "uid"), pairs
 
 
-def _met(base: DataFrame, texts: DataFrame, roots: DataFrame, shingle: int, similarity: float) -> DataFrame:
+def _met(base: DataFrame, texts: DataFrame, roots: DataFrame, shingle: int, similarity: float, often: tuple[np.ndarray, np.ndarray], all_pairs: bool) -> DataFrame:
     """Pairs of texts with different roots that meet in a shingle of their prefixes."""
-    often, level = _frequent(base, texts.count(), shingle)
     named = texts.join(roots, "uid", "left").select("k", "uid", F.coalesce("root", "uid").alias("root"))
     one = base.select("k", "raw").dropDuplicates(["k"]).join(named, "k").select("uid", "root", "raw")
-    dealt = one.mapInArrow(_prefixes(shingle, similarity, often, level), "key long, uid long, root long, size int, place int")
-    return written(dealt.repartition("key").sortWithinPartitions("key").mapInArrow(_meetings(similarity), "a long, b long").distinct(), "similar-pairs")
-
-
-def _let_go(spark: SparkSession) -> None:
-    """Shuffle files of finished steps are deleted once the driver's collector finds them unused; a small heap's young ones may wait."""
-    spark.sparkContext._jvm.System.gc()
+    dealt = one.mapInArrow(_prefixes(shingle, similarity, *often), "key long, uid long, root long, size int, place int")
+    return written(dealt.repartition("key").sortWithinPartitions("key").mapInArrow(_meetings(similarity, all_pairs), "a long, b long").distinct(), "similar-pairs")
 
 
 def similar_groups(docs: DataFrame, *, text: str = "text", shingle: int = 5, similarity: float = 0.8, tables: int = 8, keep: list[str] | None = None) -> DataFrame:
@@ -350,13 +377,16 @@ def similar_groups(docs: DataFrame, *, text: str = "text", shingle: int = 5, sim
     raw = F.coalesce(docs[text].cast("string"), F.lit(""))
     base = docs.select(F.struct(*[docs[c] for c in keep]).alias("row"), raw.alias("raw"), F.unhex(F.sha2(raw.cast("binary"), 256)).alias("k"))
     texts, stars = _stars(base, shingle, tables)
+    often = _frequent(base, shingle)
     edges = _alike(stars, base, texts, shingle, similarity)
-    _let_go(docs.sparkSession)
+    let_go(docs.sparkSession, stars)
+    for all_pairs in (False, True):
+        roots = components(edges, "similar-links").withColumnRenamed("node", "uid")
+        met = _met(base, texts, roots, shingle, similarity, often, all_pairs)
+        let_go(docs.sparkSession)
+        edges = edges.unionByName(_alike(met, base, texts, shingle, similarity))
+        let_go(docs.sparkSession, met)
     roots = components(edges, "similar-links").withColumnRenamed("node", "uid")
-    met = _met(base, texts, roots, shingle, similarity)
-    _let_go(docs.sparkSession)
-    more = _alike(met, base, texts, shingle, similarity)
-    roots = components(edges.unionByName(more), "similar-links").withColumnRenamed("node", "uid")
     groups = texts.join(roots, "uid", "left").select("k", F.coalesce("root", "uid").alias("group"))
     return base.select("row", "k").join(groups, "k").select("row", "group")
 
