@@ -1,11 +1,15 @@
 """Held-out accuracy and odd inputs of the two classifiers."""
 
+import math
 import random
 import zlib
+from collections import Counter, defaultdict
 
 import numpy as np
+import xxhash
 
 from tideline.llm import quality, toxicity
+from tideline.llm.common import labelled_texts
 
 from .helpers import LONG, prose, write_tables
 
@@ -71,7 +75,94 @@ def test_grams():
     assert sizes.tolist() == [4, 8 + 7 + 6 + 5 + 1, 1] and len(flat) == sizes.sum()
     alone, _ = toxicity.grams(["abcdefgh"], 1 << 16)
     assert sorted(flat[4:-1].tolist()) == sorted(alone.tolist())
-    assert toxicity.fresh(np.array([1, 2, 1, 3, 1, 1]), 3).tolist() == [True, True, False, True, False, False]
+    assert toxicity.before(np.array([1, 2, 1, 3, 1, 1])).tolist() == [-1, -1, 0, -1, 2, 4]
+
+
+def scalar_score(model, text):
+    """A document's score, gram by gram and window by window."""
+    mask, slope = (1 << 64) - 1, model.vectors.astype(float) @ (model.weights[1] - model.weights[0]).astype(float)
+
+    def word(w):
+        marked, bag = f"<{w}>", [xxhash.xxh32_intdigest(f"<{w}>", 1)]
+        for n in range(3, 7):
+            for a in range(len(marked) - n + 1):
+                h = 0
+                for c in marked[a : a + n]:
+                    h = (h * 0x9E3779B97F4A7C15 + ord(c)) & mask
+                h ^= h >> 29
+                bag.append((h * (0xBF58476D1CE4E5B9 + 2 * n) & mask) >> 32)
+        return sum(slope[g % model.buckets] for g in bag) / len(bag)
+
+    ws = toxicity.words(text)
+    value = {w: word(w) for w in set(ws)}
+    best = max((sum(value[w] for w in dict.fromkeys(ws[a : a + model.window])) for a in range(max(1, len(ws) - model.window + 1))), default=0.0)
+    return toxicity.sigmoid(model.scale * (best / model.window + float(model.bias[1] - model.bias[0])) + model.shift)
+
+
+def test_toxicity_scores_by_hand(spark, tmp_path):
+    """The query's scores are those of the fitted model, word by word over whole texts; repeats count once a window."""
+    docs, labels = toxic_corpus(200)
+    docs += [(5000, None), (5001, ""), (5002, prose(1, 20_000) + " grumboing"), (5003, "grumboa x " * 40 + "vilkating"), (5004, "grumboa"), (5005, "grumboa " * 30)]
+    d = write_tables(spark, tmp_path / "t", docs, labels=(labels, "doc_id long, quality int, toxic int"))
+    tables = [spark.read.parquet(f"{d}/{t}.parquet") for t in ("documents", "labels")]
+    model = toxicity.fit(*tables, learn=toxicity.crc32_mod("doc_id", 3) != 1)
+    got = {r.doc_id: r.score for r in toxicity.op1_toxicity(spark, d).collect()}
+    assert all(abs(got[i] - scalar_score(model, t)) < 1e-6 for i, t in docs)
+
+
+def test_labelled_texts_are_bounded(spark):
+    """A repeated id gives one text, and texts stop at the bound on bytes."""
+    docs = spark.createDataFrame([(1, f"text {i}") for i in range(500)] + [(2, "x" * 900), (3, "y" * 900), (4, None)], "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 1), (2, 0), (3, 1), (4, 0), (4, 1)], "doc_id long, toxic int")
+    rows = labelled_texts(docs, labels, id_col="doc_id", text="text", label="toxic", learn=None, max_rows=(9, 9), max_bytes=1000).collect()
+    assert len(rows) == 3 and sum(len(r.text or "") for r in rows) <= 1000 and {r.label for r in rows if r.text is None} == {1}
+
+
+def scalar_quality(texts, labels, tests, buckets=1 << 18, alpha=1.0, beta=1.0, l1=0.005, l2=0.1, epochs=8):
+    """Scores of ``tests`` after follow-the-regularised-leader steps with plain dictionaries."""
+    mask = (1 << 64) - 1
+
+    def features(t):
+        ws = (t or "").lower().split()
+        one = [xxhash.xxh64_intdigest(w, 3) for w in ws]
+        two = [(a * 0x9E3779B97F4A7C15 & mask) ^ b for a, b in zip(one, one[1:])]
+        two = [(x ^ x >> 31) * 0xD6E8FEB86659FD93 & mask for x in two]
+        counts = Counter((x >> 32) % buckets for x in one + two)
+        return {k: math.sqrt(c / max(1, len(one + two))) for k, c in counts.items()}
+
+    z, n, bz, bn = defaultdict(float), defaultdict(float), 0.0, 0.0
+
+    def w(k):
+        return 0.0 if abs(z[k]) <= l1 else -(z[k] - math.copysign(l1, z[k])) / ((beta + math.sqrt(n[k])) / alpha + l2)
+
+    def score(f):
+        return quality.sigmoid(sum(w(k) * v for k, v in f.items()) - bz / ((beta + math.sqrt(bn)) / alpha))
+
+    rows, share = [features(t) for t in texts], np.bincount(labels, minlength=2) / len(labels)
+    rng = np.random.default_rng(5)
+    for _ in range(epochs):
+        for i in rng.permutation(len(rows)):
+            f, y = rows[i], labels[i]
+            weight, p, bias, old = (0.5 / share[y]) ** 0.5, score(f), -bz / ((beta + math.sqrt(bn)) / alpha), {k: w(k) for k in f}
+            for k, v in f.items():
+                g = weight * (p - y) * v
+                z[k] += g - (math.sqrt(n[k] + g * g) - math.sqrt(n[k])) / alpha * old[k]
+                n[k] += g * g
+            g = weight * (p - y)
+            bz += g - (math.sqrt(bn + g * g) - math.sqrt(bn)) / alpha * bias
+            bn += g * g
+    return [score(features(t)) for t in tests]
+
+
+def test_quality_scores_by_hand(spark, tmp_path):
+    rng = random.Random(4)
+    docs = [(i, prose(i, 12 + i % 30) if i % 3 else "click here " * rng.randrange(1, 9) + prose(i, 4)) for i in range(90)] + [(500, None), (501, ""), (502, prose(3, 20_000))]
+    labels = [(i, int(i % 3 > 0), 0) for i in range(90)]
+    d = write_tables(spark, tmp_path / "t", docs, labels=(labels, "doc_id long, quality int, toxic int"))
+    learn = sorted((str(i), t, q) for (i, t), (_, q, _) in zip(docs, labels) if zlib.crc32(str(i).encode()) % 5)
+    want = scalar_quality([t for _, t, _ in learn], [q for *_, q in learn], [t for _, t in docs])
+    got = {r.doc_id: r.score for r in quality.op5_quality(spark, d).collect()}
+    assert all(abs(got[i] - x) < 1e-6 for (i, _), x in zip(docs, want))
 
 
 def test_quality(spark, tmp_path):

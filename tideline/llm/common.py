@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import pickle
 import tempfile
 import uuid
 from collections.abc import Callable
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
@@ -100,3 +101,38 @@ def map_texts(
 def unpack(df: DataFrame, *fields: F.Column) -> DataFrame:
     """The kept columns at the top again, then ``fields``."""
     return df.select("row.*", *fields)
+
+
+def labelled_texts(docs: DataFrame, labels: DataFrame, *, id_col: str, text: str, label: str, learn: Column | None, max_rows: tuple[int, int], max_bytes: int) -> DataFrame:
+    """(name, text, label) to learn from: ``max_rows`` of label 0 and 1 at most, ``max_bytes`` of text at most, those of least hash of the id.
+
+    An id with two labels counts as 1; of several texts of one id the one of least hash is taken. Only ids and sizes reach the
+    driver, as many as there are rows at most.
+    """
+    known = labels.where(F.col(id_col).isNotNull() & F.col(label).isin(0, 1))
+    known = known if learn is None else known.where(learn)
+    known = known.groupBy(id_col).agg(F.max(label).cast("int").alias("_label"))
+    some = known.where("_label = 0").orderBy(F.xxhash64(id_col), id_col).limit(max_rows[0])
+    some = some.unionByName(known.where("_label = 1").orderBy(F.xxhash64(id_col), id_col).limit(max_rows[1]))
+    held = docs.select(docs[id_col], docs[text].cast("string").alias("_text")).withColumn("_hash", F.xxhash64("_text"))
+    sizes = held.join(F.broadcast(some), id_col).groupBy(id_col, "_label").agg(F.min(F.struct("_hash", F.coalesce(F.octet_length("_text"), F.lit(0)).alias("size"))).alias("x"))
+    picked, left = [], max_bytes
+    for r in sorted(sizes.select(id_col, "_label", "x._hash", "x.size", F.xxhash64(id_col).alias("_at")).collect(), key=lambda r: (r._at, str(r[0]))):
+        if r.size <= left:
+            left -= r.size
+            picked.append((r[0], r._label, r._hash))
+    spark = docs.sparkSession
+    chosen = spark.createDataFrame(picked, T.StructType([T.StructField(id_col, docs.schema[id_col].dataType), T.StructField("_label", T.IntegerType()), T.StructField("_least", T.LongType())]))
+    one = held.join(F.broadcast(chosen), id_col).where("_hash = _least").groupBy(id_col, "_label").agg(F.min("_text").alias("_text"))
+    return one.select(F.col(id_col).cast("string").alias("name"), F.col("_text").alias("text"), F.col("_label").alias("label"))
+
+
+def fitted(sample: DataFrame, train: Callable[[list[str | None], list[int]], object]) -> object:
+    """What ``train`` makes of the bounded sample (name, text, label), in one task: a lost executor repeats it, the driver holds no texts."""
+
+    def run(batches):
+        rows = sorted((r for b in batches for r in zip(*(b.column(i).to_pylist() for i in range(3)))), key=lambda r: (r[0], r[1] or ""))
+        model = train([r[1] for r in rows], [r[2] for r in rows])
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(model)], pa.binary())], names=["model"])
+
+    return pickle.loads(sample.repartition(1).mapInArrow(run, "model binary").first().model)

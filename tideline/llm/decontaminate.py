@@ -4,8 +4,8 @@ Texts are normalised to lower-cased words joined by single spaces; every window
 benchmark item is a pattern (an item of fewer words, but not none, is one pattern). Each document is scanned once,
 and hits are mapped back to code-point offsets of the original text.
 
-Defined cases: a null or empty text has no words and no hits; null or empty items give no pattern; items with equal
-windows are all reported; repeated documents are each judged on their own; extra columns pass through untouched, whatever
+Defined cases: a null or empty text has no words and no hits; null or empty items give no pattern; an item
+without an id has its words hit, but is not named or counted; items with equal windows are all reported; repeated documents are each judged on their own; extra columns pass through untouched, whatever
 their names; an empty benchmark leaves every document clean.
 
 Scale: the scan is a narrow pass over the documents without a shuffle. The benchmark is dealt into blocks by a bound on its
@@ -16,9 +16,12 @@ large the benchmark grows.
 from __future__ import annotations
 
 import re
+import uuid
 from bisect import bisect_right
+from collections.abc import Callable
 
 import ahocorasick
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -56,7 +59,7 @@ def patterns(rows: list[tuple[str, str]], window: int) -> dict[str, tuple[int, l
         for i in range(len(ws) - n + 1) if n else ():
             key = f" {' '.join(ws[i : i + n])} "
             have = out.setdefault(key, (n, []))[1]
-            if item not in have:
+            if item is not None and item not in have:
                 have.append(item)
     return out
 
@@ -111,6 +114,18 @@ def scanner(pats: dict[str, tuple[int, list[str]]]):
     return scan
 
 
+_SCANNERS: dict[str, Callable] = {}
+
+
+def _scanner_of(key: str, sent: Broadcast) -> Callable:
+    """The scanner of a benchmark block, made once in each Python worker and not once a task; workers keep the last few."""
+    if key not in _SCANNERS:
+        while len(_SCANNERS) >= 2:
+            _SCANNERS.pop(next(iter(_SCANNERS)))
+        _SCANNERS[key] = scanner(sent.value)
+    return _SCANNERS[key]
+
+
 def decontaminate(
     docs: DataFrame,
     benchmark: DataFrame,
@@ -125,7 +140,7 @@ def decontaminate(
     """Per document: ``row`` (the kept columns), n_words, n_hit, items, spans (of hit runs, in the original text), contaminated."""
     spark = docs.sparkSession
     texts = benchmark.select(F.col(item).cast("string").alias("item"), F.explode(F.array(*[F.col(c).cast("string") for c in item_texts])).alias("text"))
-    texts = texts.where(F.col("text").isNotNull() & F.col("item").isNotNull())
+    texts = texts.where(F.col("text").isNotNull())
     total = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = max(1, -(-total // block_bytes))
     keep = docs.columns if keep is None else keep
@@ -133,7 +148,8 @@ def decontaminate(
     for b in range(blocks):
         part = texts if blocks == 1 else texts.where(F.pmod(F.xxhash64("item", "text"), F.lit(blocks)) == b)
         sent = spark.sparkContext.broadcast(patterns([tuple(r) for r in part.collect()], window))
-        out = map_texts(out, [F.col("text"), F.col("runs"), F.col("items")], ["row", "text"], FIELDS, lambda sent=sent: scanner(sent.value))
+        key = uuid.uuid4().hex
+        out = map_texts(out, [F.col("text"), F.col("runs"), F.col("items")], ["row", "text"], FIELDS, lambda key=key, sent=sent: _scanner_of(key, sent))
         out = out.select("row.row", "row.text", "n_words", "runs", "items", "spans")
     n_hit = F.aggregate("runs", F.lit(0).cast("bigint"), lambda n, r: n + r[1] - r[0])
     return out.select("row", "n_words", n_hit.alias("n_hit"), "items", "spans").withColumn("contaminated", F.col("n_hit") > 0)
@@ -146,14 +162,14 @@ def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 ORACLE_SQL = r"""
 WITH d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text,''),'ABCDEFGHIJKLMNOPQRSTUVWXYZ','abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
-b AS (SELECT item_id, regexp_extract_all(translate(coalesce(text,''),'ABCDEFGHIJKLMNOPQRSTUVWXYZ','abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark WHERE item_id IS NOT NULL),
+b AS (SELECT item_id, regexp_extract_all(translate(coalesce(text,''),'ABCDEFGHIJKLMNOPQRSTUVWXYZ','abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
 pat AS (SELECT DISTINCT item_id, k, array_to_string(list_slice(w, i, i + k - 1), ' ') AS p
         FROM (SELECT item_id, w, least(10, len(w)) AS k, unnest(range(1, len(w) - least(10, len(w)) + 2)) AS i FROM b WHERE len(w) > 0)),
 win AS (SELECT doc_id, i, k, array_to_string(list_slice(w, i, i + k - 1), ' ') AS p
         FROM (SELECT doc_id, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM d, (SELECT DISTINCT k FROM pat) WHERE len(w) >= k)),
 hit AS (SELECT win.doc_id, win.i, win.k, pat.item_id FROM win JOIN pat USING (k, p)),
 pos AS (SELECT doc_id, count(DISTINCT j) AS n FROM (SELECT doc_id, unnest(range(i, i + k)) AS j FROM (SELECT DISTINCT doc_id, i, k FROM hit)) GROUP BY doc_id),
-its AS (SELECT doc_id, list_sort(list(DISTINCT item_id::VARCHAR)) AS items FROM hit GROUP BY doc_id)
+its AS (SELECT doc_id, list_sort(list(DISTINCT item_id::VARCHAR)) AS items FROM hit WHERE item_id IS NOT NULL GROUP BY doc_id)
 SELECT d.doc_id, len(d.w)::BIGINT AS n_words, coalesce(pos.n, 0)::BIGINT AS n_hit, coalesce(len(its.items), 0)::BIGINT AS n_items,
        sha256(array_to_string(coalesce(its.items, []), ',')) AS items_sha256, coalesce(pos.n, 0) > 0 AS contaminated
 FROM d LEFT JOIN pos USING (doc_id) LEFT JOIN its USING (doc_id)

@@ -12,8 +12,8 @@ capacity alone gets a sequence of its own; repeated rows are packed as often as
 result; extra columns pass through whatever their names.
 
 Scale: tokenising is a narrow pass and its narrow result is written to the shared folder. Pieces are dealt by hash into groups of
-about ``group_rows``, so that a group is a bounded task whatever the input; at most one sequence or so per group is less full
-than a global packing would have it.
+about ``group_rows``, so that a group is a bounded task whatever the input; the sequences that a group leaves with room are packed
+again over all groups, round by round, so that grouping costs next to nothing.
 """
 
 from __future__ import annotations
@@ -43,27 +43,46 @@ def byte_of() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(rest)}
 
 
+#: Splits text where the byte-level pre-tokenizer of the library does, which has this pattern built in.
+BYTE_LEVEL = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+
+
+def is_plain_byte_level(spec: dict) -> bool:
+    """Whether the file asks for byte-level BPE with the built-in pattern and nothing else, with merges in the order of their ids."""
+    pre, model = spec.get("pre_tokenizer") or {}, spec.get("model", {})
+    plain = pre.get("type") == "ByteLevel" and not pre.get("add_prefix_space") and pre.get("use_regex", True) and spec.get("normalizer") is None
+    plain = plain and model.get("type", "BPE") == "BPE" and not any(model.get(k) for k in ("dropout", "continuing_subword_prefix", "end_of_word_suffix", "ignore_merges"))
+    if not plain:
+        return False
+    merged = ["".join(m if isinstance(m, list) else m.split(" ")) for m in model["merges"]]
+    ids = [model["vocab"].get(m) for m in merged]
+    return None not in ids and all(a < b for a, b in zip(ids, ids[1:]))
+
+
 @cache
 def encoder(path: str):
-    """text -> uint32 ids of the byte-level BPE file at ``path``, special tokens in the text included.
+    """text -> uint32 ids of the tokenizer file at ``path``, special tokens in the text included.
 
-    The file's own vocabulary is run by the faster of two libraries, as its ranks are its ids; a text that holds the string of a
-    special token goes to the library that the file is written for. Tests hold both against each other.
+    The file is run by the library that it is written for. A byte-level file that asks for nothing but the library's built-in
+    pattern is run by a faster one with the same vocabulary, but for texts with the string of a special token; tests hold both
+    against each other.
     """
-    spec = json.load(open(path, encoding="utf-8"))
+    full = Tokenizer.from_file(path)
+
+    def by_file(text: str) -> np.ndarray:
+        return np.array(full.encode(text, add_special_tokens=False).ids, np.uint32)
+
+    with open(path, encoding="utf-8") as f:
+        spec = json.load(f)
+    if not is_plain_byte_level(spec):
+        return by_file
     specials = [t["content"] for t in spec.get("added_tokens", [])]
     at = byte_of()
     ranks = {bytes(at[c] for c in token): i for token, i in spec["model"]["vocab"].items() if token not in specials}
-    pattern = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-    quick = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
-    full: list[Tokenizer] = []
+    quick = tiktoken.Encoding("ranks", pat_str=BYTE_LEVEL, mergeable_ranks=ranks, special_tokens={})
 
     def encode(text: str) -> np.ndarray:
-        if any(s in text for s in specials):
-            if not full:
-                full.append(Tokenizer.from_file(path))
-            return np.array(full[0].encode(text, add_special_tokens=False).ids, np.uint32)
-        return np.array(quick.encode_ordinary(text), np.uint32)
+        return by_file(text) if any(s in text for s in specials) else np.array(quick.encode_ordinary(text), np.uint32)
 
     return encode
 
@@ -149,21 +168,42 @@ def tokenised(docs: DataFrame, path: str, *, text: str = "text", capacity: int =
     return df.select("row", "piece", "p.start", "p.length", "p.crc", *(["p.ids"] if with_ids else []))
 
 
-def pack(pieces: DataFrame, *, capacity: int = 1024, max_docs: int | None = None, max_attention: int | None = None, weights: tuple[float, float, float] = (1.0, 1e-3, 1e-3), select: str = "norm", group_rows: int = 20_000) -> DataFrame:
-    """``pieces`` with ``sequence_id`` and ``offset``; ``length`` is what a piece needs."""
+def pack(pieces: DataFrame, *, capacity: int = 1024, max_docs: int | None = None, max_attention: int | None = None, weights: tuple[float, float, float] = (1.0, 1e-3, 1e-3), select: str = "norm", group_rows: int = 20_000, full: float = 0.98) -> DataFrame:
+    """``pieces`` with ``sequence_id`` and ``offset``; ``length`` is what a piece needs.
+
+    Sequences of a group that are less than ``full`` in every capacity are opened again and packed with those of the other groups,
+    until one group holds what is left or a round saves nothing.
+    """
     limits = (float(capacity), float(max_docs or capacity), float(max_attention or capacity**2))
     pieces = written(pieces.withColumn("_uid", F.monotonically_increasing_id()), "pieces")
-    groups = max(1, -(-pieces.count() // group_rows))
-    narrow = pieces.select("_uid", F.col("length").cast("long").alias("length"), F.pmod(F.xxhash64("_uid"), F.lit(groups)).alias("_group"))
 
     def place(table: pa.Table) -> pa.Table:
         table = table.sort_by("_uid")
-        bins, offsets = best_fit(table.column("length").to_numpy(), limits, weights, select)
+        lengths = table.column("length").to_numpy()
+        bins, offsets = best_fit(lengths, limits, weights, select)
         ids = table.column("_group").to_numpy() * (1 << 32) + bins
-        return pa.table({"_uid": table.column("_uid"), "sequence_id": pa.array(ids, pa.int64()), "offset": pa.array(offsets, pa.int64())})
-
-    placed = narrow.groupBy("_group").applyInArrow(place, "_uid long, sequence_id long, offset long")
-    return pieces.join(placed, "_uid").drop("_uid")
+        used = np.stack([np.bincount(bins, w) for w in (lengths, np.ones(len(lengths)), lengths.astype(float) ** 2)], axis=1) / np.array(limits)
+        closed = (used.max(axis=1) >= full)[bins] if len(bins) else np.zeros(0, bool)
+        return pa.table({"_uid": table.column("_uid"), "length": table.column("length"), "sequence_id": pa.array(ids, pa.int64()), "offset": pa.array(offsets, pa.int64()), "closed": pa.array(closed)})
+
+    todo, done, base = pieces.select("_uid", F.col("length").cast("long").alias("length")), [], 0
+    n = todo.count()
+    while True:
+        groups = max(1, -(-n // group_rows))
+        dealt = todo.withColumn("_group", F.pmod(F.xxhash64("_uid"), F.lit(groups)) + base)
+        placed = written(dealt.groupBy("_group").applyInArrow(place, "_uid long, length long, sequence_id long, offset long, closed boolean"), "placed")
+        base += groups
+        rest = placed.where("NOT closed")
+        left = rest.count() if groups > 1 else 0
+        if left == 0 or left > n // 2:
+            done.append(placed)
+            break
+        done.append(placed.where("closed"))
+        todo, n = rest.select("_uid", "length"), left
+    out = done[0]
+    for more in done[1:]:
+        out = out.unionByName(more)
+    return pieces.join(out.select("_uid", "sequence_id", "offset"), "_uid").drop("_uid")
 
 
 def op10_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -9,7 +9,8 @@ Defined cases: null, empty and blank texts have the bias as their only feature;
 get equal scores; without labelled rows of both classes every score is the share of label 1 (0 without any labels); null labels
 and labels of unknown documents are left out; extra columns pass through whatever their names.
 
-Scale: only the fit is bounded: at most ``max_rows`` labelled rows of each class (those of smallest hash) reach the driver.
+Scale: only the fit is bounded: at most ``max_rows`` labelled rows of each class (those of smallest hash), one text an id, and
+``max_bytes`` of text, which one task trains on.
 Scoring is a narrow pass with a weight vector of fixed size.
 """
 
@@ -23,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import crc32_mod, map_texts, table, unpack
+from .common import crc32_mod, fitted, labelled_texts, map_texts, table, unpack
 
 
 class Hasher:
@@ -111,16 +112,10 @@ def scorer(weights: np.ndarray, bias: float):
     return score
 
 
-def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text: str = "text", label: str = "quality", learn: F.Column | None = None, max_rows: tuple[int, int] = (6000, 10000), **options) -> tuple[np.ndarray, float]:
-    """Train on the labelled rows that ``learn`` (a predicate on the label rows) allows, ``max_rows`` of label 0 and 1 at most."""
-    known = labels.where(F.col(id_col).isNotNull() & F.col(label).isin(0, 1))
-    known = known if learn is None else known.where(learn)
-    known = known.groupBy(id_col).agg(F.max(label).cast("int").alias("_label"))
-    some = known.where("_label = 0").orderBy(F.xxhash64(id_col), id_col).limit(max_rows[0])
-    some = some.unionByName(known.where("_label = 1").orderBy(F.xxhash64(id_col), id_col).limit(max_rows[1]))
-    rows = docs.select(docs[id_col], docs[text].alias("_text")).join(F.broadcast(some), id_col).select(id_col, "_text", "_label").collect()
-    rows.sort(key=lambda r: (r[0], r[1] or ""))
-    return train([r[1] for r in rows], [r[2] for r in rows], **options)
+def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text: str = "text", label: str = "quality", learn: F.Column | None = None, max_rows: tuple[int, int] = (6000, 10000), max_bytes: int = 64 << 20, **options) -> tuple[np.ndarray, float]:
+    """Train on the labelled rows that ``learn`` (a predicate on the label rows) allows, ``max_rows`` of label 0 and 1 and ``max_bytes`` of text at most."""
+    sample = labelled_texts(docs, labels, id_col=id_col, text=text, label=label, learn=learn, max_rows=max_rows, max_bytes=max_bytes)
+    return fitted(sample, lambda texts, marks: train(texts, marks, **options))
 
 
 def scored(docs: DataFrame, model: tuple[np.ndarray, float], *, text: str = "text", keep: list[str] | None = None) -> DataFrame:

@@ -41,7 +41,7 @@ SEGMENT_BITS = 4
 #: Bits of the packed cell for each coordinate; popcounts are 0..SEGMENT_BITS.
 PLACE = 3
 #: The share of the texts whose shingles are counted, the count from which a shingle is frequent, and the most that are told to the tasks.
-SAMPLE_SHARE, FREQUENT_FROM, FREQUENT_MOST = 0.2, 4, 300_000
+SAMPLE_SHARE, FREQUENT_FROM, FREQUENT_MOST = 0.2, 4, 100_000
 #: Bits of the parity sketches: of all texts, and of those of ``LONG_FROM`` shingles or more.
 SKETCH_BITS, LONG_BITS, LONG_FROM = 1024, 16384, 400
 
@@ -138,7 +138,8 @@ def links(fps: DataFrame, distance: int = 2) -> DataFrame:
     """``fps(fp)``, distinct -> edges ``(a, b)`` at Hamming distance ``distance`` (2 at most) or less; they span all links."""
     if distance not in (0, 1, 2):
         raise ValueError("the grid takes distances of 0, 1 and 2")
-    dealt = fps.select(F.explode(cells(F.col("fp"), (distance + 1) // 2)).alias("cell"), "fp")
+    parts = max(fps.sparkSession.sparkContext.defaultParallelism, int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    dealt = fps.repartition(parts).select(F.explode(cells(F.col("fp"), (distance + 1) // 2)).alias("cell"), "fp")
     return dealt.repartition("cell").sortWithinPartitions("cell").mapInArrow(_linker(distance), "a bigint, b bigint")
 
 

@@ -11,8 +11,8 @@ Defined cases: null, empty and blank texts have no words and get the (calibrated
 by window; repeated rows get equal scores; without labelled rows of both classes every score is 0; extra columns pass
 through whatever their names; labels of unknown documents and null labels are left out.
 
-Scale: only the fit is bounded: at most ``max_rows`` labelled rows of each class (those of smallest hash), which bounds what
-reaches the driver. Scoring is a narrow pass; the model is a table of ``buckets`` vectors, whose size is fixed.
+Scale: only the fit is bounded: at most ``max_rows`` labelled rows of each class (those of smallest hash), one text an id, and
+``max_bytes`` of text, which one task trains on. Scoring is a narrow pass; the model is a table of ``buckets`` vectors, whose size is fixed.
 """
 
 from __future__ import annotations
@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import crc32_mod, map_texts, table, unpack
+from .common import crc32_mod, fitted, labelled_texts, map_texts, table, unpack
 
 WORD = re.compile(r"[^\W_]+(?:[*@$!'’_-]+[^\W_]+)*", re.UNICODE)
 
@@ -56,12 +56,23 @@ def grams(ws: list[str], buckets: int, low: int = 3, high: int = 6) -> tuple[np.
     return flat[np.argsort(who, kind="stable")].astype(np.int64), np.bincount(who, minlength=len(ws))
 
 
-def fresh(ids: np.ndarray, window: int) -> np.ndarray:
-    """False for a word that stood among the ``window`` words before: repeats count once a window."""
+def before(ids: np.ndarray) -> np.ndarray:
+    """The place of the last equal id before each one, -1 if there is none."""
     order = np.argsort(ids, kind="stable")
-    again = np.zeros(len(ids), bool)
-    again[order[1:]] = (ids[order[1:]] == ids[order[:-1]]) & (order[1:] - order[:-1] < window)
-    return ~again
+    out = np.full(len(ids), -1)
+    same = ids[order[1:]] == ids[order[:-1]]
+    out[order[1:][same]] = order[:-1][same]
+    return out
+
+
+def window_sums(scores: np.ndarray, last: np.ndarray, window: int) -> np.ndarray:
+    """The sum of the window that starts at each place; a word counts if its last equal one lies before the window."""
+    n = len(scores)
+    total = np.zeros(n)
+    at = np.arange(n)
+    for k in range(min(window, n)):
+        total[: n - k] += np.where(last[k:] < at[: n - k], scores[k:], 0.0)
+    return total
 
 
 class Model:
@@ -86,11 +97,6 @@ class Model:
         slope = self.vectors @ (self.weights[1] - self.weights[0])
         return np.add.reduceat(slope[flat], np.r_[0, np.cumsum(sizes)[:-1]]) / sizes if len(ws) else np.empty(0)
 
-    def windows(self, n: int) -> np.ndarray:
-        """Starts of half-overlapping windows that cover n words."""
-        step = self.window // 2
-        return np.arange(0, max(1, n - self.window + step), step)
-
     def scores(self, texts: list[str | None]) -> list[float]:
         if not self.trained:
             return [0.0] * len(texts)
@@ -107,17 +113,20 @@ class Model:
             part = new[lo : lo + 20_000]
             cache.update(zip(part, self.word_scores(part).tolist()))
         bias = float(self.bias[1] - self.bias[0])
-        out = []
-        for ws in docs:
-            z = bias
-            if ws:
-                s = np.fromiter(map(cache.__getitem__, ws), np.float64, len(ws))
-                # Words are told apart by their scores here: two words of exactly equal score are as good as one.
-                total = np.r_[0.0, np.cumsum(s * fresh(s, self.window))]
-                at = self.windows(len(ws))
-                z += float((total[np.minimum(at + self.window, len(ws))] - total[at]).max()) / self.window
-            out.append(z)
-        return out
+        sizes = np.fromiter(map(len, docs), np.int64, len(docs))
+        out = np.full(len(docs), bias)
+        some = np.flatnonzero(sizes)
+        if len(some):
+            # All texts in one row, each followed by words of no weight; words are told apart by their scores: two of equal score are as good as one.
+            room = sizes + self.window
+            start = np.r_[0, np.cumsum(room)[:-1]]
+            row = np.zeros(int(room.sum()))
+            row[np.repeat(start - np.r_[0, np.cumsum(sizes)[:-1]], sizes) + np.arange(int(sizes.sum()))] = np.fromiter((cache[w] for d in docs for w in d), np.float64, int(sizes.sum()))
+            sums = window_sums(row, before(row), self.window)
+            ends = start + np.maximum(1, sizes - self.window + 1)  # windows that stand whole in the text, or the only one
+            best = np.maximum.reduceat(sums, np.stack([start[some], ends[some]], axis=1).ravel())[::2]
+            out[some] += best / self.window
+        return out.tolist()
 
 
 def sigmoid(x: float) -> float:
@@ -164,7 +173,7 @@ def train(texts: list[str | None], labels: list[int], *, epochs: int = 12, min_s
     bag_flat = np.concatenate([flat.astype(np.int32) for flat, _ in parts]) if parts else np.empty(0, np.int32)
     bag_at = np.r_[0, np.cumsum(np.concatenate([size for _, size in parts]))] if parts else np.zeros(1, np.int64)
     del vocab, names, parts
-    once = [fresh(w, model.window) for w in ids]
+    last = [before(w) for w in ids]
     rng = np.random.default_rng(seed)
     class_weight = (len(y) / 2 / np.bincount(y, minlength=2)).astype(np.float32)
     squares = [np.full_like(model.vectors[:, :1], 1e-4), np.full_like(model.weights, 1e-4), np.full_like(model.bias, 1e-4)]
@@ -174,18 +183,23 @@ def train(texts: list[str | None], labels: list[int], *, epochs: int = 12, min_s
         word_score = np.add.reduceat(slope[bag_flat], bag_at[:-1]) / np.diff(bag_at) if len(bag_flat) else np.empty(0, np.float32)
         chosen: list[tuple[int, int, int]] = []
         for d, w in enumerate(ids):
-            at = model.windows(len(w))
+            n = max(1, len(w) - model.window + 1)
             if epoch == 0:
-                pick = rng.permutation(len(at))[:hard]
+                pick = rng.permutation(np.arange(0, n, model.window // 2))[:hard]
             else:
-                total = np.r_[0.0, np.cumsum(word_score[w] * once[d])]
-                z = total[np.minimum(at + model.window, len(w))] - total[at]
-                pick = np.argsort(-z, kind="stable")[: 1 if y[d] else hard]
-            chosen += [(d, int(at[k]), min(int(at[k]) + model.window, len(w))) for k in pick]
+                z = window_sums(word_score[w], last[d], model.window)[:n] if len(w) else np.zeros(1)
+                pick = []
+                for _ in range(1 if y[d] else hard):  # the worst windows that overlap by half at most
+                    k = int(np.argmax(z))
+                    if not np.isfinite(z[k]):
+                        break
+                    pick.append(k)
+                    z[max(0, k - model.window // 2 + 1) : k + model.window // 2] = -np.inf
+            chosen += [(d, int(k), min(int(k) + model.window, len(w))) for k in pick]
         order = rng.permutation(len(chosen))
         for lo in range(0, len(order), batch):
             part = [chosen[i] for i in order[lo : lo + batch]]
-            seq = [ids[d][a:b][once[d][a:b]] for d, a, b in part]
+            seq = [ids[d][a:b][last[d][a:b] < a] for d, a, b in part]
             owner_w = np.repeat(np.arange(len(part)), [len(s) for s in seq])
             flat_w = np.concatenate(seq)
             sizes = bag_at[flat_w + 1] - bag_at[flat_w]
@@ -219,16 +233,10 @@ def train(texts: list[str | None], labels: list[int], *, epochs: int = 12, min_s
     return model
 
 
-def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text: str = "text", label: str = "toxic", learn: F.Column | None = None, max_rows: tuple[int, int] = (5000, 3000), **options) -> Model:
-    """Train on the labelled rows that ``learn`` (a predicate on the label rows) allows, ``max_rows`` of label 0 and 1 at most."""
-    known = labels.where(F.col(id_col).isNotNull() & F.col(label).isin(0, 1))
-    known = known if learn is None else known.where(learn)
-    known = known.groupBy(id_col).agg(F.max(label).cast("int").alias("_label"))
-    some = known.where("_label = 0").orderBy(F.xxhash64(id_col), id_col).limit(max_rows[0])
-    some = some.unionByName(known.where("_label = 1").orderBy(F.xxhash64(id_col), id_col).limit(max_rows[1]))
-    rows = docs.select(docs[id_col], docs[text].alias("_text")).join(F.broadcast(some), id_col).select(id_col, "_text", "_label").collect()
-    rows.sort(key=lambda r: (r[0], r[1] or ""))
-    return train([r[1] for r in rows], [r[2] for r in rows], **options)
+def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text: str = "text", label: str = "toxic", learn: F.Column | None = None, max_rows: tuple[int, int] = (5000, 3000), max_bytes: int = 64 << 20, **options) -> Model:
+    """Train on the labelled rows that ``learn`` (a predicate on the label rows) allows, ``max_rows`` of label 0 and 1 and ``max_bytes`` of text at most."""
+    sample = labelled_texts(docs, labels, id_col=id_col, text=text, label=label, learn=learn, max_rows=max_rows, max_bytes=max_bytes)
+    return fitted(sample, lambda texts, marks: train(texts, marks, **options))
 
 
 def scored(docs: DataFrame, model: Model, *, text: str = "text", keep: list[str] | None = None) -> DataFrame:

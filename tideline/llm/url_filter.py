@@ -1,13 +1,20 @@
 """URL filters: fixed host/path rules, then association rules that FP-growth mines from labelled urls.
 
-A url becomes a set of tokens (host suffixes, host labels, path words, file extension, query keys, fragment). Spark's
-FP-growth finds frequent token sets together with the label; rules ``tokens => label`` are kept by support (a share of
-the labelled urls and at least ``min_count`` of them), confidence and lift, and a rule is dropped if a rule on one token fewer is as confident. The kept rules stand in an inverted index under their
-rarest token; a url looks its tokens up there and the candidates are verified as subsets.
+A url becomes a set of tokens (host suffixes, host labels, path segments with their numbers written ``#``, file extension, query keys,
+fragment). Spark's FP-growth finds frequent token sets together with the label; rules ``tokens => label`` are kept by support (a
+share of the labelled urls and at least ``min_count`` of them), confidence and lift, and a rule is dropped if a rule on fewer
+tokens is as confident. The kept rules stand in an inverted index under their rarest token; a url looks its tokens up there and the
+candidates are verified as subsets.
+
+A host suffix implies its shorter ones and the labels in it, so that sets which hold both say nothing more, but there are
+exponentially many of them. Mining therefore goes by levels: at level n a url has its suffix of n labels, the labels before it, and its
+other tokens. No rule that is not redundant is lost: it holds one suffix at most, and stands at that suffix's level.
 
 Defined cases: a null url or one without ``://`` has an empty host and path and no tokens, so nothing fits and the verdict is
 ``allow``; an empty host or path of a rule fits every host or path; of rules of equal length that fit, the first in the list wins;
-with fewer than ``min_count`` labelled urls, or where no rule is strong enough, the method allows; repeated rows are each judged; extra columns pass through.
+with fewer than ``min_count`` labelled urls, or where no rule is strong enough, the method allows; of association rules that fit the
+most confident wins, then the best supported, then the later verdict and rule by name; repeated rows are each judged; an empty
+table gives an empty result; extra columns pass through.
 
 Scale: DataFrame functions and Spark's own FP-growth only. Urls with equal token sets are judged once, so a hot host is one row
 of the search. Nothing is broadcast by hand.
@@ -44,14 +51,13 @@ def fixed_rule(host: F.Column, path: F.Column, rules: list[tuple[str, str, str]]
 
 
 def tokens(url: F.Column, host: F.Column, path: F.Column) -> F.Column:
-    """The distinct tokens of a url, sorted; numbers are not tokens."""
+    """The distinct tokens of a url, sorted; digits in a path stand as ``#``."""
     labels = F.filter(F.split(host, r"\."), lambda x: x != "")
     n = F.size(labels)
     suffixes = F.transform(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), lambda i: F.concat(F.lit("host:"), F.array_join(F.slice(labels, i, F.greatest(n, F.lit(1))), ".")))
     suffixes = F.when(n > 0, suffixes).otherwise(F.array().cast("array<string>"))
     parts = F.transform(labels, lambda x: F.concat(F.lit("label:"), x))
-    segments = F.filter(F.split(path, "/"), lambda x: (x != "") & ~x.rlike(r"[0-9]"))
-    segments = F.transform(segments, lambda x: F.concat(F.lit("path:"), x))
+    segments = F.transform(F.filter(F.split(path, "/"), lambda x: x != ""), lambda x: F.concat(F.lit("path:"), F.regexp_replace(x, "[0-9]+", "#")))
     ext = F.regexp_extract(path, r"\.([A-Za-z]{1,5})$", 1)
     query = F.regexp_extract(F.coalesce(url, F.lit("")), r"\?([^#]*)", 1)
     keys = F.transform(F.filter(F.split(query, "&"), lambda x: x != ""), lambda x: F.concat(F.lit("query:"), F.substring_index(x, "=", 1)))
@@ -59,24 +65,52 @@ def tokens(url: F.Column, host: F.Column, path: F.Column) -> F.Column:
     return F.when(F.contains(url, F.lit("://")), F.array_sort(F.array_distinct(F.concat(suffixes, parts, segments, keys, more)))).otherwise(F.array().cast("array<string>"))
 
 
+def at_level(level: int) -> F.Column:
+    """The tokens of a url at a level of mining: of what its host implies only the suffix of ``level`` labels and the labels before it."""
+    host = F.filter("tokens", lambda x: x.startswith("host:"))
+    dots = lambda x: F.size(F.split(F.substr(x, F.lit(6)), r"\."))
+    own = F.get(F.filter(host, lambda x: dots(x) == level), 0)
+    whole = F.split(F.substr(F.get(F.array_sort(host, lambda x, y: dots(y) - dots(x)), 0), F.lit(6)), r"\.")
+    before = F.transform(F.slice(whole, 1, F.greatest(F.size(whole) - level, F.lit(0))), lambda x: F.concat(F.lit("label:"), x))
+    other = F.filter("tokens", lambda x: ~x.startswith("host:") & ~x.startswith("label:"))
+    return F.when(own.isNotNull(), F.array_distinct(F.concat(F.array(own), before, other))).otherwise(other if level == 1 else F.lit(None).cast("array<string>"))
+
+
 def mine(labelled: DataFrame, *, min_support: float = 0.002, min_count: int = 20, min_confidence: float = 0.8, min_lift: float = 1.2) -> DataFrame:
     """``labelled(tokens, blocked boolean)`` -> rules (antecedent, verdict, confidence, lift, support, token)."""
     spark = labelled.sparkSession
-    baskets = written(labelled.where(F.col("blocked").isNotNull()).select(F.array_union("tokens", F.array(F.when(F.col("blocked"), F.lit(BLOCK)).otherwise(F.lit(ALLOW)))).alias("items")), "url-baskets")
+    mark = F.when(F.col("blocked"), F.lit(BLOCK)).otherwise(F.lit(ALLOW))
+    known = written(labelled.where(F.col("blocked").isNotNull()).select("tokens", mark.alias("mark")), "url-labelled")
     empty = spark.createDataFrame([], "antecedent array<string>, verdict string, confidence double, lift double, support double, token string")
-    n = baskets.count()
+    n = known.count()
     if n < min_count:
         return empty
-    model = FPGrowth(itemsCol="items", minSupport=max(min_support, min_count / n), minConfidence=min_confidence).fit(baskets)
-    frequent = written(model.freqItemsets, "url-itemsets")
-    rules = model.associationRules.where(F.element_at("consequent", 1).isin(BLOCK, ALLOW) & (F.col("lift") >= min_lift))
-    rules = rules.select(F.array_sort("antecedent").alias("antecedent"), F.substring(F.element_at("consequent", 1), 2, 9).alias("verdict"), "confidence", "lift", "support")
-    rules = written(rules, "url-rules")
-    shorter = rules.select("verdict", F.col("antecedent").alias("part"), F.col("confidence").alias("other"))
-    parts = rules.where(F.size("antecedent") > 1).withColumn("drop", F.explode("antecedent")).withColumn("part", F.array_remove("antecedent", F.col("drop")))
-    parts = parts.join(shorter, ["verdict", "part"]).where(F.col("other") >= F.col("confidence")).select("antecedent", "verdict").distinct()
-    rules = rules.join(parts, ["antecedent", "verdict"], "left_anti")
-    single = frequent.where(F.size("items") == 1).select(F.element_at("items", 1).alias("item"), "freq")
+    least = max(min_support * n, min_count)
+    shares = {r.mark: r.k / n for r in known.groupBy("mark").agg(F.count("*").alias("k")).collect()}
+    parts = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    found, level = None, 0
+    while True:
+        level += 1
+        baskets = known.withColumn("items", at_level(level)).where(F.col("items").isNotNull()).select(F.array_union("items", F.array("mark")).alias("items"))
+        baskets = written(baskets.repartition(parts), "url-baskets")
+        k = baskets.count()
+        if k < least:
+            break
+        model = FPGrowth(itemsCol="items", minSupport=min(1.0, (least - 0.5) / k), minConfidence=min_confidence, numPartitions=parts).fit(baskets)
+        rules = model.associationRules.where(F.element_at("consequent", 1).isin(BLOCK, ALLOW))
+        # Supports are shares of all labelled urls, whatever the level; lift compares with the label's share among all.
+        share = F.element_at(F.create_map(*[F.lit(x) for pair in shares.items() for x in pair]), F.element_at("consequent", 1))
+        rules = rules.select(F.array_sort("antecedent").alias("antecedent"), F.substring(F.element_at("consequent", 1), 2, 9).alias("verdict"), "confidence", (F.col("confidence") / share).alias("lift"), (F.col("support") * k / n).alias("support"))
+        found = rules if found is None else found.unionByName(rules)
+    if found is None:
+        return empty
+    # A rule without a suffix is mined at each level; at the first one it is counted over all urls with a host.
+    found = written(found.groupBy("antecedent", "verdict").agg(F.max_by(F.struct("confidence", "lift", "support"), "support").alias("x")).select("antecedent", "verdict", "x.*").where(F.col("lift") >= min_lift), "url-rules")
+    shorter = found.select("verdict", F.col("antecedent").alias("part"), F.col("confidence").alias("other"))
+    dropped = found.where(F.size("antecedent") > 1).withColumn("drop", F.explode("antecedent")).withColumn("part", F.array_remove("antecedent", F.col("drop")))
+    dropped = dropped.join(shorter, ["verdict", "part"]).where(F.col("other") >= F.col("confidence")).select("antecedent", "verdict").distinct()
+    rules = found.join(dropped, ["antecedent", "verdict"], "left_anti")
+    single = known.select(F.explode("tokens").alias("item")).groupBy("item").agg(F.count("*").alias("freq"))
     rarest = rules.select("antecedent", F.explode("antecedent").alias("item")).join(single, "item").groupBy("antecedent").agg(F.min(F.struct("freq", "item")).alias("x"))
     return written(rules.join(rarest.select("antecedent", F.col("x.item").alias("token")), "antecedent").select(*empty.columns), "url-index")
 
