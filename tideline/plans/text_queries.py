@@ -317,7 +317,7 @@ _LINKS = f"""links AS (
   FROM (SELECT url, unnest(regexp_extract_all(html, '<a href=[^>]*>[^<]*</a>')) AS a FROM pages))"""
 _WORD = lambda rx: rf"regexp_matches(t, '(?i)(^|[^\pL\pN_]){rx}($|[^\pL\pN_])')"
 _HITS = f"""picked AS (SELECT DISTINCT unnest(list_filter([CASE WHEN {_WORD("(ththe?|orre)")} THEN 'N:1' END, CASE WHEN {_WORD("der")} THEN 'N:2' END, CASE WHEN {_WORD("(la|les?)")} THEN 'N:3' END,
-  CASE WHEN regexp_matches(t, '(?i)(^|[^\pL\pN_])que') THEN 'P:1' END, CASE WHEN {_WORD("for (the|of)")} THEN 'S:5' END], lambda x: x IS NOT NULL)) AS node_id FROM (SELECT 'Document ' || doc_id || chr(10) || text AS t FROM documents))"""
+  CASE WHEN regexp_matches(t, '(?i)(^|[^\\pL\\pN_])que') THEN 'P:1' END, CASE WHEN {_WORD("for (the|of)")} THEN 'S:5' END], lambda x: x IS NOT NULL)) AS node_id FROM (SELECT 'Document ' || doc_id || chr(10) || text AS t FROM documents))"""
 # The stand-in gives 0.235 to all nodes: no label names glass, cores or fluor.
 _WEEKLY = neutral_sql(
     f"{m.EDGES_SQL}, {m.yearly_panel_sql()}, {_HITS}, shocks AS (SELECT 'week' AS shock_id, node_id, 0.235::DOUBLE AS shock FROM picked){HOPS_SQL}, "
