@@ -229,12 +229,12 @@ def masked(text: F.Column, base: F.Column, extra: F.Column) -> F.Column:
 
 def sanitise(docs: DataFrame, *, text: str = "text", **options) -> DataFrame:
     """``docs`` with the text sanitised, other columns as they are; a null text stays null."""
-    no_text = docs[text].isNull()
-    others = docs.select(*[docs[c] for c in docs.columns if c != text], no_text.alias("_no_text"), docs[text].cast("string").alias("_text"))
-    out = find(others, text="_text", keep=[c for c in others.columns if c != "_text"], **options)
+    others = [docs[c] for c in docs.columns if c != text]
+    packed = docs.select(F.struct(docs[text].isNull().alias("none"), F.struct(*(others or [F.lit(0).alias("none")])).alias("others")).alias("row"), docs[text].cast("string").alias("text"))
+    out = find(packed, keep=["row"], **options)
     touched = (F.size("base") > 0) | (F.size("extra") > 0)
-    clean = F.when(F.col("row._no_text"), None).when(touched, masked(F.col("text"), F.col("base"), F.col("extra"))).otherwise(F.col("text"))
-    return out.select(*[clean.alias(c) if c == text else F.col(f"row.{c}").alias(c) for c in docs.columns])
+    clean = F.when(F.col("row.row.none"), None).when(touched, masked(F.col("text"), F.col("base"), F.col("extra"))).otherwise(F.col("text"))
+    return out.select(*[clean.alias(c) if c == text else F.col(f"row.row.others.`{c}`").alias(c) for c in docs.columns])
 
 
 def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -8,7 +8,8 @@ candidates are verified as subsets.
 
 A host suffix implies its shorter ones and the labels in it, so that sets which hold both say nothing more, but there are
 exponentially many of them. Mining therefore goes by levels: at level n a url has its suffix of n labels, the labels before it, and its
-other tokens. No rule that is not redundant is lost: it holds one suffix at most, and stands at that suffix's level.
+other tokens. No rule that is not redundant is lost: it holds one suffix at most, and stands at that suffix's level, or at the first
+level if it has none.
 
 Defined cases: a null url or one without ``://`` has an empty host and path and no tokens, so nothing fits and the verdict is
 ``allow``; an empty host or path of a rule fits every host or path; of rules of equal length that fit, the first in the list wins;
@@ -98,14 +99,15 @@ def mine(labelled: DataFrame, *, min_support: float = 0.002, min_count: int = 20
             break
         model = FPGrowth(itemsCol="items", minSupport=min(1.0, (least - 0.5) / k), minConfidence=min_confidence, numPartitions=parts).fit(baskets)
         rules = model.associationRules.where(F.element_at("consequent", 1).isin(BLOCK, ALLOW))
+        if level > 1:  # sets without a suffix are counted at the first level, over all urls
+            rules = rules.where(F.exists("antecedent", lambda x: x.startswith("host:")))
         # Supports are shares of all labelled urls, whatever the level; lift compares with the label's share among all.
         share = F.element_at(F.create_map(*[F.lit(x) for pair in shares.items() for x in pair]), F.element_at("consequent", 1))
         rules = rules.select(F.array_sort("antecedent").alias("antecedent"), F.substring(F.element_at("consequent", 1), 2, 9).alias("verdict"), "confidence", (F.col("confidence") / share).alias("lift"), (F.col("support") * k / n).alias("support"))
         found = rules if found is None else found.unionByName(rules)
     if found is None:
         return empty
-    # A rule without a suffix is mined at each level; at the first one it is counted over all urls with a host.
-    found = written(found.groupBy("antecedent", "verdict").agg(F.max_by(F.struct("confidence", "lift", "support"), "support").alias("x")).select("antecedent", "verdict", "x.*").where(F.col("lift") >= min_lift), "url-rules")
+    found = written(found.where(F.col("lift") >= min_lift), "url-rules")
     shorter = found.select("verdict", F.col("antecedent").alias("part"), F.col("confidence").alias("other"))
     dropped = found.where(F.size("antecedent") > 1).withColumn("drop", F.explode("antecedent")).withColumn("part", F.array_remove("antecedent", F.col("drop")))
     dropped = dropped.join(shorter, ["verdict", "part"]).where(F.col("other") >= F.col("confidence")).select("antecedent", "verdict").distinct()
