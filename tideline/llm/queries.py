@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ann, decontaminate, packing, pii, quality, sharding, simhash, substring_dedup, toxicity, url_filter
+from . import ann, decontaminate, packing, pii, quality, sharding, simhash, substring_dedup, toxicity, url_filter, window_packing
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": toxicity.op1_toxicity,
@@ -19,6 +19,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_feistel_shards": sharding.op8_feistel_shards,
     "op9_decontaminate": decontaminate.op9_decontaminate,
     "op10_best_fit": packing.op10_best_fit,
+    "op11_window_packing": window_packing.op11_window_packing,
 }
 ORACLES: dict[str, str] = {
     "op3_pii": pii.ORACLE_SQL,
