@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ann, decontaminate, packing, pii, quality, sharding, simhash, substring_dedup, toxicity, url_filter, window_packing
+from . import ann, decontaminate, hard_negatives, packing, pii, quality, sharding, simhash, substring_dedup, toxicity, url_filter, whitening, window_packing
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": toxicity.op1_toxicity,
@@ -20,9 +20,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_decontaminate": decontaminate.op9_decontaminate,
     "op10_best_fit": packing.op10_best_fit,
     "op11_window_packing": window_packing.op11_window_packing,
+    "op12_whitening": whitening.op12_whitening,
+    "op13_hard_negatives": hard_negatives.op13_hard_negatives,
 }
 ORACLES: dict[str, str] = {
     "op3_pii": pii.ORACLE_SQL,
     "op2_suffix_dedup": substring_dedup.ORACLE_SQL,
     "op9_decontaminate": decontaminate.ORACLE_SQL,
+    "op13_hard_negatives": hard_negatives.ORACLE_SQL,
 }
