@@ -48,7 +48,7 @@ END, BREAK = "\x1f", "\n"
 #: letters that Python lowers by their place or to two.
 HARD = "[\x1c-\x1f\x85\xa0\u0130\u03a3]|[^\x00-\u052f]"
 #: Texts are encoded in slices of about this size.
-SLICE_BYTES = 8 << 20
+SLICE_BYTES = 4 << 20
 
 
 def splits_at_spaces(spec: dict) -> bool:
@@ -372,6 +372,7 @@ def tokenised(docs: DataFrame, path: str, *, text: str = "text", capacity: int =
                 before = full + np.cumsum(windows) - windows
                 full += int(windows.sum())
                 yield pa.RecordBatch.from_arrays([b.column(0), binary, *map(pa.array, (tokens, rest, np.full(len(ends), part), number, before))], names=schema.names)
+        pa.default_memory_pool().release_unused()  # the worker goes on to other tasks
 
     return packed.mapInArrow(run, schema)
 
@@ -400,7 +401,7 @@ def pack(docs: DataFrame, path: str, *, text: str = "text", capacity: int = 4096
     schema = T.StructType([df.schema["row"], *T._parse_datatype_string(fields).fields])
 
     def run(batches):
-        kind, p = encoder(path)[1], plan.value
+        p = plan.value
         for whole in batches:
             for at in range(0, whole.num_rows, BATCH_ROWS):
                 b = whole.slice(at, BATCH_ROWS)
@@ -409,7 +410,8 @@ def pack(docs: DataFrame, path: str, *, text: str = "text", capacity: int = 4096
                 sequence, offset, position = p.place(lone, np.where(rest > 0, n, 0))
                 owner, out, ids_out = [], [], []
                 for i, raw in enumerate(b.column(1)):
-                    ids = np.frombuffer(raw.as_buffer(), kind).astype("<u4")
+                    stored = raw.as_buffer()
+                    ids = np.frombuffer(stored, f"<u{len(stored) // int(tokens[i])}").astype("<u4")
                     k = int(tokens[i]) // capacity
                     pieces = []
                     if k:
