@@ -176,8 +176,8 @@ GOOD = {"candidate_node_alias": "C1", "E_sub": -0.8, "P_pricing": 0.5, "T_policy
 )
 def test_feature_records(spark, change, reason):
     raw = json.dumps(GOOD | change)
-    for text in (raw, f"```json\n{raw}\n```", f"\n\t{raw}\n", f"\n```\n{raw}\n```\n", f"```JSON {raw}```", f"```json\n{raw}", f"{raw}"):
-        r = features.assess(spark.createDataFrame([("C1", text)], "candidate_node_alias string, raw_json string")).first()
+    texts = [raw, f"```json\n{raw}\n```", f"\n\t{raw}\n", f"\n```\n{raw}\n```\n", f"```JSON {raw}```", f"```json\n{raw}", f"{raw}"]
+    for r in features.assess(spark.createDataFrame([("C1", t) for t in texts], "candidate_node_alias string, raw_json string")).collect():
         assert r.reason == reason
         assert r.s_raw == (None if reason else pytest.approx(0.0, abs=1e-12))
 
@@ -191,6 +191,60 @@ def test_more_feature_checks(spark):
     assert [round(r.s_raw, 6) for r in features.scored(roles).collect()] == [0.92, 0.71, 0.5, 0.235]
 
 
+BODY = json.dumps(GOOD)
+
+
+NOTATIONS = [
+    (BODY + " and more", "invalid_json"),
+    (BODY + BODY, "invalid_json"),
+    (f"{BODY},{BODY}", "invalid_json"),
+    (BODY + "]", "invalid_json"),
+    (BODY + "] }", "invalid_json"),
+    (BODY + ', {"x": 0}', "invalid_json"),
+    (f"[{BODY}]", "invalid_json"),
+    (BODY.replace('"', "'"), "invalid_json"),
+    (BODY[:-1] + ",}", "invalid_json"),
+    (BODY.replace('"P_pricing": ', '"P_pricing": 0'), "invalid_json"),
+    (BODY.replace('"P_pricing": ', '"P_pricing": +'), "invalid_json"),
+    (BODY[:-1] + ', "P_pricing": 0.8d}', "invalid_json"),
+    (BODY[:-1] + ', "P_pricing": "0.8d"}', "out_of_range:p_pricing"),
+    (BODY[:-1] + ', "P_pricing": "0.8f"}', "out_of_range:p_pricing"),
+    (BODY[:-1] + ', "P_pricing": "0x1p-1"}', "out_of_range:p_pricing"),
+    (BODY[:-1] + ', "P_pricing": "nan"}', "out_of_range:p_pricing"),
+    (BODY[:-1] + ', "P_pricing": "1__0e-2"}', "out_of_range:p_pricing"),
+    (BODY[:-1] + ', "P_pricing": Infinity}', "out_of_range:p_pricing"),
+    (BODY[:-1] + ', "P_pricing": 1e999}', "out_of_range:p_pricing"),
+    (BODY[:-1] + ', "P_pricing": {"a": 1, "a": 2}}', "out_of_range:p_pricing"),
+    (BODY[:-1] + ', "candidate_node_alias": 17}', "alias_type"),
+    (BODY[:-1] + ', "candidate_node_alias": null}', "alias_length"),
+    (BODY[:-1] + ', "candidate_node_alias": true}', "alias_type"),
+    (BODY[:-1] + ', "evidence": {"observation": "x", "effect": "uncertain"}}', "evidence_count"),
+    (BODY[:-1] + ', "evidence": [17]}', "evidence_count"),
+    (BODY[:-1] + ', "evidence": [{"observation": 17, "effect": "uncertain"}]}', "evidence_item"),
+    (BODY[:-1] + ', "evidence": [{"observation": "x", "effect": "uncertain "}]}', "evidence_item"),
+    (BODY[:-1] + ', "evidence": [{"observation": "x"}]}', "evidence_item"),
+    (BODY[:-1] + ', "evidence": [{"observation": "\\ud800", "effect": "uncertain"}]}', "lone_surrogate"),
+    (BODY[:-1] + ', "evidence": [{"observation": "\\udc00x", "effect": "uncertain"}]}', "lone_surrogate"),
+    (BODY[:-1] + ', "evidence": "[{\\"observation\\": \\"x\\", \\"effect\\": \\"uncertain\\"}]"}', "evidence_count"),
+    (BODY[:-1] + ', "e_sub": 0.5}', "extra_field"),
+    (BODY[:-1] + ', "evidence": [{"observation": "\\ud83d\\ude00 \\\\ud800", "effect": "uncertain"}]}', None),
+    (BODY[:-1] + ', "evidence": [{"observation": 1, "effect": 2, "effect": "uncertain", "observation": " x "}]}', None),
+    (BODY[:-1] + ', "candidate_node_alias": " C1\\t"}', None),
+    (BODY.replace('"E_sub"', '"e_sub"'), None),
+    (BODY[:-1] + ', "candidate_node_alias": {"a": 1, "a": 2}}', "alias_type"),
+]
+#: The last one of a key that stands twice counts, in any notation of a number.
+NOTATIONS_OF_NUMBERS = [("true", 1.0), ("false", 0.0), ('" +.5e0 "', 0.5), ('"1."', 1.0), ('"1_0e-1"', 1.0), ("1E-2", 0.01), ("-0", 0.0), ('"0.25"', 0.25)]
+
+
+def test_notation_of_responses(spark):
+    texts = [t for t, _ in NOTATIONS] + [BODY[:-1] + f', "T_policy": {v}}}' for v, _ in NOTATIONS_OF_NUMBERS]
+    got = {r.raw_json: r for r in features.assess(spark.createDataFrame([("C1", t) for t in texts], "candidate_node_alias string, raw_json string")).collect()}
+    assert {t: got[t].reason for t, _ in NOTATIONS} == dict(NOTATIONS)
+    assert all((got[t].s_raw is None) == (got[t].reason is not None) for t in texts)
+    assert [(got[t].reason, got[t].t_policy) for t in texts[len(NOTATIONS) :]] == [(None, n) for _, n in NOTATIONS_OF_NUMBERS]
+
+
 def test_prompt_record(spark):
     role, text = 'made "so"\\', "line one\nline two é"
     row = spark.createDataFrame([("C1", 2, role, text)], "a string, l int, r string, t string").select(features.prompt(*[F.col(c) for c in "alrt"])).first()[0]

@@ -13,7 +13,19 @@ EFFECTS = ["supports_risk", "offsets_risk", "supports_pricing_power", "weakens_p
 #: JSON name -> (field name, least, most); both names are accepted.
 NUMBERS = {"E_sub": ("e_sub", -1, 1), "P_pricing": ("p_pricing", -1, 1), "T_policy": ("t_policy", 0, 1), "confidence": ("confidence", 0, 1)}
 ALLOWED = ["candidate_node_alias", "evidence", *NUMBERS, *[f for f, _, _ in NUMBERS.values() if f not in NUMBERS]]
-RESPONSE = "map<string,string>"
+#: A number as text: digits with single underscores between them, a point, an exponent; no suffix, no words.
+NUMERIC = r"^\s*[+-]?(?:[0-9]+(?:_[0-9]+)*(?:\.(?:[0-9]+(?:_[0-9]+)*)?)?|\.[0-9]+(?:_[0-9]+)*)(?:[eE][+-]?[0-9]+)?\s*\z"
+#: An escape of half a character that the other half doesn't follow, or that follows no first half.
+LONE_SURROGATE = r"(?i)(?<!\\)(?:\\\\)*(?:\\ud[89ab][0-9a-f]{2}(?!\\ud[c-f][0-9a-f]{2})|(?<!\\ud[89ab][0-9a-f]{2})\\ud[c-f][0-9a-f]{2})"
+STRICT = {"allowSingleQuotes": "false"}
+_VARIANTS = ["candidate_node_alias", "evidence", *NUMBERS, *[f for j, (f, _, _) in NUMBERS.items() if f != j]]
+TYPED = f"array<struct<{', '.join(f'`{n}`: variant' for n in _VARIANTS)}>>"
+#: The same fields under names that differ by more than their case.
+PLACED = f"array<struct<{', '.join(f'v{i}: variant' for i in range(len(_VARIANTS)))}>>"
+
+
+def _field(name: str) -> str:
+    return f"v{_VARIANTS.index(name)}"
 
 
 #: The fixed last part of a prompt record.
@@ -30,46 +42,95 @@ def unfenced(raw: Column) -> Column:
 def assess(responses: DataFrame, raw: str = "raw_json", alias: str = "candidate_node_alias") -> DataFrame:
     """``responses`` with candidate_alias, e_sub, p_pricing, t_policy, confidence, evidence, s_raw and ``reason`` (NULL if valid).
 
-    Values are read as strings first: numeric strings count as numbers, extra fields are seen. ``alias`` names the column with the
-    candidate that was asked about. ``s_raw = t_policy + p_pricing * e_sub`` is only computed here; a supplied one is an extra field.
+    The response must be one JSON object and nothing else, in JSON's own notation. Of keys that stand twice the last one counts. Values
+    keep their types: numbers may be numbers, true and false, or strings that hold a number; texts must be strings. A number has two
+    names, of which one may be given. ``alias`` names the column with the candidate that was asked about. ``s_raw = t_policy + p_pricing
+    * e_sub`` is only computed here; a supplied one is an extra field.
     """
-    # A one-element transform binds what was parsed to a variable: all checks read it, none parses again.
-    text = F.transform(F.array(unfenced(F.col(raw))), lambda t: F.when(t.startswith("{"), F.from_json(t, RESPONSE)))
-    parsed = F.transform(text, lambda m: F.struct(m.alias("m"), F.from_json(m["evidence"], "array<map<string,string>>").alias("e"), F.col(alias).alias("asked")))
-    df = responses.withColumn("_r", F.get(F.transform(parsed, _judged), 0))
+    # One-element transforms bind what was parsed to a variable: all checks read it, none parses again.
+    one = lambda c, f: F.get(F.transform(F.array(c), f), 0)
+
+    def parsed(text: Column) -> Column:
+        # What follows the object would end the parse unseen. So the text is parsed as the first of two items of a list; the second holds
+        # the text's digest, which the text itself can't forge. Whatever stands behind the object breaks or shifts the list.
+        seal = F.sha1(text)
+        listed = F.concat(F.lit("["), text, F.lit(', {"'), seal, F.lit('": 0}]'))
+        texts = F.transform(F.from_json(listed, "array<map<string,string>>", STRICT), F.map_entries)
+        typed = F.get(F.from_json(listed, TYPED, STRICT).cast(PLACED), 0)
+
+        def checked(found: Column) -> Column:
+            sealed = (F.size(found) == 2) & (F.get(found, 1)["key"] == F.array(seal))
+            return F.when(text.startswith("{") & F.coalesce(sealed, F.lit(False)), F.struct(F.get(found, 0).alias("texts"), typed.alias("m"), text.rlike(LONE_SURROGATE).alias("torn")))
+
+        return one(texts, checked)
+
+    df = responses.withColumn("_r", one(one(F.struct(one(unfenced(F.col(raw)), parsed).alias("r"), F.col(alias).alias("asked")), _typed), _judged))
     fields = ["candidate_alias", *(f for f, _, _ in NUMBERS.values()), "evidence", "reason"]
     df = df.select("*", *[F.col(f"_r.{f}").alias(f) for f in fields]).drop("_r")
     return df.withColumn("s_raw", F.when(F.col("reason").isNull(), F.col("t_policy") + F.col("p_pricing") * F.col("e_sub")))
 
 
-def _judged(r: Column) -> Column:
-    """struct(candidate_alias, numbers, evidence, reason) of struct(m, e, asked)."""
-    m, e = r["m"], r["e"]
-    numbers = {f: F.coalesce(m[j], m[f]).try_cast("double") for j, (f, _, _) in NUMBERS.items()}
-    who = strip(m["candidate_node_alias"])
-    out_of_range = F.lit(None).cast("string")
-    for f, lo, hi in reversed(list(NUMBERS.values())):
-        bad = ~F.coalesce(numbers[f].between(lo, hi) & ~F.isnan(numbers[f]), F.lit(False))
-        out_of_range = F.when(bad, F.lit(f)).otherwise(out_of_range)
+def _text(value: Column) -> Column:
+    """A JSON string; null for values of other types."""
+    return F.when(F.schema_of_variant(value) == "STRING", F.try_variant_get(value, "$", "string"))
+
+
+def _number(value: Column) -> Column:
+    """A JSON number, truth value or string that holds a number, as a double; else null."""
+    text = F.regexp_replace(F.try_variant_get(value, "$", "string"), "_", "")
+    kind = F.schema_of_variant(value)
+    words = F.when(F.try_variant_get(value, "$", "string").rlike(NUMERIC), text.try_cast("double"))
+    return F.when(kind == "STRING", words).when(kind == "BOOLEAN", F.try_variant_get(value, "$", "boolean").cast("double")).otherwise(F.try_variant_get(value, "$", "double"))
+
+
+def _typed(x: Column) -> Column:
+    """struct(read, keys, torn, who, named, the numbers, items, asked) of struct(r: struct(texts, m, torn), asked)."""
+    texts, m = x["r"]["texts"], x["r"]["m"]
+    # A value that can't be typed (an object with a key twice) leaves the one before it in place: what is typed must be the last one.
+    last = lambda *names: F.try_element_at(F.filter(texts, lambda e: e["key"].isin(*names)), F.lit(-1))["value"]
+    number = lambda j, f: F.when(~F.coalesce(last(j, f).rlike(r"^[\[{]"), F.lit(True)), _number(F.coalesce(m[_field(j)], m[_field(f)])))
+    who, named = _text(m[_field("candidate_node_alias")]), last("candidate_node_alias")
+
+    def item(entries: Column) -> Column:
+        of = lambda key: _text(F.try_element_at(F.filter(entries, lambda e: e["key"] == key), F.lit(-1))["value"])
+        return F.struct(entries["key"].alias("keys"), strip(of("observation")).alias("observation"), of("effect").alias("effect"))
+
+    # Items with a key twice can't be typed with the whole; the list is parsed from its own text, unless a string holds that text.
+    listed = F.when(~F.coalesce(F.schema_of_variant(m[_field("evidence")]) == "STRING", F.lit(False)) & last("evidence").startswith("["), last("evidence"))
+    items = F.transform(F.transform(F.from_json(listed, "array<map<string,variant>>", STRICT), F.map_entries), item)
+    read = x["r"].isNotNull() & m.isNotNull()
+    return F.struct(read.alias("read"), texts["key"].alias("keys"), x["r"]["torn"].alias("torn"), strip(F.when(who == named, who)).alias("who"), named.alias("named"), *[number(j, f).alias(f) for j, (f, _, _) in NUMBERS.items()], items.alias("items"), x["asked"].alias("asked"))
+
+
+def _judged(x: Column) -> Column:
+    """struct(candidate_alias, numbers, evidence, reason) of what ``_typed`` makes."""
+    keys, who, items = x["keys"], x["who"], x["items"]
+    out_of_range, twice = F.lit(None).cast("string"), F.lit(False)
+    for j, (f, lo, hi) in reversed(NUMBERS.items()):
+        # A number that isn't finite fails its bounds like one that is missing.
+        out_of_range = F.when(F.coalesce(x[f].between(lo, hi), F.lit(False)), out_of_range).otherwise(F.lit(f))
+        twice = twice | (F.array_contains(keys, j) & F.array_contains(keys, f)) if j != f else twice
     fine = F.forall(
-        e,
-        lambda x: (F.size(F.array_except(F.map_keys(x), F.array(F.lit("observation"), F.lit("effect")))) == 0)
-        & F.coalesce(F.length(strip(x["observation"])).between(1, 500), F.lit(False))
-        & F.coalesce(strip(x["effect"]).isin(*EFFECTS), F.lit(False)),
+        items,
+        lambda e: (F.size(F.array_except(e["keys"], F.array(F.lit("observation"), F.lit("effect")))) == 0)
+        & F.coalesce(F.length(e["observation"]).between(1, 500), F.lit(False))
+        & F.coalesce(e["effect"].isin(*EFFECTS), F.lit(False)),
     )
     reason = (
-        F.when(m.isNull(), "invalid_json")
-        .when(F.size(F.array_except(F.map_keys(m), F.array(*[F.lit(k) for k in ALLOWED]))) > 0, "extra_field")
+        F.when(~x["read"], "invalid_json")
+        .when((F.size(F.array_except(keys, F.array(*[F.lit(k) for k in ALLOWED]))) > 0) | twice, "extra_field")
+        .when(x["torn"], "lone_surrogate")
+        .when(who.isNull() & x["named"].isNotNull(), "alias_type")
         .when(~F.coalesce(F.length(who).between(1, 128), F.lit(False)), "alias_length")
         .otherwise(
             F.coalesce(
                 F.concat(F.lit("out_of_range:"), out_of_range),
-                F.when(~F.coalesce(F.size(e).between(1, 6), F.lit(False)), "evidence_count").when(~F.coalesce(fine, F.lit(False)), "evidence_item").when(who != r["asked"], "wrong_candidate"),
+                F.when(~F.coalesce(F.size(items).between(1, 6), F.lit(False)), "evidence_count").when(~F.coalesce(fine, F.lit(False)), "evidence_item").when(who != x["asked"], "wrong_candidate"),
             )
         )
     )
-    evidence = F.transform(e, lambda x: F.struct(strip(x["observation"]).alias("observation"), strip(x["effect"]).alias("effect")))
-    return F.struct(who.alias("candidate_alias"), *[c.alias(f) for f, c in numbers.items()], evidence.alias("evidence"), reason.alias("reason"))
+    evidence = F.transform(items, lambda e: F.struct(e["observation"].alias("observation"), e["effect"].alias("effect")))
+    return F.struct(who.alias("candidate_alias"), *[x[f].alias(f) for f, _, _ in NUMBERS.values()], evidence.alias("evidence"), reason.alias("reason"))
 
 
 def alias_reason(alias: Column) -> Column:

@@ -203,6 +203,40 @@ def mask_leaks(spark, d):
     return masking.leaks(masking.mask(t, events="seg", defaults=False), "o_orderkey")
 
 
+def _put(key, value):
+    """The body with another value for a key."""
+    return lambda body: F.regexp_replace(body, f'"{key}": ("[^"]*"|[^,\\]}}]+)', F.lit(value and f'"{key}": {value}'))
+
+
+#: Odd notations of a response: how the body becomes one, and the reason, or in brackets the SQL of what it is worth.
+ODD_RESPONSES = [
+    (lambda b: F.substring(b, 1, 40), "invalid_json"),
+    (lambda b: F.concat(b, F.lit(" and that is all")), "invalid_json"),
+    (lambda b: F.concat(b, b), "invalid_json"),
+    (lambda b: F.concat(b, F.lit(","), b), "invalid_json"),
+    (lambda b: F.concat(b, F.lit("]")), "invalid_json"),
+    (lambda b: F.concat(F.lit("["), b, F.lit("]")), "invalid_json"),
+    (lambda b: F.translate(b, '"', "'"), "invalid_json"),
+    (lambda b: F.lit("null"), "invalid_json"),
+    (_put("P_pricing", "0.8d"), "invalid_json"),
+    (_put("P_pricing", "00.8"), "invalid_json"),
+    (_put("P_pricing", '"0.8d"'), "out_of_range:p_pricing"),
+    (_put("P_pricing", "[0.5]"), "out_of_range:p_pricing"),
+    (_put("T_policy", "Infinity"), "out_of_range:t_policy"),
+    (_put("T_policy", "null"), "out_of_range:t_policy"),
+    (_put("candidate_node_alias", "17"), "alias_type"),
+    (_put("observation", "17"), "evidence_item"),
+    (_put("observation", r'"\\ud800"'), "lone_surrogate"),
+    (_put("effect", '" supports_risk"'), "evidence_item"),
+    (_put("confidence", '0.8, "e_sub": 0.5'), "extra_field"),
+    (lambda b: F.translate(b, "[]", ""), "evidence_count"),
+    (_put("T_policy", "true"), ["1 + q * -disc"]),
+    (_put("T_policy", '" +.5e0 "'), ["0.5 + q * -disc"]),
+    (_put("confidence", '0.8, "E_sub": 0.5'), ["tax + q * 0.5"]),
+    (_put("observation", '17, "observation": "seen"'), ["tax + q * -disc"]),
+]
+
+
 def _responses(spark, d):
     """JSON responses from line items, with planted faults."""
     x = spread(m.table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_discount", "l_tax", "l_quantity"))
@@ -217,7 +251,10 @@ def _responses(spark, d):
     body = F.concat(F.lit('{"candidate_node_alias": "'), who, F.lit('", "E_sub": '), e, F.lit(', "P_pricing": '), num(F.col("l_quantity") / 100), F.lit(', "T_policy": '), t, F.lit(', "confidence": 0.82'), extra, F.lit(', "evidence": [{"observation": "seen", "effect": "'), effect, F.lit('"}]}'))
     fences = [("```json\n", "\n```"), ("\n\t```\n", "\n```\n"), ("```JSON ", "```"), ("```json\n", ""), ("``` ", " \n```  "), (" \n", "\n")]
     fenced = F.element_at(F.array(*[F.concat(F.lit(a), body, F.lit(b)) for a, b in fences]), (F.col("l_linenumber") % 6 + 1).cast("int"))
-    raw = F.when(k == 7, F.substring(body, 1, 40)).when(k == 8, fenced).when(k == 9, F.concat(F.lit("\n\t"), body, F.lit("\r\n"))).otherwise(body)
+    odd = F.lit(None).cast("string")
+    for form, (make, _) in reversed(list(enumerate(ODD_RESPONSES))):
+        odd = F.when(F.expr("l_orderkey div 10") % len(ODD_RESPONSES) == form, make(body)).otherwise(odd)
+    raw = F.when(k == 7, odd).when(k == 8, fenced).when(k == 9, F.concat(F.lit("\n\t"), body, F.lit("\r\n"))).otherwise(body)
     return x.select("l_orderkey", "l_linenumber", alias.alias("candidate_node_alias"), raw.alias("raw_json"))
 
 
@@ -325,6 +362,8 @@ _WEEKLY = neutral_sql(
     "week AS (SELECT panel.* REPLACE (round(coalesce(shock, 0.0), 12) AS raw_score) FROM panel LEFT JOIN hit USING (ticker) WHERE year(as_of_date) = 2000)",
     "week",
 )
+_ODD_REASON = "CASE form " + " ".join(f"WHEN {i} THEN '{r}'" for i, (_, r) in enumerate(ODD_RESPONSES) if isinstance(r, str)) + " END"
+_ODD_WORTH = "CASE form " + " ".join(f"WHEN {i} THEN {r[0]}" for i, (_, r) in enumerate(ODD_RESPONSES) if isinstance(r, list)) + " END"
 ORACLES = {
     "weekly_alpha": f"""{_WEEKLY} SELECT ticker, TIMESTAMP '2024-01-31 06:00:00' AS as_of_utc, 'supply_chain_alpha' AS module, '20240131T060000Z' AS run_id, 'ok' AS pipeline_status, round(raw_score, 6) AS raw_score, round(alpha, 6) AS alpha_z, round(log_market_cap, 6) AS log_market_cap, round(momentum_12m, 6) AS momentum_12m, round(price_to_book, 6) AS price_to_book, sector,
         (SELECT count(*) FROM documents) AS event_count, (SELECT count(*) FROM picked) AS routed_candidate_count, 1::BIGINT AS source_failure_count FROM final""",
@@ -355,8 +394,9 @@ ORACLES = {
         'company:' || c_name || ':Supplier_X;historical_event:' || c_mktsegment || ':Event_Y;' || array_to_string(list_transform(list_sort(list_distinct([y, '2001', '2002'])), lambda x, i: 'year:' || x || ':T_' || (i - 1)), ';') AS log,
         (2 + len(list_distinct([y, '2001', '2002'])))::INT AS n_redactions FROM n""",
     "mask_leaks": "SELECT o_orderkey, c_mktsegment AS leak_literal FROM orders JOIN customer ON o_custkey = c_custkey WHERE o_orderkey % 3 = 0",
-    "feature_records": """SELECT CASE k WHEN 1 THEN 'out_of_range:e_sub' WHEN 2 THEN 'extra_field' WHEN 3 THEN 'evidence_item' WHEN 4 THEN 'wrong_candidate' WHEN 5 THEN 'out_of_range:t_policy' WHEN 7 THEN 'invalid_json' END AS reason, count(*) AS n,
-        round(sum(CASE WHEN k IN (0, 6, 8, 9) THEN (tax + q * -disc)::DECIMAL(18,6) END)::DOUBLE, 4) AS total FROM (SELECT l_orderkey % 10 AS k, l_discount::DECIMAL(18,2) AS disc, l_tax::DECIMAL(18,2) AS tax, (l_quantity / 100)::DECIMAL(18,2) AS q FROM lineitem) GROUP BY 1""",
+    "feature_records": f"""SELECT CASE k WHEN 1 THEN 'out_of_range:e_sub' WHEN 2 THEN 'extra_field' WHEN 3 THEN 'evidence_item' WHEN 4 THEN 'wrong_candidate' WHEN 5 THEN 'out_of_range:t_policy' WHEN 7 THEN {_ODD_REASON} END AS reason, count(*) AS n,
+        round(sum(CASE WHEN k IN (0, 6, 8, 9) THEN (tax + q * -disc)::DECIMAL(18,6) WHEN k = 7 THEN ({_ODD_WORTH})::DECIMAL(18,6) END)::DOUBLE, 4) AS total
+        FROM (SELECT l_orderkey % 10 AS k, (l_orderkey // 10) % {len(ODD_RESPONSES)} AS form, l_discount::DECIMAL(18,2) AS disc, l_tax::DECIMAL(18,2) AS tax, (l_quantity / 100)::DECIMAL(18,2) AS q FROM lineitem) GROUP BY 1""",
     "stand_in_scores": "SELECT p_partkey, [-0.8, -0.7, -0.75, -0.35][(p_partkey % 4 + 1)::INT]::DOUBLE AS e_sub, [-0.4, -0.3, -0.2, -0.1][(p_partkey % 4 + 1)::INT]::DOUBLE AS p_pricing, [0.6, 0.5, 0.35, 0.2][(p_partkey % 4 + 1)::INT]::DOUBLE AS t_policy, [0.92, 0.71, 0.5, 0.235][(p_partkey % 4 + 1)::INT]::DOUBLE AS s_raw FROM part",
     "unsafe_aliases": "SELECT c_custkey, CASE c_custkey % 3 WHEN 0 THEN 'ticker_in_alias' WHEN 1 THEN 'year_in_alias' END AS reason FROM customer",
     "prompts": """SELECT p_partkey, '{"anonymized_source_text": ' || CASE WHEN p_partkey % 7 > 0 THEN '"' || p_type || 'xx\\n\\"q\\""' ELSE 'null' END || ', "candidate": {"anonymized_id": "Candidate_' || p_partkey || '", "layer": 3, "physical_role": "' || p_name || '"}, "instruction": "Return the three required numerical features, confidence, and concise structured evidence."}' AS prompt,
