@@ -2,6 +2,7 @@
 
 import datetime as dt
 import json
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -252,6 +253,30 @@ def test_prompt_record(spark):
     assert row == json.dumps(record, ensure_ascii=False, sort_keys=True)
 
 
+def test_odd_pages(spark):
+    """A page that can't be read is a row, and the work follows the length of the page, however many elements stay open."""
+    bad = "<a href=x>y</a><![odd[page]]>"
+    pages = spark.createDataFrame([("http://h/1", bad), ("http://h/2", "<p><a href=z>ok</a></p>"), ("http://h/3", None)], "url string, html string")
+    assert [tuple(r) for r in html.links(pages).collect()] == [("http://h/2", "http://h/z", "ok", "ok")]
+    (fault,) = html.faults(pages).collect()
+    assert (fault.rule, fault.entity) == ("unreadable_page", "http://h/1") and fault.detail.startswith("AssertionError")
+    assert html.page_text(bad) == ""
+    began = time.perf_counter()
+    n = 100_000
+    assert html.page_text("<p>a" * n, 10**6) == " ".join("a" * n)
+    assert html.page_text("<b>" * n + "x" + "</i>" * n + "</b>" * n + "y") == "x y"
+    assert html.page_text("<p><b>a</p>" * n, 10**6) == " ".join("a" * n)
+    assert len(html.page_links("<div>" + "<a href=u>" * n, "http://h/")) == n
+    assert len(html.page_links("<p><a href=u>t" * 2000, "http://h/")) == 2000
+    assert html.page_links("<p><a href=u>t</p>" * 3 + "<a href=v>w", None) == [("u", "t", "t")] * 3 + [("v", "w", "t t t w")]
+    assert time.perf_counter() - began < 20
+    with pytest.raises(ValueError, match="characters"):
+        html.page_links("<a href=u>t" * n, "http://h/")
+    # an element closed by its parent's end tag ends there: what follows is text again
+    assert html.page_text("<nav><footer>menu</nav>text</footer> more") == "text more"
+    assert html.page_text("<nav>a<nav>b</nav>c</nav>d") == "d" and html.page_text("a</nav>b") == "a b"
+
+
 PAGE = '<html><head><title>T</title><script>var a="<p>";</script></head><body><nav><a href="/n">N</a></nav><p>3 Jan 2024 <a href="a/b?x=1">A <b>link</b></a> circular<br>more</p><a>no</a><a href="z"></a><footer>f</footer></body>'
 
 

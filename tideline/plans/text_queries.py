@@ -289,13 +289,24 @@ def response_leaks(spark, d):
     return x.groupBy(raw.alias("raw"), found.alias("leak")).agg(F.count("*").alias("n"))
 
 
+def _pages(spark, d):
+    """The pages; some with a declaration that no parser reads, some with elements that are closed in the wrong order or never."""
+    page, k = F.col("html"), F.col("page_id")
+    odd = F.when(k % 40 == 7, F.concat(page, F.lit("<![odd[page]]>"))).when(k % 40 == 9, F.concat(F.lit("<nav><footer><b>menu</nav>"), page)).when(k % 40 == 11, F.concat(page, F.lit("<i><b><u>" * 40)))
+    return m.table(spark, d, "pages").withColumn("html", F.coalesce(odd, page))
+
+
 def page_texts(spark, d):
-    out = html.with_text(m.table(spark, d, "pages").select("page_id", "html"))
+    out = html.with_text(_pages(spark, d).select("page_id", "html"))
     return out.select("page_id", "text")
 
 
 def page_links(spark, d):
-    return html.links(m.table(spark, d, "pages").select("url", "html"))
+    return html.links(_pages(spark, d).select("url", "html"))
+
+
+def page_faults(spark, d):
+    return html.faults(_pages(spark, d).select("url", "html"))
 
 
 def page_notices(spark, d):
@@ -343,15 +354,15 @@ def weekly_metadata(spark, d):
     return out.select("n_securities", (F.abs("alpha_mean") < 1e-9).alias("centred"), F.round("alpha_population_sd", 6).alias("alpha_population_sd"), "active_candidates", "run_id", "pipeline_status", F.col("event_count").cast("long").alias("event_count"), F.col("routed_candidate_count").cast("long").alias("routed_candidate_count"), F.col("source_failure_count").cast("long").alias("source_failure_count"), steps.alias("steps"))
 
 
-QUERIES = {f.__name__: f for f in (weekly_alpha, weekly_metadata, event_ids, events_merged, events_window, event_keywords, dates_in_text, quality_orders, announcements, source_statuses, routed_events, node_documents, years_masked, documents_masked, names_masked, blank_documents, mask_leaks, feature_records, stand_in_scores, unsafe_aliases, prompts, response_leaks, page_texts, page_links, page_notices, prices_long, universe_list)}
+QUERIES = {f.__name__: f for f in (weekly_alpha, weekly_metadata, event_ids, events_merged, events_window, event_keywords, dates_in_text, quality_orders, announcements, source_statuses, routed_events, node_documents, years_masked, documents_masked, names_masked, blank_documents, mask_leaks, feature_records, stand_in_scores, unsafe_aliases, prompts, response_leaks, page_texts, page_links, page_faults, page_notices, prices_long, universe_list)}
 _TEXT = """t AS (SELECT o_orderkey, c_name, c_mktsegment, year(o_orderdate)::VARCHAR AS y FROM orders JOIN customer ON o_custkey = c_custkey),
 n AS (SELECT *, 'T_' || len(list_filter(list_distinct([y, '2001', '2002']), lambda x: x < y)) AS ty, 'T_' || len(list_filter(list_distinct([y, '2001', '2002']), lambda x: x < '2001')) AS ta, 'T_' || len(list_filter(list_distinct([y, '2001', '2002']), lambda x: x < '2002')) AS tb FROM t)"""
 _FOUND = "('Order of ' || CASE form WHEN 0 THEN strftime(day, '%d/%m/%Y') WHEN 1 THEN strftime(day, '%m-%d-%Y') WHEN 2 THEN strftime(day, '%-d %b %Y') WHEN 3 THEN strftime(day, '%Y-%m-%d') END)"
 # Entities of the pages; the links of the pages stand in lists, an anchor an item.
 _DECODED = "replace(replace(replace(replace(%s, '&quot;', '\"'), '&copy;', '©'), '&middot;', '·'), '&amp;', '&')"
 _LINKS = f"""links AS (
-  SELECT url AS page_url, regexp_extract(url, '^[^/]*//[^/?#]*') || {_DECODED % "regexp_extract(a, 'href=.([^>]*).>', 1)"} AS url, trim({_DECODED % "regexp_extract(a, '>([^<]*)</a>', 1)"}) AS title
-  FROM (SELECT url, unnest(regexp_extract_all(html, '<a href=[^>]*>[^<]*</a>')) AS a FROM pages))"""
+  SELECT page_id, url AS page_url, regexp_extract(url, '^[^/]*//[^/?#]*') || {_DECODED % "regexp_extract(a, 'href=.([^>]*).>', 1)"} AS url, trim({_DECODED % "regexp_extract(a, '>([^<]*)</a>', 1)"}) AS title
+  FROM (SELECT page_id, url, unnest(regexp_extract_all(html, '<a href=[^>]*>[^<]*</a>')) AS a FROM pages))"""
 _WORD = lambda rx: rf"regexp_matches(t, '(?i)(^|[^\pL\pN_]){rx}($|[^\pL\pN_])')"
 _HITS = f"""picked AS (SELECT DISTINCT unnest(list_filter([CASE WHEN {_WORD("(ththe?|orre)")} THEN 'N:1' END, CASE WHEN {_WORD("der")} THEN 'N:2' END, CASE WHEN {_WORD("(la|les?)")} THEN 'N:3' END,
   CASE WHEN regexp_matches(t, '(?i)(^|[^\\pL\\pN_])que') THEN 'P:1' END, CASE WHEN {_WORD("for (the|of)")} THEN 'S:5' END], lambda x: x IS NOT NULL)) AS node_id FROM (SELECT 'Document ' || doc_id || chr(10) || text AS t FROM documents))"""
@@ -409,8 +420,9 @@ ORACLES = {
         CASE c_custkey % 5 WHEN 0 THEN 'company:Borosil Renewables Limited:Supplier_K' WHEN 2 THEN 'company:Voltamp Transformers:Supplier_V' ELSE '' END AS first FROM customer)""",
     "blank_documents": """SELECT CASE WHEN k IN (0, 1) THEN 'blank_text' WHEN k = 2 THEN 'blank_rule' END AS reason, CASE WHEN k > 2 THEN replace(o_orderpriority, 'HIGH', 'Level_1') END AS masked, count(*) AS n, sum((k > 2 AND o_orderpriority LIKE '%HIGH%')::INT)::BIGINT AS n_redactions
         FROM (SELECT o_orderkey % 10 AS k, o_orderpriority FROM orders) GROUP BY ALL""",
-    "page_texts": """SELECT page_id, left(array_to_string(list_filter(list_transform(string_split(""" + _DECODED % "regexp_replace(regexp_replace(html, '(?s)<(script|style|nav|footer)[^>]*>.*?</(script|style|nav|footer)>|<!--.*?-->|<!DOCTYPE[^>]*>', chr(1), 'g'), '<[a-zA-Z/][^>]*>', chr(1), 'g')" + """, chr(1)), lambda x: trim(x)), lambda x: x <> ''), ' '), 12000) AS text FROM pages""",
-    "page_links": f"WITH {_LINKS} SELECT page_url, url, title, title AS context FROM links",
+    "page_texts": """SELECT page_id, CASE WHEN page_id % 40 = 7 THEN '' ELSE left(array_to_string(list_filter(list_transform(string_split(""" + _DECODED % "regexp_replace(regexp_replace(html, '(?s)<(script|style|nav|footer)[^>]*>.*?</(script|style|nav|footer)>|<!--.*?-->|<!DOCTYPE[^>]*>', chr(1), 'g'), '<[a-zA-Z/][^>]*>', chr(1), 'g')" + """, chr(1)), lambda x: trim(x)), lambda x: x <> ''), ' '), 12000) END AS text FROM pages""",
+    "page_links": f"WITH {_LINKS} SELECT page_url, url, title, title AS context FROM links WHERE page_id % 40 <> 7",
+    "page_faults": "SELECT 'unreadable_page' AS rule, url AS entity, 'AssertionError: unknown status keyword ''odd'' in marked section' AS detail FROM pages WHERE page_id % 40 = 7",
     "page_notices": f"""WITH {_LINKS} SELECT sha256('MOCK|trade_policy|2024-01-03|' || lower(title) || '|' || url) AS event_id, title, url, '3 Jan 2024 ' || title AS text FROM links WHERE regexp_matches(title, '(?i)(^|[^\\pL\\pN_])(the|der|la|de)($|[^\\pL\\pN_])')""",
     "prices_long": "SELECT p_brand AS ticker, l_shipdate::DATE AS trade_date, sum(l_extendedprice::DECIMAL(18,2))::DOUBLE / sum(l_quantity::DECIMAL(18,2))::DOUBLE AS close FROM lineitem JOIN part ON l_partkey = p_partkey WHERE regexp_matches(p_brand, '^Brand#([1-9]|1[0-9]|2[0-5])$') GROUP BY ALL",
     "universe_list": "SELECT 'SYM' || (c_custkey % 600) || '.NS' AS ticker, arg_min(c_mktsegment, c_custkey) AS sector FROM customer WHERE c_custkey % 17 > 0 GROUP BY 1",
