@@ -4,6 +4,7 @@ import hashlib
 import itertools
 import random
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -21,6 +22,26 @@ from .helpers import LONG, lowered, prose, write_tables
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 
 
+def test_personal_data_in_long_runs(spark):
+    """Runs of a megabyte without a break are read once, and the matches are those of a plain search."""
+    plain = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)"}
+    n = 1_000_000
+    rng = random.Random(8)
+    texts = ["x@y.z " + "a" * n, "1.2.3.4 " + "7" * n, "x@" + "b" * n, "." * n + "@y.z", "_q@w.e_r@t.y", "a@b.c@d.e", "1.2.3.4.5.6.7.8.9", "1.2.3.4_1.2.3.4", "a@b.ca@b.c"]
+    texts += ["".join(rng.choice("ab1.@_- ") for _ in range(40)) for _ in range(2000)]
+    df = spark.createDataFrame(enumerate(texts), "id long, t string")
+    began = time.perf_counter()
+    got = {r.id: r.b for r in df.select("id", pii.base_spans(F.col("t")).alias("b")).collect()}
+    assert time.perf_counter() - began < 10 + 30  # Spark's start and compilation, on a busy machine
+    for i, t in enumerate(texts):
+        for k, kind in enumerate(plain):
+            if i > 3 or kind == "email" and i == 0 or kind == "ip" and i == 1:
+                want = [(m.start(), m.end()) for m in re.finditer(plain[kind], t if i > 3 else t[:20])]
+                want = [w for w in want if kind != "ip" or all(int(x) <= 255 for x in t[slice(*w)].split("."))]
+                assert [(x.start, x.end) for x in got[i] if x.kind == k] == want, t[:60]
+    assert [(x.start, x.end) for x in got[3]] == [(0, n + 4)]
+
+
 def test_decontamination(spark, tmp_path):
     long = prose(1, 40)
     items = [(1, long), (2, "Just three words"), (3, None), (4, "?!"), (5, prose(2, 10)), (6, long), (None, "no item id here at all")]
