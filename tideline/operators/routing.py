@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.ranges import running
 from ..functions.strings import strip
 from .events import searchable
 
@@ -41,9 +42,9 @@ def route(events: DataFrame, nodes: DataFrame, rules: list[tuple[str, str]] | No
 def aliases(routed: DataFrame, by: list[str] | None = None) -> DataFrame:
     """(by..., node_id, candidate_id): ``Candidate_001``... by sorted node; all routed nodes count, whatever is thresholded later."""
     by = by or []
-    nodes = routed.select(*by, "node_id").distinct()  # as many rows as the graph has nodes
-    order = (Window.partitionBy(*by) if by else Window.partitionBy()).orderBy("node_id")
-    return nodes.withColumn("candidate_id", F.format_string("Candidate_%03d", F.row_number().over(order)))
+    nodes = routed.select(*by, "node_id").distinct()
+    placed = running(nodes, by, ["node_id"], {"_n": F.lit(1)}, "aliases")
+    return placed.select(*by, "node_id", F.format_string("Candidate_%03d", F.col("_n") + 1).alias("candidate_id"))
 
 
 def chunk() -> Column:
@@ -54,18 +55,17 @@ def chunk() -> Column:
 def documents(routed: DataFrame, *, by: list[str] | None = None, max_chars: int = 24_000) -> DataFrame:
     """(by..., node_id, n_events, source_text, company_aliases): chunks by (date, id), joined, then cut to ``max_chars``.
 
-    Chunks whose break starts behind the cut are dropped before they are gathered, so a hot node's list is bounded by the cut. Issuers are
-    numbered by the place of their event among all of the node's; a later event of a company overwrites its number.
+    A chunk's place and start come from running sums in two levels, so that a node which a third of all events go to lies in many
+    tasks. Chunks whose break starts behind the cut are dropped before they are gathered, so a node's list is bounded by the cut.
+    Issuers are numbered by the place of their event among all of the node's; a later event of a company overwrites its number.
     """
     by = [*(by or []), "node_id"]
-    order = Window.partitionBy(*by).orderBy("published_date", "event_id")
-    df = routed.withColumn("_chunk", chunk()).withColumn("_n", F.row_number().over(order))
-    before = F.sum(F.length("_chunk") + len(BREAK)).over(order.rowsBetween(Window.unboundedPreceding, -1))
-    df = df.withColumn("_start", F.coalesce(before, F.lit(0)))
+    rows = routed.withColumn("_chunk", chunk()).select(*by, "published_date", "event_id", "_chunk", strip(F.element_at("metadata", "company_name")).alias("_company"))
+    df = running(rows, by, ["published_date", "event_id"], {"_before": F.lit(1), "_start": F.length("_chunk") + len(BREAK)}, "node-events")
+    df = df.withColumn("_n", F.col("_before") + 1)
     kept = F.when(F.col("_start") - len(BREAK) < max_chars, F.struct("_n", "_chunk"))
     text = F.array_join(F.transform(F.sort_array(F.collect_list(kept)), lambda x: x["_chunk"]), BREAK)
     docs = df.groupBy(*by).agg(F.count("*").alias("n_events"), F.substring(text, 1, max_chars).alias("source_text"))
-    company = strip(F.element_at("metadata", "company_name"))
-    named = df.withColumn("_company", company).where(F.col("_company") != "").groupBy(*by, "_company").agg(F.max("_n").alias("_n"))
+    named = df.where(F.col("_company") != "").groupBy(*by, "_company").agg(F.max("_n").alias("_n"))
     issuers = named.groupBy(*by).agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("_company", F.format_string("Issuer_%03d", F.col("_n")))))).alias("company_aliases"))
     return docs.join(issuers, by, "left").withColumn("company_aliases", F.coalesce("company_aliases", F.create_map().cast("map<string,string>")))
