@@ -1,13 +1,14 @@
 """Running sums and ranks in two levels against plain windows, with a group that holds a third of all rows."""
 
+import datetime as dt
 import random
 
 import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from tideline.functions.ranges import average_ranks, running
-from tideline.operators import routing
+from tideline.functions.ranges import average_ranks, largest, medians, running
+from tideline.operators import factors, rank_ic, returns, routing
 
 
 @pytest.fixture(scope="module")
@@ -75,3 +76,41 @@ def test_a_hot_node(spark):
     named = routing.aliases(events)
     assert {r.node_id: r.candidate_id for r in named.collect()} == {n: f"Candidate_{i:03d}" for i, n in enumerate(sorted(held), 1)}
     assert "SinglePartition" not in plan(named)
+
+
+def test_medians(spark, rows):
+    got = {r.g: (r.v, r.x) for r in medians(rows, ["g"], ["v", "x"]).collect()}
+    want = {r.g: (r.v, r.x) for r in rows.groupBy("g").agg(F.median("v").alias("v"), F.median("x").alias("x")).collect()}
+    assert got == want and largest(rows, ["g"]) == rows.where("g = 'hot'").count()
+    none = rows.withColumn("v", F.lit(None).cast("double"))
+    assert {r.v for r in medians(none, ["g"], ["v"]).collect()} == {None}
+
+
+def test_imputation_of_large_groups(spark, rows):
+    table = rows.select(F.lit("d").alias("as_of_date"), F.col("id").cast("string").alias("ticker"), F.col("g").alias("sector"), F.when(F.col("id") % 4 > 0, F.col("v")).cast("double").alias("v"))
+    sort = lambda df: sorted((r.ticker, r.v, r.imputed_v) for r in df.collect())
+    assert sort(factors.impute(table, ["v"], large=100)) == sort(factors.impute(table, ["v"]))
+
+
+def test_rank_ic_of_one_large_cross_section(spark, rows):
+    snaps = spark.createDataFrame([("s", dt.date(2020, 1, 1)), ("t", dt.date(2020, 2, 1))], "snapshot_id string, as_of_date date")
+    s = rows.select(F.when(F.col("id") % 9 > 0, "s").otherwise("t").alias("snapshot_id"), F.col("id").alias("ticker"), F.col("v").cast("double").alias("score"))
+    r = rows.select(F.explode(F.array(F.lit(dt.date(2020, 1, 1)), F.lit(dt.date(2020, 2, 1)))).alias("as_of_date"), F.lit(30).alias("horizon_days"), F.col("id").alias("ticker"), (F.round("x", 1) + F.col("v") / 40).alias("ret"))
+    one, two = (sorted(map(tuple, rank_ic.rank_ic(snaps, [30, 90], s, r, window_rows=n).collect()), key=str) for n in (10, 10**6))
+    assert len(one) == 4 and [x[:3] + x[4:] for x in one] == [x[:3] + x[4:] for x in two]
+    assert all((a[3] is None) == (b[3] is None) and (a[3] is None or abs(a[3] - b[3]) < 1e-12) for a, b in zip(one, two))
+    assert sum(x[3] is not None for x in one) == 2
+
+
+@pytest.mark.parametrize("lag", [1, 7, 60])
+def test_as_of_prices_by_merging(spark, lag):
+    """Both ways agree, on a crowded ticker and around the borders of the blocks."""
+    rng = random.Random(lag)
+    day = lambda n: dt.date(2020, 1, 1) + dt.timedelta(days=n)
+    prices = [("A" if rng.random() < 0.5 else f"T{rng.randrange(9)}", day(rng.randrange(-30, 2500)), rng.choice([1.0, 2.5, float("inf"), 7.0])) for _ in range(1500)]
+    prices += prices[:50] + [("A", day(5), 0.5), ("A", day(5), 9.0)]
+    wanted = spark.createDataFrame([(t, day(n)) for t in ("A", "T1", "T2", "none") for n in range(-5, 2520, 3)], "ticker string, target_date date")
+    clean = spark.createDataFrame(prices, "ticker string, trade_date date, close double")
+    one, two = (sorted((r.ticker, r.target_date, *r.x) for r in f(wanted, clean, lag).collect()) for f in (returns._exploded, returns._merged))
+    assert one == two and len(one) > 100
+    assert "UnboundedFollowing" not in plan(returns._merged(wanted, clean, lag))

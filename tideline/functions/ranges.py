@@ -42,6 +42,26 @@ def _before(parts: DataFrame, by: list[str], cols: list[str]) -> DataFrame:
     return parts.sparkSession.createDataFrame(rows, ", ".join(["_part int", *[f"{n} {kinds[c]}" for n, c in zip(names, cols)]]))
 
 
+def medians(df: DataFrame, by: list[str], columns: list[str], name: str = "medians") -> DataFrame:
+    """(by..., columns): the exact medians of the groups, nulls left out. No group is held in one place: values are counted, and the
+    middle ones are found by the running sums of the counts."""
+    out = df.select(*by).distinct()
+    for c in columns:
+        each = df.where(F.col(c).isNotNull()).groupBy(*by, c).agg(F.count("*").alias("_k"))
+        each = running(each, by, [c], {"_less": F.col("_k")}, f"{name}-{c}")
+        sizes = each.groupBy(*by).agg(F.sum("_k").alias("_n"))
+        at = lambda place: F.max(F.when((F.col("_less") <= place) & (place < F.col("_less") + F.col("_k")), F.col(c)))  # noqa: E731, B023
+        low, high = F.expr("(_n - 1) div 2"), F.expr("_n div 2")
+        found = each.join(sizes, by).groupBy(*by).agg((at(low) * 0.5 + at(high) * 0.5).alias(c))
+        out = out.join(found, by, "left")
+    return out
+
+
+def largest(df: DataFrame, by: list[str]) -> int:
+    """The number of rows of the largest group."""
+    return df.groupBy(*by).agg(F.count("*").alias("k")).agg(F.max("k")).first()[0] or 0
+
+
 def average_ranks(df: DataFrame, by: list[str], values: dict[str, str], name: str = "ranks") -> DataFrame:
     """``df`` with the average rank of each column of ``values`` (out -> column) within the group ``by``, ties sharing theirs.
 

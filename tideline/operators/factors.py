@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.quality import missing, nan_to_null, together, violation
+from ..functions.ranges import largest, medians
 
 FACTORS = ["log_market_cap", "momentum_12m", "price_to_book"]
 
@@ -43,20 +44,28 @@ def missing_gate(shares: DataFrame, limit: float = 0.35, by: str = "as_of_date")
     return violation(shares, "too_many_missing", F.col("share") > limit, F.concat_ws(":", F.col(by).cast("string"), "column"), F.col("share"))
 
 
-def impute(table: DataFrame, columns: list[str], *, by: str = "as_of_date", sector: str = "sector") -> DataFrame:
+def _medians(df: DataFrame, by: list[str], columns: list[str], large: int, name: str) -> DataFrame:
+    """(by..., columns): exact medians, by an aggregate that holds a group's values, or without one where a group has over ``large`` rows."""
+    if largest(df, by) <= large:
+        return df.groupBy(*by).agg(*[F.median(c).alias(c) for c in columns])
+    return medians(df, by, columns, name)
+
+
+def impute(table: DataFrame, columns: list[str], *, by: str = "as_of_date", sector: str = "sector", large: int = 1_000_000) -> DataFrame:
     """Missing values by the sector's median, then by the median over all, taken after the sectors were filled.
 
     ``imputed_<column>`` tells whether a value was missing. A column without any value in a cross-section stays NULL
-    (see ``unfilled``). Medians are exact; a (date, sector) group is small.
+    (see ``unfilled``). Medians are exact; where a group has over ``large`` rows they come from running sums over ranges of values.
     """
     df = table
     for c in columns:
         df = df.withColumn(f"imputed_{c}", missing(F.col(c))).withColumn(c, nan_to_null(F.col(c)))
-    first = df.groupBy(by, sector).agg(*[F.median(c).alias(f"_s_{c}") for c in columns])
+    named = lambda found, prefix: found.withColumnsRenamed({c: f"{prefix}{c}" for c in columns})
+    first = named(_medians(df, [by, sector], columns, large, "sector-medians"), "_s_")
     df = df.join(first, [by, sector], "left")
     for c in columns:
         df = df.withColumn(c, F.coalesce(c, f"_s_{c}"))
-    second = df.groupBy(by).agg(*[F.median(c).alias(f"_g_{c}") for c in columns])
+    second = named(_medians(df, [by], columns, large, "all-medians"), "_g_")
     df = df.join(second, by, "left")
     for c in columns:
         df = df.withColumn(c, F.coalesce(c, f"_g_{c}"))

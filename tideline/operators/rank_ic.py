@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.lineage import written
 from ..functions.quality import finite
+from ..functions.ranges import average_ranks, largest
 
 
 def average_rank(keys: list[str], value: str) -> F.Column:
@@ -13,17 +15,24 @@ def average_rank(keys: list[str], value: str) -> F.Column:
     return F.rank().over(by) + (F.count("*").over(same) - 1) / 2
 
 
-def rank_ic(snapshots: DataFrame, horizons: list[int], scores: DataFrame, returns: DataFrame, min_obs: int = 3) -> DataFrame:
+def rank_ic(snapshots: DataFrame, horizons: list[int], scores: DataFrame, returns: DataFrame, min_obs: int = 3, *, window_rows: int = 1_000_000) -> DataFrame:
     """(snapshot_id, as_of_date, horizon_days, rank_ic, n_obs, reason), a row for each snapshot and horizon.
 
+    Cross-sections of up to ``window_rows`` are ranked in windows, many to a task; where one is larger, ranks come from running sums
+    over ranges of values, so that it is many tasks. Both give the same ranks.
     ``snapshots(snapshot_id, as_of_date)``, ``scores(snapshot_id, ticker, score)``, ``returns(as_of_date, horizon_days, ticker, ret)``.
     """
     keys = ["snapshot_id", "horizon_days"]
     pairs = scores.join(snapshots.select("snapshot_id", "as_of_date"), "snapshot_id").join(returns, ["as_of_date", "ticker"])
     # -0.0 and 0.0 are one value for a rank
     pairs = pairs.where(finite(F.col("score")) & finite(F.col("ret"))).select(*keys, (F.round("score", 12) + 0.0).alias("score"), (F.col("ret") + 0.0).alias("ret"))
-    ranked = pairs.withColumn("rs", average_rank(keys, "score")).withColumn("rr", average_rank(keys, "ret"))
-    mid = (F.count("*").over(Window.partitionBy(*keys)) + 1) / 2  # the mean of average ranks
+    pairs = written(pairs, "rank-pairs")
+    if largest(pairs, keys) <= window_rows:
+        ranked = pairs.withColumn("rs", average_rank(keys, "score")).withColumn("rr", average_rank(keys, "ret"))
+        ranked = ranked.withColumn("n", F.count("*").over(Window.partitionBy(*keys)))
+    else:
+        ranked = average_ranks(pairs, keys, {"rs": "score", "rr": "ret"}).join(pairs.groupBy(*keys).agg(F.count("*").alias("n")), keys)
+    mid = (F.col("n") + 1) / 2  # the mean of average ranks
     ranked = ranked.withColumn("ds", F.col("rs") - mid).withColumn("dr", F.col("rr") - mid)
     sums = ranked.groupBy(*keys).agg(
         F.count("*").alias("n_obs"),

@@ -1,14 +1,16 @@
 """Forward returns with as-of prices.
 
-A target date is exploded to its ``max_lag + 1`` candidate dates and met with prices by (ticker, date): an equi-join with a fan-out
-that is bounded by the lag, never the product of a ticker's history and its targets.
+With a short lag a target date is exploded to its ``max_lag + 1`` candidate dates and met with prices by (ticker, date): an equi-join
+whose fan-out is bounded by the lag. With a long one targets and prices are sorted together and each target takes the last price of a
+sweep from late to early; a ticker's time is cut into blocks, so that a long or crowded history is many tasks. Neither
+makes the product of a ticker's history and its targets.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.quality import missing
@@ -30,6 +32,10 @@ class ReturnConfig:
             raise ValueError("entry_lag >= 0, max_lag >= 1 and buffer > max_lag are needed")
 
 
+#: Up to this lag candidate dates are exploded, beyond it targets and prices are merged.
+EXPLODED_LAG = 15
+
+
 def forward_prices(targets: DataFrame, prices: DataFrame, max_lag: int = 7) -> DataFrame:
     """``targets`` (with ticker, target_date) -> with price_date and price: the first close on or after the target date.
 
@@ -37,14 +43,38 @@ def forward_prices(targets: DataFrame, prices: DataFrame, max_lag: int = 7) -> D
     counts.
     """
     keys = targets.columns
-    days = F.explode(F.transform(F.sequence(F.lit(0), F.lit(max_lag)), lambda d: F.date_add("target_date", d))).alias("trade_date")
-    wanted = targets.select("ticker", "target_date").distinct().select("ticker", "target_date", days)
+    wanted = targets.select("ticker", "target_date").distinct()
     clean = prices.where(~missing(F.col("close"))).select("ticker", "trade_date", "close")
-    first = wanted.join(clean, ["ticker", "trade_date"]).groupBy("ticker", "target_date").agg(F.min(F.struct("trade_date", "close")).alias("x"))
-    first = first.select("ticker", "target_date", F.col("x.trade_date").alias("price_date"), F.when(F.abs("x.close") < float("inf"), F.col("x.close")).alias("price"))
+    found = _exploded(wanted, clean, max_lag) if max_lag <= EXPLODED_LAG else _merged(wanted, clean, max_lag)
+    first = found.select("ticker", "target_date", F.col("x.trade_date").alias("price_date"), F.when(F.abs("x.close") < float("inf"), F.col("x.close")).alias("price"))
     return targets.join(first, ["ticker", "target_date"], "left").select(*keys, "price_date", "price")
 
 
+def _exploded(wanted: DataFrame, clean: DataFrame, max_lag: int) -> DataFrame:
+    """(ticker, target_date, x: struct<trade_date, close>) by the candidate dates of each target."""
+    days = F.explode(F.transform(F.sequence(F.lit(0), F.lit(max_lag)), lambda d: F.date_add("target_date", d))).alias("trade_date")
+    return wanted.select("ticker", "target_date", days).join(clean, ["ticker", "trade_date"]).groupBy("ticker", "target_date").agg(F.min(F.struct("trade_date", "close")).alias("x"))
+
+
+def _merged(wanted: DataFrame, clean: DataFrame, max_lag: int) -> DataFrame:
+    """The same by one sorted sweep in each block of a ticker's time: a row a price or target, not one for each candidate date.
+
+    A price also goes to the block before its own if it lies near enough to the block's start for targets there. The first price of a
+    day is enough, so a day's closes are reduced before the sweep.
+    """
+    size = max(64, 8 * max_lag)
+    day = lambda c: F.unix_date(c)
+    daily = clean.groupBy("ticker", "trade_date").agg(F.min("close").alias("close"))
+    place = F.floor(day(F.col("trade_date")) / size)
+    near = day(F.col("trade_date")) - place * size < max_lag
+    price = daily.select("ticker", F.explode(F.when(near, F.array(place, place - 1)).otherwise(F.array(place))).alias("block"), F.col("trade_date").alias("at"), F.struct("trade_date", "close").alias("x"))
+    target = wanted.select("ticker", F.floor(day(F.col("target_date")) / size).alias("block"), F.col("target_date").alias("at"), F.lit(None).cast(price.schema["x"].dataType).alias("x"))
+    # From late to early, a day's price before its target: the last price so far is the first one on or after the target.
+    sweep = Window.partitionBy("ticker", "block").orderBy(F.desc("at"), F.col("x").isNull()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    swept = price.unionByName(target).withColumn("first", F.last("x", ignorenulls=True).over(sweep)).where(F.col("x").isNull())
+    return swept.where(F.datediff("first.trade_date", "at") <= max_lag).select("ticker", F.col("at").alias("target_date"), F.col("first").alias("x"))
+
+
 def forward_returns(dates: DataFrame, tickers: DataFrame, prices: DataFrame, config: ReturnConfig = ReturnConfig()) -> DataFrame:
     """``dates(as_of_date)``, ``tickers(ticker)`` -> (as_of_date, horizon_days, ticker, ret), NULL where there is no return.
 
