@@ -76,3 +76,16 @@ def test_same_result_for_any_partitioning(spark, g):
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", was)
     assert out[0] == out[1]
+
+
+def test_hubs_are_shared(spark):
+    """A source with most edges is dealt to salts; the shocks are the same."""
+    nodes = spark.createDataFrame([("R", 0), ("R2", 0)] + [(f"C{i}", 1) for i in range(300)] + [(f"S{i}", 2) for i in range(5)], "node_id string, layer int")
+    nodes = nodes.withColumn("ticker", F.lit(None).cast("string"))
+    edges = [("R", f"C{i}", 0.1 + (i % 7) / 10, 0.5) for i in range(300)] + [("R2", "C1", 0.2, 0.5)] + [(f"C{i}", f"S{i % 5}", 0.3, (i % 4) / 4) for i in range(300)]
+    edges = spark.createDataFrame(edges, "source string, target string, cost_share double, substitutability double")
+    shocks = spark.createDataFrame([("a", "R", 1.0), ("b", "R", -0.5), ("b", "R2", 2.0), ("b", "C3", 0.0)], "shock_id string, node_id string, shock double")
+    steps, hubs = graph.salted(graph.weighted(edges).select(F.col("source").alias("node_id"), "target", "transmission_factor"), 50)
+    assert [tuple(r) for r in hubs.collect()] == [("R", 6)] and steps.where("node_id = 'R'").groupBy("salt").count().count() == 6 and steps.count() == edges.count()
+    one, two = ({(r.shock_id, r.node_id): (r.layer, round(r.shock, 12)) for r in graph.propagate(nodes, edges, shocks, hub_edges=n).collect()} for n in (50, 10**6))
+    assert one == two and len(one) > 600

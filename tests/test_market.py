@@ -195,3 +195,10 @@ def test_universe_and_ic_history(spark):
         factors.synthetic_universe(spark, 10)
     h = report.ic_history(spark.createDataFrame([(D(2020, 1, 1), 30, 0.5), (D(2020, 1, 1), 90, None)], "as_of_date date, horizon_days int, rank_ic double"), [30, 90]).first()
     assert h["30"] == 0.5 and h["90"] is None
+
+
+def test_rank_by_a_tree_of_factors(spark):
+    """R's stacked level by level give the rank and condition number of the whole design."""
+    df = spark.createDataFrame(panel(days=2, n=300), "as_of_date date, ticker string, raw_score double, z0 double, z1 double, z2 double, sector string").repartition(40)
+    one, two = (sorted(map(tuple, neutralize.design_rank(df, ["z0", "z1", "z2"], fan_in=k).collect())) for k in (3, 1000))
+    assert len(one) == 2 and all(a[:3] == b[:3] and a[3] == pytest.approx(b[3], rel=1e-9) for a, b in zip(one, two))

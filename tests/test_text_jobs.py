@@ -332,6 +332,40 @@ def test_readers_and_writers(spark, tmp_path):
     assert tables.read_report(spark, path, f"{tmp_path}/meta", path)[3].startswith("rank-IC history lacks")
 
 
+def test_a_table_is_there_at_every_moment(spark, tmp_path, monkeypatch):
+    """A driver that dies between any two steps of a commit leaves the old or the new version at the name."""
+    path = f"{tmp_path}/alpha"
+    n = lambda: tables.read_table(spark, path).count()
+    sinks.commit_table(spark.range(3), path)
+    assert n() == 3
+    steps = ["written", "pointed", "cleaned"]
+    for at, step in enumerate(steps):
+        with monkeypatch.context() as m:
+            if step == "written":
+                m.setattr(sinks, "_point", lambda *a: 1 / 0)
+            if step == "pointed":
+                plain = sinks._point
+                m.setattr(sinks, "_point", lambda *a: (plain(*a), 1 / 0))
+            try:
+                sinks.commit_table(spark.range(10 + at), path)
+            except ZeroDivisionError:
+                pass
+        assert n() == (3 if step == "written" else 10 + at)
+    held = tables.read_table(spark, path)
+    sinks.commit_table(spark.range(20), path)
+    assert n() == 20 and held.count() == 12  # a reader at the version before goes on
+    kept = [p.name for p in (tmp_path / "alpha").iterdir() if p.name.startswith("version-")]
+    assert len(kept) == 2
+    with pytest.raises(Exception, match="boom"):
+        sinks.commit_table(spark.range(5).select(F.raise_error(F.lit("boom"))), path)
+    assert n() == 20
+    sinks.commit_metadata(spark.createDataFrame([(1, "x")], "b int, a string"), f"{tmp_path}/meta")
+    alpha, meta, ics, message = tables.read_report(spark, path, f"{tmp_path}/meta", f"{tmp_path}/none")
+    assert alpha.count() == 20 and meta.first().b == 1 and ics is None
+    spark.range(4).write.parquet(f"{tmp_path}/plain")
+    assert tables.read_table(spark, f"{tmp_path}/plain").count() == 4
+
+
 def test_stream_keeps_the_first_of_each(spark, tmp_path):
     e = raw_event(spark, [("A", D(2024, 1, 1), "x", "1", "", None, T0), ("A", D(2024, 1, 1), "x", "1", "again", None, T0), ("A", D(2024, 1, 1), "x", "2", "", None, T0)])
     e.write.parquet(f"{tmp_path}/in")

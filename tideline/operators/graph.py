@@ -76,17 +76,32 @@ def shock_errors(nodes: DataFrame, shocks: DataFrame) -> DataFrame:
     return unknown.unionByName(shocks.where(~F.coalesce(finite(F.col("shock")), F.lit(False))).select("shock_id", F.lit("non_finite_shock").alias("error")))
 
 
-def propagate(nodes: DataFrame, edges: DataFrame, shocks: DataFrame) -> DataFrame:
+def salted(steps: DataFrame, hub_edges: int) -> tuple[DataFrame, DataFrame | None]:
+    """(steps with a salt, hubs(node_id, salts) or None): the edges of a source with over ``hub_edges`` of them are dealt to salts by
+    their target; other sources have the salt 0."""
+    hubs = written(steps.groupBy("node_id").agg(F.ceil(F.count("*") / hub_edges).cast("int").alias("salts")).where("salts > 1"), "hubs")
+    if hubs.isEmpty():
+        return steps.withColumn("salt", F.lit(0)), None
+    salt = F.when(F.col("salts").isNotNull(), F.pmod(F.xxhash64("target"), F.col("salts")).cast("int")).otherwise(0)
+    return steps.join(hubs, "node_id", "left").withColumn("salt", salt).drop("salts"), hubs
+
+
+def propagate(nodes: DataFrame, edges: DataFrame, shocks: DataFrame, *, hub_edges: int = 1_000_000) -> DataFrame:
     """``shocks(shock_id, node_id, shock)`` -> (shock_id, node_id, layer, shock) for all nodes that are reached, the source included.
 
-    Signed and linear; a zero shock stays as rows of zero; bad shocks give no rows (see ``shock_errors``).
+    Signed and linear; a zero shock stays as rows of zero; bad shocks give no rows (see ``shock_errors``). A source with over
+    ``hub_edges`` edges is shared by as many tasks as it fills, each of which gets a copy of its shocks.
     """
     layers = nodes.select("node_id", "layer").dropDuplicates(["node_id"])
-    steps = weighted(edges).select(F.col("source").alias("node_id"), "target", "transmission_factor")
+    steps, hubs = salted(weighted(edges).select(F.col("source").alias("node_id"), "target", "transmission_factor"), hub_edges)
     good = shocks.where(F.coalesce(finite(F.col("shock")), F.lit(False))).join(layers, "node_id").groupBy("shock_id", "node_id", "layer").agg(F.sum("shock").alias("shock"))
     rounds = [written(good, "shocks")]
     for _ in range(TERMINAL):
-        step = rounds[-1].join(steps, "node_id").groupBy("shock_id", F.col("target").alias("node_id"), (F.col("layer") + 1).alias("layer"))
+        here = rounds[-1].withColumn("salt", F.lit(0))
+        if hubs is not None:
+            last = F.coalesce("salts", F.lit(1)) - 1
+            here = rounds[-1].join(hubs, "node_id", "left").withColumn("salt", F.explode(F.sequence(F.lit(0), last))).drop("salts")
+        step = here.join(steps, ["node_id", "salt"]).groupBy("shock_id", F.col("target").alias("node_id"), (F.col("layer") + 1).alias("layer"))
         rounds.append(written(step.agg(F.sum(F.col("shock") * F.col("transmission_factor")).alias("shock")), "shocks"))
     return together(rounds).select("shock_id", "node_id", "layer", "shock")
 

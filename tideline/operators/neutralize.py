@@ -13,6 +13,7 @@ from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -118,16 +119,18 @@ def standardized(df: DataFrame, column: str, out: str, eps: float) -> DataFrame:
     return df.join(stats, "as_of_date").withColumn(out, z).drop("_m", "_s")
 
 
-def design_rank(panel: DataFrame, zs: list[str]) -> DataFrame:
-    """(as_of_date, n_columns, design_rank, condition_number) of the design matrix, by QR of parts and an SVD of the stacked R's.
+def design_rank(panel: DataFrame, zs: list[str], fan_in: int = 64) -> DataFrame:
+    """(as_of_date, n_columns, design_rank, condition_number) of the design matrix, by a tree of QR factorizations and an SVD of the last R.
 
-    Each partition reduces its rows of a date to one R of (4 + sectors - 1)^2 numbers before anything is shuffled.
+    Each partition reduces its rows of a date to one R of (4 + sectors - 1)^2 numbers before anything is shuffled. R's are stacked
+    ``fan_in`` at a time, level by level, so that no task gets one from each partition.
     """
     sectors = panel.groupBy("as_of_date").agg(F.sort_array(F.collect_set("sector")).alias("names"))
     rows = panel.join(sectors, "as_of_date").select("as_of_date", F.array(*zs).alias("z"), (F.array_position("names", F.col("sector")) - 1).cast("int").alias("s"), F.size("names").alias("k"))
-    schema = "as_of_date date, r array<double>, width int"
+    schema = "as_of_date date, part int, r array<double>, width int"
 
     def local(parts):
+        part = TaskContext.get().partitionId()
         for pdf in parts:
             for day, g in pdf.groupby("as_of_date", sort=False):
                 k = int(g["k"].iloc[0])
@@ -137,7 +140,13 @@ def design_rank(panel: DataFrame, zs: list[str]) -> DataFrame:
                 s = g["s"].to_numpy()
                 x[np.flatnonzero(s), 3 + s[s > 0]] = 1
                 r = np.linalg.qr(x, mode="r")
-                yield pd.DataFrame({"as_of_date": [day], "r": [r.ravel().tolist()], "width": [x.shape[1]]})
+                yield pd.DataFrame({"as_of_date": [day], "part": [part], "r": [r.ravel().tolist()], "width": [x.shape[1]]})
+
+    def stacked(pdf: pd.DataFrame) -> pd.DataFrame:
+        """One R of the R's of a date and a group of parts, which is a part of the next level."""
+        width = int(pdf["width"].iloc[0])
+        r = np.linalg.qr(np.concatenate([np.asarray(r, float).reshape(-1, width) for r in pdf["r"]]), mode="r")
+        return pd.DataFrame({"as_of_date": [pdf["as_of_date"].iloc[0]], "part": [int(pdf["part"].iloc[0]) // fan_in], "r": [r.ravel().tolist()], "width": [width]})
 
     def joined(pdf: pd.DataFrame) -> pd.DataFrame:
         width = int(pdf["width"].iloc[0])
@@ -148,7 +157,12 @@ def design_rank(panel: DataFrame, zs: list[str]) -> DataFrame:
         cond = float(sv[0] / sv[-1]) if len(sv) == width and sv[-1] > 0 else float("inf")
         return pd.DataFrame({"as_of_date": [pdf["as_of_date"].iloc[0]], "n_columns": [width], "design_rank": [rank], "condition_number": [cond]})
 
-    return rows.mapInPandas(local, schema).groupBy("as_of_date").applyInPandas(joined, "as_of_date date, n_columns int, design_rank int, condition_number double")
+    # A partition may give several R's of a date, one a batch; they are of one part.
+    factors, parts = rows.mapInPandas(local, schema), rows.rdd.getNumPartitions()
+    while parts > fan_in:
+        factors = factors.groupBy("as_of_date", F.floor(F.col("part") / fan_in)).applyInPandas(stacked, schema)
+        parts = -(-parts // fan_in)
+    return factors.groupBy("as_of_date").applyInPandas(joined, "as_of_date date, n_columns int, design_rank int, condition_number double")
 
 
 def correlations(panel: DataFrame, alpha: str, factors: list[str] = FACTORS) -> DataFrame:

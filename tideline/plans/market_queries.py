@@ -235,8 +235,8 @@ def report_files(spark, d):
     path = f"{shared_dir(spark)}/report-{uuid.uuid4().hex}"
     c = m.table(spark, d, "customer").select(F.col("c_name").alias("ticker"), F.col("c_acctbal").alias("alpha_z"))
     for part in (c.where("alpha_z < 0"), c):
-        sinks.write_table(part, f"{path}/alpha")
-        sinks.write_metadata(part.agg(F.count("*").alias("n"), F.lit("ok").alias("a_status")), f"{path}/meta")
+        sinks.commit_table(part, f"{path}/alpha")
+        sinks.commit_metadata(part.agg(F.count("*").alias("n"), F.lit("ok").alias("a_status")), f"{path}/meta")
     sinks.write_table(m.snapshots(spark, d).select("as_of_date", F.lit(30).alias("horizon_days"), F.lit(0.5).alias("rank_ic")), f"{path}/ics")
     alpha, meta, ics, _ = tables.read_report(spark, f"{path}/alpha", f"{path}/meta", f"{path}/ics")
     lost = tables.read_report(spark, f"{path}/alpha", f"{path}/meta", f"{path}/none")[3]

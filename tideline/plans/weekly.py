@@ -8,7 +8,7 @@ from dataclasses import dataclass
 from datetime import datetime, timezone
 from typing import NamedTuple
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -89,27 +89,31 @@ def run(
 
     today = F.lit(now.date())
     start = F.date_sub(today, config.lookback_days - 1)
-    events = written(events.where(F.col("published_date").between(start, today)), "weekly-events")
-    n_events = events.count()
+    # What is counted is counted while it is written; seconds are those of actions.
+    counted = lambda df, name, **more: (seen := Observation(), written(df.observe(seen, F.count(F.lit(1)).alias("n"), *[c.alias(k) for k, c in more.items()]), name))[::-1]
+    events, seen = counted(events.where(F.col("published_date").between(start, today)), "weekly-events")
+    n_events = seen.get["n"]
     failures = source_status.where(F.col("error").isNotNull()).count() if source_status is not None else 0
     lap("ingestion")
     routed = routing.route(events, nodes, rules)
     docs = routing.documents(routed, max_chars=config.max_chars).join(routing.aliases(routed), "node_id")
-    docs = written(docs, "weekly-documents")
-    n_routed = docs.count()
+    docs, seen = counted(docs, "weekly-documents")
+    n_routed = seen.get["n"]
     lap("routing")
     masked = masking.mask(docs, text="source_text", companies="company_aliases")
     role = F.concat("label", F.lit(" physical supply-chain choke point."))
     asked = masked.join(nodes.select("node_id", "label", "layer"), "node_id").withColumn("physical_role", role).withColumn("masked_text", F.col("mask.masked_text"))
     asked = asked.withColumn("leak_literal", masking.leak(F.col("masked_text"), masking.prohibited(F.col("mask.redactions"))))
     signals = scorer(asked.where(F.col("leak_literal").isNull())).withColumn("snapshot_id", F.lit(run_id))
-    signals = written(scores.thresholded(signals.select("snapshot_id", "candidate_id", "node_id", "n_events", "s_raw"), config.threshold), "weekly-signals")
+    signals = scores.thresholded(signals.select("snapshot_id", "candidate_id", "node_id", "n_events", "s_raw"), config.threshold)
+    signals, seen = counted(signals, "weekly-signals", active=F.coalesce(F.sum(F.col("active").cast("long")), F.lit(0)))
+    n_active = seen.get["active"]
     lap("features")
     tickers = nodes.where(F.col("layer") == graph.TERMINAL).select("node_id", "ticker")
     matrix = graph.transmission_matrix(nodes, edges, signals.where("active").select("node_id"))
     one = spark.createDataFrame([(run_id,)], "snapshot_id string")
     section = scores.cross_section(one, factors, scores.contributions(signals, matrix, tickers)).select("ticker", F.col("score").alias("raw_score"))
-    panel = factors.join(section, "ticker").withColumn("as_of_date", today)
+    panel = written(factors.join(section, "ticker").withColumn("as_of_date", today), "weekly-panel")
     lap("propagation")
     neutral = neutralize.neutralize(panel)
     diag = neutral.diagnostics.first()
@@ -119,9 +123,15 @@ def run(
     status = "no_signal" if diag.reason else "ok"
     values = {"as_of_utc": F.lit(now), "module": F.lit(config.module), "run_id": F.lit(run_id), "pipeline_status": F.lit(status), "event_count": F.lit(n_events), "routed_candidate_count": F.lit(n_routed), "source_failure_count": F.lit(failures)}
     alpha = neutral.panel.withColumns(values).select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in OUTPUT])
-    require(output_violations(alpha), "output")
-    sums = alpha.agg(F.count("*").alias("n_securities"), F.avg("alpha_z").alias("alpha_mean"), F.stddev_pop("alpha_z").alias("alpha_population_sd"))
-    active = signals.agg(F.coalesce(F.sum(F.col("active").cast("long")), F.lit(0)).alias("active_candidates"))
+    bad = F.lit(False)
+    for c in NUMERIC:
+        bad = bad | ~F.coalesce(finite(F.col(c)), F.lit(False))
+    alpha, seen = counted(alpha, "weekly-alpha", bad=F.sum(bad.cast("long")), alpha_mean=F.avg("alpha_z"), alpha_population_sd=F.stddev_pop("alpha_z"))
+    found = seen.get
+    twice = alpha.groupBy("ticker").count().where("count > 1")
+    if found["bad"] or not twice.isEmpty():  # which ones is only looked up if there are any
+        require(output_violations(alpha), "output")
+    sums = {"n_securities": F.lit(found["n"]).cast("long"), "alpha_mean": F.lit(found["alpha_mean"]).cast("double"), "alpha_population_sd": F.lit(found["alpha_population_sd"]).cast("double"), "active_candidates": F.lit(n_active).cast("long")}
     lap("output")
-    meta = sums.crossJoin(active).select("*", *[v.alias(k) for k, v in values.items()], F.create_map(*[x for k, s in timings.items() for x in (F.lit(k), F.lit(s))]).alias("stage_seconds"))  # one row each
+    meta = spark.range(1).select(*[v.alias(k) for k, v in (sums | values).items()], F.create_map(*[x for k, s in timings.items() for x in (F.lit(k), F.lit(s))]).alias("stage_seconds"))  # one row each
     return Weekly(alpha, meta, signals)

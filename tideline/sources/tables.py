@@ -9,6 +9,7 @@ from pyspark.sql import types as T
 from ..functions.quality import Invalid, nan_to_null
 from ..functions.strings import strip
 from ..operators.events import ANNOUNCEMENT_FIELDS
+from .sinks import current
 
 PRICE_FIELDS = {"open", "high", "low", "close", "adj close", "volume"}
 
@@ -74,13 +75,18 @@ def read_announcements(spark: SparkSession, path: str) -> DataFrame:
     return announcement_rows(spark.read.text(path, wholetext=True))
 
 
+def read_table(spark: SparkSession, path: str) -> DataFrame:
+    """The Parquet table at ``path``: of a table in versions the one that its pointer names."""
+    return spark.read.parquet(current(spark, path))
+
+
 def read_report(spark: SparkSession, alpha_path: str, metadata_path: str, ic_path: str | None = None) -> tuple[DataFrame, DataFrame, DataFrame | None, str | None]:
     """(alpha table, metadata, rank-IC history or None, message): a missing or odd rank-IC file is a message, not a failure."""
-    alpha, meta = spark.read.parquet(alpha_path), spark.read.json(metadata_path, multiLine=True)
+    alpha, meta = read_table(spark, alpha_path), spark.read.json(current(spark, metadata_path), multiLine=True)
     if ic_path is None:
         return alpha, meta, None, "no rank-IC history"
     try:
-        ics = spark.read.parquet(ic_path)
+        ics = read_table(spark, ic_path)
     except Exception as error:  # noqa: BLE001  whatever the reader raises is the message
         return alpha, meta, None, f"no rank-IC history: {type(error).__name__}"
     if lacking := {"as_of_date", "horizon_days", "rank_ic"} - set(ics.columns):
