@@ -37,7 +37,12 @@ def shock_layers(spark, d):
 
 
 def node_checks(spark, d):
-    return graph.node_violations(m.nodes(spark, d).withColumn("kind", F.when(F.col("node_id").isin("N:3", "S:7"), "raw").otherwise(F.col("kind"))))
+    """The nodes with each of the six flaws planted on suppliers of their own, by supplier number."""
+    n = m.nodes(spark, d)
+    k = F.when(F.col("layer") == 2, F.regexp_extract("node_id", "[0-9]+$", 0).cast("long") % 20)
+    put = lambda c, at, value: F.when(k == at, value).otherwise(F.col(c)).alias(c)
+    odd = n.select(put("node_id", 1, F.lit(" ")), put("label", 2, F.lit("\t")), put("layer", 3, F.lit(7)), put("kind", 4, F.lit("raw")), put("ticker", 5, F.lit("ODD.NS")), *[c for c in n.columns if c not in ("node_id", "label", "layer", "kind", "ticker")])
+    return graph.node_violations(odd.unionByName(n.where(k == 6)))
 
 
 def edge_checks(spark, d):
@@ -80,6 +85,14 @@ def region_supplier_paths(spark, d):
     return out.select("source", "target", F.array_join("path", ">").alias("path"), F.round("transmission_weight", 6).alias("transmission_weight"))
 
 
+def region_customer_paths(spark, d):
+    """All paths over four hops, from regions to customers: how many there are for each pair, and what they transmit together."""
+    nodes = m.nodes(spark, d)
+    pairs = nodes.where("layer = 0").select(F.col("node_id").alias("source")).crossJoin(nodes.where("layer = 4").select(F.col("node_id").alias("target")))  # all of them are asked for
+    out = graph.paths(_edges(spark, d), pairs)
+    return out.groupBy("source", "target").agg(F.count("*").alias("n_paths"), F.min(F.size("path")).alias("n_nodes"), F.round(F.sum("transmission_weight"), 6).alias("weight"))
+
+
 def ticker_checks(spark, d):
     nodes = m.nodes(spark, d)
     return graph.ticker_violations(nodes.withColumn("ticker", F.regexp_replace("ticker", "[0-9]$", "")))
@@ -116,11 +129,14 @@ def _nation_signals(spark, d):
 _SIGNALS = "signals AS (SELECT 'Candidate_' || s_nationkey AS candidate_id, 'N:' || s_nationkey AS node_id, sum(s_acctbal::DECIMAL(18,2))::DOUBLE / count(*) / 10000 AS s FROM supplier GROUP BY s_nationkey)"
 _NAME = "source || '->' || target"
 
-QUERIES = {f.__name__: f for f in (region_shock_customers, shock_layers, node_checks, edge_checks, edge_weights, layer_counts, bad_shocks, nation_part_transmission, region_supplier_paths, ticker_checks, equity_scores, contribution_maps)}
+QUERIES = {f.__name__: f for f in (region_shock_customers, shock_layers, node_checks, edge_checks, edge_weights, layer_counts, bad_shocks, nation_part_transmission, region_supplier_paths, region_customer_paths, ticker_checks, equity_scores, contribution_maps)}
 ORACLES = {
     "region_shock_customers": f"{_WITH}, {_REGION}{HOPS_SQL} SELECT shock_id, ticker, round(shock, 6) AS shock FROM reached JOIN nodes USING (node_id) WHERE layer = 4",
     "shock_layers": f"{_WITH}, {_SUPPLIER}{HOPS_SQL} SELECT shock_id, layer, count(*) AS n_nodes, round(sum(shock), 6) AS total FROM reached JOIN nodes USING (node_id) GROUP BY ALL",
-    "node_checks": f"WITH {m.NODES_SQL} SELECT 'kind_mismatch' AS rule, node_id AS entity, 'raw' AS detail FROM nodes WHERE node_id IN ('N:3', 'S:7')",
+    "node_checks": f"""WITH {m.NODES_SQL}, s AS (SELECT *, regexp_extract(node_id, '[0-9]+$')::BIGINT % 20 AS k FROM nodes WHERE layer = 2)
+        SELECT 'blank_id' AS rule, label AS entity, '' AS detail FROM s WHERE k = 1 UNION ALL SELECT 'blank_label', node_id, '' FROM s WHERE k = 2 UNION ALL SELECT 'layer_range', node_id, '7' FROM s WHERE k = 3
+        UNION ALL SELECT 'kind_mismatch', node_id, 'raw' FROM s WHERE k = 4 UNION ALL SELECT 'ticker_layer', node_id, 'ODD.NS' FROM s WHERE k = 5 UNION ALL SELECT 'duplicate_node', node_id, '2' FROM s WHERE k = 6
+        UNION ALL SELECT 'duplicate_node', ' ', count(*)::VARCHAR FROM s WHERE k = 1 HAVING count(*) > 1""",
     "edge_checks": f"""{_WITH} SELECT rule, count(*) AS n, count(DISTINCT name) AS n_edges FROM (
         SELECT 'cost_share_range' AS rule, {_NAME} AS name FROM edges WHERE source = 'S:1'
         UNION ALL SELECT 'lead_time_range', {_NAME} FROM edges WHERE source = 'S:2'
@@ -136,6 +152,8 @@ ORACLES = {
         UNION ALL SELECT node_id, '?' || node_id, NULL, 'unknown_node' FROM nodes WHERE layer = 0""",
     "region_supplier_paths": f"""WITH {m.EDGES_SQL}, up AS MATERIALIZED (SELECT source, target, w FROM edges WHERE source LIKE 'R:%'), down AS MATERIALIZED (SELECT source, target, w FROM edges WHERE source LIKE 'N:%')
         SELECT a.source, b.target, a.source || '>' || a.target || '>' || b.target AS path, round(a.w * b.w, 6) AS transmission_weight FROM up a JOIN down b ON a.target = b.source""",
+    "region_customer_paths": f"""WITH {m.EDGES_SQL} SELECT a.source, d.target, count(*) AS n_paths, 5 AS n_nodes, round(sum(a.w * b.w * c.w * d.w), 6) AS weight
+        FROM edges a JOIN edges b ON a.target = b.source JOIN edges c ON b.target = c.source JOIN edges d ON c.target = d.source WHERE a.source LIKE 'R:%' GROUP BY ALL""",
     "ticker_checks": f"WITH {m.NODES_SQL} SELECT 'duplicate_ticker' AS rule, t AS entity, count(*)::VARCHAR AS detail FROM (SELECT regexp_replace(ticker, '[0-9]$', '') AS t FROM nodes WHERE layer = 4) GROUP BY t HAVING count(*) > 1",
     "equity_scores": f"""{_WITH}, {_SIGNALS}, shocks AS (SELECT candidate_id AS shock_id, node_id, s AS shock FROM signals WHERE abs(s) > 0.4){HOPS_SQL}
         SELECT 'all' AS snapshot_id, ticker, round(coalesce(sum(shock), 0.0), 6) AS score FROM (SELECT node_id, ticker FROM nodes WHERE layer = 4) LEFT JOIN reached USING (node_id) GROUP BY ticker""",

@@ -212,7 +212,10 @@ def _neutral_2000(spark, d):
 
 
 def output_faults(spark, d):
-    """The output check on an alpha table with doubled tickers and values that are no numbers."""
+    """The output check on an alpha table with doubled tickers and values that are no numbers.
+
+    What is checked is the output of one run, in which a ticker stands once: the whole cross-section of the last full year.
+    """
     a = _neutral_2000(spark, d).panel.join(m.table(spark, d, "customer").select(F.col("c_name").alias("ticker"), "c_custkey"), "ticker")
     k = F.col("c_custkey")
     a = a.withColumn("alpha_z", F.when(k % 50 == 0, float("nan")).otherwise(F.col("alpha_z"))).withColumn("price_to_book", F.when(k % 40 == 0, float("-inf")).otherwise(F.col("price_to_book")))
@@ -223,7 +226,10 @@ def output_faults(spark, d):
 
 
 def report_table(spark, d):
-    """The report's seven columns, with the pair of raw and neutral values beside them."""
+    """The report's seven columns, with the pair of raw and neutral values beside them.
+
+    A report shows the output of one run, which is one cross-section: the whole one of the last full year.
+    """
     a = _neutral_2000(spark, d).panel
     pair = report.raw_against_neutral(a).select("ticker", F.round(F.col("alpha_z") - F.col("raw_score"), 6).alias("moved"))
     v = report.alpha_view(a).join(pair, "ticker")

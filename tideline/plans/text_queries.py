@@ -332,6 +332,10 @@ def universe_list(spark, d):
     return tables.universe(lines, order="line", min_rows=1)
 
 
+#: Labels of nodes in the weekly run, and the scores that they get.
+WEEKLY_ROLES = {"N:1": ("Solar Glass", 0.92), "N:2": ("Transformer core steel", 0.71), "P:1": ("Fluorspar", 0.5)}
+
+
 def _weekly(spark, d):
     docs = m.table(spark, d, "documents")
     e = ev.make_events(docs, source=F.lit("MOCK"), event_type=F.col("lang"), published_date=F.date_add(F.to_date(F.lit("2024-01-01")), (F.col("doc_id") % 28).cast("int")), title=F.concat(F.lit("Document "), F.col("doc_id").cast("string")), url=F.concat(F.lit("mock://"), F.col("doc_id").cast("string")), text=F.col("text"), fetched_at=F.lit("2024-02-01 00:00:00").cast("timestamp"))
@@ -339,7 +343,11 @@ def _weekly(spark, d):
     factors = panel.where("year(as_of_date) = 2000").drop("as_of_date", "raw_score")
     edges = written(m.edges(spark, d), "weekly-edges")
     status = spark.createDataFrame([("MOCK", 1, None), ("OTHER", 0, "ValueError: down")], "source string, n_events long, error string")
-    return weekly.run(e, m.nodes(spark, d), edges, factors, now=datetime(2024, 1, 31, 6, 0), config=weekly.WeeklyConfig(lookback_days=31), source_status=status, rules=RULES)
+    # Three nodes have roles that the stand-in scores apart; the score of all others is under the threshold.
+    nodes = m.nodes(spark, d)
+    role = F.element_at(F.create_map(*[F.lit(x) for pair in WEEKLY_ROLES.items() for x in pair[:1] + pair[1][:1]]), F.col("node_id"))
+    nodes = nodes.withColumn("label", F.coalesce(role, "label"))
+    return weekly.run(e, nodes, edges, factors, now=datetime(2024, 1, 31, 6, 0), config=weekly.WeeklyConfig(lookback_days=31, threshold=0.3), source_status=status, rules=RULES)
 
 
 def weekly_alpha(spark, d):
@@ -366,9 +374,9 @@ _LINKS = f"""links AS (
 _WORD = lambda rx: rf"regexp_matches(t, '(?i)(^|[^\pL\pN_]){rx}($|[^\pL\pN_])')"
 _HITS = f"""picked AS (SELECT DISTINCT unnest(list_filter([CASE WHEN {_WORD("(ththe?|orre)")} THEN 'N:1' END, CASE WHEN {_WORD("der")} THEN 'N:2' END, CASE WHEN {_WORD("(la|les?)")} THEN 'N:3' END,
   CASE WHEN regexp_matches(t, '(?i)(^|[^\\pL\\pN_])que') THEN 'P:1' END, CASE WHEN {_WORD("for (the|of)")} THEN 'S:5' END], lambda x: x IS NOT NULL)) AS node_id FROM (SELECT 'Document ' || doc_id || chr(10) || text AS t FROM documents))"""
-# The stand-in gives 0.235 to all nodes: no label names glass, cores or fluor.
+_SCORE = "CASE node_id " + " ".join(f"WHEN '{n}' THEN {x}" for n, (_, x) in WEEKLY_ROLES.items()) + " ELSE 0.235 END::DOUBLE"
 _WEEKLY = neutral_sql(
-    f"{m.EDGES_SQL}, {m.yearly_panel_sql()}, {_HITS}, shocks AS (SELECT 'week' AS shock_id, node_id, 0.235::DOUBLE AS shock FROM picked){HOPS_SQL}, "
+    f"{m.EDGES_SQL}, {m.yearly_panel_sql()}, {_HITS}, shocks AS (SELECT 'week' AS shock_id, node_id, {_SCORE} AS shock FROM picked WHERE {_SCORE} > 0.3){HOPS_SQL}, "
     "hit AS (SELECT c_name AS ticker, sum(shock) AS shock FROM reached JOIN customer ON node_id = 'C:' || c_custkey GROUP BY ALL), "
     "week AS (SELECT panel.* REPLACE (round(coalesce(shock, 0.0), 12) AS raw_score) FROM panel LEFT JOIN hit USING (ticker) WHERE year(as_of_date) = 2000)",
     "week",
@@ -378,7 +386,7 @@ _ODD_WORTH = "CASE form " + " ".join(f"WHEN {i} THEN {r[0]}" for i, (_, r) in en
 ORACLES = {
     "weekly_alpha": f"""{_WEEKLY} SELECT ticker, TIMESTAMP '2024-01-31 06:00:00' AS as_of_utc, 'supply_chain_alpha' AS module, '20240131T060000Z' AS run_id, 'ok' AS pipeline_status, round(raw_score, 6) AS raw_score, round(alpha, 6) AS alpha_z, round(log_market_cap, 6) AS log_market_cap, round(momentum_12m, 6) AS momentum_12m, round(price_to_book, 6) AS price_to_book, sector,
         (SELECT count(*) FROM documents) AS event_count, (SELECT count(*) FROM picked) AS routed_candidate_count, 1::BIGINT AS source_failure_count FROM final""",
-    "weekly_metadata": f"""{_WEEKLY} SELECT count(*) AS n_securities, true AS centred, round(stddev_pop(alpha), 6) AS alpha_population_sd, (SELECT count(*) FROM picked) AS active_candidates, '20240131T060000Z' AS run_id, 'ok' AS pipeline_status,
+    "weekly_metadata": f"""{_WEEKLY} SELECT count(*) AS n_securities, true AS centred, round(stddev_pop(alpha), 6) AS alpha_population_sd, (SELECT count(*) FROM picked WHERE {_SCORE} > 0.3) AS active_candidates, '20240131T060000Z' AS run_id, 'ok' AS pipeline_status,
         (SELECT count(*) FROM documents) AS event_count, (SELECT count(*) FROM picked) AS routed_candidate_count, 1::BIGINT AS source_failure_count, 'features,ingestion,neutralization,output,propagation,routing' AS steps FROM final""",
     "event_ids": f"WITH {_EVENTS} SELECT e.event_id, 'MOCK' AS source, e.event_type, published_date, title, url, text, json_extract_string(props, '$.k') AS k FROM ev e JOIN events USING (ts)",
     "events_merged": f"WITH {_EVENTS} SELECT event_id, published_date, title, ts AS fetched_at_utc, text FROM ev QUALIFY row_number() OVER (PARTITION BY event_id ORDER BY (event_type <> 'view') DESC, ts DESC, text DESC) = 1",
