@@ -268,6 +268,29 @@ def test_prompt_record(spark):
     assert row == json.dumps(record, ensure_ascii=False, sort_keys=True)
 
 
+def test_requests_and_their_schema(spark):
+    """The schema names the bounds that responses are held to, and a good response of its fields passes."""
+    schema = json.loads(features.response_schema())
+    assert schema["required"] == sorted(GOOD) and not schema["additionalProperties"]
+    assert {k: (v["minimum"], v["maximum"]) for k, v in schema["properties"].items() if v["type"] == "number"} == {"E_sub": (-1, 1), "P_pricing": (-1, 1), "T_policy": (0, 1), "confidence": (0, 1)}
+    assert schema["properties"]["evidence"]["maxItems"] == 6 and schema["properties"]["evidence"]["items"]["properties"]["effect"]["enum"] == features.EFFECTS
+    df = spark.createDataFrame([("C1", 2, "role", "text")], "candidate_id string, layer int, physical_role string, masked_text string")
+    r = features.requests(df).first()
+    assert json.loads(r.user_prompt)["candidate"] == {"anonymized_id": "C1", "layer": 2, "physical_role": "role"} and r.json_schema == features.response_schema() and "S_raw" in r.system_prompt
+    assert df.select(features.output_leak(F.lit(features.SYSTEM), F.array(F.lit("Acme")))).first()[0] is None
+
+
+def test_mock_events(spark):
+    """The three events of the mock source go to their nodes, in the window of their day only."""
+    e = seed.mock_events(spark, D(2024, 1, 5))
+    routed = {(r.event_type, r.node_id) for r in routing.route(e, seed.nodes(spark)).collect()}
+    assert {("qco", "COMP_TRANSFORMER_CORES"), ("trade_remedy", "COMP_SOLAR_GLASS"), ("trade_policy", "COMP_FLUOROCHEMICAL_FEED")} <= routed
+    start, end = events.window_of(F.to_date(F.lit("2024-01-05")))
+    late, _ = events.window_of(F.to_date(F.lit("2024-01-13")))
+    assert events.in_window(e, start, end).count() == 3 and events.in_window(e, late, F.to_date(F.lit("2024-01-13"))).count() == 0
+    assert e.select("event_id").distinct().count() == 3 and {r.source for r in e.collect()} == {"MOCK"}
+
+
 def test_odd_pages(spark):
     """A page that can't be read is a row, and the work follows the length of the page, however many elements stay open."""
     bad = "<a href=x>y</a><![odd[page]]>"

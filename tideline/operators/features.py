@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -149,6 +151,33 @@ def prompt(alias: Column, layer: Column, role: Column, masked_text: Column, inst
     return F.concat(F.lit('{"anonymized_source_text": '), _json(masked_text), F.lit(', "candidate": '), candidate, F.lit(', "instruction": '), _json(F.lit(instruction)), F.lit("}"))
 
 
+#: What a scorer is told beside the prompt record, in this library's words.
+SYSTEM = """You read one anonymous node of a physical supply chain and one anonymous source text, and return numbers. You don't pick stocks or forecast returns.
+
+Return one JSON object that fits the schema, and nothing else:
+- E_sub, from -1 to 1: how easily the node's inputs can be substituted. -1 is extreme exposure to a shortage, 1 is captive or freely substitutable supply.
+- P_pricing, from -1 to 1: pricing power downstream. -1 takes prices, 1 sets them.
+- T_policy, from 0 to 1: domestic protection by duties, quality orders, quotas or import limits that the text supports. 0 is none.
+- confidence, from 0 to 1, and one to six pieces of evidence, each a short observation from the text with its effect.
+
+Use the text and the role only. Name no companies, tickers, people, years or known events, don't try to lift the masks, and invent no facts. Weak or mixed evidence means values near neutral. Leave S_raw out: it is computed afterwards."""
+
+
+def response_schema() -> str:
+    """The JSON schema of a response, as text with sorted keys, made from the same bounds that ``assess`` checks."""
+    text = lambda most, **more: {"type": "string", "minLength": 1, **({"maxLength": most} if most else {}), **more}
+    closed = lambda fields: {"type": "object", "properties": fields, "required": sorted(fields), "additionalProperties": False}
+    item = closed({"observation": text(500), "effect": {"type": "string", "enum": EFFECTS}})
+    numbers = {j: {"type": "number", "minimum": lo, "maximum": hi} for j, (_, lo, hi) in NUMBERS.items()}
+    return json.dumps(closed({"candidate_node_alias": text(128), **numbers, "evidence": {"type": "array", "items": item, "minItems": 1, "maxItems": 6}}), sort_keys=True)
+
+
+def requests(candidates: DataFrame, *, alias: str = "candidate_id", layer: str = "layer", role: str = "physical_role", masked_text: str = "masked_text", system: str = SYSTEM, instruction: str = INSTRUCTION) -> DataFrame:
+    """``candidates`` with system_prompt, user_prompt and json_schema, what a model client needs for one call a row."""
+    user = prompt(F.col(alias), F.col(layer), F.col(role), F.col(masked_text), instruction)
+    return candidates.withColumns({"system_prompt": F.lit(system), "user_prompt": user, "json_schema": F.lit(response_schema())})
+
+
 def output_leak(raw: Column, originals: Column) -> Column:
     """Leaks in a serialized record; a number such as 0.2019 holds a year and counts as one."""
     return leak(raw, originals)

@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+from datetime import date
+
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from ..operators.events import make_events
 from ..operators.graph import KINDS
 
 # Nodes by layer, as (id, label).
@@ -78,3 +82,18 @@ def nodes(spark: SparkSession) -> DataFrame:
 
 def edges(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(EDGES, "source string, target string, substitutability double, cost_share double, lead_time_months double")
+
+
+# The events of the mock source, as (event type, title, url, text, node).
+MOCK_EVENTS = [
+    ("qco", "Quality requirements for CRGO transformer cores", "mock://transformer", "Qualified CRGO transformer core inputs face long qualification lead times.", "COMP_TRANSFORMER_CORES"),
+    ("trade_remedy", "Trade remedy concerning textured tempered solar glass", "mock://solar", "Imported solar glass faces domestic trade protection.", "COMP_SOLAR_GLASS"),
+    ("trade_policy", "Supply constraints in fluorochemical feedstock", "mock://fluor", "Fluorochemical feedstock has concentrated supply and switching constraints.", "COMP_FLUOROCHEMICAL_FEED"),
+]
+
+
+def mock_events(spark: SparkSession, as_of: date) -> DataFrame:
+    """Three events of one day for dry runs, each with the node that it is about."""
+    rows = spark.createDataFrame([(*e, as_of) for e in MOCK_EVENTS], "type string, title string, url string, text string, node string, day date")
+    col = F.col
+    return make_events(rows, source=F.lit("MOCK"), event_type=col("type"), published_date=col("day"), title=col("title"), url=col("url"), text=col("text"), metadata=F.create_map(F.lit("candidate_node"), col("node")), fetched_at=col("day").cast("timestamp"))
