@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from tideline.functions import lineage
 from tideline.functions.ranges import average_ranks, largest, medians, running
 from tideline.operators import factors, rank_ic, returns, routing
 
@@ -114,3 +115,16 @@ def test_as_of_prices_by_merging(spark, lag):
     one, two = (sorted((r.ticker, r.target_date, *r.x) for r in f(wanted, clean, lag).collect()) for f in (returns._exploded, returns._merged))
     assert one == two and len(one) > 100
     assert "UnboundedFollowing" not in plan(returns._merged(wanted, clean, lag))
+
+
+def test_tables_go_with_their_scope(spark, rows, tmp_path, monkeypatch):
+    monkeypatch.setattr(lineage, "shared_dir", lambda spark: str(tmp_path / "shared"))
+    there = lambda: sorted(p.name.split("-")[0] for p in (tmp_path / "shared").iterdir())
+    kept = lineage.written(rows.limit(3), "kept")
+    with lineage.scope(spark):
+        lineage.written(rows.limit(2), "outer")
+        with pytest.raises(ZeroDivisionError), lineage.scope(spark):
+            assert lineage.written(rows.limit(1), "inner").count() == 1
+            1 / 0
+        assert there() == ["kept", "outer"]
+    assert there() == ["kept"] and kept.count() == 3

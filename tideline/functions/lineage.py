@@ -4,9 +4,29 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Paths that are written within the scopes that are open, the innermost last.
+_open: list[list[str]] = []
+
+
+@contextmanager
+def scope(spark: SparkSession) -> Iterator[None]:
+    """Tables that ``written`` makes inside go when the block ends, so that a long session doesn't fill the folder.
+
+    Results must be written or collected inside: they are read from these tables.
+    """
+    _open.append([])
+    try:
+        yield
+    finally:
+        for path in _open.pop():
+            place = spark._jvm.org.apache.hadoop.fs.Path(path)
+            place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
 
 def shared_dir(spark: SparkSession) -> str:
     """spark.checkpoint.dir of the session, else the context's; a folder of our own only in local mode (tests)."""
@@ -25,10 +45,12 @@ def shared_dir(spark: SparkSession) -> str:
 def written(df: DataFrame, name: str) -> DataFrame:
     """``df`` as a Parquet table that survives lost executors and is scanned, not recomputed, by what follows.
 
-    The table goes when the driver ends.
+    The table goes with the innermost ``scope`` around, else when the driver ends.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    if _open:
+        _open[-1].append(path)
     df.write.parquet(path)
     place = spark._jvm.org.apache.hadoop.fs.Path(path)
     place.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(place)
