@@ -78,19 +78,26 @@ def test_grams():
     assert toxicity.before(np.array([1, 2, 1, 3, 1, 1])).tolist() == [-1, -1, 0, -1, 2, 4]
 
 
+def scalar_bag(w):
+    """The hashes of a word's n-grams and of the word, before they are cut to buckets."""
+    mask, marked = (1 << 64) - 1, f"<{w}>"
+    bag = [xxhash.xxh32_intdigest(marked, 1)]
+    for n in range(3, 7):
+        for a in range(len(marked) - n + 1):
+            h = 0
+            for c in marked[a : a + n]:
+                h = (h * 0x9E3779B97F4A7C15 + ord(c)) & mask
+            h ^= h >> 29
+            bag.append((h * (0xBF58476D1CE4E5B9 + 2 * n) & mask) >> 32)
+    return bag
+
+
 def scalar_score(model, text):
     """A document's score, gram by gram and window by window."""
-    mask, slope = (1 << 64) - 1, model.vectors.astype(float) @ (model.weights[1] - model.weights[0]).astype(float)
+    slope = model.vectors.astype(float) @ (model.weights[1] - model.weights[0]).astype(float)
 
     def word(w):
-        marked, bag = f"<{w}>", [xxhash.xxh32_intdigest(f"<{w}>", 1)]
-        for n in range(3, 7):
-            for a in range(len(marked) - n + 1):
-                h = 0
-                for c in marked[a : a + n]:
-                    h = (h * 0x9E3779B97F4A7C15 + ord(c)) & mask
-                h ^= h >> 29
-                bag.append((h * (0xBF58476D1CE4E5B9 + 2 * n) & mask) >> 32)
+        bag = scalar_bag(w)
         return sum(slope[g % model.buckets] for g in bag) / len(bag)
 
     ws = toxicity.words(text)
@@ -99,6 +106,83 @@ def scalar_score(model, text):
     return toxicity.sigmoid(model.scale * (best / model.window + float(model.bias[1] - model.bias[0])) + model.shift)
 
 
+def scalar_training(texts, labels, epochs, batch, hard=3, rate=0.5, prior=10.0, seed=7, **shape):
+    """Vectors, weights and bias by loops over documents, words and n-grams."""
+    start = toxicity.Model(seed=seed, **shape)
+    vec, weights, bias = start.vectors.astype(float), start.weights.astype(float), np.zeros(2)
+    docs, size = [toxicity.words(t) for t in texts], start.window
+    bags = {w: [g % start.buckets for g in scalar_bag(w)] for d in docs for w in d}
+    seen = [Counter(g for d, y in zip(docs, labels) if y == k for g in {g for w in d for g in bags[w]}) for k in (0, 1)]
+    ones = sum(labels) / len(labels)
+    gap = weights[1] - weights[0]
+    for g in range(start.buckets):
+        odds = math.log((seen[1][g] + prior * ones) / (seen[0][g] + prior * (1 - ones))) - math.log(ones / (1 - ones))
+        vec[g] += odds * gap / (gap @ gap)
+    weigh = [len(labels) / 2 / (len(labels) - sum(labels)), len(labels) / 2 / sum(labels)]
+    rng = np.random.default_rng(seed)
+    sums, sums_w, sums_b = defaultdict(lambda: 1e-4), np.full(weights.shape, 1e-4), np.full(2, 1e-4)
+
+    def mean(ws):
+        return sum((vec[bags[w]].mean(axis=0) for w in ws), np.zeros(start.dim)) / size
+
+    for _ in range(epochs):
+        chosen = []
+        for d, y in zip(docs, labels):
+            at = [list(dict.fromkeys(d[a : a + size])) for a in range(max(1, len(d) - size + 1))]
+            z = {a: float(mean(ws) @ (weights[1] - weights[0])) for a, ws in enumerate(at)}
+            for _ in range(1 if y else hard):
+                if z:
+                    worst = max(z, key=z.get)
+                    chosen.append((at[worst], y))
+                    z = {a: v for a, v in z.items() if not worst - size // 2 < a < worst + size // 2}
+        order = rng.permutation(len(chosen))
+        for lo in range(0, len(order), batch):
+            part = [chosen[i] for i in order[lo : lo + batch]]
+            grow, grow_w, grow_b = defaultdict(lambda: np.zeros(start.dim)), np.zeros(weights.shape), np.zeros(2)
+            for ws, y in part:
+                m = mean(ws)
+                e = np.exp(weights @ m + bias)
+                err = (e / e.sum() - np.eye(2)[y]) * weigh[y] / len(part)
+                grow_w += np.outer(err, m)
+                grow_b += err
+                for w in ws:
+                    for g in bags[w]:
+                        grow[g] = grow[g] + err @ weights / (len(bags[w]) * size)
+            for g, v in grow.items():
+                sums[g] += (v**2).mean()
+                vec[g] -= rate * v / math.sqrt(sums[g])
+            sums_w += grow_w**2
+            sums_b += grow_b**2
+            weights = weights - 0.2 * rate * grow_w / np.sqrt(sums_w)
+            bias = bias - 0.2 * rate * grow_b / np.sqrt(sums_b)
+    return vec, weights, bias
+
+
+def test_toxicity_training_by_hand():
+    """The joint steps are those of plain loops."""
+    rng = random.Random(4)
+    texts = [" ".join("".join(rng.choices("abcdefgh", k=rng.randrange(2, 9))) for _ in range(rng.randrange(1, 30))) for _ in range(24)]
+    labels = [int(i % 3 == 0) for i in range(24)]
+    texts = [t + " grumbo" * y for t, y in zip(texts, labels)] + [None]
+    labels.append(0)
+    shape = {"buckets": 1 << 10, "dim": 4, "window": 5}
+    got = toxicity.descend(texts, np.array(labels), epochs=3, batch=8, **shape)
+    vec, weights, bias = scalar_training(texts, labels, 3, 8, **shape)
+    for a, b in ((got.vectors, vec), (got.weights, weights), (got.bias, bias)):
+        assert np.allclose(a, b, atol=2e-3), np.abs(a - b).max()
+
+
+def test_toxicity_from_few_rows():
+    """A few toxic rows: every fold calibrates, most held-out toxic texts are found and clean ones are left."""
+    docs, labels = toxic_corpus(900)
+    few = [(t, y) for (_, t), (_, _, y) in zip(docs[:150], labels)]
+    assert sum(y for _, y in few) < 50
+    model = toxicity.train([t for t, _ in few], [y for _, y in few])
+    rest = list(zip(model.scores([t for _, t in docs[150:]]), [y for _, _, y in labels[150:]]))
+    assert sum(s >= 0.7 for s, y in rest if y) > 0.6 * sum(y for _, y in rest)
+    assert sum(s >= 0.7 for s, y in rest if not y) < 0.02 * len(rest)
+
+
 def test_toxicity_scores_by_hand(spark, tmp_path):
     """The query's scores are those of the fitted model, word by word over whole texts; repeats count once a window."""
     docs, labels = toxic_corpus(200)

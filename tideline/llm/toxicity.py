@@ -3,9 +3,9 @@
 A word is the bag of its character n-grams (3 to 6, with word marks) and of itself, all hashed into one table of vectors;
 its vector is the mean of the bag. The words of a window are averaged and go through a linear softmax of two classes; vectors and
 softmax are trained together. A misspelling or an unseen inflection shares most n-grams with words that were seen. A document is as
-toxic as its worst window, so that a few words in a long text are not averaged away: training alternates between
-choosing the worst window of each document under the present model and gradient steps on those windows. A word that is
-repeated within a window counts once there.
+toxic as its worst window, so that a few words in a long text are not averaged away: training starts from how much each n-gram
+leans to a label in the documents' counts, and alternates between choosing the worst windows of each document under the present
+model and gradient steps on those windows. A word that is repeated within a window counts once there.
 
 Defined cases: null, empty and blank texts have no words and get the (calibrated) score of the bias alone; very long texts are scored whole, window
 by window; repeated rows get equal scores; without labelled rows of both classes every score is 0; extra columns pass
@@ -28,6 +28,7 @@ from pyspark.sql import types as T
 
 from .common import crc32_mod, fitted, labelled_texts, map_texts, table, unpack
 
+SHAPE = ("buckets", "dim", "window")
 WORD = re.compile(r"[^\W_]+(?:[*@$!'’_-]+[^\W_]+)*", re.UNICODE)
 
 
@@ -149,22 +150,65 @@ def calibration(z: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     return float(w[0] / unit), float(w[1])
 
 
-def train(texts: list[str | None], labels: list[int], *, epochs: int = 12, min_steps: int = 1000, rate: float = 0.5, batch: int = 256, hard: int = 3, seed: int = 7, **shape) -> Model:
-    """Joint AdaGrad steps on vectors, weights and bias; the loss weighs both classes equally.
+def train(texts: list[str | None], labels: list[int], *, epochs: int = 12, most_epochs: int = 30, min_steps: int = 400, folds: int = 5, enough: int = 50, seed: int = 7, **options) -> Model:
+    """The model and its calibration on rows that it did not learn from.
 
-    A fifth of the rows is kept back to calibrate the scores, if it holds both classes. Few rows are gone through more often (60 epochs at most), until about ``min_steps`` steps are done.
+    A fifth of the rows (``folds``) is kept back to calibrate the scores. Where that holds under ``enough`` rows of a class, each
+    fifth is scored by a model of the others, all of these scores calibrate, and the model learns from every row. Few rows are gone
+    through more often (``most_epochs`` at most), until about ``min_steps`` steps are done.
     """
-    epochs = max(epochs, min(60, min_steps * batch // max(1, 2 * len(texts))))
-    model = Model(seed=seed, **shape)
     y = np.asarray(labels, np.int64)
     if not len(y) or y.min() == y.max():
-        return model
-    back = np.random.default_rng(seed + 1).permutation(len(y)) % 5 == 0
-    if np.bincount(y[back], minlength=2).min() >= 5 and y[~back].min() < y[~back].max():
-        held_texts, held = [t for t, b in zip(texts, back) if b], y[back]
-        texts, y = [t for t, b in zip(texts, back) if not b], y[~back]
+        return Model(seed=seed, **{k: v for k, v in options.items() if k in SHAPE})
+    options |= {"epochs": max(epochs, min(most_epochs, min_steps * options.get("batch", 256) // max(1, 2 * len(texts)))), "seed": seed}
+    back = np.random.default_rng(seed + 1).permutation(len(y)) % folds
+
+    def learnt(rows: np.ndarray) -> Model:
+        return descend([texts[i] for i in np.flatnonzero(rows)], y[rows], **options)
+
+    if np.bincount(y[back == 0], minlength=2).min() >= enough:
+        model, held = learnt(back != 0), back == 0
+        z = np.array(model.logits([texts[i] for i in np.flatnonzero(held)]))
     else:
-        held_texts, held = [], y[:0]
+        model, held, z = learnt(np.ones(len(y), bool)), np.zeros(len(y), bool), np.zeros(len(y))
+        for fold in range(folds):
+            out = back == fold
+            if out.any() and y[~out].min() < y[~out].max():
+                z[out] = learnt(~out).logits([texts[i] for i in np.flatnonzero(out)])
+                held |= out
+        z = z[held]
+    if len(z) and np.bincount(y[held], minlength=2).min() >= 5:
+        model.scale, model.shift = calibration(z, y[held])
+        if model.scale <= 0:  # nothing was learnt
+            model.scale, model.shift = 1.0, 0.0
+    return model
+
+
+def bagged(ws: np.ndarray, bag_flat: np.ndarray, bag_at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The n-grams of the words of these numbers, word by word, and how many each has."""
+    sizes = bag_at[ws + 1] - bag_at[ws]
+    first = np.repeat(bag_at[ws] - np.r_[0, np.cumsum(sizes)[:-1]], sizes) if len(ws) else ws
+    return bag_flat[first + np.arange(len(first))], sizes
+
+
+def lean(y: np.ndarray, ids: list[np.ndarray], bag_flat: np.ndarray, bag_at: np.ndarray, buckets: int, prior: float) -> np.ndarray:
+    """How much likelier each n-gram is in documents of label 1: the log of its odds over those of all, shrunk by ``prior`` documents."""
+    seen = np.zeros((2, buckets))
+    for d, w in enumerate(ids):
+        mark = np.zeros(buckets, bool)
+        mark[bagged(np.unique(w), bag_flat, bag_at)[0]] = True
+        seen[y[d]] += mark
+    base = np.bincount(y, minlength=2) / len(y)
+    return np.log((seen[1] + prior * base[1]) / (seen[0] + prior * base[0])) - np.log(base[1] / base[0])
+
+
+def descend(texts: list[str | None], y: np.ndarray, *, epochs: int, rate: float = 0.5, batch: int = 256, hard: int = 3, prior: float = 10.0, seed: int = 7, **shape) -> Model:
+    """Joint AdaGrad steps on vectors, weights and bias; the loss weighs both classes equally.
+
+    Vectors start from small random numbers and, along the softmax's direction, from how much each n-gram leans to label 1 in the
+    documents' counts. The first worst windows are then the likely ones, which random vectors find only by many toxic documents.
+    """
+    model = Model(seed=seed, **shape)
     model.trained = True
     vocab: dict[str, int] = {}
     ids = [np.array([vocab.setdefault(w, len(vocab)) for w in words(t)], np.int32) for t in texts]  # one document's words at a time
@@ -174,27 +218,26 @@ def train(texts: list[str | None], labels: list[int], *, epochs: int = 12, min_s
     bag_at = np.r_[0, np.cumsum(np.concatenate([size for _, size in parts]))] if parts else np.zeros(1, np.int64)
     del vocab, names, parts
     last = [before(w) for w in ids]
+    gap = model.weights[1] - model.weights[0]
+    model.vectors += (lean(y, ids, bag_flat, bag_at, model.buckets, prior)[:, None] * gap / (gap @ gap)).astype(np.float32)
     rng = np.random.default_rng(seed)
     class_weight = (len(y) / 2 / np.bincount(y, minlength=2)).astype(np.float32)
     squares = [np.full_like(model.vectors[:, :1], 1e-4), np.full_like(model.weights, 1e-4), np.full_like(model.bias, 1e-4)]
-    for epoch in range(epochs):
-        # The windows to learn from: of each document the worst ones, and in the first epoch all of a random sample.
+    for _ in range(epochs):
+        # The windows to learn from: of each document the worst ones.
         slope = model.vectors @ (model.weights[1] - model.weights[0])
         word_score = np.add.reduceat(slope[bag_flat], bag_at[:-1]) / np.diff(bag_at) if len(bag_flat) else np.empty(0, np.float32)
         chosen: list[tuple[int, int, int]] = []
         for d, w in enumerate(ids):
             n = max(1, len(w) - model.window + 1)
-            if epoch == 0:
-                pick = rng.permutation(np.arange(0, n, model.window // 2))[:hard]
-            else:
-                z = window_sums(word_score[w], last[d], model.window)[:n] if len(w) else np.zeros(1)
-                pick = []
-                for _ in range(1 if y[d] else hard):  # the worst windows that overlap by half at most
-                    k = int(np.argmax(z))
-                    if not np.isfinite(z[k]):
-                        break
-                    pick.append(k)
-                    z[max(0, k - model.window // 2 + 1) : k + model.window // 2] = -np.inf
+            z = window_sums(word_score[w], last[d], model.window)[:n] if len(w) else np.zeros(1)
+            pick = []
+            for _ in range(1 if y[d] else hard):  # they overlap by half at most
+                k = int(np.argmax(z))
+                if not np.isfinite(z[k]):
+                    break
+                pick.append(k)
+                z[max(0, k - model.window // 2 + 1) : k + model.window // 2] = -np.inf
             chosen += [(d, int(k), min(int(k) + model.window, len(w))) for k in pick]
         order = rng.permutation(len(chosen))
         for lo in range(0, len(order), batch):
@@ -202,9 +245,7 @@ def train(texts: list[str | None], labels: list[int], *, epochs: int = 12, min_s
             seq = [ids[d][a:b][last[d][a:b] < a] for d, a, b in part]
             owner_w = np.repeat(np.arange(len(part)), [len(s) for s in seq])
             flat_w = np.concatenate(seq)
-            sizes = bag_at[flat_w + 1] - bag_at[flat_w]
-            first = np.repeat(bag_at[flat_w] - np.r_[0, np.cumsum(sizes)[:-1]], sizes)
-            g = bag_flat[first + np.arange(len(first))]
+            g, sizes = bagged(flat_w, bag_flat, bag_at)
             owner = np.repeat(owner_w, sizes)
             share = np.repeat(1.0 / (sizes * model.window), sizes).astype(np.float32)
             vec = model.vectors[g] * share[:, None]
@@ -226,10 +267,6 @@ def train(texts: list[str | None], labels: list[int], *, epochs: int = 12, min_s
             model.vectors[rows] -= rate * gv / np.sqrt(squares[0][rows])
             model.weights -= 0.2 * rate * gw / np.sqrt(squares[1])
             model.bias -= 0.2 * rate * gb / np.sqrt(squares[2])
-    if held_texts:
-        model.scale, model.shift = calibration(np.array(model.logits(held_texts)), held)
-        if model.scale <= 0:  # nothing was learnt
-            model.scale, model.shift = 1.0, 0.0
     return model
 
 
