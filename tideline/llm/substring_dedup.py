@@ -11,7 +11,8 @@ strings are judged on the input. The work goes from cheap necessary conditions t
    neighbour reaches ``length``; a context that stands twice is marked whole.
 4. Marks go back to the documents, the bytes they cover are joined to spans, and the rest is kept.
 
-Hashes only choose what is compared: a collision costs work, never a result. Texts are told apart by their SHA-256.
+A collision of anchors' hashes costs work, never a result. Texts and contexts are told apart by their SHA-256, S* names in the sorter by
+64-bit fingerprints: two different names of one fingerprint in one shard would be taken for equal.
 
 Defined cases: a null text counts as empty; texts shorter than ``length`` lose nothing; equal texts are repeats of each other, so
 all their bytes go if they are long enough; repeated rows are copies like any others; cuts may fall within a character, the kept
