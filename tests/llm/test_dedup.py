@@ -79,6 +79,30 @@ def test_similar_groups(spark):
     assert simhash.one_of_each(df.limit(0)).count() == 0
 
 
+def test_near_copies_are_linked_by_fingerprints(spark):
+    """The pairs that are checked first come from fingerprints and the grid: a copy with one word changed, hubs of linked fingerprints."""
+    base = [prose(7000 + i, 300, 4000).split() for i in range(20)]
+    copies = [[*w[:150], "changed", *w[151:]] for w in base]
+    df = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(base + copies)], "k long, raw string")
+    texts = simhash._marked(df, 5, 2)
+    uid = {r.uid: r.k for r in texts.collect()}
+    fps = {r.k: r.fps for r in texts.collect()}
+    assert all(fps[i] == [simhash.fingerprint(" ".join(w), 1, seed) for seed in range(2)] for i, w in enumerate(base + copies))
+    pairs = [tuple(sorted((uid[r.a], uid[r.b]))) for r in simhash._linked(texts, 2, 2).collect()]
+    close = {(i, j) for i in fps for j in fps if i < j and any(((a ^ b) & (1 << 64) - 1).bit_count() <= 2 for a, b in zip(fps[i], fps[j]))}
+    assert len(pairs) == len(set(pairs)) and set(pairs) == close and len(close & {(i, i + 20) for i in range(20)}) >= 15
+
+
+def test_direct_links():
+    rng = random.Random(4)
+    fps = {0}
+    while len(fps) < 400:
+        fps.add(rng.choice(sorted(fps)) ^ (1 << rng.randrange(63)) ^ (1 << rng.randrange(63)))
+    nodes, to = simhash.forest(np.array(sorted(fps), np.int64), 2, direct=True)
+    assert len(nodes) == 399 and all((a ^ b).bit_count() <= 2 for a, b in zip(nodes.tolist(), to.tolist()))
+    assert any((a ^ b).bit_count() > 2 for a, b in zip(*(x.tolist() for x in simhash.forest(np.array(sorted(fps), np.int64), 2))))
+
+
 def grouped_as_brute_force(spark, texts):
     """Whether the groups are those of all pairs, and how many pairs are similar by brute force."""
     got = {r.doc_id: r.group for r in simhash.similar_groups(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), keep=["doc_id"]).select("row.doc_id", "group").collect()}

@@ -13,9 +13,11 @@ null; an empty table gives an empty result; extra columns pass through whatever
 Scale: equal fingerprints are merged before any search, so copies never meet as pairs; a cell emits a forest of at most one edge a
 member, never all pairs; links, components and fingerprints stay in Spark.
 
-``similar_groups`` is the form for a similarity of word shingles, complete for texts whose shingle sets have that Jaccard similarity:
-least hashes of the sets link most near copies in stars of one hub each, so that a group of n copies costs a multiple of n checks;
-then a prefix filter finds each pair that is left. In one order of all shingles, two sets of similarity s share a shingle among
+``similar_groups`` is the form for a similarity of word shingles, complete for texts whose shingle sets have that Jaccard similarity.
+Fingerprints of the single words (an edit moves fewer of their bits than of those of shingles), one a table, go through the grid: each text
+meets the hub of its fingerprint and hubs meet along a forest of links in each cell, so that a group of n copies costs a multiple of n
+checks; pairs are checked on the whole sets. The exact way for what differs in more bits is a prefix filter, which
+finds each pair that is left. In one order of all shingles, two sets of similarity s share a shingle among
 the first ``n - ceil(s n) + 1`` of each. Pairs that meet there are kept unless they are joined already or their sizes or the places of
 the shared shingle rule them out, and every pair is checked on the whole sets. Any order is right; the one used puts shingles that are
 frequent in a share of the texts last, so that common lines and passages don't bring unrelated texts together. The first round of
@@ -85,29 +87,31 @@ def cells(fp: F.Column, radius: int, bits: int = 64) -> F.Column:
     return F.array_compact(F.array(own, *near))
 
 
-def forest(fps: np.ndarray, distance: int) -> tuple[np.ndarray, np.ndarray]:
-    """Edges (node, root) that join what is linked among distinct fingerprints; one edge a node at most."""
+def forest(fps: np.ndarray, distance: int, direct: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """Edges (node, root) that join what is linked among distinct fingerprints; one edge a node at most. ``direct`` ones are links themselves."""
     left, nodes, roots = np.sort(fps), [], []
     while len(left):
         root, frontier, left = left[0], left[:1], left[1:]
         while len(frontier) and len(left):
-            near = np.zeros(len(left), bool)
+            near, to = np.zeros(len(left), bool), np.full(len(left), root)
             for at in range(0, len(frontier), 256):
                 block = frontier[at : at + 256]
                 rest = np.flatnonzero(~near)
                 for lo in range(0, len(rest), 4096):
                     part = rest[lo : lo + 4096]
-                    near[part] = (np.bitwise_count((left[part][:, None] ^ block[None, :]).view(np.uint64)) <= distance).any(axis=1)
-            frontier, left = left[near], left[~near]
+                    linked = np.bitwise_count((left[part][:, None] ^ block[None, :]).view(np.uint64)) <= distance
+                    near[part] = linked.any(axis=1)
+                    if direct:
+                        to[part] = block[linked.argmax(axis=1)]
+            frontier, left, to = left[near], left[~near], to[near]
             nodes.append(frontier)
-            roots.append(np.full(len(frontier), root))
+            roots.append(to)
     empty = np.empty(0, fps.dtype)
     return (np.concatenate(nodes), np.concatenate(roots)) if nodes else (empty, empty)
 
 
-def _linker(distance: int, join=None):
-    """batches (cell, fp), by cell -> edges; ``join`` makes the edges of one cell of three members or more."""
-    join = join or (lambda fps: forest(fps, distance))
+def _linker(distance: int, direct: bool):
+    """batches (cell, fp), by cell -> edges."""
 
     def run(batches):
         kept_cell, kept_fp = np.empty(0, np.int64), np.empty(0, np.int64)
@@ -119,7 +123,7 @@ def _linker(distance: int, join=None):
             a, b = fp[two], fp[two + 1]
             ok = np.bitwise_count((a ^ b).view(np.uint64)) <= distance  # of signed numbers it would count the bits of the absolute value
             out = [(a[ok], b[ok])]
-            out += [join(fp[s : s + n]) for s, n in zip(starts[sizes > 2], sizes[sizes > 2])]
+            out += [forest(fp[s : s + n], distance, direct) for s, n in zip(starts[sizes > 2], sizes[sizes > 2])]
             a, b = (np.concatenate(x) for x in zip(*out))
             return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
@@ -134,13 +138,16 @@ def _linker(distance: int, join=None):
     return run
 
 
-def links(fps: DataFrame, distance: int = 2) -> DataFrame:
-    """``fps(fp)``, distinct -> edges ``(a, b)`` at Hamming distance ``distance`` (2 at most) or less; they span all links."""
+def links(fps: DataFrame, distance: int = 2, direct: bool = False) -> DataFrame:
+    """``fps(fp)``, distinct -> edges ``(a, b)`` that span all links at Hamming distance ``distance`` (2 at most) or less.
+
+    An edge may join the ends of a chain of links; ``direct`` edges are links themselves.
+    """
     if distance not in (0, 1, 2):
         raise ValueError("the grid takes distances of 0, 1 and 2")
     parts = max(fps.sparkSession.sparkContext.defaultParallelism, int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     dealt = fps.repartition(parts).select(F.explode(cells(F.col("fp"), (distance + 1) // 2)).alias("cell"), "fp")
-    return dealt.repartition("cell").sortWithinPartitions("cell").mapInArrow(_linker(distance), "a bigint, b bigint")
+    return dealt.repartition("cell").sortWithinPartitions("cell").mapInArrow(_linker(distance, direct), "a bigint, b bigint")
 
 
 def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text: str = "text", shingle: int = 3, distance: int = 2, keep: list[str] | None = None) -> DataFrame:
@@ -175,16 +182,6 @@ def shingles(text: str | None, size: int, cache: dict | None = None) -> np.ndarr
     return np.unique(total.view(np.int64))
 
 
-def least_hashes(found: np.ndarray, tables: int) -> list[int]:
-    """Per table one number of the two least hashes under two orders: equal in two sets with the square of their similarity."""
-    least = np.full(2 * tables, np.iinfo(np.uint64).max, np.uint64)
-    keys = np.random.default_rng(11).integers(0, 1 << 63, 2 * tables, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-    for at in range(0, len(found), 4096):
-        x = found[at : at + 4096].view(np.uint64)[:, None] * keys
-        least = np.minimum(least, (x ^ (x >> np.uint64(32))).min(axis=0))
-    return ((least[::2] * np.uint64(0x9E3779B97F4A7C15)) ^ least[1::2]).view(np.int64).tolist()
-
-
 def parities(found: np.ndarray, bits: int = SKETCH_BITS) -> np.ndarray:
     """So many bits, each the parity of the hashes that fall to it: two sets differ in as many shingles at least as these in bits."""
     counts = np.bincount((found.view(np.uint64) >> np.uint64(64 - bits.bit_length() + 1)).astype(np.int64), minlength=bits)
@@ -287,8 +284,18 @@ def _meetings(similarity: float, all_pairs: bool):
 
 
 def _alike(pairs: DataFrame, base: DataFrame, texts: DataFrame, shingle: int, similarity: float) -> DataFrame:
-    """The ``pairs(a, b)`` of uids whose whole sets have the similarity."""
-    ends = pairs.select(F.col("a").alias("uid")).unionByName(pairs.select(F.col("b").alias("uid"))).distinct()
+    """The ``pairs(a, b)`` of uids whose whole sets have the similarity; sketches rule pairs out before any set is made."""
+
+    def both(of: DataFrame, known: DataFrame, *cols: str) -> DataFrame:
+        side = lambda name: known.select(F.col("uid").alias(name), *[F.col(c).alias(f"{c}_{name}") for c in cols])
+        return of.join(side("a"), "a").join(side("b"), "b")
+
+    def fits(sketch: str) -> F.Column:
+        differ = F.aggregate(F.zip_with(f"{sketch}_a", f"{sketch}_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda x, y: x + y)
+        return differ <= (1 - similarity) / (1 + similarity) * (F.col("n_a") + F.col("n_b")) + 1e-6
+
+    near = written(both(pairs, texts, "n", "bits").where(fits("bits")).select("a", "b"), "similar-near")
+    ends = near.select(F.col("a").alias("uid")).unionByName(near.select(F.col("b").alias("uid"))).distinct()
     asked = texts.select("k", "uid").join(ends, "uid")
     one = base.select("k", "raw").join(asked, "k").groupBy("k", "uid").agg(F.first("raw").alias("raw"))  # by k, as the join: texts move once
 
@@ -297,27 +304,18 @@ def _alike(pairs: DataFrame, base: DataFrame, texts: DataFrame, shingle: int, si
 
         def run(texts):
             sets = [shingles(t, shingle, cache) for t in texts]
-            return [sets, [len(x) for x in sets], [parities(x) for x in sets], [parities(x, LONG_BITS) if len(x) >= LONG_FROM else None for x in sets]]
+            return [sets, [len(x) for x in sets], [parities(x, LONG_BITS) if len(x) >= LONG_FROM else None for x in sets]]
 
         return run
 
     longs = T.ArrayType(T.LongType())
-    fields = T.StructType([T.StructField("set", longs), T.StructField("n", T.LongType()), T.StructField("bits", longs), T.StructField("more", longs)])
-    sets = written(map_texts(one, [F.col("raw")], ["uid"], fields, sets_of).select("row.uid", "set", "n", "bits", "more"), "similar-sets")
+    fields = T.StructType([T.StructField("set", longs), T.StructField("n", T.LongType()), T.StructField("more", longs)])
+    sets = written(map_texts(one, [F.col("raw")], ["uid"], fields, sets_of).select("row.uid", "set", "n", "more"), "similar-sets")
     let_go(sets.sparkSession)  # the texts that were moved
 
-    def both(of: DataFrame, *cols: str) -> DataFrame:
-        side = lambda name: sets.select(F.col("uid").alias(name), *[F.col(c).alias(f"{c}_{name}") for c in cols])
-        return of.join(side("a"), "a").join(side("b"), "b")
-
-    def fits(sketch: str) -> F.Column:
-        differ = F.aggregate(F.zip_with(f"{sketch}_a", f"{sketch}_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda x, y: x + y)
-        return differ <= (1 - similarity) / (1 + similarity) * (F.col("n_a") + F.col("n_b")) + 1e-6
-
-    near = written(both(pairs, "n", "bits").where(fits("bits")).select("a", "b"), "similar-near")
-    nearer = written(both(near, "n", "more").where(F.coalesce(fits("more"), F.lit(True))).select("a", "b"), "similar-nearer")
+    nearer = written(both(near, sets, "n", "more").where(F.coalesce(fits("more"), F.lit(True))).select("a", "b"), "similar-nearer")
     common = F.size(F.array_intersect("set_a", "set_b"))
-    alike = both(nearer, "set").where(common >= similarity * (F.size("set_a") + F.size("set_b") - common)).select("a", "b")
+    alike = both(nearer, sets, "set").where(common >= similarity * (F.size("set_a") + F.size("set_b") - common)).select("a", "b")
     found = written(alike, "similar-edges")
     let_go(sets.sparkSession, sets, near, nearer)
     return found
@@ -339,24 +337,38 @@ def _frequent(base: DataFrame, shingle: int) -> tuple[np.ndarray, np.ndarray]:
     return key[order], np.frexp(n[order].astype(np.float64))[1].astype(np.int64)
 
 
-def _stars(base: DataFrame, shingle: int, tables: int) -> tuple[DataFrame, DataFrame]:
-    """The distinct texts (k, uid), and pairs of each with the hub of the texts of the same least hashes, table by table."""
+def _marked(base: DataFrame, shingle: int, tables: int) -> DataFrame:
+    """The distinct texts: k, uid, the fingerprints ``fps`` of their words, one a table, and the size and sketch of their shingle sets."""
 
-    def least():
+    def marks():
         cache: dict = {}
-        return lambda texts: [[least_hashes(shingles(t, shingle, cache), tables) for t in texts]]
 
-    made = map_texts(base, [F.col("raw")], ["k"], T.StructType([T.StructField("least", T.ArrayType(T.LongType()))]), least)
-    texts = written(made.groupBy("row.k").agg(F.first("least").alias("least")).withColumn("uid", F.monotonically_increasing_id()), "similar-texts")
-    dealt = texts.select("uid", F.posexplode("least").alias("t", "v"))
-    sizes = dealt.groupBy("t", "v").agg(F.count("*").alias("n")).where("n > 1")
-    sized = written(dealt.join(sizes, ["t", "v"]), "similar-buckets")
-    # The hub of a bucket is its text that shares most buckets with others: of copies with edits of their own, the one nearest to all.
-    degree = sized.groupBy("uid").agg(F.sum("n").alias("degree"))
-    hubs = sized.join(degree, "uid").groupBy("t", "v").agg(F.max_by("uid", F.struct("degree", -F.col("uid"))).alias("a"))
-    pairs = written(sized.join(hubs, ["t", "v"]).where("a <> uid").select("a", F.col("uid").alias("b")).distinct(), "similar-stars")
-    let_go(base.sparkSession, sized)
-    return texts.select("k", "uid"), pairs
+        def run(texts):
+            sets = [shingles(t, shingle, cache) for t in texts]
+            return [[[fingerprint(t, 1, seed) for seed in range(tables)] for t in texts], [len(x) for x in sets], [parities(x) for x in sets]]
+
+        return run
+
+    longs = T.ArrayType(T.LongType())
+    fields = T.StructType([T.StructField("fps", longs), T.StructField("n", T.LongType()), T.StructField("bits", longs)])
+    made = map_texts(base, [F.col("raw")], ["k"], fields, marks)
+    texts = made.groupBy("row.k").agg(F.first(F.struct("fps", "n", "bits")).alias("x")).select("k", "x.*")
+    return written(texts.withColumn("uid", F.monotonically_increasing_id()), "similar-texts")
+
+
+def _linked(texts: DataFrame, tables: int, distance: int) -> DataFrame:
+    """Pairs of texts that fingerprints link: each text with the hub of its fingerprint, and the hubs of linked fingerprints."""
+    dealt = texts.select("uid", F.posexplode("fps").alias("t", "fp"))
+    hubs = written(dealt.groupBy("t", "fp").agg(F.min("uid").alias("hub"), F.count("*").alias("n")), "similar-hubs")
+    pairs = dealt.join(hubs.where("n > 1"), ["t", "fp"]).where("uid <> hub").select(F.col("hub").alias("a"), F.col("uid").alias("b"))
+    for t in range(tables):
+        own = hubs.where(F.col("t") == t)
+        a, b = (own.select(F.col("fp").alias(end), F.col("hub").alias(f"hub_{end}")) for end in "ab")
+        near = links(own.select("fp"), distance, direct=True).distinct().join(a, "a").join(b, "b")
+        pairs = pairs.unionByName(near.select(F.least("hub_a", "hub_b").alias("a"), F.greatest("hub_a", "hub_b").alias("b")))
+    found = written(pairs.distinct(), "similar-linked")
+    let_go(texts.sparkSession, hubs)
+    return found
 
 
 def _met(base: DataFrame, texts: DataFrame, roots: DataFrame, shingle: int, similarity: float, often: tuple[np.ndarray, np.ndarray], all_pairs: bool) -> DataFrame:
@@ -367,20 +379,22 @@ def _met(base: DataFrame, texts: DataFrame, roots: DataFrame, shingle: int, simi
     return written(dealt.repartition("key").sortWithinPartitions("key").mapInArrow(_meetings(similarity, all_pairs), "a long, b long").distinct(), "similar-pairs")
 
 
-def similar_groups(docs: DataFrame, *, text: str = "text", shingle: int = 5, similarity: float = 0.8, tables: int = 8, keep: list[str] | None = None) -> DataFrame:
+def similar_groups(docs: DataFrame, *, text: str = "text", shingle: int = 5, similarity: float = 0.8, tables: int = 2, distance: int = 2, keep: list[str] | None = None) -> DataFrame:
     """Per document: ``row`` (the kept columns) and ``group``: a number that it shares with all texts it is linked to.
 
     Texts are linked whose sets of word shingles have a Jaccard similarity of ``similarity`` or more, all of them; equal texts always are.
+    ``tables`` and ``distance`` say what the fingerprints link before the rest is looked for: they change the work, not the groups.
     """
     if not 0 < similarity <= 1:
         raise ValueError("the similarity is above 0 and 1 at most")
     keep = docs.columns if keep is None else keep
     raw = F.coalesce(docs[text].cast("string"), F.lit(""))
     base = docs.select(F.struct(*[docs[c] for c in keep]).alias("row"), raw.alias("raw"), F.unhex(F.sha2(raw.cast("binary"), 256)).alias("k"))
-    texts, stars = _stars(base, shingle, tables)
+    texts = _marked(base, shingle, tables)
+    linked = _linked(texts, tables, distance)
     often = _frequent(base, shingle)
-    edges = _alike(stars, base, texts, shingle, similarity)
-    let_go(docs.sparkSession, stars)
+    edges = _alike(linked, base, texts, shingle, similarity)
+    let_go(docs.sparkSession, linked)
     for all_pairs in (False, True):
         roots = components(edges, "similar-links").withColumnRenamed("node", "uid")
         met = _met(base, texts, roots, shingle, similarity, often, all_pairs)
