@@ -1,5 +1,6 @@
 """SimHash near-duplicates, suffix sorting and repeated strings against brute force."""
 
+import os
 import random
 
 import numpy as np
@@ -8,6 +9,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from tideline.llm import simhash, substring_dedup, suffix
+from tideline.llm.common import written
 from tideline.llm.components import components
 
 from .helpers import LONG, fingerprint, groups, prose, removed, write_tables
@@ -61,6 +63,37 @@ def test_components_of_chains_and_hubs(spark):
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+def test_components_keep_one_table_and_stars_take_no_round(spark, monkeypatch):
+    """Each round's edges go when the next are written, and edges that are stars already are written once: the driver runs no round for them."""
+    made = []
+
+    def counted(df, name):
+        made.append(written(df, name))
+        return made[-1]
+
+    monkeypatch.setattr("tideline.llm.components.written", counted)
+    chain = components(spark.createDataFrame([(i, i + 1) for i in range(60)], "a long, b long"))
+    assert {r.root for r in chain.collect()} == {0} and [os.path.exists(df.written_at.removeprefix("file:")) for df in made] == [False] * (len(made) - 1) + [True]
+    made.clear()
+    again = components(chain.toDF("a", "b").unionByName(spark.createDataFrame([(100, 101), (100, 102)], "a long, b long")))
+    assert {(r.node, r.root) for r in again.collect()} == {(i, 0) for i in range(61)} | {(100, 100), (101, 100), (102, 100)} and len(made) == 1
+
+
+def test_links_of_many_tables_in_one_short_plan(spark):
+    rng = random.Random(6)
+    base = [rng.getrandbits(63) for _ in range(30)]
+    fps = sorted({(t, b ^ (1 << rng.randrange(63))) for t in (0, 1, 7) for b in base for _ in range(3)})
+    edges = simhash.links(spark.createDataFrame(fps, "t int, fp long"), direct=True)
+    assert len(edges._jdf.queryExecution().executedPlan().toString()) < 12_000
+    rows = {tuple(r) for r in edges.collect()}
+    assert all((a ^ b).bit_count() <= 2 and {(t, a), (t, b)} <= set(fps) for t, a, b in rows)
+    for t in (0, 1, 7):
+        own = [f for u, f in fps if u == t]
+        got = {r.node: r.root for r in components(spark.createDataFrame([(a, b) for u, a, b in rows if u == t], "a long, b long")).collect()}
+        want = groups(own, lambda a, b: (a ^ b).bit_count() <= 2)
+        assert all(got.get(f, f) == want[f] for f in own)
+
+
 def test_similar_groups(spark):
     docs = corpus()
     df = spark.createDataFrame([(i, t, 1) for i, t in docs], "doc_id long, text string, row int")

@@ -73,18 +73,23 @@ def fingerprints(docs: DataFrame, *, text: str = "text", shingle: int = 3, keep:
     return map_texts(docs, [docs[text].cast("string")], keep, fields, lambda: lambda texts: [[fingerprint(t, shingle) for t in texts]])
 
 
-def cells(fp: F.Column, radius: int, bits: int = 64) -> F.Column:
-    """The packed grid points at Manhattan distance ``radius`` (0 or 1) or less from the point of the first ``bits`` of ``fp``."""
-    segments = bits // SEGMENT_BITS
-    counts = [F.bit_count(F.shiftrightunsigned(fp, SEGMENT_BITS * i).bitwiseAND(F.lit((1 << SEGMENT_BITS) - 1))).cast("bigint") for i in range(segments)]
-    own = counts[0]
-    for i in range(1, segments):
-        own = own + F.shiftleft(counts[i], PLACE * i)
+def cells(fps: DataFrame, radius: int) -> DataFrame:
+    """``fps(t, fp)`` -> ``(cell, fp)`` for the packed grid points at Manhattan distance ``radius`` (0 or 1) or less, those of each ``t`` apart.
+
+    The coordinates are columns of their own: written out in each of the 33 points they would fill the driver's plans.
+    """
+    segments = 64 // SEGMENT_BITS
+    places = [F.bit_count(F.shiftrightunsigned("fp", SEGMENT_BITS * i).bitwiseAND(F.lit((1 << SEGMENT_BITS) - 1))).cast("bigint").alias(f"c{i}") for i in range(segments)]
+    counts = [F.col(f"c{i}") for i in range(segments)]
+    own = F.shiftleft(F.col("t").cast("bigint"), PLACE * segments)
+    for i, c in enumerate(counts):
+        own = own + F.shiftleft(c, PLACE * i)
+    placed = fps.select("fp", "t", *places).select("fp", own.alias("own"), *counts)
     if radius == 0:
-        return F.array(own)
-    step = [F.lit(1 << (PLACE * i)) for i in range(segments)]
+        return placed.select(F.col("own").alias("cell"), "fp")
+    own, step = F.col("own"), [F.lit(1 << (PLACE * i)) for i in range(segments)]
     near = [F.when(c < SEGMENT_BITS, own + s) for c, s in zip(counts, step)] + [F.when(c > 0, own - s) for c, s in zip(counts, step)]
-    return F.array_compact(F.array(own, *near))
+    return placed.select(F.explode(F.array(own, *near)).alias("cell"), "fp").where("cell IS NOT NULL")
 
 
 def forest(fps: np.ndarray, distance: int, direct: bool = False) -> tuple[np.ndarray, np.ndarray]:
@@ -111,7 +116,7 @@ def forest(fps: np.ndarray, distance: int, direct: bool = False) -> tuple[np.nda
 
 
 def _linker(distance: int, direct: bool):
-    """batches (cell, fp), by cell -> edges."""
+    """batches (cell, fp), by cell -> edges, with the table of their cell."""
 
     def run(batches):
         kept_cell, kept_fp = np.empty(0, np.int64), np.empty(0, np.int64)
@@ -122,10 +127,13 @@ def _linker(distance: int, direct: bool):
             two = starts[sizes == 2]
             a, b = fp[two], fp[two + 1]
             ok = np.bitwise_count((a ^ b).view(np.uint64)) <= distance  # of signed numbers it would count the bits of the absolute value
-            out = [(a[ok], b[ok])]
-            out += [forest(fp[s : s + n], distance, direct) for s, n in zip(starts[sizes > 2], sizes[sizes > 2])]
-            a, b = (np.concatenate(x) for x in zip(*out))
-            return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+            out = [(cell[two[ok]], a[ok], b[ok])]
+            for s, n in zip(starts[sizes > 2], sizes[sizes > 2]):
+                nodes, roots = forest(fp[s : s + n], distance, direct)
+                out.append((np.full(len(nodes), cell[s]), nodes, roots))
+            of, a, b = (np.concatenate(x) for x in zip(*out))
+            t = (of >> (PLACE * 64 // SEGMENT_BITS)).astype(np.int32)
+            return pa.RecordBatch.from_arrays([pa.array(t), pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["t", "a", "b"])
 
         for batch in batches:
             cell = np.concatenate([kept_cell, batch.column(0).to_numpy(zero_copy_only=False)])
@@ -141,13 +149,16 @@ def _linker(distance: int, direct: bool):
 def links(fps: DataFrame, distance: int = 2, direct: bool = False) -> DataFrame:
     """``fps(fp)``, distinct -> edges ``(a, b)`` that span all links at Hamming distance ``distance`` (2 at most) or less.
 
-    An edge may join the ends of a chain of links; ``direct`` edges are links themselves.
+    An edge may join the ends of a chain of links; ``direct`` edges are links themselves. With a number ``t`` of a table from 0 beside ``fp`` the
+    links within each table are found in one pass; edges then have ``t`` too.
     """
     if distance not in (0, 1, 2):
         raise ValueError("the grid takes distances of 0, 1 and 2")
+    tables = "t" in fps.columns
     parts = max(fps.sparkSession.sparkContext.defaultParallelism, int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    dealt = fps.repartition(parts).select(F.explode(cells(F.col("fp"), (distance + 1) // 2)).alias("cell"), "fp")
-    return dealt.repartition("cell").sortWithinPartitions("cell").mapInArrow(_linker(distance, direct), "a bigint, b bigint")
+    dealt = cells((fps if tables else fps.withColumn("t", F.lit(0))).repartition(parts), (distance + 1) // 2)
+    edges = dealt.repartition("cell").sortWithinPartitions("cell").mapInArrow(_linker(distance, direct), "t int, a bigint, b bigint")
+    return edges if tables else edges.select("a", "b")
 
 
 def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text: str = "text", shingle: int = 3, distance: int = 2, keep: list[str] | None = None) -> DataFrame:
@@ -357,15 +368,13 @@ def _marked(base: DataFrame, shingle: int, tables: int) -> DataFrame:
 
 
 def _linked(texts: DataFrame, tables: int, distance: int) -> DataFrame:
-    """Pairs of texts that fingerprints link: each text with the hub of its fingerprint, and the hubs of linked fingerprints."""
-    dealt = texts.select("uid", F.posexplode("fps").alias("t", "fp"))
+    """Pairs of texts that the first ``tables`` fingerprints link: each text with the hub of its own, and the hubs of linked ones."""
+    dealt = texts.select("uid", F.posexplode(F.slice("fps", 1, tables)).alias("t", "fp"))
     hubs = written(dealt.groupBy("t", "fp").agg(F.min("uid").alias("hub"), F.count("*").alias("n")), "similar-hubs")
     pairs = dealt.join(hubs.where("n > 1"), ["t", "fp"]).where("uid <> hub").select(F.col("hub").alias("a"), F.col("uid").alias("b"))
-    for t in range(tables):
-        own = hubs.where(F.col("t") == t)
-        a, b = (own.select(F.col("fp").alias(end), F.col("hub").alias(f"hub_{end}")) for end in "ab")
-        near = links(own.select("fp"), distance, direct=True).distinct().join(a, "a").join(b, "b")
-        pairs = pairs.unionByName(near.select(F.least("hub_a", "hub_b").alias("a"), F.greatest("hub_a", "hub_b").alias("b")))
+    a, b = (hubs.select("t", F.col("fp").alias(end), F.col("hub").alias(f"hub_{end}")) for end in "ab")
+    near = links(hubs.select("t", "fp"), distance, direct=True).distinct().join(a, ["t", "a"]).join(b, ["t", "b"])
+    pairs = pairs.unionByName(near.select(F.least("hub_a", "hub_b").alias("a"), F.greatest("hub_a", "hub_b").alias("b")))
     found = written(pairs.distinct(), "similar-linked")
     let_go(texts.sparkSession, hubs)
     return found
@@ -395,13 +404,16 @@ def similar_groups(docs: DataFrame, *, text: str = "text", shingle: int = 5, sim
     often = _frequent(base, shingle)
     edges = _alike(linked, base, texts, shingle, similarity)
     let_go(docs.sparkSession, linked)
+    roots = components(edges, "similar-links")
+    let_go(docs.sparkSession, edges)
     for all_pairs in (False, True):
-        roots = components(edges, "similar-links").withColumnRenamed("node", "uid")
-        met = _met(base, texts, roots, shingle, similarity, often, all_pairs)
+        met = _met(base, texts, roots.withColumnRenamed("node", "uid"), shingle, similarity, often, all_pairs)
         let_go(docs.sparkSession)
-        edges = edges.unionByName(_alike(met, base, texts, shingle, similarity))
+        edges = _alike(met, base, texts, shingle, similarity)
         let_go(docs.sparkSession, met)
-    roots = components(edges, "similar-links").withColumnRenamed("node", "uid")
+        roots = components(roots.toDF("a", "b").unionByName(edges), "similar-links")  # what was joined before is one star each
+        let_go(docs.sparkSession, edges)
+    roots = roots.withColumnRenamed("node", "uid")
     groups = texts.join(roots, "uid", "left").select("k", F.coalesce("root", "uid").alias("group"))
     return base.select("row", "k").join(groups, "k").select("row", "group")
 
