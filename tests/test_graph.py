@@ -89,3 +89,65 @@ def test_hubs_are_shared(spark):
     assert [tuple(r) for r in hubs.collect()] == [("R", 6)] and steps.where("node_id = 'R'").groupBy("salt").count().count() == 6 and steps.count() == edges.count()
     one, two = ({(r.shock_id, r.node_id): (r.layer, round(r.shock, 12)) for r in graph.propagate(nodes, edges, shocks, hub_edges=n).collect()} for n in (50, 10**6))
     assert one == two and len(one) > 600
+
+
+def layered(spark, widths=(3, 5, 8, 20, 60), seed=5):
+    """A random layered graph with a doubled edge, and its edges with and without the layer of their source."""
+    import random
+
+    rng = random.Random(seed)
+    name = lambda k, i: f"{'RNSPC'[k]}:{i}"
+    nodes = spark.createDataFrame([(name(k, i), k, name(k, i).lower() if k == 4 else None) for k, w in enumerate(widths) for i in range(w)], "node_id string, layer int, ticker string")
+    rows = [(name(k, i), name(k + 1, j), rng.random(), rng.random(), k) for k in range(4) for i in range(widths[k]) for j in rng.sample(range(widths[k + 1]), max(1, widths[k + 1] // 3))]
+    edges = spark.createDataFrame([*rows, rows[-1]], "source string, target string, substitutability double, cost_share double, source_layer int").cache()
+    return nodes, edges, edges.drop("source_layer")
+
+
+class Written:
+    """What ``written`` of a module writes: names and numbers of rows."""
+
+    def __init__(self, monkeypatch, module=graph):
+        self.rows, real = [], module.written
+        monkeypatch.setattr(module, "written", lambda df, name: self.noted(real(df, name), name))
+
+    def noted(self, df, name):
+        self.rows.append((name, df.count()))
+        return df
+
+
+def test_layer_totals_without_the_last_state(spark, monkeypatch):
+    nodes, edges, bare = layered(spark)
+    shocks = [(f"s{i}", f"S:{i}", i - 3.0) for i in range(8)] + [("s1", "P:2", 1.0), ("s2", "R:1", 0.5), ("s2", "C:1", 2.0), ("s3", "N:2", 0.0), ("bad", "S:1", float("nan")), ("s4", "P:1", 0.0), (None, "R:0", 1.0)]
+    shocks = spark.createDataFrame(shocks, "shock_id string, node_id string, shock double")
+    want = {(r.shock_id, r.layer): (r.n, pytest.approx(r.total, abs=1e-9)) for r in graph.propagate(nodes, edges, shocks).groupBy("shock_id", "layer").agg(F.count("*").alias("n"), F.sum("shock").alias("total")).collect()}
+    for e, listed, at_once in ((edges, 1000, 10**9), (bare, 3, 200)):
+        monkeypatch.setattr(graph, "LISTED", listed)
+        monkeypatch.setattr(graph, "AT_ONCE", at_once)
+        got = {(r.shock_id, r.layer): (r.n_nodes, r.total) for r in graph.layer_totals(nodes, e, shocks).collect()}
+        assert got == want and len(got) > 20
+    assert graph.layer_totals(nodes, edges, shocks.where("shock_id = 'bad'")).count() == 0
+    nodes, edges, _ = layered(spark, (3, 5, 20, 20, 60))
+    many = nodes.where("layer = 2").select(F.col("node_id").alias("shock_id"), "node_id", F.lit(1.0).alias("shock"))
+    seen = Written(monkeypatch)
+    last = graph.layer_totals(nodes, edges, many).where("layer = 4").agg(F.sum("n_nodes")).first()[0]
+    assert last > edges.count() > max(n for _, n in seen.rows)  # shocks x customers aren't written
+
+
+def test_shuffle_files_go_with_their_query(spark):
+    """What made a table isn't kept beside it."""
+    from tideline.functions.lineage import written
+
+    def kept():
+        return spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles().size()
+
+    spark._jvm.System.gc()
+    before = kept()
+    for _ in range(3):
+        written(spark.range(20_000).repartition(7, "id").groupBy((F.col("id") % 5000).alias("k")).count(), "t")
+    import time
+
+    for _ in range(50):
+        if kept() <= before:
+            break
+        time.sleep(0.2)
+    assert kept() <= before and spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled") == "false"

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass
-from typing import NamedTuple
+from functools import cached_property
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -35,13 +35,19 @@ class BacktestConfig:
             raise ValueError("threshold must be finite and >= 0, min_obs >= 3")
 
 
-class Backtest(NamedTuple):
+@dataclass
+class Backtest:
     signals: DataFrame
-    contributions: DataFrame
     scores: DataFrame
     returns: DataFrame
     ics: DataFrame
     means: DataFrame
+    contributed: Callable[[], DataFrame]
+
+    @cached_property
+    def contributions(self) -> DataFrame:
+        """By candidate. They take the matrix of all candidates' nodes, which the scores don't, so they are computed when asked for."""
+        return self.contributed()
 
 
 def snapshot_violations(snapshots: DataFrame, candidates: DataFrame, nodes: DataFrame, config: BacktestConfig) -> DataFrame:
@@ -90,9 +96,8 @@ def run(
     asked = candidates.join(texts, "snapshot_id").withColumnsRenamed({"anonymized_id": "candidate_id", "graph_node_id": "node_id"})
     signals = scores.thresholded(scorer(asked), config.threshold)
     tickers = nodes.where(F.col("layer") == graph.TERMINAL).select("node_id", "ticker")
-    matrix = graph.transmission_matrix(nodes, edges, signals.select("node_id"))
-    values = scores.contributions(signals, matrix, tickers)
-    section = scores.cross_section(snapshots, tickers, values)
+    contributed = lambda: scores.contributions(signals, graph.transmission_matrix(nodes, edges, signals.select("node_id")), tickers)
+    section = scores.cross_section(snapshots, tickers, graph.signal_values(nodes, edges, signals, tickers))
     dates = snapshots.select("snapshot_id", "as_of_date")
     if returns_of is None:
         found = returns.forward_returns(dates, tickers, prices, return_config or returns.ReturnConfig(horizons=config.horizons))
@@ -101,7 +106,7 @@ def run(
         if strict and (lacking := rank_ic.missing_horizons(found, dates, list(config.horizons)).take(1)):
             raise ValueError(f"returns lack horizon {lacking[0].horizon_days} of {lacking[0].as_of_date}")
     ics = rank_ic.rank_ic(dates, list(config.horizons), section, found, config.min_obs)
-    return Backtest(signals, values, section, found, ics.orderBy("as_of_date", "snapshot_id", "horizon_days"), rank_ic.mean_ic(ics))
+    return Backtest(signals, section, found, ics.orderBy("as_of_date", "snapshot_id", "horizon_days"), rank_ic.mean_ic(ics), contributed)
 
 
 def primary_mean(means: DataFrame, config: BacktestConfig = BacktestConfig()) -> DataFrame:
