@@ -1,5 +1,7 @@
 """Closed-form shocks on the seed graph, and its checks."""
 
+import datetime as dt
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -151,3 +153,40 @@ def test_shuffle_files_go_with_their_query(spark):
             break
         time.sleep(0.2)
     assert kept() <= before and spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled") == "false"
+
+
+def test_path_totals_list_no_paths(spark, monkeypatch):
+    nodes, edges, bare = layered(spark)
+    pairs = nodes.where("layer <= 1").select(F.col("node_id").alias("source")).crossJoin(nodes.where("layer <> 2").select(F.col("node_id").alias("target")))
+    listed = graph.paths(bare, pairs).groupBy("source", "target").agg(F.count("*").alias("n"), F.min(F.size("path")).alias("k"), F.sum("transmission_weight").alias("w"))
+    want = {(r.source, r.target): (r.n, r.k, pytest.approx(r.w, rel=1e-9)) for r in listed.collect()}
+    assert len(want) > 300 and max(n for n, _, _ in want.values()) > 5
+    for few, e in ((32, edges), (32, bare), (0, edges)):
+        monkeypatch.setattr(graph, "FEW", few)
+        got = {(r.source, r.target): (r.n_paths, r.n_nodes, r.weight) for r in graph.path_totals(e, pairs).collect()}
+        assert got == want
+    assert graph.path_totals(edges, pairs.limit(0)).count() == 0
+
+
+def test_region_customer_paths_write_no_paths(spark, monkeypatch, tmp_path):
+    from tideline.plans import graph_queries
+
+    star(spark, tmp_path)
+    seen = Written(monkeypatch)
+    got = graph_queries.region_customer_paths(spark, str(tmp_path)).collect()
+    n_paths = sum(r.n_paths for r in got)
+    assert len(got) == 2 * 10 and n_paths == 400 and max(n for _, n in seen.rows) < n_paths / 4
+
+
+def star(spark, path):
+    """A little star schema: each of 10 customers bought each of 8 parts once; a part comes from 5 of 10 suppliers."""
+    put = lambda name, rows, schema: spark.createDataFrame(rows, schema).write.parquet(f"{path}/{name}.parquet")
+    at = dt.datetime(1997, 1, 1)
+    put("region", [(i, f"R{i}") for i in range(2)], "r_regionkey int, r_name string")
+    put("nation", [(i, f"N{i}", i % 2) for i in range(4)], "n_nationkey int, n_name string, n_regionkey int")
+    put("supplier", [(i, f"S{i}", i % 4, 5000.0) for i in range(10)], "s_suppkey long, s_name string, s_nationkey int, s_acctbal double")
+    put("part", [(i, f"P{i}") for i in range(8)], "p_partkey long, p_name string")
+    put("customer", [(i, f"C{i}") for i in range(10)], "c_custkey long, c_name string")
+    put("orders", [(i, i, at) for i in range(10)], "o_orderkey long, o_custkey long, o_orderdate timestamp")
+    lines = [(c, p, (c + p) % 10 // 2 * 2 + p % 2, 100.0 + c + p, 0.05, at) for c in range(10) for p in range(8)]
+    put("lineitem", lines, "l_orderkey long, l_partkey long, l_suppkey long, l_extendedprice double, l_discount double, l_shipdate timestamp")
