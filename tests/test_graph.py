@@ -190,3 +190,18 @@ def star(spark, path):
     put("orders", [(i, i, at) for i in range(10)], "o_orderkey long, o_custkey long, o_orderdate timestamp")
     lines = [(c, p, (c + p) % 10 // 2 * 2 + p % 2, 100.0 + c + p, 0.05, at) for c in range(10) for p in range(8)]
     put("lineitem", lines, "l_orderkey long, l_partkey long, l_suppkey long, l_extendedprice double, l_discount double, l_shipdate timestamp")
+
+
+def test_violations_of_ends_are_counted(spark):
+    nodes, _, bare = layered(spark)
+    bare = bare.withColumn("lead_time_months", F.lit(1.0))
+    skip = bare.where("source = 'R:0'").withColumn("target", F.lit("P:1"))
+    lost = bare.where("target = 'C:5'").withColumn("source", F.lit("?"))
+    gone = bare.where("source = 'N:1'").withColumn("target", F.lit("?"))
+    n = {"layer_skip": skip.count(), "unknown_source": lost.count(), "unknown_target": gone.count()}
+    found = graph.edge_violations(nodes, bare.unionByName(skip.unionByName(skip)).unionByName(lost).unionByName(gone))
+    got = {r.rule: (r.n, r.k, r.d) for r in found.groupBy("rule").agg(F.count("*").alias("n"), F.count_distinct("entity").alias("k"), F.max("detail").alias("d")).collect()}
+    assert got["layer_skip"] == (2 * n["layer_skip"], 1, "0->3") and got["unknown_source"][:2] == (n["unknown_source"], 1) and got["unknown_target"][:2] == (n["unknown_target"], 1)
+    assert got["duplicate_edge"][0] == got["duplicate_edge"][1] == 1 + 1 + (n["unknown_source"] > 1) + (n["unknown_target"] > 1)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("RepartitionByExpression") == 1 and plan.count("Join LeftOuter") == 2  # ends are dealt once by source and once by target
