@@ -192,6 +192,25 @@ def star(spark, path):
     put("lineitem", lines, "l_orderkey long, l_partkey long, l_suppkey long, l_extendedprice double, l_discount double, l_shipdate timestamp")
 
 
+def test_few_shocks_lie_in_columns(spark, monkeypatch):
+    """An edge is one row of a round's shuffle for eight shocks, and the shocks are the same as in rows, sent or joined by key."""
+    nodes, edges, bare = layered(spark)
+    shocks = spark.createDataFrame([(f"r{i}", f"R:{i}", 1.0 - i) for i in range(3)] + [("r0", "N:1", 0.25), ("z", "S:3", 0.0), (None, "S:3", 3.0)] + [(f"n{i}", f"N:{i}", 2.0) for i in range(5)], "shock_id string, node_id string, shock double")
+    out, largest = [], []
+    for few, small, e in ((32, 10**6, edges), (32, 0, bare), (0, 10**6, bare), (0, 0, edges)):
+        monkeypatch.setattr(graph, "FEW", few)
+        monkeypatch.setattr(graph, "SMALL", small)
+        with monkeypatch.context() as m:
+            seen = Written(m)
+            rows = graph.propagate(nodes, e, shocks, hub_edges=10).collect()
+        out.append(sorted((str(r.shock_id), r.node_id, r.layer, round(r.shock, 9)) for r in rows))
+        largest.append(max(n for name, n in seen.rows if name == "shocks"))
+    assert out[0] == out[1] == out[2] == out[3] and largest[0] * 4 < largest[2]
+    lost = edges.withColumn("cost_share", F.when(F.col("target") != "P:1", F.col("cost_share")))  # edges without a weight still reach their target
+    monkeypatch.setattr(graph, "FEW", 32)
+    assert graph.propagate(nodes, lost, shocks).count() == len(out[0])
+
+
 def test_violations_of_ends_are_counted(spark):
     nodes, _, bare = layered(spark)
     bare = bare.withColumn("lead_time_months", F.lit(1.0))
