@@ -211,6 +211,22 @@ def test_few_shocks_lie_in_columns(spark, monkeypatch):
     assert graph.propagate(nodes, lost, shocks).count() == len(out[0])
 
 
+@pytest.mark.parametrize("n_snapshots", [2, 9])
+def test_signals_of_a_snapshot_are_one_shock(spark, monkeypatch, n_snapshots):
+    from tideline.operators import scores
+
+    nodes, edges, _ = layered(spark)
+    rows = [(f"t{t}", f"C{i}", f"N:{i}", (i - 2.0) * (t + 1), i != 3) for t in range(n_snapshots) for i in range(5)] + [("t0", "D", "N:0", 0.5, True), ("t0", "E", "?", 9.0, True)]
+    signals = spark.createDataFrame(rows, "snapshot_id string, candidate_id string, node_id string, s_raw double, active boolean")
+    tickers = nodes.where("layer = 4").select("node_id", "ticker")
+    sums = lambda df: {(r.snapshot_id, r.ticker): pytest.approx(r.v, abs=1e-9) for r in df.groupBy("snapshot_id", "ticker").agg(F.sum("value").alias("v")).collect()}
+    want = sums(scores.contributions(signals, graph.transmission_matrix(nodes, edges, signals.select("node_id")), tickers))
+    seen = Written(monkeypatch)
+    got = graph.signal_values(nodes, edges, signals, tickers)
+    assert {k: v.expected for k, v in sums(got).items()} == want and len(want) > 50
+    assert got.count() <= 60 * n_snapshots if n_snapshots == 2 else max(n for _, n in seen.rows) <= 60
+
+
 def test_violations_of_ends_are_counted(spark):
     nodes, _, bare = layered(spark)
     bare = bare.withColumn("lead_time_months", F.lit(1.0))
