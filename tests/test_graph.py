@@ -211,6 +211,21 @@ def test_few_shocks_lie_in_columns(spark, monkeypatch):
     assert graph.propagate(nodes, lost, shocks).count() == len(out[0])
 
 
+def test_edges_of_the_layers_that_are_asked_for(spark, monkeypatch, tmp_path):
+    from tideline.plans import graph_queries, market
+
+    star(spark, tmp_path)
+    d = str(tmp_path)
+    whole = {tuple(r) for r in market.edges(spark, d).collect()}
+    assert {r[-1]: sum(x[-1] == r[-1] for x in whole) for r in whole} == {0: 4, 1: 10, 2: 40, 3: 80}
+    for below in (2, 3):
+        assert {tuple(r) for r in market.edges(spark, d, below).collect()} == {r for r in whole if r[-1] < below}
+    monkeypatch.setattr(graph_queries, "written", lambda df, name, real=graph_queries.written: seen.noted(real(df, name), name))
+    seen = Written(monkeypatch)
+    graph_queries.contribution_maps(spark, d).collect()
+    assert max(n for _, n in seen.rows) == 14
+
+
 @pytest.mark.parametrize("n_snapshots", [2, 9])
 def test_signals_of_a_snapshot_are_one_shock(spark, monkeypatch, n_snapshots):
     from tideline.operators import scores
