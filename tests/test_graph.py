@@ -211,6 +211,17 @@ def test_few_shocks_lie_in_columns(spark, monkeypatch):
     assert graph.propagate(nodes, lost, shocks).count() == len(out[0])
 
 
+def test_transmission_goes_no_further_than_its_targets(spark, monkeypatch):
+    nodes, edges, _ = layered(spark)
+    pairs = spark.createDataFrame([("N:1", "P:3"), ("N:1", "P:3"), ("N:1", "N:1"), ("N:2", "S:1"), ("R:0", "?"), ("?", "P:1"), ("P:1", "N:1")], "source string, target string")
+    want = {(r.source, r.target): r.n for r in graph.path_totals(edges, pairs).select("source", "target", F.col("weight").alias("n")).collect()}
+    seen = Written(monkeypatch)
+    got = {(r.source, r.target): (r.weight, r.error) for r in graph.transmission(nodes, edges, pairs).collect()}
+    assert got["N:1", "N:1"] == (1.0, None) and got["R:0", "?"] == got["?", "P:1"] == (None, "unknown_node") and got["P:1", "N:1"] == (0.0, None) and len(got) == 6
+    assert got["N:1", "P:3"][0] == pytest.approx(want.get(("N:1", "P:3"), 0.0)) and got["N:2", "S:1"][0] == pytest.approx(want.get(("N:2", "S:1"), 0.0))
+    assert max(n for _, n in seen.rows) <= 20  # the parts; customers aren't reached
+
+
 def test_edges_of_the_layers_that_are_asked_for(spark, monkeypatch, tmp_path):
     from tideline.plans import graph_queries, market
 
