@@ -104,3 +104,15 @@ def test_entry_without_the_corpus_package(monkeypatch):
     for name in ("tideline.llm", "tideline.llm.queries"):
         monkeypatch.setitem(sys.modules, name, None)  # an import of it fails
     assert set(__spark_entry__.queries()) == set(QUERIES) and set(__spark_entry__.oracle_sql()) == set(ORACLES)
+
+
+def test_backtest_scores_without_the_matrix(spark, monkeypatch):
+    """The matrix of all candidates is computed when contributions are asked for."""
+    from tideline.operators import graph
+
+    asked, real = [], graph.transmission_matrix
+    monkeypatch.setattr(graph, "transmission_matrix", lambda *a, **k: asked.append(1) or real(*a, **k))
+    out = backtest.run(*inputs(spark), scorer=scorer, returns_of=given_returns(spark))
+    got = {(r.snapshot_id, r.ticker): r.score for r in out.scores.where("score <> 0").collect()}
+    assert len(got) == 3 and not asked
+    assert {(r.snapshot_id, r.ticker): pytest.approx(r.value) for r in out.contributions.collect()} == got and len(asked) == 1
